@@ -32,7 +32,7 @@ BLOCK = 8192
 LEVEL = 3
 DICTIONARY_BYTES = 100_000
 SAMPLE = 3000
-SAMPLE_BYTES = 4096
+SAMPLE_BYTES = 16384
 
 
 @dataclass(frozen=True)
@@ -68,11 +68,12 @@ def _packer(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    """Slices of all texts, so that each is there in part."""
+    """A slice of each text, from a place between its begin and its end that varies from text to text."""
     if not texts:
         return b""
     each = max(64, DICTIONARY_BYTES // len(texts))
-    return b"".join(t[:each] for t in texts)[-DICTIONARY_BYTES:]
+    starts = [int(max(0, len(t) - each) * ((i * 0.618) % 1)) for i, t in enumerate(texts)]
+    return b"".join(t[s : s + each] for t, s in zip(texts, starts, strict=True))[-DICTIONARY_BYTES:]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:

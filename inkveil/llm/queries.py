@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import language, mixing, quality, secrets
+from inkveil.llm import chat, decontaminate, language, mixing, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,13 @@ def _remainder(column: str, by: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = chat.END + chat.START + "assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select(*[F.col(c).cast(t) for c, t in more.dtypes]).unionAll(more)
+    return chat.digests(rows)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (_remainder("doc_id", 4) == 2).alias("held_out"))
     model = language.fit(docs.filter(~F.col("held_out")))
@@ -36,6 +43,11 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per contaminated document and item."""
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"))
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).filter(F.coalesce(_remainder("doc_id", 3) != 1, F.lit(True)))
@@ -43,5 +55,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, ("doc_id", "held_out"))
 
 
-QUERIES = {f.__name__: f for f in (op5_language_id, op7_secret_scan, op8_source_mix, op10_quality)}
+QUERIES = {f.__name__: f for f in (op4_chat_format, op5_language_id, op7_secret_scan, op8_source_mix, op9_decontaminate, op10_quality)}
 ORACLES = {"op8_source_mix": mixing.ORACLE}
