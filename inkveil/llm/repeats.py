@@ -27,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.texts import _CODES, U64, mix, row_blocks, text_bytes
+from inkveil.llm.texts import BYTE_CODES, U64, mix, row_blocks, text_bytes
 
 LENGTH = 200
 GRAM = 64
@@ -43,7 +44,7 @@ _POSITION_BITS = 26
 
 def _gram_hashes(buf: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
     """Linear hashes of all substrings of the given powers of two; those that reach over the end are void."""
-    out, level, k = {}, _CODES[buf], 1
+    out, level, k = {}, BYTE_CODES[buf], 1
     while True:
         if k in sizes:
             out[k] = level
@@ -174,9 +175,6 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-_ROW = "doc_id {id}, mark bigint"  # mark: bits of the text's hash, to tell rows of one doc_id apart
-
-
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key: key, doc_id, mark, start, run, copies, text. Gives the repeated stretches of single windows."""
     held: list[tuple] = []
@@ -214,10 +212,13 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solved()
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, mark, begin, end: stretches of bytes to remove; they may overlap."""
-    id_type = docs.select("doc_id").dtypes[0][1]
-    base = docs.select("doc_id", "text")
+def _marks(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """40 bits of a hash of each text."""
+    return np.array([int.from_bytes(hashlib.blake2b(buf[a:b].tobytes(), digest_size=5).digest(), "big") for a, b in zip(off[:-1], off[1:], strict=True)], np.int64)
+
+
+def _window_table(docs: DataFrame, id_type: str) -> tuple[DataFrame, DataFrame]:
+    """All keys (key, n) and all windows (doc_id, mark, place, key, first, last)."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -230,21 +231,108 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             for batch in row_blocks(whole, "text", 1 << 18):
                 buf, off = text_bytes(batch.column(1))
                 found = find_windows(buf, off, whole=True)
-                place = found["start"] << 8 | found["run"] - 1
-                columns = [batch.column(0).take(pa.array(found["row"])), pa.array(_marks(buf, off)[found["row"]] << 1 | found["tie"]), pa.array(place)]
+                mark = _marks(buf, off)[found["row"]] << 1 | found["tie"]
+                columns = [batch.column(0).take(pa.array(found["row"])), pa.array(mark), pa.array(found["start"] << 8 | found["run"])]
                 columns += [pa.array(found[k].view(np.int64)) for k in ("key", "first", "last")]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "place", "key", "first", "last"])
 
-    twice = base.select("text").mapInArrow(keys, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
-    every = base.mapInArrow(windows, f"doc_id {id_type}, mark bigint, place bigint, key bigint, first bigint, last bigint")
-    found = every.join(twice.hint("merge"), "key")
-    # not the column that the join is partitioned by: a key of very many windows is split there, and the groups below are spread by their own values
-    found = found.withColumn("key", F.bitwise_not("key")).withColumn("run", F.col("place").bitwiseAND(F.lit(255)))
+    base = docs.select("doc_id", "text")
+    return base.select("text").mapInArrow(keys, "key bigint, n bigint"), base.mapInArrow(windows, f"doc_id {id_type}, mark bigint, place bigint, key bigint, first bigint, last bigint")
+
+
+def _cut(id_type: str):
+    """(text, array of (place, mark, key, copies)) to the texts of the windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "doc_id", "mark", "start", "run", "copies", "text"]
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            for doc_id, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                data = (text or "").encode()
+                own = int(_marks(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0])
+                for x in wanted:
+                    if x["mark"] >> 1 == own:
+                        start, size = x["place"] >> 8, x["place"] & 255
+                        for column, value in zip(out, (x["key"], doc_id, own, start, size, x["copies"], data[start : start + size - 1 + LENGTH]), strict=True):
+                            column.append(value)
+            kinds = (pa.int64(), batch.schema.types[0], *[pa.int64()] * 4, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+
+    return run, f"key bigint, doc_id {id_type}, mark bigint, start bigint, run bigint, copies bigint, text binary"
+
+
+def _single_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For windows of a hot key: each string by itself, as two hashes."""
+    for batch in batches:
+        for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
+            buf, off = text_bytes(part.column("text"))
+            run = part.column("run").to_numpy()
+            row = np.repeat(np.arange(part.num_rows), run)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(run) - run, run)
+            grams = _gram_hashes(buf, tuple(1 << i for i in range(8) if LENGTH >> i & 1))
+            a, b = (_string_hash(grams, off[row] + nth, LENGTH, salt) for salt in (0, 1))
+            picked = pa.array(row)
+            columns = [part.column(k).take(picked) for k in ("doc_id", "mark", "copies")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(part.column("start").to_numpy()[row] + nth), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["doc_id", "mark", "copies", "start", "a", "b"])
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, begin, end: stretches of bytes to remove; they may overlap. mark: see _marks."""
+    id_type = docs.select("doc_id").dtypes[0][1]
+    keys, windows = _window_table(docs, id_type)
+    twice = keys.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
+    found = windows.join(twice.hint("merge"), "key")
+    # not the column that this join is partitioned by: AQE can then split a key of very many windows, as what follows has its own exchange
+    found = found.select(F.bitwise_not("key").alias("key"), "first", "last", F.col("place").bitwiseAND(F.lit(255)).alias("run"), "doc_id", "mark", "place")
     group = ["key", "first", "last", "run"]
-    classes = found.groupBy(*group).agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "mark", "place")).alias("one"))
-    return found, classes, group
+    classes = found.groupBy(*group).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("mark", "place", "doc_id")).alias("one"), F.max(F.col("mark").bitwiseAND(F.lit(1))).alias("tie"))
+    per_key = classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.min("copies").alias("fewest"), F.max("tie").alias("tie"))
+    # windows of two or more copies
+    copies = found.join(classes.filter("copies > 1").select(*group).hint("merge"), group)
+    whole = copies.select("doc_id", F.shiftright("mark", 1).alias("mark"), F.shiftright("place", 8).alias("begin"), (F.shiftright("place", 8) + F.col("run") + F.lit(LENGTH - 1)).alias("end"))
+    # keys that hold a single window text besides others, or one that may repeat within itself
+    open_keys = per_key.filter("fewest = 1 and (classes > 1 or tie = 1)").select("key", "classes")
+    wanted = classes.select("key", "one", "copies").join(open_keys.hint("merge"), "key")
+    wanted = wanted.groupBy(F.col("one.doc_id").alias("id")).agg(F.collect_list(F.struct(F.col("one.place").alias("place"), F.col("one.mark").alias("mark"), "key", F.when(F.col("classes") > HOT, -F.col("copies")).otherwise(F.col("copies")).alias("copies"))).alias("wanted"))
+    cut, ddl = _cut(id_type)
+    base = docs.select("doc_id", "text")
+    texts = base.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text", "wanted").mapInArrow(cut, ddl)
+    ordinary = texts.filter("copies > 0").select("key", "doc_id", "mark", "start", "run", "copies", "text").repartition("key").sortWithinPartitions("key")
+    spans = ordinary.mapInArrow(_solve, f"doc_id {id_type}, mark bigint, begin bigint, end bigint")
+    single = texts.filter("copies < 0").withColumn("copies", -F.col("copies")).select("doc_id", "mark", "start", "run", "copies", "text").mapInArrow(_single_strings, f"doc_id {id_type}, mark bigint, copies bigint, start bigint, a bigint, b bigint")
+    often = single.groupBy("a", "b").agg(F.sum("copies").alias("n")).filter("n > 1").select("a", "b")
+    hot = single.filter("copies = 1").join(often.hint("merge"), ["a", "b"]).select("doc_id", "mark", F.col("start").alias("begin"), (F.col("start") + F.lit(LENGTH)).alias("end"))
+    return whole.unionAll(spans).unionAll(hot)
 
 
-def _marks(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """40 bits of a hash of each text."""
-    return np.array([int.from_bytes(hashlib.blake2b(buf[a:b].tobytes(), digest_size=5).digest(), "big") for a, b in zip(off[:-1], off[1:], strict=True)], np.int64)
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes)."""
+    id_type = docs.select("doc_id").dtypes[0][1]
+    spans = repeated_spans(docs).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("mark", "begin", "end")).alias("spans"))
+    base = docs.select("doc_id", "text")
+    both = base.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "text", "spans")
+    ddl = f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in row_blocks(whole, "text"):
+                buf, off = text_bytes(batch.column(1))
+                marks = _marks(buf, off)
+                out = []
+                spans = batch.column(2)
+                flat, edges = spans.flatten(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(spans), 0).to_numpy())])
+                mark, begin, end = (flat.field(k).to_numpy() for k in ("mark", "begin", "end"))
+                for i, (a, b) in enumerate(zip(off[:-1], off[1:], strict=True)):
+                    data = buf[a:b]
+                    own = slice(edges[i], edges[i + 1])
+                    mine = mark[own] == marks[i]
+                    count = np.zeros(len(data) + 1, np.int64)
+                    np.add.at(count, begin[own][mine], 1)
+                    np.add.at(count, end[own][mine], -1)
+                    gone = np.cumsum(count[:-1]) > 0
+                    left = data[~gone].tobytes()
+                    out.append((len(data), int(gone.sum()), len(_spans(gone)), hashlib.sha256(left).hexdigest(), left))
+                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    return both.mapInArrow(run, ddl)

@@ -20,7 +20,7 @@ _SEP = np.zeros(256, bool)
 _SEP[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+BYTE_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BASE = 0x9E3779B97F4A7C15
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, U64), np.ones(1, U64))
 
@@ -110,7 +110,7 @@ def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return np.zeros(0, U64), at
     up, down = powers(len(buf))
     total = np.zeros(len(buf) + 1, U64)
-    np.cumsum(_CODES[_LOWER[buf]] * up[: len(buf)], out=total[1:])
+    np.cumsum(BYTE_CODES[_LOWER[buf]] * up[: len(buf)], out=total[1:])
     return mix((total[e] - total[s]) * down[s] + (e - s).astype(U64)), at
 
 
