@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.texts import BYTE_CODES, U64, mix, row_blocks, text_bytes
+from inkveil.llm.texts import BYTE_CODES, U64, mix, row_blocks, text_bytes, written
 
 LENGTH = 200
 GRAM = 64
@@ -284,8 +284,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = windows.join(twice.hint("merge"), "key")
     # not the column that this join is partitioned by: AQE can then split a key of very many windows, as what follows has its own exchange
     found = found.select(F.bitwise_not("key").alias("key"), "first", "last", F.col("place").bitwiseAND(F.lit(255)).alias("run"), "doc_id", "mark", "place")
+    found = written(found)  # read several times below
     group = ["key", "first", "last", "run"]
     classes = found.groupBy(*group).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("mark", "place", "doc_id")).alias("one"), F.max(F.col("mark").bitwiseAND(F.lit(1))).alias("tie"))
+    classes = written(classes)
     per_key = classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.min("copies").alias("fewest"), F.max("tie").alias("tie"))
     # windows of two or more copies
     copies = found.join(classes.filter("copies > 1").select(*group).hint("merge"), group)
