@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import chat, decontaminate, language, mixing, ngram_join, quality, repeats, secrets
+from inkveil.llm import chat, decontaminate, language, mixing, neighbours, ngram_join, quality, repeats, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 20 = 0"), 20)
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(_table(spark, sf_dir, "documents"), 3, 90, 100)
 
@@ -63,5 +68,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, ("doc_id", "held_out"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op3_ngram_join, op4_chat_format, op5_language_id, op7_secret_scan, op8_source_mix, op9_decontaminate, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_nearest, op3_ngram_join, op4_chat_format, op5_language_id, op7_secret_scan, op8_source_mix, op9_decontaminate, op10_quality)}
 ORACLES = {"op8_source_mix": mixing.ORACLE}
