@@ -31,16 +31,16 @@ from pyspark.sql import functions as F
 
 from inkveil.llm.texts import written
 
-K = 24
+K = 28
 SAMPLE = 20_000
 TREES = 3
 LEAVES = 1024
 BLOCK = 256
 ROUNDS = 6
 SETTLED = 0.01
-BEAM = 64
-WIDTH = 24
-STEPS = 4
+BEAM = 96
+WIDTH = 32
+STEPS = 6
 _EDGE = "u bigint, v bigint, s float, fresh boolean"
 
 
@@ -268,7 +268,9 @@ def neighbour_graph(nodes: DataFrame, k: int = K, rounds: int = ROUNDS, settled:
 
 def greedy_search(queries: DataFrame, entries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = BEAM, width: int = WIDTH, steps: int = STEPS) -> DataFrame:
     """queries (q, vec), entries (q, node): q, node and score of the ``beam`` best nodes that each query met."""
-    links = graph.groupBy("u").agg(F.collect_list("v").alias("vs"))  # K at most
+    back = best(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "s"), "u", [F.desc("s"), F.asc("v")], K)
+    links = graph.select("u", "v").unionAll(back.select("u", "v")).distinct().groupBy("u").agg(F.collect_list("v").alias("vs"))  # 2 * K at most
+    links = written(links)
     vectors = nodes.select("node", "vec")
     state = None
     new = entries.distinct()
