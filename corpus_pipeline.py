@@ -3,8 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from inkveil.llm import decontaminate, language, mixing, ngram_join, secrets
+
+#: The language model must be at least this sure; below it a document is of no language that it knows.
+LEAST_SCORE = 0.3
+#: Near duplicates: five words, a similarity of 0.8.
+SHINGLE, NUM, DEN = 5, 80, 100
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without any letter or of no learned language. Learned from the rows that have a lang."""
+    model = language.fit(docs)
+    found = language.predict(docs, model, tuple(docs.columns), prefix="_of_")
+    return found.filter((F.col("_of_lang_pred") != language.NONE) & (F.col("_of_score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least doc_id of each group of linked documents, and one row of it."""
+    group = ngram_join.join_components(docs, SHINGLE, NUM, DEN)
+    first = group.groupBy("doc_id").agg(F.min("component_id").alias("least")).filter(~(F.col("least") < F.col("doc_id"))).select(F.col("doc_id").alias("_first"))
+    return docs.join(first.hint("merge"), F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item, exactly or nearly."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts; no document goes."""
+    return secrets.redact(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document; all stay, those of which nothing is taken with 0 words."""
+    return mixing.mix_sources(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("source_mix", source_mix),
+]
+#: A neural network's predictions can't be told in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 

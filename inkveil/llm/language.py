@@ -157,9 +157,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     return train([r["text"] for r in found], [r["lang"] for r in found])
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``keep``, lang_pred and score."""
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """The columns of ``keep``, lang_pred and score, whose names begin with ``prefix``."""
+    schema = docs.select(*keep).schema.add(f"{prefix}lang_pred", "string").add(f"{prefix}score", "double")
     fields = [f.name for f in schema.fields]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # tables of a few hundred KB
 
@@ -167,7 +167,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc
         model = shared.value
         names = np.array([*model.languages, NONE], object)
         for whole in batches:
-            for batch in row_blocks(whole, "_text"):
+            for batch in row_blocks(whole, whole.num_columns - 1):
                 column = batch.column(batch.num_columns - 1)
                 letters = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
                 windows, rows, used = windows_of(*text_bytes(column))

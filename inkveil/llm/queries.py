@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import chat, decontaminate, language, mixing, neighbours, ngram_join, quality, repeats, secrets
+from inkveil.llm import chat, decontaminate, language, lm, mixing, neighbours, ngram_join, quality, repeats, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model, ("doc_id", "held_out"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(_remainder("doc_id", 5) == 1, F.lit(False)).alias("held_out"))
+    model, counts = lm.fit(docs.filter(~F.col("held_out")))
+    return lm.score(docs, model, counts, ("doc_id", "held_out"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -68,5 +74,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, ("doc_id", "held_out"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op2_nearest, op3_ngram_join, op4_chat_format, op5_language_id, op7_secret_scan, op8_source_mix, op9_decontaminate, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_nearest, op3_ngram_join, op4_chat_format, op5_language_id, op6_lm_score, op7_secret_scan, op8_source_mix, op9_decontaminate, op10_quality)}
 ORACLES = {"op8_source_mix": mixing.ORACLE}

@@ -78,7 +78,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return buf, off - off[0]
 
 
-def row_blocks(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
+def row_blocks(batch: pa.RecordBatch, column: str | int, most: int = 1 << 20):
     """Cuts a batch into runs of rows with about ``most`` bytes of text; a longer row stands alone."""
     _, off = text_bytes(batch.column(column))
     at = 0
@@ -123,3 +123,12 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     for i in range(k):
         out = mix(out + words[i : len(words) - k + 1 + i] * U64(2 * i + 3) + U64(k))
     return np.unique(out)
+
+
+def lowered_word_ends(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The last two bytes of each word, lower-cased, as a number; the first of them is 0 for words of one byte."""
+    s, e, _ = word_spans(buf, off)
+    if not len(s):
+        return np.zeros(0, U64)
+    last = _LOWER[buf[e - 1]].astype(U64)
+    return np.where(e - s > 1, _LOWER[buf[np.maximum(e - 2, 0)]], 0).astype(U64) << U64(8) | last
