@@ -21,10 +21,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group of linked documents, and one row of it."""
+    """Keeps the document with the least doc_id of each group of linked documents. Equal rows count as one; rows without a doc_id stay."""
     group = ngram_join.join_components(docs, SHINGLE, NUM, DEN)
-    first = group.groupBy("doc_id").agg(F.min("component_id").alias("least")).filter(~(F.col("least") < F.col("doc_id"))).select(F.col("doc_id").alias("_first"))
-    return docs.join(first.hint("merge"), F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
+    first = group.groupBy("doc_id").agg(F.min("component_id").alias("least")).filter("least >= doc_id").select(F.col("doc_id").alias("_first"))
+    kept = docs.join(first.hint("merge"), F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
