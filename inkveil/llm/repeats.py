@@ -5,14 +5,16 @@ Finding where equal strings can meet. Each string of LENGTH bytes is keyed by th
 maximal run of starts with one key (``RUN`` at most) is a *window*, of LENGTH - 1 + run bytes. Only keys that
 occur twice in the corpus can hold a repeat; all other windows are dropped before any text is moved.
 
-Deciding. Windows that are equal as a whole form one class; a class of two or more windows repeats
-throughout. The distinct window texts of a key come together, many keys in a task, and the starts that
-repeat are found on their Burrows-Wheeler transform: beginning with the interval of the empty string,
+Deciding. All windows of a key come together, in the bucket of the text stretch with the least hash among them
+(so that neighbouring windows, which mostly meet the same other texts, form one *segment* that is sent once) or, for a key of over
+``MERGED`` windows, in a bucket of its own. Segments that are equal form one class, counted map-side; a class of
+two or more repeats throughout and one text of it goes on. In a bucket, the starts that repeat are found on
+the Burrows-Wheeler transform of its distinct segments: beginning with the interval of the empty string,
 breadth-first backward extension visits the intervals of all strings of length 1, 2, 3, ... An interval that
 ends at a place whose common prefix is still unknown fixes it to the length so far and is extended further;
 others are dropped. After ``LENGTH`` rounds expansion stops: exactly the places still unknown lie between
-suffixes with LENGTH or more common bytes. A key with over ``HOT`` distinct windows (a passage in very many
-contexts) would not fit in a task: its single strings are grouped by two 64-bit hashes instead, with
+suffixes with LENGTH or more common bytes. A key with over ``HOT`` windows (a passage in very many
+contexts) would not fit in a task: its distinct single strings are grouped by two 64-bit hashes instead, with
 map-side counts, which is exact as well.
 
 Defined results: null texts are empty; texts under LENGTH bytes lose nothing; overlapping repeats within
@@ -31,11 +33,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.texts import BYTE_CODES, U64, mix, row_blocks, text_bytes, written
+from inkveil.llm.texts import BYTE_CODES, U64, mix, row_blocks, text_bytes
 
 LENGTH = 200
 GRAM = 64
 RUN = 128
+#: Up to so many windows of a key are brought together by their texts' stretches of LEADER_BYTES, more by the key.
+MERGED = 64
+LEADER_BYTES = 16384
+#: Keys of more windows are decided string by string.
 HOT = 4096
 CHUNK_BYTES = 1 << 20
 _FACTORS = [U64(int(x)) for x in np.random.default_rng(5).integers(1, 2**62, 16) * 2 + 1]
@@ -77,14 +83,12 @@ def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
     return (least & U64(2**_POSITION_BITS - 1)).astype(np.int64)
 
 
-def find_windows(buf: np.ndarray, off: np.ndarray, whole: bool, length: int = LENGTH) -> dict[str, np.ndarray]:
-    """All windows of all rows: row, start (in the row), run, key, tie and, if ``whole``, two hashes of its text."""
-    empty = {k: np.zeros(0, np.int64) for k in ("row", "start", "run")} | {k: np.zeros(0, U64) for k in ("key", "first", "last")} | {"tie": np.zeros(0, bool)}
+def find_windows(buf: np.ndarray, off: np.ndarray, length: int = LENGTH) -> dict[str, np.ndarray]:
+    """All windows of all rows: row, start (in the row), run, key, and tie: whether the key has two places in it."""
+    empty = {k: np.zeros(0, np.int64) for k in ("row", "start", "run")} | {"key": np.zeros(0, U64), "tie": np.zeros(0, bool)}
     if len(buf) < length:
         return empty
-    parts = tuple(1 << i for i in range(8) if whole and length >> i & 1)
-    grams = _gram_hashes(buf, (*parts, GRAM))
-    values = mix(grams[GRAM])
+    values = mix(_gram_hashes(buf, (GRAM,))[GRAM])
     place = least_in_windows(values[: len(buf) - GRAM + 1], length - GRAM + 1)
     key = values[place]
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(key)]
@@ -101,32 +105,30 @@ def find_windows(buf: np.ndarray, off: np.ndarray, whole: bool, length: int = LE
     run = np.minimum(size[index] - nth * RUN, RUN)
     # a string can repeat within its own window only if the key's place moves there
     moves = np.concatenate([[0], np.cumsum(place[1:] != place[:-1])])
-    out = {"row": row[start], "start": start - off[row[start]], "run": run, "key": key[start], "tie": moves[start + run - 1] != moves[start]}
-    if whole:
-        grams = {k: grams[k] for k in parts}
-        out |= {"first": _string_hash(grams, start, length, 0), "last": _string_hash(grams, start + run - 1, length, 1)}
-    return out
+    return {"row": row[start], "start": start - off[row[start]], "run": run, "key": key[start], "tie": moves[start + run - 1] != moves[start]}
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """The suffixes in the order of their first ``depth`` (or more) bytes, by prefix doubling."""
+    """The suffixes in the order of their first ``depth`` (or more) bytes; each step triples the length that is compared."""
     n = len(text)
     wide = np.concatenate([text, np.zeros(8, np.uint8)]).astype(U64)
     packed = np.zeros(n, U64)
     for j in range(8):
         packed = packed << U64(8) | wide[j : j + n]
-    step = 8
+    step, times, bits = 8, 3 if n < 1 << 21 else 2, U64(21 if n < 1 << 21 else 32)
     while True:
         order = np.argsort(packed)
         ranked = packed[order]
         rank_in_order = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])]).astype(U64)
         if step >= depth or rank_in_order[-1] == n - 1:
             return order
-        rank = np.empty(n + step, U64)
+        rank = np.zeros(n + step * (times - 1), U64)
         rank[order] = rank_in_order + U64(1)
-        rank[n:] = 0
-        packed = rank[:n] << U64(32) | rank[step : step + n]
-        step *= 2
+        packed = rank[:n].copy()
+        for k in range(1, times):
+            packed <<= bits
+            packed |= rank[k * step : k * step + n]
+        step *= times
 
 
 def repeated_starts(text: np.ndarray, room: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -176,9 +178,9 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: key, doc_id, mark, start, run, copies, text. Gives the repeated stretches of single windows."""
+    """Distinct segments sorted by bucket: bucket, doc_id, mark, begin, starts, copies, text. Gives the repeated stretches of single ones."""
     held: list[tuple] = []
-    size, last = 0, None
+    size, last, kind = 0, None, pa.int64()
 
     def solved() -> pa.RecordBatch:
         joined = b"\0".join(x[6] for x in held) + b"\0"
@@ -198,7 +200,6 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = list(zip(*out, strict=True)) or [[], [], [], []]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "mark", "begin", "end"])
 
-    kind = pa.int64()
     for batch in batches:
         kind = batch.schema.types[1]
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -213,52 +214,62 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _marks(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """40 bits of a hash of each text."""
+    """40 bits of a hash of each text, to tell rows of one doc_id apart."""
     return np.array([int.from_bytes(hashlib.blake2b(buf[a:b].tobytes(), digest_size=5).digest(), "big") for a, b in zip(off[:-1], off[1:], strict=True)], np.int64)
 
 
 def _window_table(docs: DataFrame, id_type: str) -> tuple[DataFrame, DataFrame]:
-    """All keys (key, n) and all windows (doc_id, mark, place, key, first, last)."""
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in row_blocks(whole, "text", 1 << 18):
-                found = find_windows(*text_bytes(batch.column(0)), whole=False)
-                yield pa.RecordBatch.from_arrays([pa.array(found["key"].view(np.int64)), pa.array(1 + found["tie"].astype(np.int64))], names=["key", "n"])
+    """All keys (key, n, leader) and all windows (doc_id, mark, place, key)."""
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch], where: bool) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in row_blocks(whole, "text", 1 << 18):
                 buf, off = text_bytes(batch.column(1))
-                found = find_windows(buf, off, whole=True)
-                mark = _marks(buf, off)[found["row"]] << 1 | found["tie"]
-                columns = [batch.column(0).take(pa.array(found["row"])), pa.array(mark), pa.array(found["start"] << 8 | found["run"])]
-                columns += [pa.array(found[k].view(np.int64)) for k in ("key", "first", "last")]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "place", "key", "first", "last"])
+                found = find_windows(buf, off)
+                mark, place = _marks(buf, off)[found["row"]], found["start"] << 8 | found["run"]
+                key = pa.array(found["key"].view(np.int64))
+                if where:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found["row"])), pa.array(mark), pa.array(place), key], names=["doc_id", "mark", "place", "key"])
+                else:
+                    # stretches of LEADER_BYTES of a text; windows of one key go to the one with the least hash
+                    leader = mix(mark.astype(U64) << U64(24) ^ (found["start"] // LEADER_BYTES).astype(U64)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([key, pa.array(1 + found["tie"].astype(np.int64)), pa.array(leader)], names=["key", "n", "leader"])
 
     base = docs.select("doc_id", "text")
-    return base.select("text").mapInArrow(keys, "key bigint, n bigint"), base.mapInArrow(windows, f"doc_id {id_type}, mark bigint, place bigint, key bigint, first bigint, last bigint")
+    keys = base.mapInArrow(lambda batches: find(batches, False), "key bigint, n bigint, leader bigint")
+    return keys, base.mapInArrow(lambda batches: find(batches, True), f"doc_id {id_type}, mark bigint, place bigint, key bigint")
 
 
 def _cut(id_type: str):
-    """(text, array of (place, mark, key, copies)) to the texts of the windows."""
+    """(doc_id, text, array of (place, mark, bucket, hot)) to segments: neighbouring windows of one bucket become one."""
+    names = ["bucket", "hot", "a", "b", "doc_id", "mark", "begin", "starts", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "doc_id", "mark", "start", "run", "copies", "text"]
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for doc_id, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for doc_id, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = (text or "").encode()
                 own = int(_marks(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0])
-                for x in wanted:
-                    if x["mark"] >> 1 == own:
-                        start, size = x["place"] >> 8, x["place"] & 255
-                        for column, value in zip(out, (x["key"], doc_id, own, start, size, x["copies"], data[start : start + size - 1 + LENGTH]), strict=True):
-                            column.append(value)
-            kinds = (pa.int64(), batch.schema.types[0], *[pa.int64()] * 4, pa.binary())
+                place, mark, bucket, hot = (wanted.values.field(k).to_numpy(zero_copy_only=False) for k in ("place", "mark", "bucket", "hot"))
+                mine = np.flatnonzero(mark == own)
+                mine = mine[np.argsort(place[mine], kind="stable")]
+                start, run, bucket, hot = place[mine] >> 8, place[mine] & 255, bucket[mine], hot[mine]
+                once = np.concatenate([[True], start[1:] != start[:-1]])  # equal rows come twice
+                start, run, bucket, hot = start[once], run[once], bucket[once], hot[once]
+                new = np.concatenate([[True], (start[1:] != start[:-1] + run[:-1]) | (bucket[1:] != bucket[:-1]) | hot[1:] | hot[:-1]])
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(start)) - 1
+                for i, j in zip(first, last, strict=True) if len(start) else ():
+                    begin, end = int(start[i]), int(start[j] + run[j])
+                    part = data[begin : end + LENGTH - 1]
+                    digest = hashlib.blake2b(part, digest_size=16).digest()
+                    a, b = int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+                    for column, value in zip(out, (int(bucket[i]), bool(hot[i]), a, b, doc_id, own, begin, end - begin, part), strict=True):
+                        column.append(value)
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), batch.schema.types[0], *[pa.int64()] * 3, pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
-    return run, f"key bigint, doc_id {id_type}, mark bigint, start bigint, run bigint, copies bigint, text binary"
+    return run, f"bucket bigint, hot boolean, a bigint, b bigint, doc_id {id_type}, mark bigint, begin bigint, starts bigint, text binary"
 
 
 def _single_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,44 +277,40 @@ def _single_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
             buf, off = text_bytes(part.column("text"))
-            run = part.column("run").to_numpy()
+            run = part.column("starts").to_numpy()
             row = np.repeat(np.arange(part.num_rows), run)
             nth = np.arange(len(row)) - np.repeat(np.cumsum(run) - run, run)
             grams = _gram_hashes(buf, tuple(1 << i for i in range(8) if LENGTH >> i & 1))
             a, b = (_string_hash(grams, off[row] + nth, LENGTH, salt) for salt in (0, 1))
             picked = pa.array(row)
             columns = [part.column(k).take(picked) for k in ("doc_id", "mark", "copies")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(part.column("start").to_numpy()[row] + nth), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["doc_id", "mark", "copies", "start", "a", "b"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(part.column("begin").to_numpy()[row] + nth), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["doc_id", "mark", "copies", "begin", "a", "b"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, mark, begin, end: stretches of bytes to remove; they may overlap. mark: see _marks."""
     id_type = docs.select("doc_id").dtypes[0][1]
     keys, windows = _window_table(docs, id_type)
-    twice = keys.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
+    twice = keys.groupBy("key").agg(F.sum("n").alias("n"), F.min("leader").alias("leader")).filter("n > 1")
     found = windows.join(twice.hint("merge"), "key")
-    # not the column that this join is partitioned by: AQE can then split a key of very many windows, as what follows has its own exchange
-    found = found.select(F.bitwise_not("key").alias("key"), "first", "last", F.col("place").bitwiseAND(F.lit(255)).alias("run"), "doc_id", "mark", "place")
-    found = written(found)  # read several times below
-    group = ["key", "first", "last", "run"]
-    classes = found.groupBy(*group).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("mark", "place", "doc_id")).alias("one"), F.max(F.col("mark").bitwiseAND(F.lit(1))).alias("tie"))
-    classes = written(classes)
-    per_key = classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.min("copies").alias("fewest"), F.max("tie").alias("tie"))
-    # windows of two or more copies
-    copies = found.join(classes.filter("copies > 1").select(*group).hint("merge"), group)
-    whole = copies.select("doc_id", F.shiftright("mark", 1).alias("mark"), F.shiftright("place", 8).alias("begin"), (F.shiftright("place", 8) + F.col("run") + F.lit(LENGTH - 1)).alias("end"))
-    # keys that hold a single window text besides others, or one that may repeat within itself
-    open_keys = per_key.filter("fewest = 1 and (classes > 1 or tie = 1)").select("key", "classes")
-    wanted = classes.select("key", "one", "copies").join(open_keys.hint("merge"), "key")
-    wanted = wanted.groupBy(F.col("one.doc_id").alias("id")).agg(F.collect_list(F.struct(F.col("one.place").alias("place"), F.col("one.mark").alias("mark"), "key", F.when(F.col("classes") > HOT, -F.col("copies")).otherwise(F.col("copies")).alias("copies"))).alias("wanted"))
+    # the next exchange is by document, so AQE can split a key of very many windows in this join
+    bucket = F.when(F.col("n") <= MERGED, F.col("leader")).otherwise(F.col("key")).alias("bucket")
+    wanted = found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("place", "mark", bucket, (F.col("n") > HOT).alias("hot"))).alias("wanted"))
     cut, ddl = _cut(id_type)
     base = docs.select("doc_id", "text")
-    texts = base.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text", "wanted").mapInArrow(cut, ddl)
-    ordinary = texts.filter("copies > 0").select("key", "doc_id", "mark", "start", "run", "copies", "text").repartition("key").sortWithinPartitions("key")
-    spans = ordinary.mapInArrow(_solve, f"doc_id {id_type}, mark bigint, begin bigint, end bigint")
-    single = texts.filter("copies < 0").withColumn("copies", -F.col("copies")).select("doc_id", "mark", "start", "run", "copies", "text").mapInArrow(_single_strings, f"doc_id {id_type}, mark bigint, copies bigint, start bigint, a bigint, b bigint")
+    segments = base.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text", "wanted").mapInArrow(cut, ddl)
+    group = ["bucket", "a", "b"]
+    counted = segments.groupBy(*group).agg(F.count(F.lit(1)).alias("copies"), F.first("hot").alias("hot"))
+    # segments of two or more copies repeat as a whole
+    whole = segments.select(*group, "doc_id", "mark", "begin", "starts").join(counted.filter("copies > 1").select(*group).hint("merge"), group)
+    whole = whole.select("doc_id", "mark", "begin", (F.col("begin") + F.col("starts") + F.lit(LENGTH - 1)).alias("end"))
+    # one text of each
+    texts = segments.groupBy(*group).agg(F.count(F.lit(1)).alias("copies"), F.first("hot").alias("hot"), F.first(F.struct("doc_id", "mark", "begin", "starts", "text")).alias("one"))
+    texts = texts.select("bucket", "one.doc_id", "one.mark", "one.begin", "one.starts", "copies", "one.text", "hot")
+    spans = texts.filter("not hot").drop("hot").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_solve, f"doc_id {id_type}, mark bigint, begin bigint, end bigint")
+    single = texts.filter("hot").select("doc_id", "mark", "begin", "starts", "copies", "text").mapInArrow(_single_strings, f"doc_id {id_type}, mark bigint, copies bigint, begin bigint, a bigint, b bigint")
     often = single.groupBy("a", "b").agg(F.sum("copies").alias("n")).filter("n > 1").select("a", "b")
-    hot = single.filter("copies = 1").join(often.hint("merge"), ["a", "b"]).select("doc_id", "mark", F.col("start").alias("begin"), (F.col("start") + F.lit(LENGTH)).alias("end"))
+    hot = single.filter("copies = 1").join(often.hint("merge"), ["a", "b"]).select("doc_id", "mark", "begin", (F.col("begin") + F.lit(LENGTH)).alias("end"))
     return whole.unionAll(spans).unionAll(hot)
 
 
