@@ -4,17 +4,19 @@ Two documents link when den * |A and B| >= num * |A or B| for their sets of dist
 result is each document's component. Sets that are equal make one class first, so copies cost one row.
 
 Which classes can meet. Linked sets of sizes a and b differ in at most t = (den - num)(a + b) / (den + num)
-shingles. Shingles are hashed into t + 1 + slack groups, by a size class that both sizes share; a
-difference spoils one group at most, so some group is equal in both and, unless a set has more empty groups
-than the slack (it then sends those too), not empty. Equal groups are found by one hash per group: a
-bucket is all classes with that hash. Nothing is lost by this, at any frequency.
-
-Deciding within buckets, without all pairs. First each class is compared with the least class of each of
-its buckets; in a group of near copies this links nearly all. Then only buckets that still hold several
-components are searched: the counts of a class's shingles in ``GROUPS`` hash groups are a point, points
-go into an R-tree, and the sum of the minima of two points' coordinates bounds the overlap, for a tree node
-the minima with the largest coordinates below it. Surviving pairs of different components are verified
-on their sets. Buckets of more than ``BLOCK`` classes are searched as pairs of blocks, so no task holds more than two blocks.
+shingles. Shingles are hashed into m > t groups, by a size class that both sizes share; a difference
+spoils one group at most, so linked sets have m - t equal groups. Groups are ranked by their number of shingles,
+the largest first, then by hash, alike for equal groups; the first t + 1 of a set are its keys. Of the m - t
+equal groups one must be among the first t + 1 of both, so linked sets share a key. Nothing is lost by this, at any
+frequency, and groups of one or two common shingles are left out. A bucket is all classes with one key.
+
+Deciding within buckets, without all pairs. The counts of a class's shingles in ``GROUPS`` hash groups are a
+point; the sum of the minima of two points' coordinates bounds the overlap. First each class is compared with the least
+class of each of its buckets, by points, then by sets; in a group of near copies this links nearly all. Then
+only buckets that still hold several components are searched: points go into an R-tree, in which the largest
+coordinates below a node bound the overlap with all of it, and classes with a near point in another component
+are searched again with their sets, which are exact. Buckets of more than ``BLOCK`` classes are searched as pairs
+of blocks, so no task holds more than two blocks.
 
 Defined results: null texts and texts without words: n_shingles 0, a component alone; fewer than n
 words: the sequence is the one shingle; repeated rows are in one component (rows with a null doc_id get
@@ -23,7 +25,6 @@ the least doc_id of theirs, or null); an empty table gives no rows; other column
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,50 +35,94 @@ from pyspark.sql import functions as F
 from inkveil.llm.graph import components
 from inkveil.llm.texts import U64, mix, row_blocks, shingles, text_bytes, word_hashes, written
 
-GROUPS = 32
+GROUPS = 64
 BLOCK = 1000
 LEAF = 16
-#: Members of one least class that are compared in one task.
+#: Pairs of one least class that are compared in one task.
 STAR = 2000
+#: Classes that a task remembers having sent.
+REMEMBERED = 1_000_000
 _SIZES = [1]
 while _SIZES[-1] < 1 << 40:
     _SIZES.append(max(_SIZES[-1] + 1, _SIZES[-1] * 3 // 2))
 
 
-def set_hashes(found: np.ndarray, seed: int) -> tuple[int, int]:
-    """Two hashes of a set: sums over its elements."""
-    a = mix(found ^ U64(0xA24BAED4963EE407 + seed)).sum(dtype=U64)
-    b = mix(found * U64(0x9FB21C651E98DF25) + U64(seed)).sum(dtype=U64)
-    return int(a.view(np.int64)), int(b.view(np.int64))
+def sets_of(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of all rows, each sorted, in one array, and their offsets."""
+    words, at = word_hashes(*text_bytes(column))
+    found = [shingles(words[a:b], n) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return (np.concatenate(found) if found else np.zeros(0, U64)), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+
+
+def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(values, dtype=U64)])
+    return total[at[1:]] - total[at[:-1]]
+
+
+def set_hashes(elements: np.ndarray, at: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set: sums over its elements."""
+    return _sums(mix(elements ^ U64(0xA24BAED4963EE407 + seed)), at), _sums(mix(elements * U64(0x9FB21C651E98DF25) + U64(seed)), at)
 
 
-def group_hashes(found: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The hashes of the groups of one set, for its own size class and those of larger sets that it may link with."""
-    if not len(found):
-        return np.zeros(0, U64)
-    size, out = len(found), []
-    values = mix(found + U64(0x1B873593))
-    for j in range(bisect_right(_SIZES, size) - 1, bisect_right(_SIZES, size * den // num)):
+def keys_of(elements: np.ndarray, at: np.ndarray, rows: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the sets of ``rows``, for their own size classes and those of larger sets that they may link with."""
+    size = np.diff(at)[rows]
+    own = np.searchsorted(_SIZES, size, "right") - 1
+    last = np.searchsorted(_SIZES, size * den // num, "right") - 1
+    out_rows, out_keys = [], []
+    for j in np.unique(np.concatenate([np.arange(a, b + 1) for a, b in {*zip(own.tolist(), last.tolist(), strict=True)}])) if len(rows) else ():
         differ = (den - num) * 2 * (_SIZES[j + 1] - 1) // (den + num)
-        if not differ:
-            continue  # only equal sets link, and those are one class
-        slack = 1 + differ // 16
-        n = differ + 1 + slack
-        group = (mix(found ^ U64(0x5851F42D4C957F2D + j)) % U64(n)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        group = group[order]
-        edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        sums, there = np.add.reduceat(values[order], edge), group[edge]
-        if n - len(there) > slack:
-            sums = np.concatenate([sums, np.zeros(n - len(there), U64)])
-            there = np.concatenate([there, np.setdiff1d(np.arange(n), there)])
-        out.append(mix(sums ^ mix(there.astype(U64) + U64(j << 40))))
-    return np.concatenate(out) if out else np.zeros(0, U64)
-
-
-def counts(found: np.ndarray) -> np.ndarray:
-    """The point of a set."""
-    return np.bincount((found >> U64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32)
+        mine = rows[(own <= j) & (j <= last) & (size > 0)]
+        if not differ or not len(mine):
+            continue  # without a difference only equal sets link, and those are one class
+        m = differ + 1 + differ // 3
+        counts = np.diff(at)[mine]
+        index = np.repeat(at[mine] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        values = elements[index]
+        place = np.repeat(np.arange(len(mine)) * m, counts) + (mix(values ^ U64(0x5851F42D4C957F2D + int(j))) % U64(m)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        place = place[order]
+        edge = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        sums, there, many = np.add.reduceat(mix(values[order] + U64(0x1B873593)), edge), place[edge], np.diff(np.append(edge, len(place)))
+        row, group = there // m, there % m
+        key = mix(sums ^ mix(group.astype(U64) + (U64(int(j)) << U64(40))))
+        rank = np.lexsort((key, -many, row))
+        row, key = row[rank], key[rank]
+        begin = np.searchsorted(row, np.arange(len(mine)))
+        kept = np.arange(len(row)) - begin[row] <= differ
+        out_rows.append(mine[row[kept]])
+        out_keys.append(key[kept])
+        # sets of fewer groups than keys: empty groups follow, ranked by hash
+        full = np.bincount(row, minlength=len(mine))
+        for k in np.flatnonzero(full <= differ):
+            gone = np.setdiff1d(np.arange(m), group[there // m == k])
+            empty = np.sort(mix(mix(gone.astype(U64) + (U64(int(j)) << U64(40)))))[: differ + 1 - full[k]]
+            out_rows.append(np.full(len(empty), mine[k]))
+            out_keys.append(empty)
+    return (np.concatenate(out_rows), np.concatenate(out_keys)) if out_rows else (np.zeros(0, np.int64), np.zeros(0, U64))
+
+
+def points_of(elements: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(sets, GROUPS) counts, at most 65535 each."""
+    rows = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    flat = np.bincount(rows * GROUPS + (elements >> U64(40)).astype(np.int64) % GROUPS, minlength=(len(at) - 1) * GROUPS)
+    return np.minimum(flat, 65535).reshape(-1, GROUPS).astype(np.uint16)
+
+
+def packed(points: np.ndarray) -> pa.Array:
+    """Low bytes, then high bytes, which are mostly 0 and compress away."""
+    return pa.array([(p & 255).astype(np.uint8).tobytes() + (p >> 8).astype(np.uint8).tobytes() for p in points], pa.binary())
+
+
+def unpacked(column: pa.Array) -> np.ndarray:
+    data = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 2, GROUPS).astype(np.int32)
+    return data[:, 0] + 256 * data[:, 1]
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of coordinate minima; without a bound where both have reached the largest count."""
+    least = np.minimum(a, b)
+    return np.where((least == 65535).any(-1), np.iinfo(np.int64).max, least.sum(-1, dtype=np.int64))
 
 
 def needed(a, b, num: int, den: int):
@@ -104,7 +149,7 @@ class Tree:
                 at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
                 at = at[at < len(most)]
             at = at[(high[at] * den >= size * num) & (low[at] * num <= size * den)]
-            bound = np.minimum(most[at], point).sum(1)
+            bound = overlap_bound(most[at], point)
             at = at[bound >= needed(size, np.maximum(low[at], -(-size * num // den)), num, den)]
         return self.order[at]
 
@@ -116,27 +161,82 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return both * den >= num * (len(a) + len(b) - both) and both > 0
 
 
-def _sets(column: pa.Array, n: int) -> list[np.ndarray]:
-    words, at = word_hashes(*text_bytes(column))
-    return [shingles(words[a:b], n) for a, b in zip(at[:-1], at[1:], strict=True)]
-
-
-def profiles(docs: DataFrame, n: int, num: int, den: int, seed: int) -> DataFrame:
-    """doc_id, n_shingles, class, check and, for sets that can link with others, groups and point."""
+def profiles(docs: DataFrame, n: int, seed: int) -> DataFrame:
+    """doc_id, n_shingles, class, check and point of every document."""
     id_type = docs.select("doc_id").dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in row_blocks(whole, "text"):
-                found = _sets(batch.column(1), n)
-                hashes = [set_hashes(x, seed) for x in found]
-                groups = [group_hashes(x, num, den).view(np.int64) for x in found]
-                edges = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in groups])]).astype(np.int32))
-                columns = [batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x[0] for x in hashes], pa.int64()), pa.array([x[1] for x in hashes], pa.int64())]
-                columns.append(pa.ListArray.from_arrays(edges, pa.array(np.concatenate(groups))))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "class", "check", "groups"])
+                elements, at = sets_of(batch.column(1), n)
+                hashes = [pa.array(x.view(np.int64)) for x in set_hashes(elements, at, seed)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), *hashes, packed(points_of(elements, at))], names=["doc_id", "n_shingles", "class", "check", "point"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, class bigint, check bigint, point binary")
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, class bigint, check bigint, groups array<bigint>")
+
+def bucket_rows(docs: DataFrame, n: int, num: int, den: int, seed: int) -> DataFrame:
+    """bucket, class, least: every class of each bucket that has several. One exchange of narrow rows, read as a stream."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        for whole in batches:
+            for batch in row_blocks(whole, "text"):
+                elements, at = sets_of(batch.column(0), n)
+                classes = set_hashes(elements, at, seed)[0].view(np.int64)
+                _, first = np.unique(classes, return_index=True)
+                rows = np.sort(first[np.diff(at)[first] > 0])
+                # copies that this task has seen are not sent again
+                rows = rows[[c not in sent for c in classes[rows].tolist()]] if sent else rows
+                if len(sent) > REMEMBERED:
+                    sent.clear()
+                sent.update(classes[rows].tolist())
+                owner, key = keys_of(elements, at, rows, num, den)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(classes[owner])], names=["bucket", "class"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, least, previous, told = None, None, None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, name = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            new = np.concatenate([[bucket[0] != last], bucket[1:] != bucket[:-1]])
+            head = np.where(new, name, 0)
+            head[0] = head[0] if new[0] else least
+            head = head[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+            again = np.concatenate([[not new[0] and name[0] == previous], (name[1:] == name[:-1]) & ~new[1:]])
+            other = ~again & (name != head)
+            out = [(bucket[other], name[other], head[other])]
+            # the least class itself goes on with the first other one
+            starts = np.flatnonzero(other)
+            key = bucket[starts]
+            lead = starts[np.concatenate([[True], key[1:] != key[:-1]])] if len(starts) else starts
+            if told and len(lead) and bucket[lead[0]] == last:
+                lead = lead[1:]
+            out.append((bucket[lead], head[lead], head[lead]))
+            told = bool(len(starts) and bucket[starts[-1]] == bucket[-1]) or (told and bucket[-1] == last)
+            last, least, previous = bucket[-1], head[-1], name[-1]
+            columns = [pa.array(np.concatenate([x[k] for x in out])) for k in range(3)]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "class", "least"])
+
+    sent = docs.select("text").mapInArrow(send, "bucket bigint, class bigint")
+    return sent.repartition("bucket").sortWithinPartitions("bucket", "class").mapInArrow(gather, "bucket bigint, class bigint, least bigint")
+
+
+def _near_points(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose points allow a link."""
+    one = classes.select(F.col("class").alias("a"), F.col("n0").alias("na"), F.col("point").alias("pa"))
+    two = classes.select(F.col("class").alias("b"), F.col("n0").alias("nb"), F.col("point").alias("pb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            good = (np.minimum(na, nb) * den >= np.maximum(na, nb) * num)
+            good[good] = overlap_bound(unpacked(batch.column(4).filter(pa.array(good))), unpacked(batch.column(5).filter(pa.array(good)))) >= needed(na[good], nb[good], num, den)
+            yield batch.select([0, 1]).filter(pa.array(good))
+
+    both = pairs.join(one.hint("merge"), "a").filter(F.col("na").isNotNull()).join(two.hint("merge"), "b")
+    return both.filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -149,27 +249,71 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
     rows = rows.repartition("b", "share").sortWithinPartitions("b", "share", F.col("a").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, own, point = None, None, None
+        head, own = None, None
         for whole in batches:
             for batch in row_blocks(whole, "text"):
                 out = []
-                for b, a, found in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), _sets(batch.column(3), n), strict=True):
+                elements, at = sets_of(batch.column(3), n)
+                for k, (b, a) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                    found = elements[at[k] : at[k + 1]]
                     if a is None:
-                        head, own, point = b, found, counts(found)
-                    elif head == b and np.minimum(point, counts(found)).sum() >= needed(len(own), len(found), num, den) and linked(own, found, num, den):
+                        head, own = b, found
+                    elif head == b and linked(own, found, num, den):
                         out.append((a, b))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def _searched(buckets: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """buckets (bucket, class, component): links between different components of a bucket that the R-tree and the sets show."""
+def _blocks(buckets: DataFrame) -> DataFrame:
+    """Each row once for each search: searches are pairs (x, y) of blocks of a bucket."""
     sizes = buckets.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     rows = buckets.join(sizes.hint("merge"), "bucket").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")))
-    # each pair of blocks is one search; a class goes to the searches of its block
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y")))
-    rows = rows.select("bucket", "class", "component", "own", F.explode(pairs).alias("p")).select("bucket", "p.x", "p.y", "class", "component", "own")
+    return rows.select("bucket", "class", "component", "own", F.explode(pairs).alias("p")).select("bucket", "p.x", "p.y", "class", "component", "own")
+
+
+def _open_rows(buckets: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """buckets (bucket, class, component): the rows with a near point of another component, by R-tree; no pairs are made."""
+    rows = _blocks(buckets).join(classes.select("class", F.col("n0").alias("n"), "point").hint("merge"), "class")
+    rows = rows.select("bucket", "x", "y", "class", "component", "n", "point").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def done() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            component, size, points = table.column(4).to_numpy(), table.column(5).to_numpy(), unpacked(table.column(6))
+            tree, good = Tree(points, size), np.zeros(len(size), bool)
+            for i in range(len(size)):
+                if not good[i]:
+                    near = tree.near(points[i], int(size[i]), num, den)
+                    other = near[component[near] != component[i]]
+                    good[other] = True
+                    good[i] = bool(len(other))
+            return table.select([0, 3, 4]).filter(pa.array(good))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.column_stack([batch.column(k).to_numpy() for k in range(3)])
+            edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if held and tuple(keys[a]) != last:
+                    yield done()
+                    held = []
+                last = tuple(keys[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield done()
+
+    return rows.mapInArrow(run, "bucket bigint, class bigint, component bigint").distinct()
+
+
+def _searched(buckets: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """buckets (bucket, class, component): links between different components of a bucket that the R-tree and the sets show."""
+    rows = _blocks(buckets)
     rows = rows.join(texts.hint("merge"), "class").select("bucket", "x", "y", "class", "component", "own", "text")
     rows = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
 
@@ -183,7 +327,8 @@ def _searched(buckets: DataFrame, texts: DataFrame, n: int, num: int, den: int)
             return c
 
         sets, comps = [x[3] for x in held], [x[1] for x in held]
-        points, lengths = np.array([counts(s) for s in sets]), np.array([len(s) for s in sets])
+        lengths = np.array([len(x) for x in sets])
+        points = points_of(np.concatenate(sets), np.concatenate([[0], np.cumsum(lengths)])).astype(np.int32)
         tree, out = Tree(points, lengths), []
         for i, own in enumerate(sets):
             for k in tree.near(points[i], len(own), num, den):
@@ -201,8 +346,9 @@ def _searched(buckets: DataFrame, texts: DataFrame, n: int, num: int, den: int)
 
         for whole in batches:
             for batch in row_blocks(whole, "text"):
-                keys = zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True)
-                for (bucket, x, y, name, component, own), found in zip(keys, _sets(batch.column(6), n), strict=True):
+                elements, at = sets_of(batch.column(6), n)
+                for k, (bucket, x, y, name, component, own) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True)):
+                    found = elements[at[k] : at[k + 1]]
                     if held and (bucket, x, y) != last:
                         yield done()
                         held = []
@@ -214,36 +360,39 @@ def _searched(buckets: DataFrame, texts: DataFrame, n: int, num: int, den: int)
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
+def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class and one text of each wanted class."""
+    ids = wanted.join(classes.select("class", "id").hint("merge"), "class")
+    found = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")))
+    return written(found.select("class", "text").dropDuplicates(["class"]))
+
+
 def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links, the document's own included)."""
     for seed in range(100):
-        found = written(profiles(docs, n, num, den, seed))
-        members = found.select("doc_id", "n_shingles", "class", "check")
-        classes = members.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("id"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("n_shingles").alias("n0"), F.max("n_shingles").alias("n1"))
+        members = written(profiles(docs, n, seed))
+        classes = members.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("id"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("n_shingles").alias("n0"), F.max("n_shingles").alias("n1"), F.max("point").alias("point"))
         classes = written(classes)
         # different sets with one 64-bit hash: begin again with another one
         if classes.filter("c0 <> c1 or n0 <> n1").isEmpty():
             break
-    group = found.filter("n_shingles > 0").select("class", F.explode("groups").alias("bucket"))
-    shared = group.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least <> most").select("bucket", "least")
-    # a class once in each bucket, without what only copies share
-    buckets = written(group.join(shared.hint("merge"), "bucket").select("bucket", "class", "least").distinct())
+    members = members.select("doc_id", "n_shingles", "class")
+    buckets = written(bucket_rows(docs, n, num, den, seed))
     stars = buckets.filter("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b")).distinct()
-    wanted = buckets.select("class").distinct().join(classes.select("class", "id").hint("merge"), "class")
-    base = docs.select("doc_id", "text")
-    texts = base.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).select("class", "text").dropDuplicates(["class"])
-    texts = written(texts)
-    links = written(_verified(stars, texts, n, num, den))
+    stars = written(_near_points(stars, classes, num, den))
+    ends = stars.select(F.col("a").alias("class")).unionAll(stars.select(F.col("b").alias("class"))).distinct()
+    links = written(_verified(stars, _texts(docs, classes, ends), n, num, den))
     labels = written(components(links))
     left = buckets.join(labels.select(F.col("node").alias("class"), "component").hint("merge"), "class", "left").select("bucket", "class", F.coalesce("component", "class").alias("component"))
     several = left.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("who"))
     # a bucket of two was compared; buckets of the same classes are searched once
     several = several.filter("c0 <> c1 and size > 2").groupBy("size", "who").agg(F.min("bucket").alias("bucket")).select("bucket")
-    more = written(_searched(left.join(several.hint("merge"), "bucket"), texts, n, num, den))
-    labels = components(links.unionAll(more))
+    rows = written(_open_rows(left.join(several.hint("merge"), "bucket"), classes, num, den))
+    if not rows.isEmpty():
+        more = written(_searched(rows, _texts(docs, classes, rows.select("class").distinct()), n, num, den))
+        labels = written(components(links.unionAll(more)))
     named = members.join(labels.select(F.col("node").alias("class"), "component").hint("merge"), "class", "left")
-    named = named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "class")).alias("component"))
-    named = written(named)
+    named = written(named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "class")).alias("component")))
     least = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least.hint("merge"), "component", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
