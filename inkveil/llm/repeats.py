@@ -6,7 +6,7 @@ maximal run of starts with one key (``RUN`` at most) is a *window*, of LENGTH -
 occur twice in the corpus can hold a repeat; all other windows are dropped before any text is moved.
 
 Deciding. All windows of a key come together, in the bucket of the text stretch with the least hash among them
-(so that neighbouring windows, which mostly meet the same other texts, form one *segment* that is sent once) or, for a key of over
+(so that overlapping windows, which mostly meet the same other texts, form one *segment* that is sent once) or, for a key of over
 ``MERGED`` windows, in a bucket of its own. Segments that are equal form one class, counted map-side; a class of
 two or more repeats throughout and one text of it goes on. In a bucket, the starts that repeat are found on
 the Burrows-Wheeler transform of its distinct segments: beginning with the interval of the empty string,
@@ -241,7 +241,7 @@ def _window_table(docs: DataFrame, id_type: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _cut(id_type: str):
-    """(doc_id, text, array of (place, mark, bucket, hot)) to segments: neighbouring windows of one bucket become one."""
+    """(doc_id, text, array of (place, mark, bucket, hot)) to segments: windows of one bucket that overlap become one."""
     names = ["bucket", "hot", "a", "b", "doc_id", "mark", "begin", "starts", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,11 +252,12 @@ def _cut(id_type: str):
                 own = int(_marks(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0])
                 place, mark, bucket, hot = (wanted.values.field(k).to_numpy(zero_copy_only=False) for k in ("place", "mark", "bucket", "hot"))
                 mine = np.flatnonzero(mark == own)
-                mine = mine[np.argsort(place[mine], kind="stable")]
+                mine = mine[np.lexsort((place[mine], bucket[mine]))]
                 start, run, bucket, hot = place[mine] >> 8, place[mine] & 255, bucket[mine], hot[mine]
-                once = np.concatenate([[True], start[1:] != start[:-1]])  # equal rows come twice
+                once = np.concatenate([[True], (start[1:] != start[:-1]) | (bucket[1:] != bucket[:-1])])  # equal rows come twice
                 start, run, bucket, hot = start[once], run[once], bucket[once], hot[once]
-                new = np.concatenate([[True], (start[1:] != start[:-1] + run[:-1]) | (bucket[1:] != bucket[:-1]) | hot[1:] | hot[:-1]])
+                # windows whose texts overlap are sent as one stretch; what lies between their starts is searched with them
+                new = np.concatenate([[True], (start[1:] >= start[:-1] + run[:-1] + LENGTH) | (bucket[1:] != bucket[:-1]) | hot[1:] | hot[:-1]])
                 first = np.flatnonzero(new)
                 last = np.append(first[1:], len(start)) - 1
                 for i, j in zip(first, last, strict=True) if len(start) else ():
