@@ -154,7 +154,7 @@ def t1_by_attention(spark, sf_dir):
     """The fifty documents that ask most for attention."""
     top = gate.by_attention(T.gated_docs(spark, sf_dir)).limit(50)
     place = F.row_number().over(Window.orderBy("priority", F.desc("n_replacements"), F.desc("estimated_input_tokens"), "name"))
-    return top.select("doc_id", "priority", place.alias("place"))
+    return top.select("doc_id", "priority", place.cast("long").alias("place"))
 
 
 @query(f"""WITH {_GATED_SQL} SELECT g.review_id, g.name FROM g WHERE coalesce(decision, 'unknown') NOT IN ('safe', 'block') AND g.review_id % 7 <> 0 AND doc_id % 2 = 1""")
@@ -298,7 +298,7 @@ def w12_pack_batches(spark, sf_dir):
     return budget.pack_batches(docs)
 
 
-@query("""SELECT doc_id, array_to_string(list_transform(regexp_extract_all('doc' || doc_id || '.txt', '\\d+|\\D+'), x -> CASE WHEN regexp_matches(x, '^\\d') THEN lpad(x, 20, '0') ELSE x END), '') AS sort_key FROM documents""")
+@query("""SELECT doc_id, array_to_string(list_transform(regexp_extract_all('doc' || doc_id || '.txt', '\\d+|\\D+'), lambda x: CASE WHEN regexp_matches(x, '^\\d') THEN lpad(x, 20, '0') ELSE x END), '') AS sort_key FROM documents""")
 def t6_natural_order(spark, sf_dir):
     return T.table(spark, sf_dir, "documents").select("doc_id", budget.natural_key(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("sort_key"))
 
@@ -316,16 +316,16 @@ def s2_s6_routed_pages(spark, sf_dir):
     return files.assemble_pages(headed.select("doc", F.row_number().over(Window.partitionBy("doc").orderBy("page_id")).alias("page_no"), "text"))
 
 
-@query("""SELECT CAST(l_orderkey AS VARCHAR) AS name, string_agg(l_linenumber || ' | ' || l_shipmode || ' | ' || l_returnflag, chr(10) ORDER BY l_linenumber) AS text FROM lineitem GROUP BY l_orderkey""")
+@query("""SELECT CAST(l_orderkey AS VARCHAR) AS name, string_agg(l_linenumber || ' | ' || l_linestatus || ' | ' || l_returnflag, chr(10) ORDER BY l_linenumber) AS text FROM lineitem GROUP BY l_orderkey""")
 def s3_flattened_rows(spark, sf_dir):
-    rows = T.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("name"), F.col("l_linenumber").alias("row_ord"), F.array(F.col("l_linenumber").cast("string"), F.col("l_shipmode"), F.col("l_returnflag")).alias("cells"))
+    rows = T.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("name"), F.col("l_linenumber").alias("row_ord"), F.array(F.col("l_linenumber").cast("string"), F.col("l_linestatus"), F.col("l_returnflag")).alias("cells"))
     return files.flatten_rows(rows)
 
 
 @query()
 def s8_workbook_diagnostics(spark, sf_dir):
     l = T.table(spark, sf_dir, "lineitem")
-    cells = l.select((F.col("l_suppkey") % 50).cast("string").alias("doc"), F.col("l_linenumber").cast("string").alias("sheet"), F.when(F.col("l_linenumber") == 7, "hidden").otherwise("visible").alias("state"), F.col("l_orderkey").alias("row"), F.lit(1).alias("col"), F.col("l_shipmode").alias("value"), F.when(F.col("l_quantity") > 40, "=A1").alias("formula"), (F.col("l_partkey") % 9 == 0).alias("hyperlink"), F.when(F.col("l_partkey") % 50 == 0, F.col("l_partkey").cast("string")).alias("merged_range"))
+    cells = l.select((F.col("l_suppkey") % 50).cast("string").alias("doc"), F.col("l_linenumber").cast("string").alias("sheet"), F.when(F.col("l_linenumber") == 7, "hidden").otherwise("visible").alias("state"), F.col("l_orderkey").alias("row"), F.lit(1).alias("col"), F.col("l_returnflag").alias("value"), F.when(F.col("l_quantity") > 40, "=A1").alias("formula"), (F.col("l_partkey") % 9 == 0).alias("hyperlink"), F.when(F.col("l_partkey") % 50 == 0, F.col("l_partkey").cast("string")).alias("merged_range"))
     return files.workbook_diagnostics(cells)
 
 
@@ -445,7 +445,7 @@ def a16_issues_per_document(spark, sf_dir):
 def t2_issue_order(spark, sf_dir):
     top = replies.by_importance(T.issues(spark, sf_dir)).limit(30)
     place = F.row_number().over(Window.orderBy(F.array_position(F.array(*map(F.lit, replies.SEVERITIES)), F.col("severity")), "source_document", "section", "issue_id", "title"))
-    return top.select(F.col("issue_ord").cast("long").alias("doc_id"), place.alias("place"))
+    return top.select(F.col("issue_ord").cast("long").alias("doc_id"), place.cast("long").alias("place"))
 
 
 @query(f"""WITH {_ISSUE_SQL} SELECT review_id, doc_id, 'I-' || lpad(CAST(row_number() OVER (PARTITION BY review_id ORDER BY doc_id) AS VARCHAR), 3, '0') AS issue_id FROM i""")

@@ -55,7 +55,7 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An IOS-like configuration of each order, from its lines: review_id, doc_ord, name, text."""
-    line = F.concat(F.lit("interface Gi0/"), F.col("l_linenumber").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("\n description to "), F.col("l_shipmode"))).otherwise(F.lit("")), F.lit("\n!"))
+    line = F.concat(F.lit("interface Gi0/"), F.col("l_linenumber").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("\n description to "), F.col("l_returnflag"))).otherwise(F.lit("")), F.lit("\n!"))
     body = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("t")))), lambda x: x["t"]), "\n").alias("lines"))
     o = table(spark, sf_dir, "orders").join(body, F.col("o_orderkey") == F.col("l_orderkey"))
     k = F.col("o_orderkey")
