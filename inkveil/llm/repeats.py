@@ -131,10 +131,11 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         step *= times
 
 
-def repeated_starts(text: np.ndarray, room: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def repeated_starts(text: np.ndarray, room: np.ndarray, place: np.ndarray | None = None, length: int = LENGTH) -> np.ndarray:
     """Which starts begin a string of ``length`` bytes that begins elsewhere too.
 
     text: bytes with every string closed by a 0 (no string holds one). room: bytes from each place to its string's end.
+    place: where each byte comes from; what was sent twice from one place doesn't repeat by that.
     """
     n = len(text)
     order = suffix_order(text, length)
@@ -167,6 +168,12 @@ def repeated_starts(text: np.ndarray, room: np.ndarray, length: int = LENGTH) ->
     long = room[order] >= length
     same = np.zeros(n + 1, bool)
     same[1:n] = long[1:] & long[:-1] & ~known[1:n]
+    if place is not None:
+        # groups of neighbours with one string, of which all come from one place
+        first = np.flatnonzero(~same[:n])
+        where = place[order]
+        alone = np.minimum.reduceat(where, first) == np.maximum.reduceat(where, first)
+        same[1:n] &= ~np.repeat(alone, np.diff(np.append(first, n)))[1:]
     out = np.zeros(n, bool)
     out[order] = same[1:] | same[:-1]
     return out
@@ -191,7 +198,11 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text += 1
         text[ends] = 0
         room = np.repeat(ends, lengths + 1) - np.arange(len(text))
-        flags = repeated_starts(text, room)
+        # a segment of several copies stands for other places too
+        known: dict[tuple, int] = {}
+        base = [((known.setdefault((x[1], x[2]), len(known)) + 1) << 32) + x[3] if x[5] == 1 else -(i << 32) for i, x in enumerate(held, 1)]
+        within = np.arange(len(text)) - np.repeat(ends - lengths, lengths + 1)
+        flags = repeated_starts(text, room, np.repeat(np.array(base, np.int64), lengths + 1) + within)
         out = []
         for x, end, size in zip(held, ends, lengths, strict=True):
             if x[5] == 1:
