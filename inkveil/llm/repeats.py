@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.texts import BYTE_CODES, U64, mix, row_blocks, text_bytes
+from inkveil.llm.texts import BYTE_CODES, U64, mix, row_blocks, text_bytes, written
 
 LENGTH = 200
 GRAM = 64
@@ -308,6 +308,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     # the next exchange is by document, so AQE can split a key of very many windows in this join
     bucket = F.when(F.col("n") <= MERGED, F.col("leader")).otherwise(F.col("key")).alias("bucket")
     wanted = found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("place", "mark", bucket, (F.col("n") > HOT).alias("hot"))).alias("wanted"))
+    del keys, windows, twice, found
+    wanted = written(wanted)
     cut, ddl = _cut(id_type)
     base = docs.select("doc_id", "text")
     segments = base.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text", "wanted").mapInArrow(cut, ddl)

@@ -7,6 +7,7 @@ byte codes times powers of an odd number, finished by an avalanche step.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,12 +35,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, *, partitions: int | None = None) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as Parquet into the shared folder and reads it back."""
-    spark = df.sparkSession
+def written(df: DataFrame) -> DataFrame:
+    """Cuts the lineage: writes ``df`` as Parquet into the shared folder and reads it back.
+
+    What was shuffled for it is not needed after that. Spark deletes the shuffle files of plans that nothing refers to when the
+    driver collects its garbage, so that is asked for here: the disks then hold one step's shuffles, not those of all steps.
+    """
+    spark, schema = df.sparkSession, df.schema
     path = f"{scratch_dir(spark).rstrip('/')}/inkveil-{uuid.uuid4().hex}"
-    (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
