@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from inkveil.functions.detectors import APPROVED, UNAPPROVED
 
@@ -26,10 +27,14 @@ def estimate_tokens(text: Column) -> Column:
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.ceil(F.length(text) / 4).cast("int")))
 
 
+def has_any(text: Column, words: Sequence[str]) -> Column:
+    """Any word as a part of the text; one small expression for any number of words."""
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w)) if words else F.lit(False)
+
+
 def contains_any_lower(text: Column, words: Sequence[str]) -> Column:
     """any word as a substring of the lower-cased text."""
-    low = F.lower(text)
-    return any_of([F.contains(low, F.lit(w.lower())) for w in words])
+    return has_any(F.lower(text), [w.lower() for w in words])
 
 
 def squeezed(text: Column) -> Column:
@@ -43,7 +48,7 @@ def squeeze_word(word: str) -> str:
 
 def contains_any_squeezed(squeezed_text: Column, words: Sequence[str]) -> Column:
     """F8: as F7, on a text that ``squeezed`` made; done once per text."""
-    return any_of([F.contains(squeezed_text, F.lit(squeeze_word(w))) for w in words])
+    return has_any(squeezed_text, [squeeze_word(w) for w in words])
 
 
 def bounded_pattern(word: str) -> str:
@@ -54,7 +59,7 @@ def bounded_pattern(word: str) -> str:
 
 
 def contains_any_bounded(text: Column, words: Sequence[str]) -> Column:
-    return any_of([text.rlike(bounded_pattern(w)) for w in words if w])
+    return text.rlike("(?iu)" + "|".join(bounded_pattern(w).removeprefix("(?iu)") for w in words if w))
 
 
 def unapproved_placeholders(text: Column) -> Column:
@@ -69,7 +74,7 @@ def normalise_placeholders(text: Column) -> Column:
     return F.regexp_replace(one, rf"\[({names})_(\d\d)\]", r"[$1_0$2]")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 

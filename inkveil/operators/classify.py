@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions.text import any_of, count_of
+from inkveil.functions.text import count_of, has_any
 from inkveil.operators.rules import FORTIOS_SIGNALS, IOS_SIGNALS
+from inkveil.sources.scratch import materialised
 
 # Names, words and extensions; order is priority.
 NAME_WORDS = {
@@ -43,7 +44,7 @@ def suffix_of(name: Column) -> Column:
 def name_profile(name: Column) -> Column:
     """The first profile whose words a file name has; a change runbook's words come before operations'."""
     n = F.lower(F.coalesce(name, F.lit("")))
-    has = lambda words: any_of([F.contains(n, F.lit(w)) for w in words])
+    has = lambda words: has_any(n, words)
     config = has(CONFIG_NAMES) | (has(PLATFORMS) & has(CONFIG_WORDS)) | (suffix_of(n).isin(*CONFIG_SUFFIXES) & has(PLATFORMS))
     out = None
     for profile, words in NAME_WORDS.items():
@@ -54,7 +55,7 @@ def name_profile(name: Column) -> Column:
 
 def looks_like_code(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
-    words, marks = count_of([F.contains(low, F.lit(w)) for w in CODE_SIGNALS]), count_of([F.contains(low, F.lit(m)) for m in CODE_MARKS])
+    words, marks = (F.size(F.filter(F.array(*map(F.lit, found)), lambda w: F.contains(low, w))) for found in (CODE_SIGNALS, CODE_MARKS))
     return (words >= 2) | ((words >= 1) & (marks >= 2))
 
 
@@ -63,8 +64,8 @@ def body_signals(docs: DataFrame) -> DataFrame:
     head = F.lower(F.concat(F.coalesce("name", F.lit("")), F.lit("\n"), F.substring(F.coalesce("text", F.lit("")), 1, HEAD)))
     rows = docs.select("review_id", "name", "text", head.alias("_h"))
     flags = {f"i{k}": F.col("_h").rlike(p) for k, p in enumerate(IOS_SIGNALS)} | {f"f{k}": F.contains("_h", F.lit(s)) for k, s in enumerate(FORTIOS_SIGNALS)}
-    flags |= {p: any_of([F.contains("_h", F.lit(w)) for w in words]) for p, words in BODY_WORDS.items()}
-    flags["code"] = any_of([F.contains("_h", F.lit(w)) for w in CODE_WORDS])
+    flags |= {p: has_any(F.col("_h"), words) for p, words in BODY_WORDS.items()}
+    flags["code"] = has_any(F.col("_h"), CODE_WORDS)
     return rows.select("review_id", "name", "text", *[v.alias(k) for k, v in flags.items()])
 
 
@@ -75,8 +76,7 @@ def classify_review_set(docs: DataFrame, forced: str | None = None, strict_code:
     """
     if forced and forced.strip().lower() in PROFILES:
         return docs.select("review_id").distinct().select("review_id", F.lit(forced.strip().lower()).alias("document_profile"), F.lit("forced").alias("confidence"), F.lit("forced").alias("reason"))
-    rows = body_signals(docs)
-    rows = rows.withColumn("named", name_profile(F.col("name"))).withColumn("like_code", looks_like_code(F.col("text"))).withColumn("suffix", suffix_of(F.col("name")))
+    rows = body_signals(docs).withColumn("named", name_profile(F.col("name"))).withColumn("like_code", looks_like_code(F.col("text"))).withColumn("suffix", suffix_of(F.col("name")))
     named_file = F.coalesce(F.col("name"), F.lit("")) != ""
     sets = rows.groupBy("review_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("like_code").alias("n_code"), F.bool_or(named_file).alias("has_name"),
@@ -89,7 +89,7 @@ def classify_review_set(docs: DataFrame, forced: str | None = None, strict_code:
     by_body = F.filter(F.array(F.when(config, "network_config"), *[F.when(F.col(p), p) for p in BODY_WORDS]), lambda x: x.isNotNull())
     # most files first, then priority
     most = F.array_max(F.array(*[F.struct(F.col(f"n_{p}").alias("n"), F.lit(-k).alias("k"), F.lit(p).alias("p")) for k, p in enumerate(NAME_WORDS)]))["p"]
-    sets = sets.withColumn("names", by_name).withColumn("bodies", by_body).withColumn("most", most)
+    sets = materialised(sets).withColumn("names", by_name).withColumn("bodies", by_body).withColumn("most", most)
     code = (F.col("n_code") > 0) if strict_code else F.col("code")
     first_name, first_body = F.get("names", F.lit(0)), F.get("bodies", F.lit(0))
     cases = [
@@ -115,7 +115,7 @@ def classify_review_set(docs: DataFrame, forced: str | None = None, strict_code:
 def artifact_mode(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     """review_id, mode (code, config, runbook or document) and, for runbooks, depth."""
     low = F.lower(F.coalesce("text", F.lit("")))
-    sizes = docs.groupBy("review_id").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"), F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(STEP))).alias("steps"), F.bool_or(any_of([F.contains(low, F.lit(w)) for w in RISK_TERMS])).alias("risky"))
+    sizes = docs.groupBy("review_id").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"), F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(STEP))).alias("steps"), F.bool_or(has_any(low, RISK_TERMS)).alias("risky"))
     rows = profiles.join(sizes, "review_id")
     profile = F.col("document_profile")
     mode = F.when(profile == "source_code", "code").when(profile == "network_config", "config").when(profile.isin("change_runbook", "operations_runbook"), "runbook").otherwise("document")

@@ -104,7 +104,7 @@ def security_summary(documents: DataFrame) -> DataFrame:
 
 def unique_findings(*lists: Column) -> Column:
     """Trimmed, without empty ones, each once, the first place counts."""
-    return F.array_distinct(F.filter(F.transform(F.concat(*lists), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.concat(*lists), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def unconfirmed(documents: DataFrame, confirmations: DataFrame) -> DataFrame:

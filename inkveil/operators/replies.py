@@ -93,7 +93,7 @@ def parse_pipe_issues(replies: DataFrame) -> DataFrame:
     """Lines ISSUE|severity|title|details|recommendation|document; a row PARSE-001 for replies without any."""
     kept = [c for c in replies.columns if c != "reply"]
     lines = replies.select(*kept, "reply", F.posexplode(F.split(F.coalesce("reply", F.lit("")), r"\r\n|\r|\n", -1)).alias("item_ord", "line")).filter(F.col("line").startswith("ISSUE|"))
-    p = F.transform(F.split("line", r"\|", 6), F.trim)
+    p = F.transform(F.split("line", r"\|", 6), lambda x: F.trim(x))
     rows = lines.withColumn("p", p).filter(F.size("p") == 6)
     rows = rows.filter(valid_severity(F.col("p")[1]) & ~placeholder_echo(F.col("p")[2], F.col("p")[3], F.col("p")[4]))
     or_else = lambda i, v: F.coalesce(F.nullif(F.col("p")[i], F.lit("")), v)

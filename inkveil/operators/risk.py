@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions.text import abbreviations, contains_any_bounded, context, count_of, bounded_pattern
 from inkveil.operators.structure import extract_chapters
+from inkveil.sources.scratch import materialised
 
 # Expressions, the evidence that each needs (label: words), scenarios and personas.
 AMBIGUOUS = {
@@ -65,6 +66,7 @@ def _set_flags(docs: DataFrame) -> DataFrame:
     tests |= {f"t|{s}": words for s, (_, words, _, _) in SCENARIOS.items()} | {"operations": OPERATIONS}
     have = F.filter(F.array(*[F.when(contains_any_bounded(text, words), k) for k, words in tests.items()]), lambda x: x.isNotNull())
     rows = docs.select("review_id", "name", have.alias("have"), abbreviations(text).alias("abbr"))
+    rows = materialised(rows)
     short = rows.select("review_id", F.explode("abbr").alias("a")).distinct().groupBy("review_id").agg(F.array_sort(F.collect_list("a")).alias("abbr"))
     sets = rows.groupBy("review_id").agg(F.when(F.count(F.lit(1)) == 1, F.min("name")).otherwise(WHOLE_SET).alias("source"), F.array_distinct(F.flatten(F.collect_list("have"))).alias("have"))
     return sets.join(short, "review_id", "left").withColumn("abbr", F.coalesce("abbr", F.array().cast("array<string>")))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.functions.detectors import network_identifiers
-from inkveil.functions.text import any_of, contains_any_lower, count_of
+from inkveil.functions.text import any_of, contains_any_lower, count_of, has_any
 
 
 @dataclass(frozen=True)
@@ -27,7 +27,7 @@ class Rule:
 
     def fires(self, text: Column, lowered: Column) -> Column:
         low = F.substring(lowered, 1, self.head) if self.head else lowered
-        words = lambda found: any_of([F.contains(low, F.lit(w)) for w in found])
+        words = lambda found: has_any(low, found)
         there = any_of([text.rlike(p) for p in self.some]) | words(self.some_words) if self.some or self.some_words else F.lit(True)
         return there & ~any_of([text.rlike(p) for p in self.none]) & ~words(self.none_words)
 
@@ -137,7 +137,7 @@ def looks_like_config(lowered: Column) -> Column:
 
 def interface_blocks(text: Column) -> Column:
     """Array of (name, block), a block from its heading to the next one."""
-    names = F.transform(F.regexp_extract_all(text, F.lit(INTERFACE), F.lit(1)), F.trim)
+    names = F.transform(F.regexp_extract_all(text, F.lit(INTERFACE), F.lit(1)), lambda x: F.trim(x))
     return F.zip_with(names, F.slice(F.split(text, INTERFACE, -1), 2, 1_000_000), lambda n, b: F.struct(n.alias("name"), F.coalesce(b, F.lit("")).alias("block")))
 
 
@@ -154,7 +154,7 @@ def config_profile(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_i", looks_like_ios(F.col("_l"))).withColumn("_f", looks_like_fortios(F.col("_l")))
     none = F.array().cast("array<string>")
     ios_names = F.when(F.col("_i"), F.transform(interface_blocks(F.col("_t")), lambda b: b["name"])).otherwise(none)
-    forti_names = F.when(F.col("_f"), F.transform(F.regexp_extract_all(F.regexp_extract("_t", INTERFACE_BODY, 1), F.lit(r'(?im)^\s*edit\s+"?([^"\n]+)"?'), F.lit(1)), F.trim)).otherwise(none)
+    forti_names = F.when(F.col("_f"), F.transform(F.regexp_extract_all(F.regexp_extract("_t", INTERFACE_BODY, 1), F.lit(r'(?im)^\s*edit\s+"?([^"\n]+)"?'), F.lit(1)), lambda x: F.trim(x))).otherwise(none)
     ios_routing = F.when(F.col("_i"), F.filter(F.array(*[F.when(F.col("_t").rlike(p), k) for k, p in IOS_ROUTING.items()]), lambda x: x.isNotNull())).otherwise(none)
     forti_routing = F.when(F.col("_f"), F.filter(F.array(*[F.when(F.contains("_l", F.lit(w)), k) for k, w in FORTIOS_ROUTING.items()]), lambda x: x.isNotNull())).otherwise(none)
     vendor = F.when(F.col("_i") & F.col("_f"), "mixed_or_unknown").when(F.col("_f"), "fortinet_fortios").when(F.col("_i"), "cisco_ios").otherwise("unknown")
@@ -199,7 +199,7 @@ def code_language(name: Column, text: Column) -> Column:
         .when(first.startswith("#!") & first.rlike("sh|bash|ksh|zsh"), "shell").when(first.startswith("#!") & F.contains(first, F.lit("python")), "python")
         .when(low.startswith("param(") | F.contains(low, F.lit("$erroractionpreference")) | F.contains(low, F.lit("invoke-")), "powershell")
         .when(t.rlike("(?m)" + DEFINED), "python").when(low.rlike(r"(?m)^\s*(?:select|insert|update|delete|create|alter)\b"), "sql")
-        .when(any_of([F.contains(low, F.lit(w)) for w in ("set -e", "set -u", "pipefail", "awk ", "sed ", "grep ")]), "shell").otherwise("generic")
+        .when(has_any(low, ("set -e", "set -u", "pipefail", "awk ", "sed ", "grep ")), "shell").otherwise("generic")
     )
 
 
@@ -219,7 +219,7 @@ def scan_code_risks(docs: DataFrame) -> DataFrame:
     kept = [c for c in docs.columns if c != "text"]
     text = F.coalesce(F.col("text"), F.lit(""))
     low = F.lower(text)
-    sql = any_of([F.contains(low, F.lit(w)) for w in SQL_WORDS]) & ~any_of([F.contains(low, F.lit(w)) for w in PYTHON_WORDS])
+    sql = has_any(low, SQL_WORDS) & ~has_any(low, PYTHON_WORDS)
     found = []
     for i, (r, pattern) in enumerate(CODE_RULES):
         fires = text.rlike(COMMANDS) | (text.rlike(r"\bexec\s*\(") & ~sql) if i == 1 else r.fires(text, low)
@@ -235,7 +235,7 @@ def rule_review(docs: DataFrame) -> DataFrame:
     prose = rows.filter(~F.col("document_profile").isin("network_config", "source_code"))
     issues = evaluate(prose, REVIEW_RULES, profile=F.col("document_profile"))
     low = F.lower(F.coalesce("text", F.lit("")))
-    unapproved = (F.col("document_profile") == "change_runbook") & ~(any_of([F.contains(low, F.lit(w)) for w in RISK_LEVELS]) & any_of([F.contains(low, F.lit(w)) for w in APPROVALS]))
+    unapproved = (F.col("document_profile") == "change_runbook") & ~(has_any(low, RISK_LEVELS) & has_any(low, APPROVALS))
     issues = _with_extra(prose, issues, unapproved, NO_APPROVAL)
     configs = rows.filter(F.col("document_profile") == "network_config")
     scripts = rows.filter(F.col("document_profile") == "source_code")

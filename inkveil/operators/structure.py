@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkveil.functions.text import contains_any_squeezed, count_of, squeeze_word, squeezed
+from inkveil.sources.scratch import materialised
 
 # The standard chapters ("# id | name | purpose") and their items ("id | name | necessity | expected content").
 STANDARD = """
@@ -221,8 +222,9 @@ def extract_chapters(docs: DataFrame, least: int = LEAST_CHAPTERS, whole: bool =
 
 def _flags(squeezed_text: Column, rules: dict[str, tuple[str, ...]], least: int) -> Column:
     """Names of the rules of which at least ``least`` words are in the text."""
-    one = [F.when(count_of([F.contains(squeezed_text, F.lit(squeeze_word(w))) for w in words]) >= least if least > 1 else contains_any_squeezed(squeezed_text, words), name) for name, words in rules.items()]
-    return F.filter(F.array(*one), lambda x: x.isNotNull())
+    table = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*[F.lit(squeeze_word(w)) for w in words]).alias("words")) for name, words in rules.items()])
+    found = F.filter(table, lambda r: F.size(F.filter(r["words"], lambda w: F.contains(squeezed_text, w))) >= least)
+    return F.transform(found, lambda r: r["name"])
 
 
 def keyword_hits(squeezed_text: Column, chapter_id: str) -> Column:
@@ -238,10 +240,12 @@ def check_structure(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     chapter, item = F.broadcast(dim_chapter(spark)), F.broadcast(dim_item(spark))  # 15 and 78 rows
-    per_doc = docs.select("review_id", squeezed(F.col("text")).alias("_s")).select("review_id", _flags(F.col("_s"), ITEM_WORDS, 1).alias("items"), F.array(*[F.when(F.contains("_s", F.lit(squeeze_word(w))), w) for words in CHAPTER_WORDS.values() for w in words]).alias("words"))
-    per_set = per_doc.groupBy("review_id").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list(F.filter("words", lambda x: x.isNotNull())))).alias("words"))
+    per_doc = docs.select("review_id", squeezed(F.col("text")).alias("_s")).select("review_id", _flags(F.col("_s"), ITEM_WORDS, 1).alias("items"), F.filter(F.array(*[F.lit(squeeze_word(w)) for words in CHAPTER_WORDS.values() for w in words]), lambda w: F.contains(F.col("_s"), w)).alias("words"))
+    per_set = per_doc.groupBy("review_id").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
+    per_set = materialised(per_set)
     found = extract_chapters(docs.select("review_id", "doc_ord", "name", "text"))
     found = found.withColumn("_s", squeezed(F.col("body"))).select("review_id", "doc_ord", "name", "chapter_ord", "chapter_id", _flags(F.col("_s"), CHAPTER_WORDS, 2).alias("topics"), _flags(F.col("_s"), ITEM_WORDS, 1).alias("items"))
+    found = materialised(found)
     detected = found.select("review_id", "chapter_id").distinct()
     with_any = detected.select("review_id").distinct()
     standard = F.broadcast(dim_chapter(spark).select(F.col("chapter_id").alias("source_id"), F.col("chapter_name").alias("source_chapter")))
@@ -258,7 +262,7 @@ def check_structure(docs: DataFrame) -> DataFrame:
     # Missing chapters; those whose words the set has elsewhere are suggestions
     missing = with_any.join(chapter).join(detected, ["review_id", "chapter_id"], "left_anti")
     missing = missing.join(stray.withColumnRenamed("topic", "chapter_id"), ["review_id", "chapter_id"], "left").join(per_set.select("review_id", "words"), "review_id")
-    words = F.create_map(*[x for k, v in CHAPTER_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    words = F.create_map(*[x for k, v in CHAPTER_WORDS.items() for x in (F.lit(k), F.array(*[F.lit(squeeze_word(w)) for w in v]))])
     elsewhere = F.coalesce(F.size(F.array_intersect("words", F.element_at(words, F.col("chapter_id")))) >= 2, F.lit(False))
     suggested = missing.filter(F.col("name").isNotNull() | elsewhere)
     gone = missing.filter(F.col("name").isNull() & ~elsewhere)

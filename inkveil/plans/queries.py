@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +13,7 @@ from inkveil.functions import text as X
 from inkveil.operators import audit, budget, classify, dictionary, gate, masking, remediation, replies, risk, rules, structure
 from inkveil.plans import tables as T
 from inkveil.sources import files
+from inkveil.sources.scratch import scratch_dir
 from inkveil.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -316,7 +316,7 @@ def s2_s6_routed_pages(spark, sf_dir):
     return files.assemble_pages(headed.select("doc", F.row_number().over(Window.partitionBy("doc").orderBy("page_id")).alias("page_no"), "text"))
 
 
-@query("""SELECT CAST(l_orderkey AS VARCHAR) AS name, string_agg(l_linenumber || ' | ' || l_linestatus || ' | ' || l_returnflag, chr(10) ORDER BY l_linenumber) AS text FROM lineitem GROUP BY l_orderkey""")
+@query("""SELECT CAST(l_orderkey AS VARCHAR) AS name, string_agg(l_linenumber || ' | ' || l_linestatus || ' | ' || l_returnflag, chr(10) ORDER BY l_linenumber, l_linenumber || ' | ' || l_linestatus || ' | ' || l_returnflag) AS text FROM lineitem GROUP BY l_orderkey""")
 def s3_flattened_rows(spark, sf_dir):
     rows = T.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("name"), F.col("l_linenumber").alias("row_ord"), F.array(F.col("l_linenumber").cast("string"), F.col("l_linestatus"), F.col("l_returnflag")).alias("cells"))
     return files.flatten_rows(rows)
@@ -375,7 +375,7 @@ def p6_fortios_audit(spark, sf_dir):
     return rules.audit_fortios(T.policies(spark, sf_dir)).groupBy("title", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH l AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) SELECT 'cisco_ios' AS vendor, n AS interfaces, count(*) AS configs FROM l JOIN orders ON o_orderkey = l_orderkey GROUP BY n""")
+@query("""WITH l AS (SELECT l_orderkey, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY l_orderkey) SELECT 'cisco_ios' AS vendor, n AS interfaces, count(*) AS configs FROM l JOIN orders ON o_orderkey = l_orderkey GROUP BY n""")
 def a15_config_profile(spark, sf_dir):
     """A15, W10."""
     return rules.config_profile(T.configs(spark, sf_dir)).groupBy("vendor", F.size("interface_names").cast("long").alias("interfaces")).agg(F.count(F.lit(1)).alias("configs"))
@@ -587,8 +587,7 @@ def j1_mentions_by_label(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+    return scratch_dir(spark)
 
 
 def _ran(spark: SparkSession, rows: DataFrame, mode: str) -> DataFrame:

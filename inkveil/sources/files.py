@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from inkveil.operators.remediation import ITEM_DEFAULTS
 
@@ -19,7 +20,7 @@ PAGE_CAP = 300
 # End of the fixed values.
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode(content: pd.Series) -> pd.Series:
     def one(data: bytes | None) -> str | None:
         if data is None:
