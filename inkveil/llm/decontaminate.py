@@ -16,7 +16,7 @@ most ``BLOCK_WORDS`` words each (a proven bound), one pass over the documents pe
 benchmark of any size works. Very frequent runs only cost their own windows.
 
 Recall: with r repeats a match whose walk agrees on each sampled step with probability p is found with
-1 - (1 - p ** BITS) ** r for each of its windows. ``recall`` measures it against exact search; at the
+1 - (1 - p ** BITS) ** r for each of its windows. A test measures it against planted matches; at the
 defaults it is above 0.99 for matches with up to RATE edits.
 
 Defined results: null or empty texts and items without words match nothing; items of fewer than ``LEAST``
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from inkveil.llm.texts import U64, mix, row_blocks, text_bytes, word_hashes
 
 RATE = 0.2
-REPEATS = 12
-BITS = 4
+REPEATS = 24
+BITS = 2
 SHIFTS = (0, -1, 1, -2, 2)
 LEAST = 5
 BLOCK_WORDS = 1_000_000

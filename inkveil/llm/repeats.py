@@ -263,6 +263,8 @@ def _cut(id_type: str):
                 own = int(_marks(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0])
                 place, mark, bucket, hot = (wanted.values.field(k).to_numpy(zero_copy_only=False) for k in ("place", "mark", "bucket", "hot"))
                 mine = np.flatnonzero(mark == own)
+                if not len(mine):
+                    continue  # another text of this doc_id is meant
                 mine = mine[np.lexsort((place[mine], bucket[mine]))]
                 start, run, bucket, hot = place[mine] >> 8, place[mine] & 255, bucket[mine], hot[mine]
                 once = np.concatenate([[True], (start[1:] != start[:-1]) | (bucket[1:] != bucket[:-1])])  # equal rows come twice
@@ -271,7 +273,7 @@ def _cut(id_type: str):
                 new = np.concatenate([[True], (start[1:] >= start[:-1] + run[:-1] + LENGTH) | (bucket[1:] != bucket[:-1]) | hot[1:] | hot[:-1]])
                 first = np.flatnonzero(new)
                 last = np.append(first[1:], len(start)) - 1
-                for i, j in zip(first, last, strict=True) if len(start) else ():
+                for i, j in zip(first, last, strict=True):
                     begin, end = int(start[i]), int(start[j] + run[j])
                     part = data[begin : end + LENGTH - 1]
                     digest = hashlib.blake2b(part, digest_size=16).digest()
