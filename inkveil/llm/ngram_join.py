@@ -162,7 +162,7 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 
 def profiles(docs: DataFrame, n: int, seed: int) -> DataFrame:
-    """doc_id, n_shingles, class, check and point of every document."""
+    """doc_id, n_shingles, class, check, point and hash (of the text) of every document."""
     id_type = docs.select("doc_id").dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,9 +170,9 @@ def profiles(docs: DataFrame, n: int, seed: int) -> DataFrame:
             for batch in row_blocks(whole, "text"):
                 elements, at = sets_of(batch.column(1), n)
                 hashes = [pa.array(x.view(np.int64)) for x in set_hashes(elements, at, seed)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), *hashes, packed(points_of(elements, at))], names=["doc_id", "n_shingles", "class", "check", "point"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), *hashes, packed(points_of(elements, at)), batch.column(2)], names=["doc_id", "n_shingles", "class", "check", "point", "hash"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, class bigint, check bigint, point binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, class bigint, check bigint, point binary, hash bigint")
 
 
 def bucket_rows(docs: DataFrame, n: int, num: int, den: int, seed: int) -> DataFrame:
@@ -361,17 +361,18 @@ def _searched(buckets: DataFrame, texts: DataFrame, n: int, num: int, den: int)
 
 
 def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class and one text of each wanted class."""
-    ids = wanted.join(classes.select("class", "id").hint("merge"), "class")
-    found = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")))
-    return written(found.select("class", "text").dropDuplicates(["class"]))
+    """class and one text of each wanted class: that of the class's least doc_id, told from other rows of that doc_id by its hash."""
+    ids = wanted.join(classes.select("class", F.col("one.doc_id").alias("id"), F.col("one.hash").alias("hash")).hint("merge"), "class")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("own"))
+    found = rows.join(ids.hint("merge"), (F.col("own") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    return written(found.select("class", "text"))
 
 
 def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links, the document's own included)."""
     for seed in range(100):
         members = written(profiles(docs, n, seed))
-        classes = members.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("id"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("n_shingles").alias("n0"), F.max("n_shingles").alias("n1"), F.max("point").alias("point"))
+        classes = members.filter("n_shingles > 0").groupBy("class").agg(F.min(F.struct("doc_id", "hash")).alias("one"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("n_shingles").alias("n0"), F.max("n_shingles").alias("n1"), F.max("point").alias("point"))
         classes = written(classes)
         # different sets with one 64-bit hash: begin again with another one
         if classes.filter("c0 <> c1 or n0 <> n1").isEmpty():
