@@ -8,16 +8,20 @@ walk in step. Bit sampling makes the Hamming distance searchable: each of ``REPE
 ``BITS`` sampled steps into one key, and a window whose key equals that of an item, in any walk, is a
 candidate. Candidates are verified exactly, by edit distance over all places near the window.
 
-Windows stand where they can matter. An item of w words with at most d edits keeps a run of
-ceil((w - d) / (d + 1)) words; a document without any such run of any item can hold no match. So the
-words after each hit of a run are windows: at a hit of place j of an item, windows begin ``j`` words
-before it, give or take the edits (``SHIFTS``). Items are the query set: they are sent to the tasks in blocks of at
-most ``BLOCK_WORDS`` words each (a proven bound), one pass over the documents per block, so nothing is shuffled and a
-benchmark of any size works. Very frequent runs only cost their own windows.
+Walks stand where they can matter. An item of w words with at most d edits keeps a run of
+ceil((w - d) / (d + 1)) words; a document without any such run of any item can hold no match. So each hit of
+a run, at any place of an item, is an anchor: from it, one walk goes forwards over what the item and the document
+have from there on, and one backwards over what they have up to its end, each over the item's words on that side, ``SPAN``
+at most. Both are in step at the anchor wherever the item was edited before it (a dropped, replaced or lengthened
+head, for example, leaves the forward walks of all later hits alone), and the anchors of a match lie
+all over the item, so the spans together cover it whatever its length. Steps are sampled over the whole span.
+Items are the query set: they are sent to the tasks in blocks of at most ``BLOCK_WORDS`` words each (a proven bound),
+one pass over the documents per block, so nothing is shuffled and a benchmark of any size works. Very frequent runs only
+cost their own anchors.
 
-Recall: with r repeats a match whose walk agrees on each sampled step with probability p is found with
-1 - (1 - p ** BITS) ** r for each of its windows. A test measures it against planted matches; at the
-defaults it is above 0.99 for matches with up to RATE edits.
+Recall: with r repeats an anchor whose walk agrees on each sampled step with probability p makes a candidate with
+1 - (1 - p ** BITS) ** r, on either side. Tests measure it against planted matches with edits at the head, at the tail and
+anywhere; at the defaults it is above 0.99 for matches with up to RATE edits.
 
 Defined results: null or empty texts and items without words match nothing; items of fewer than ``LEAST``
 words are ignored, as they are no evidence; repeated documents each get their rows; repeated items
@@ -40,7 +44,7 @@ from inkveil.llm.texts import U64, mix, row_blocks, text_bytes, word_hashes
 RATE = 0.2
 REPEATS = 24
 BITS = 2
-SHIFTS = (0, -1, 1, -2, 2)
+SPAN = 32
 LEAST = 5
 BLOCK_WORDS = 1_000_000
 
@@ -54,7 +58,6 @@ class Items:
     rate: float = RATE
     seed: int = 11
     runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
-    keys: list[dict] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         by_run: dict[int, list[tuple[int, int, int]]] = {}
@@ -69,11 +72,10 @@ class Items:
             self.runs[n] = (np.array([x[0] for x in order], U64), np.array([x[1] for x in order]), np.array([x[2] for x in order]))
         self.lengths = np.array([len(w) for w in self.words])
         rng = np.random.default_rng(self.seed)
-        # early steps are walked in step more often; each walk samples BITS of the first steps of the shortest item's
-        self.steps = [np.sort(rng.choice(2 * LEAST + 8, BITS, replace=False)) for _ in range(REPEATS)]
-        flat = np.concatenate(self.words) if self.words else np.zeros(0, U64)
-        begin = np.concatenate([[0], np.cumsum(self.lengths)])[:-1].astype(np.int64)
-        self.item_keys = walk_keys(flat, begin, begin + self.lengths, self.steps) if len(begin) else None
+        # a walk moves every second step or so: each samples BITS of the steps that a whole span takes, as shares of it
+        self.steps = [np.sort(rng.random(BITS)) for _ in range(REPEATS)]
+        self.flat = np.concatenate(self.words) if self.words else np.zeros(0, U64)
+        self.at = np.concatenate([[0], np.cumsum(self.lengths)]).astype(np.int64)
 
 
 def _runs(words: np.ndarray, n: int) -> np.ndarray:
@@ -85,22 +87,45 @@ def _runs(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def walk_keys(words: np.ndarray, begin: np.ndarray, end: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """(windows, repeats) keys: for each walk, the sampled characters of the CGK embedding of words[begin:end]."""
-    out = np.zeros((len(begin), len(steps)), U64)
+def walk_keys(words: np.ndarray, begin: np.ndarray, end: np.ndarray, way: int, span: np.ndarray, shares: list[np.ndarray]) -> np.ndarray:
+    """(anchors, repeats) keys: for each walk, the sampled characters of the CGK embedding of the words from ``begin`` on towards ``end`` (exclusive), backwards if ``way`` is -1. Steps are ``shares`` of twice the ``span``."""
+    out = np.zeros((len(begin), len(shares)), U64)
     padded = np.append(words, U64(0))
-    for r, sampled in enumerate(steps):
-        at, want = begin.copy(), set(sampled.tolist())
-        for t in range(int(sampled[-1]) + 1):
-            inside = at < end
-            word = np.where(inside, padded[np.minimum(at, len(words))], U64(0))
-            if t in want:
-                out[:, r] = mix(out[:, r] + word + U64(t + 1))
+    for r, share in enumerate(shares):
+        at = begin.copy()
+        wanted = [(2 * span * x).astype(np.int64) for x in share]
+        live = np.arange(len(begin))
+        for t in range(int(wanted[-1].max(initial=-1)) + 1):
+            live = live[wanted[-1][live] >= t]
+            here = at[live]
+            inside = (end[live] - here) * way > 0
+            word = np.where(inside, padded[here], U64(0))
+            for want in wanted:
+                take = want[live] == t
+                if take.any():
+                    mine = live[take]
+                    out[mine, r] = mix(out[mine, r] + word[take] + U64(t + 1))
             bit = (mix(word ^ U64((r * 1000003 + t + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> U64(40)) & U64(1)
-            at = at + np.where(inside, bit.astype(np.int64), 0)
+            at[live] = here + np.where(inside, bit.astype(np.int64), 0) * way
     return out
 
 
+def in_step(words: np.ndarray, at: np.ndarray, row: np.ndarray, hit: np.ndarray, n: int, owner: np.ndarray, place: np.ndarray, items: Items) -> np.ndarray:
+    """Which anchors (word ``hit`` of a row, word ``place`` of an item, a run of ``n``) have an equal key in any walk on either side."""
+    # items' keys once per place that was hit
+    first = items.at[owner] + place
+    _, some, back = np.unique(first, return_index=True, return_inverse=True)
+    near = np.zeros(len(row), bool)
+    for way in (1, -1):
+        start = 0 if way == 1 else n - 1
+        span = np.minimum(items.lengths[owner] - place if way == 1 else place + n, SPAN)
+        of_item = walk_keys(items.flat, (first + start)[some], (first + start + way * span)[some], way, span[some], items.steps)
+        stop = hit + start + way * span
+        stop = np.minimum(stop, at[row + 1]) if way == 1 else np.maximum(stop, at[row] - 1)
+        near |= (walk_keys(words, hit + start, stop, way, span, items.steps) == of_item[back]).any(axis=1)
+    return near
+
+
 def edit_distance_within(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int]:
     """The least edit distance of ``item`` to any stretch of ``text``, with that stretch's begin and end; most + 1 if above."""
     m = len(text)
@@ -143,27 +168,23 @@ def search(words: np.ndarray, at: np.ndarray, items: Items) -> list[tuple[int, i
         low = np.searchsorted(hashes, runs[hit], "left")
         count = np.searchsorted(hashes, runs[hit], "right") - low
         index = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        rows_of.append(np.repeat(row, count))
-        item_of.append(owner[index])
-        begins.append(np.repeat(hit, count) - place[index])
+        rows, hits, owners, places = np.repeat(row, count), np.repeat(hit, count), owner[index], place[index]
+        for a in range(0, len(rows), 1 << 16):
+            part = slice(a, a + (1 << 16))
+            near = in_step(words, at, rows[part], hits[part], n, owners[part], places[part], items)
+            rows_of.append(rows[part][near])
+            item_of.append(owners[part][near])
+            begins.append(hits[part][near] - places[part][near])
     if not rows_of:
         return []
-    rows, owners, starts = np.concatenate(rows_of), np.concatenate(item_of), np.concatenate(begins)
-    every = np.unique(np.concatenate([np.column_stack([rows, owners, np.maximum(starts + s, at[rows])]) for s in SHIFTS]), axis=0)
-    rows, owners, starts = every.T
-    ends = np.minimum(starts + items.lengths[owners], at[rows + 1])
-    near = np.zeros(len(rows), bool)
-    for a in range(0, len(rows), 1 << 16):
-        part = slice(a, a + (1 << 16))
-        keys = walk_keys(words, starts[part], ends[part], items.steps)
-        near[part] = (keys == items.item_keys[owners[part]]).any(axis=1)
+    every = np.unique(np.column_stack([np.concatenate(rows_of), np.concatenate(item_of), np.concatenate(begins)]), axis=0)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     done: dict[tuple[int, int], int] = {}
-    for row, owner, start in zip(rows[near], owners[near], starts[near], strict=True):
+    for row, owner, start in every:
         item = items.words[owner]
         most = int(len(item) * items.rate)
         key = (int(row), int(owner))
-        if best.get(key, (1,))[0] == 0 or done.get(key, -1) >= start:
+        if best.get(key, (1,))[0] == 0 or key in done and done[key] >= start:
             continue
         # one alignment covers all windows that begin within the next item's length
         a, b = max(int(at[row]), int(start) - most - 2), min(int(at[row + 1]), int(start) + 2 * len(item) + most)

@@ -256,6 +256,24 @@ def test_decontamination(spark):
     assert {r["doc_id"] for r in decontaminate.clean(table, bench).collect()} == {r[0] for r in rows} - {d for d, _ in found}
 
 
+@pytest.mark.parametrize("size", [5, 15, 40, 59, 100, 300])
+def test_decontamination_finds_edited_heads_and_tails(size):
+    rng = np.random.default_rng(size)
+    new = lambda n: rng.integers(1, 2**63, n, dtype=np.uint64)
+    items, d = [new(size) for _ in range(30)], size // 5
+    kinds = {
+        "head dropped": lambda w: w[d:], "head replaced": lambda w: np.concatenate([new(d), w[d:]]), "head longer": lambda w: np.concatenate([np.column_stack([w[:d], new(d)]).ravel(), w[d:]]),
+        "tail dropped": lambda w: w[:-d], "tail replaced": lambda w: np.concatenate([w[:-d], new(d)]), "middle": lambda w: np.concatenate([w[: size // 2 - d // 2], new(d), w[size // 2 - d // 2 + d :]]),
+        "every fifth": lambda w: np.where(np.arange(size) % 5 == 4, new(size), w),
+    }
+    for kind, change in kinds.items():
+        # the item at the start, inside and at the end of a row
+        rows = [np.concatenate([new(20 * (i % 3)), change(w), new(20 * (i % 3 < 2))]) for i, w in enumerate(items)]
+        found = decontaminate.search(np.concatenate(rows), np.cumsum([0, *map(len, rows)]), decontaminate.Items(list(range(30)), items))
+        assert [x[:2] for x in found] == [(i, i) for i in range(30)], kind
+        assert all(x[2] <= d for x in found)
+
+
 def test_quality(spark):
     rng = random.Random(4)
     good = [" ".join(rng.choices(["plain", "words", "about", "weather", "today"], k=60)) for _ in range(60)]
