@@ -485,7 +485,7 @@ def s18_s21_other_replies(spark, sf_dir):
     reply = F.to_json(F.struct(
         F.array(F.struct(F.lit("1.1").alias("item_id"), F.element_at(F.array(*map(F.lit, (*replies.STATUSES, "odd"))), (F.col("turn") % 7 + 1).cast("int")).alias("status"), F.col("role").alias("reason"))).alias("checklist_results"),
         F.array(F.struct(F.lit("ch3").alias("chapter_id"), F.lit("missing").alias("verdict"))).alias("missing_chapters"), F.array(F.struct(F.lit("ch1").alias("chapter_id"), F.lit("s").alias("summary"), F.element_at(F.array(F.lit("yes"), F.lit("no")), (F.col("turn") % 2 + 1).cast("int")).alias("needs_deep_dive"))).alias("chapter_overviews"),
-        F.substring("text", 1, 100).alias("sanitized_text"), F.lit("high").alias("outbound_risk"), F.lit("block").alias("decision"), F.lit("one reason").alias("reasons"),
+        F.col("text").alias("sanitized_text"), F.lit("high").alias("outbound_risk"), F.lit("block").alias("decision"), F.lit("one reason").alias("reasons"),
     ))
     rows = c.select(F.col("conv_id").alias("review_id"), F.col("turn").cast("int").alias("doc_ord"), F.when(F.col("turn") % 5 == 4, F.col("text")).otherwise(reply).alias("reply"))
     keys = ["review_id", "doc_ord"]

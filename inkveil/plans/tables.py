@@ -43,13 +43,14 @@ def gated_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents and labels as issues of a review."""
+    """documents and labels as issues of a review; the whole text, in thirds, is what the issue, its details and its recommendation say."""
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     severity = F.when(F.col("toxic") == 1, "high").when(F.col("quality") == 0, "medium").when(F.col("doc_id") % 5 == 0, "info").otherwise("low")
+    third = F.ceil(F.length("text") / 3).cast("int")
     return rows.select(
-        F.floor(F.col("doc_id") / 20).alias("review_id"), F.col("doc_id").cast("int").alias("issue_ord"), F.lit("").alias("issue_id"), severity.alias("severity"), F.concat(F.col("lang"), F.lit(" "), F.col("source")).alias("title"), F.substring("text", 1, 200).alias("details"),
-        F.substring("text", 201, 200).alias("recommendation"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source_document"), F.concat(F.lit("第 "), (F.col("doc_id") % 15 + 1).cast("string"), F.lit(" 章")).alias("section"), F.lit("").alias("current_state"),
-        F.substring("text", 1, 80).alias("issue"), F.lit("").alias("impact"), F.lit("initial").alias("origin"),
+        F.floor(F.col("doc_id") / 20).alias("review_id"), F.col("doc_id").cast("int").alias("issue_ord"), F.lit("").alias("issue_id"), severity.alias("severity"), F.concat(F.col("lang"), F.lit(" "), F.col("source")).alias("title"), F.substring("text", third + 1, third).alias("details"),
+        F.substring("text", 2 * third + 1, third).alias("recommendation"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source_document"), F.concat(F.lit("第 "), (F.col("doc_id") % 15 + 1).cast("string"), F.lit(" 章")).alias("section"), F.lit("").alias("current_state"),
+        F.substring("text", 1, third).alias("issue"), F.lit("").alias("impact"), F.lit("initial").alias("origin"),
     )
 
 
@@ -77,11 +78,13 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def designs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Design-like texts: a document's text in chapters of 400 characters, with words of the standard structure that depend on its id."""
+    """Design-like texts: a document's whole text in 3 to 14 chapters of equal length, with words of the standard structure that depend on its id."""
     words = ("目的と背景", "業務要件と機能要件", "全体構成と構成図", "ネットワークとVPC", "認証と権限", "適宜確認する", "監視とアラート", "可用性とDR、RTO", "必要に応じて切替える", "暗号と監査ログ", "運用とバックアップ", "冗長化する", "関係者と体制", "移行と切戻し", "リスクと前提")
     k = F.col("doc_id")
-    chapter = lambda i: F.concat(F.lit("第 "), (i + 1).cast("string"), F.lit(" 章 "), F.element_at(F.array(*map(F.lit, words)), (i + 1).cast("int")), F.lit("\n"), F.substring(F.col("text"), (i * 400 + 1).cast("int"), F.lit(400)), F.lit("\n"), F.element_at(F.array(*map(F.lit, words)), (F.pmod(k + i, F.lit(15)) + 1).cast("int")))
-    text = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.pmod(k, F.lit(12)) + 2), chapter), "\n")
+    chapters = F.pmod(k, F.lit(12)) + 3
+    size = F.ceil(F.length("text") / chapters).cast("int")
+    chapter = lambda i: F.concat(F.lit("第 "), (i + 1).cast("string"), F.lit(" 章 "), F.element_at(F.array(*map(F.lit, words)), (i + 1).cast("int")), F.lit("\n"), F.substring(F.col("text"), (i * size + 1).cast("int"), size), F.lit("\n"), F.element_at(F.array(*map(F.lit, words)), (F.pmod(k + i, F.lit(15)) + 1).cast("int")))
+    text = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), chapters - 1), chapter), "\n")
     return table(spark, sf_dir, "documents").select(F.floor(k / 20).alias("review_id"), (k % 20).cast("int").alias("doc_ord"), F.concat(F.lit("基本設計"), k.cast("string"), F.lit(".docx")).alias("name"), text.alias("text"))
 
 

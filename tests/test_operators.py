@@ -2,6 +2,7 @@
 
 from inkveil.functions import text as X
 from inkveil.operators import audit, budget, classify, dictionary, gate, masking, remediation, replies, risk, rules, structure
+from inkveil.plans import queries, tables
 from inkveil.sources import files
 from inkveil.streaming import jobs
 from pyspark.sql import functions as F
@@ -126,3 +127,17 @@ def test_audit_stream_equals_batch(spark, tmp_path):
     stream.writeStream.format("memory").queryName("totals").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     own = lambda df: sorted((r["customer_id"], r["term"], r["mask_count"], r["total"]) for r in df.collect())
     assert own(spark.table("totals")) == own(jobs.decision_totals(audit.read_audit(spark, str(tmp_path / "log"))))
+
+
+def test_derived_tables_hold_whole_texts(spark, tmp_path):
+    texts = {i: "".join(chr(97 + (i + j * j) % 26) for j in range(n)) + "END" for i, n in enumerate((0, 1, 400, 1300, 9001, 20000), 20)} | {26: ""}
+    spark.createDataFrame([(i, t, "en", "web") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in texts], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, 0, "user", texts[25])], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for r in tables.designs(spark, str(tmp_path)).collect():
+        i = int(r["name"].removeprefix("基本設計").removesuffix(".docx"))
+        lines = r["text"].split("\n")
+        assert "".join(lines[1::3]) == texts[i] and len(lines) == 3 * (i % 12 + 3)
+    for r in tables.issues(spark, str(tmp_path)).collect():
+        assert r["issue"] + r["details"] + r["recommendation"] == texts[r["issue_ord"]]
+    assert texts[25] in str(queries.QUERIES["s18_s21_other_replies"](spark, str(tmp_path)).collect())
