@@ -199,6 +199,29 @@ def test_lm_score(spark, docs):
     assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in found.collect())
 
 
+@pytest.mark.parametrize("room", [1 << 18, 40])
+def test_every_word_has_a_chosen_class(spark, monkeypatch, room):
+    """Rare words of one ending, some in the place of animals and some in that of verbs, go to two classes; all words sum to 1."""
+    monkeypatch.setattr(lm, "SHARED", room)
+    # more frequent words than the core holds places beside "the", "will" and "now", and rare ones
+    things, acts = [f"n{i}" for i in range(497)], [f"v{i}" for i in range(500)]
+    nouns, verbs = [f"n{i:02}zz" for i in range(30)], [f"v{i:02}zz" for i in range(30)]
+    rows = [f"the {things[i % 497]} will {acts[i % 500]} now" for i in range(5000)]
+    rows += [f"the {nouns[i % 30]} will {verbs[i * 7 % 30]} now" for i in range(120)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    model, counts = lm.fit(table)
+    buf = lambda w: int(lm.tokens(pa.array([w]))[0][0])
+    chosen = {r["w"]: r["k"] for r in counts.collect()}
+    of_nouns, of_verbs = {chosen[buf(w)] for w in nouns}, {chosen[buf(w)] for w in verbs}
+    assert len(chosen) == model.distinct and not of_nouns & of_verbs
+    words = [*things, *acts, *nouns, *verbs, "the", "will", "now"]
+    one = {r["text"]: r["score"] for r in lm.score(spark.createDataFrame([(w,) for w in words], "text string"), model, counts, ("text",)).collect()}
+    end = model.classes[-1]
+    first = {w: one[w] - model.moves[chosen[buf(w)], end] for w in words}  # without the end's move; it alone has its class
+    unknown = sum(10.0 ** (model.moves[end, c] + np.log10(0.5) - model.norm[c]) for c in model.classes[lm.WORDS : lm.WORDS + lm.ENDINGS])
+    assert abs(sum(10.0**x for x in first.values()) + unknown + 10.0 ** model.moves[end, end] - 1) < 1e-6
+
+
 def brute_secrets(text):
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     out = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
