@@ -7,18 +7,42 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder only where it is unset."""
+    """spark.checkpoint.dir of the session. Where it is unset, a folder of this machine if Spark runs on it alone, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """Writes a table that several branches read, and reads it back: it is computed once, and a lost executor costs no recomputation of it."""
-    path = f"{scratch_dir(df.sparkSession)}/inkveil-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cuts the lineage: writes ``df`` as Parquet into the shared folder and reads it back.
+
+    It is computed once, whatever reads it, and a lost executor costs no recomputation. What was shuffled for it is not needed after that;
+    Spark is told to delete it when the write ends, so the disks hold one step's shuffles.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = f"{scratch_dir(spark)}/inkveil-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialised`` returned and that nothing reads any more: what was made of them is written too."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
