@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.texts import written
+from inkveil.sources.scratch import dropped, materialised
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours, then to its smaller ones. Each round shortens all paths, so rounds grow with the logarithm of the longest
     one. A node with very many neighbours is counted map-side, and its join is split by AQE.
     """
-    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    now = materialised(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
     while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u", F.lit(1)) % 1_000_033)).first()
@@ -32,4 +32,5 @@ def components(edges: DataFrame) -> DataFrame:
         # every u is larger than its v's here
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.hint("merge"), "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = written(small.filter("u <> v").distinct())
+        now, old = materialised(small.filter("u <> v").distinct()), now
+        dropped(old)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkveil.llm.texts import written
+from inkveil.sources.scratch import dropped, materialised
 
 K = 28
 SAMPLE = 20_000
@@ -125,7 +125,7 @@ class _Pairs:
 
 def nodes_of(rows: DataFrame) -> DataFrame:
     """node (the least vec_id of a vector), vec and code."""
-    rows = written(rows.groupBy("vec").agg(F.min("vec_id").alias("node")))
+    rows = materialised(rows.groupBy("vec").agg(F.min("vec_id").alias("node")))
     norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     limits = rows.agg(F.max(norm).alias("norm"), F.max(F.array_max(F.transform("vec", F.abs))).alias("most"), F.min(norm).alias("low")).first()
     most_norm = limits["norm"] or 1.0
@@ -138,7 +138,7 @@ def nodes_of(rows: DataFrame) -> DataFrame:
             codes = np.rint(np.column_stack([x, more]) * scale).clip(-127, 127).astype(np.int8)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary())], names=["node", "vec", "code"])
 
-    return written(rows.select("node", "vec").mapInArrow(run, "node bigint, vec array<float>, code binary"))
+    return materialised(rows.select("node", "vec").mapInArrow(run, "node bigint, vec array<float>, code binary"))
 
 
 def _tree(codes: np.ndarray, rng: np.random.Generator, leaves: int) -> list[tuple]:
@@ -228,7 +228,7 @@ def _kept(edges: DataFrame, k: int) -> DataFrame:
 
 def neighbour_graph(nodes: DataFrame, k: int = K, rounds: int = ROUNDS, settled: float = SETTLED, seed: int = 3) -> DataFrame:
     """Edges u, v, s: for each node its k nearest, as found."""
-    edges = written(_kept(_first_graph(nodes, k, seed), k))
+    edges = materialised(_kept(_first_graph(nodes, k, seed), k))
     places = None
     for i in range(rounds):
         worst = edges.groupBy("u").agg(F.when(F.count(F.lit(1)) >= k, F.min("s")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
@@ -259,7 +259,8 @@ def neighbour_graph(nodes: DataFrame, k: int = K, rounds: int = ROUNDS, settled:
                 yield out
 
         found = meet.mapInArrow(run, _EDGE)
-        edges = written(_kept(edges.withColumn("fresh", F.lit(False)).unionAll(found), k))
+        edges, old = materialised(_kept(edges.withColumn("fresh", F.lit(False)).unionAll(found), k)), edges
+        dropped(old)
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.count_if("fresh").alias("fresh")).first()
         if state["fresh"] <= settled * state["n"]:
             break
@@ -270,7 +271,7 @@ def greedy_search(queries: DataFrame, entries: DataFrame, nodes: DataFrame, grap
     """queries (q, vec), entries (q, node): q, node and score of the ``beam`` best nodes that each query met."""
     back = best(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "s"), "u", [F.desc("s"), F.asc("v")], K)
     links = graph.select("u", "v").unionAll(back.select("u", "v")).distinct().groupBy("u").agg(F.collect_list("v").alias("vs"))  # 2 * K at most
-    links = written(links)
+    links = materialised(links)
     vectors = nodes.select("node", "vec")
     state = None
     new = entries.distinct()
@@ -284,7 +285,7 @@ def greedy_search(queries: DataFrame, entries: DataFrame, nodes: DataFrame, grap
         if step == steps:
             break
         rank = F.row_number().over(Window.partitionBy("q").orderBy("opened", F.desc("score"), F.asc("node")))
-        state = written(state.withColumn("opens", ~F.col("opened") & (rank <= width)))
+        state = materialised(state.withColumn("opens", ~F.col("opened") & (rank <= width)))
         opened = state.filter("opens").select("q", F.col("node").alias("u"))
         if opened.isEmpty():
             break
@@ -314,11 +315,11 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """queries: vec_id of rows that ask. query_id, rank, vec_id, score of each one's k nearest other rows, as found."""
-    rows = written(valid(vectors))
+    rows = materialised(valid(vectors))
     nodes = nodes_of(rows)
     graph = neighbour_graph(nodes)
     member = rows.join(nodes.select("vec", "node").hint("merge"), "vec").select("vec_id", "node")
-    member = written(member)
+    member = materialised(member)
     asked = queries.select(F.col("vec_id").cast("long").alias("q")).distinct()
     entries = asked.join(member.select(F.col("vec_id").alias("q"), "node").hint("merge"), "q")
     ask = asked.join(rows.select(F.col("vec_id").alias("q"), "vec").hint("merge"), "q")

@@ -10,12 +10,14 @@ the largest first, then by hash, alike for equal groups; the first t + 1 of a se
 equal groups one must be among the first t + 1 of both, so linked sets share a key. Nothing is lost by this, at any
 frequency, and groups of one or two common shingles are left out. A bucket is all classes with one key.
 
-Deciding within buckets, without all pairs. The counts of a class's shingles in ``GROUPS`` hash groups are a
-point; the sum of the minima of two points' coordinates bounds the overlap. First each class is compared with the least
-class of each of its buckets, by points, then by sets; in a group of near copies this links nearly all. Then
-only buckets that still hold several components are searched: points go into an R-tree, in which the largest
-coordinates below a node bound the overlap with all of it, and classes with a near point in another component
-are searched again with their sets, which are exact. Buckets of more than ``BLOCK`` classes are searched as pairs
+Deciding within buckets, without all pairs. The counts of a class's shingles in hash groups (a power of two of them,
+``GROUPS`` or more, with two shingles each at most on average) are a point; the sum of the minima of two points' coordinates
+bounds the overlap. Points of more groups are folded to the other's number before that. Each class is first compared with the
+least class of all of its buckets, by points, then by sets, then with the least classes of its single buckets where those
+are in other components; in a group of near copies this links nearly all. Then only buckets that still
+hold several components are searched: points, folded to ``GROUPS``, go into an R-tree, in which the largest coordinates below a
+node bound the overlap with all of it, leaves are bounded by the whole points, and classes with a near point in another
+component are searched again with their sets, which are exact. Buckets of more than ``BLOCK`` classes are searched as pairs
 of blocks, so no task holds more than two blocks.
 
 Defined results: null texts and texts without words: n_shingles 0, a component alone; fewer than n
@@ -33,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm.graph import components
-from inkveil.llm.texts import U64, mix, row_blocks, shingles, text_bytes, word_hashes, written
+from inkveil.llm.texts import U64, mix, row_blocks, shingles, text_bytes, word_hashes
+from inkveil.sources.scratch import dropped, materialised
 
 GROUPS = 64
 BLOCK = 1000
@@ -102,27 +105,34 @@ def keys_of(elements: np.ndarray, at: np.ndarray, rows: np.ndarray, num: int, de
     return (np.concatenate(out_rows), np.concatenate(out_keys)) if out_rows else (np.zeros(0, np.int64), np.zeros(0, U64))
 
 
-def points_of(elements: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(sets, GROUPS) counts, at most 65535 each."""
-    rows = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    flat = np.bincount(rows * GROUPS + (elements >> U64(40)).astype(np.int64) % GROUPS, minlength=(len(at) - 1) * GROUPS)
-    return np.minimum(flat, 65535).reshape(-1, GROUPS).astype(np.uint16)
+def groups_for(size: np.ndarray) -> np.ndarray:
+    """The number of groups of a set: the least power of two that leaves two elements a group, GROUPS at least."""
+    return np.maximum(GROUPS, 2 ** np.ceil(np.log2(np.maximum(size, 2) / 2)).astype(np.int64))
 
 
-def packed(points: np.ndarray) -> pa.Array:
-    """Low bytes, then high bytes, which are mostly 0 and compress away."""
-    return pa.array([(p & 255).astype(np.uint8).tobytes() + (p >> 8).astype(np.uint8).tobytes() for p in points], pa.binary())
+def points_of(elements: np.ndarray, at: np.ndarray, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of all sets, 255 at most, in one array, and their offsets."""
+    sizes = np.diff(at)
+    groups = groups_for(sizes) if groups is None else groups
+    begin = np.concatenate([[0], np.cumsum(groups)]).astype(np.int64)
+    place = np.repeat(begin[:-1], sizes) + ((elements >> U64(24)).astype(np.int64) & np.repeat(groups - 1, sizes))
+    return np.minimum(np.bincount(place, minlength=begin[-1]), 255).astype(np.uint8), begin
 
 
-def unpacked(column: pa.Array) -> np.ndarray:
-    data = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 2, GROUPS).astype(np.int32)
-    return data[:, 0] + 256 * data[:, 1]
+def packed(counts: np.ndarray, begin: np.ndarray) -> pa.Array:
+    return pa.array([counts[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)], pa.binary())
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """A point (or rows of points) with fewer groups. 255 means no bound and stays so."""
+    parts = counts.reshape(*counts.shape[:-1], -1, groups)
+    return np.where((parts == 255).any(-2), 255, np.minimum(parts.sum(-2, dtype=np.int64), 255)).astype(np.uint8)
 
 
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sums of coordinate minima; without a bound where both have reached the largest count."""
     least = np.minimum(a, b)
-    return np.where((least == 65535).any(-1), np.iinfo(np.int64).max, least.sum(-1, dtype=np.int64))
+    return np.where((least == 255).any(-1), np.iinfo(np.int64).max, least.sum(-1, dtype=np.int64))
 
 
 def needed(a, b, num: int, den: int):
@@ -133,16 +143,21 @@ def needed(a, b, num: int, den: int):
 class Tree:
     """An R-tree over count vectors, packed bottom-up from points sorted by size and largest coordinates."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray) -> None:
+    def __init__(self, points: list[np.ndarray], sizes: np.ndarray) -> None:
+        groups = min(map(len, points))
+        self.whole = np.array([p if len(p) == groups else folded(p, groups) for p in points])
+        points = folded(self.whole, GROUPS)
         self.order = np.lexsort((points.argmax(1), sizes // np.maximum(1, sizes // 16 + 1)))
         self.levels = [(points[self.order], sizes[self.order], sizes[self.order])]
         while len(self.levels[-1][0]) > LEAF:
             most, low, high = self.levels[-1]
             edges = np.arange(0, len(most), LEAF)
             self.levels.append((np.maximum.reduceat(most, edges), np.minimum.reduceat(low, edges), np.maximum.reduceat(high, edges)))
+        self.points, self.sizes = points, sizes
 
-    def near(self, point: np.ndarray, size: int, num: int, den: int) -> np.ndarray:
-        """The points that may link with ``point``."""
+    def near(self, i: int, num: int, den: int) -> np.ndarray:
+        """The points that may link with the ``i``-th."""
+        point, size = self.points[i], int(self.sizes[i])
         at = np.arange(len(self.levels[-1][0]))
         for k, (most, low, high) in enumerate(reversed(self.levels)):
             if k:
@@ -151,7 +166,8 @@ class Tree:
             at = at[(high[at] * den >= size * num) & (low[at] * num <= size * den)]
             bound = overlap_bound(most[at], point)
             at = at[bound >= needed(size, np.maximum(low[at], -(-size * num // den)), num, den)]
-        return self.order[at]
+        found = self.order[at]
+        return found[overlap_bound(self.whole[found], self.whole[i]) >= needed(size, self.sizes[found], num, den)]
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -170,7 +186,7 @@ def profiles(docs: DataFrame, n: int, seed: int) -> DataFrame:
             for batch in row_blocks(whole, "text"):
                 elements, at = sets_of(batch.column(1), n)
                 hashes = [pa.array(x.view(np.int64)) for x in set_hashes(elements, at, seed)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), *hashes, packed(points_of(elements, at)), batch.column(2)], names=["doc_id", "n_shingles", "class", "check", "point", "hash"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), *hashes, packed(*points_of(elements, at)), batch.column(2)], names=["doc_id", "n_shingles", "class", "check", "point", "hash"])
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, class bigint, check bigint, point binary, hash bigint")
 
@@ -230,9 +246,11 @@ def _near_points(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            good = (np.minimum(na, nb) * den >= np.maximum(na, nb) * num)
-            good[good] = overlap_bound(unpacked(batch.column(4).filter(pa.array(good))), unpacked(batch.column(5).filter(pa.array(good)))) >= needed(na[good], nb[good], num, den)
+            least = needed(batch.column(2).to_numpy(), batch.column(3).to_numpy(), num, den)
+            good = np.zeros(batch.num_rows, bool)
+            for i, two in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                few, more = sorted((np.frombuffer(p, np.uint8) for p in two), key=len)
+                good[i] = overlap_bound(few, more if len(more) == len(few) else folded(more, len(few))) >= least[i]
             yield batch.select([0, 1]).filter(pa.array(good))
 
     both = pairs.join(one.hint("merge"), "a").filter(F.col("na").isNotNull()).join(two.hint("merge"), "b")
@@ -284,11 +302,11 @@ def _open_rows(buckets: DataFrame, classes: DataFrame, num: int, den: int) -> Da
 
         def done() -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            component, size, points = table.column(4).to_numpy(), table.column(5).to_numpy(), unpacked(table.column(6))
-            tree, good = Tree(points, size), np.zeros(len(size), bool)
+            component, size = table.column(4).to_numpy(), table.column(5).to_numpy()
+            tree, good = Tree([np.frombuffer(p, np.uint8) for p in table.column(6).to_pylist()], size), np.zeros(len(size), bool)
             for i in range(len(size)):
                 if not good[i]:
-                    near = tree.near(points[i], int(size[i]), num, den)
+                    near = tree.near(i, num, den)
                     other = near[component[near] != component[i]]
                     good[other] = True
                     good[i] = bool(len(other))
@@ -328,10 +346,10 @@ def _searched(buckets: DataFrame, texts: DataFrame, n: int, num: int, den: int)
 
         sets, comps = [x[3] for x in held], [x[1] for x in held]
         lengths = np.array([len(x) for x in sets])
-        points = points_of(np.concatenate(sets), np.concatenate([[0], np.cumsum(lengths)])).astype(np.int32)
-        tree, out = Tree(points, lengths), []
+        counts, begin = points_of(np.concatenate(sets), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64))
+        tree, out = Tree([counts[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)], lengths), []
         for i, own in enumerate(sets):
-            for k in tree.near(points[i], len(own), num, den):
+            for k in tree.near(i, num, den):
                 if k > i and (one_block or held[i][2] != held[k][2]) and root(comps[i]) != root(comps[k]) and linked(own, sets[k], num, den):
                     label[root(comps[i])] = root(comps[k])
                     out.append((held[i][0], held[k][0]))
@@ -365,35 +383,49 @@ def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     ids = wanted.join(classes.select("class", F.col("one.doc_id").alias("id"), F.col("one.hash").alias("hash")).hint("merge"), "class")
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("own"))
     found = rows.join(ids.hint("merge"), (F.col("own") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id")))
-    return written(found.select("class", "text"))
+    return materialised(found.select("class", "text"))
 
 
 def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links, the document's own included)."""
     for seed in range(100):
-        members = written(profiles(docs, n, seed))
+        members = materialised(profiles(docs, n, seed))
         classes = members.filter("n_shingles > 0").groupBy("class").agg(F.min(F.struct("doc_id", "hash")).alias("one"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("n_shingles").alias("n0"), F.max("n_shingles").alias("n1"), F.max("point").alias("point"))
-        classes = written(classes)
+        classes = materialised(classes)
         # different sets with one 64-bit hash: begin again with another one
         if classes.filter("c0 <> c1 or n0 <> n1").isEmpty():
             break
-    members = members.select("doc_id", "n_shingles", "class")
-    buckets = written(bucket_rows(docs, n, num, den, seed))
-    stars = buckets.filter("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b")).distinct()
-    stars = written(_near_points(stars, classes, num, den))
-    ends = stars.select(F.col("a").alias("class")).unionAll(stars.select(F.col("b").alias("class"))).distinct()
-    links = written(_verified(stars, _texts(docs, classes, ends), n, num, den))
-    labels = written(components(links))
+        dropped(members, classes)
+    buckets = materialised(bucket_rows(docs, n, num, den, seed))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        near = materialised(_near_points(pairs, classes, num, den))
+        texts = _texts(docs, classes, near.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+        found = materialised(_verified(near, texts, n, num, den))
+        dropped(near, texts)
+        return found
+
+    pairs = buckets.filter("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b"))
+    links = compared(pairs.groupBy("a").agg(F.min("b").alias("b")))
+    labels = materialised(components(links))
+    for side in ("a", "b"):
+        label = labels.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+        pairs = pairs.join(label.hint("merge"), side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
+    links = materialised(links.unionAll(compared(pairs.filter("of_a <> of_b").select("a", "b").distinct())))
+    labels = materialised(components(links))
     left = buckets.join(labels.select(F.col("node").alias("class"), "component").hint("merge"), "class", "left").select("bucket", "class", F.coalesce("component", "class").alias("component"))
     several = left.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("who"))
     # a bucket of two was compared; buckets of the same classes are searched once
     several = several.filter("c0 <> c1 and size > 2").groupBy("size", "who").agg(F.min("bucket").alias("bucket")).select("bucket")
-    rows = written(_open_rows(left.join(several.hint("merge"), "bucket"), classes, num, den))
+    rows = materialised(_open_rows(left.join(several.hint("merge"), "bucket"), classes, num, den))
     if not rows.isEmpty():
-        more = written(_searched(rows, _texts(docs, classes, rows.select("class").distinct()), n, num, den))
-        labels = written(components(links.unionAll(more)))
-    named = members.join(labels.select(F.col("node").alias("class"), "component").hint("merge"), "class", "left")
-    named = written(named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "class")).alias("component")))
+        texts = _texts(docs, classes, rows.select("class").distinct())
+        more = materialised(_searched(rows, texts, n, num, den))
+        dropped(texts)
+        labels = materialised(components(links.unionAll(more)))
+    named = members.select("doc_id", "n_shingles", "class").join(labels.select(F.col("node").alias("class"), "component").hint("merge"), "class", "left")
+    named = materialised(named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "class")).alias("component")))
+    dropped(buckets, classes, rows, members)
     least = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least.hint("merge"), "component", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -7,8 +7,10 @@ occur twice in the corpus can hold a repeat; all other windows are dropped befor
 
 Deciding. All windows of a key come together, in the bucket of the text stretch with the least hash among them
 (so that overlapping windows, which mostly meet the same other texts, form one *segment* that is sent once) or, for a key of over
-``MERGED`` windows, in a bucket of its own. Segments that are equal form one class, counted map-side; a class of
-two or more repeats throughout and one text of it goes on. In a bucket, the starts that repeat are found on
+``MERGED`` windows, in a bucket of its own. Segments end at places that hang on their bytes alone (one window in ``CUTS``), so
+near copies differ in few of them. Segments that are equal form one class, counted map-side by hash; a class of
+two or more repeats throughout. Only buckets that also hold a segment that occurs once are left to decide: one text of
+each of their classes is fetched. In such a bucket, the starts that repeat are found on
 the Burrows-Wheeler transform of its distinct segments: beginning with the interval of the empty string,
 breadth-first backward extension visits the intervals of all strings of length 1, 2, 3, ... An interval that
 ends at a place whose common prefix is still unknown fixes it to the length so far and is extended further;
@@ -33,7 +35,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.texts import BYTE_CODES, U64, mix, row_blocks, text_bytes, written
+from inkveil.llm.texts import BYTE_CODES, U64, mix, row_blocks, text_bytes
+from inkveil.sources.scratch import dropped, materialised
 
 LENGTH = 200
 GRAM = 64
@@ -43,7 +46,11 @@ MERGED = 64
 LEADER_BYTES = 16384
 #: Keys of more windows are decided string by string.
 HOT = 4096
+#: A segment ends before one in so many windows.
+CUTS = 8
 CHUNK_BYTES = 1 << 20
+#: Longer texts are searched for windows in pieces of so many starts.
+PIECE_BYTES = 1 << 20
 _FACTORS = [U64(int(x)) for x in np.random.default_rng(5).integers(1, 2**62, 16) * 2 + 1]
 _POSITION_BITS = 26
 
@@ -108,6 +115,17 @@ def find_windows(buf: np.ndarray, off: np.ndarray, length: int = LENGTH) -> dict
     return {"row": row[start], "start": start - off[row[start]], "run": run, "key": key[start], "tie": moves[start + run - 1] != moves[start]}
 
 
+def _windows_of_long(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
+    """As find_windows, in bounded memory: a start's key hangs on its LENGTH bytes alone, so pieces that overlap by as many lose nothing."""
+    parts = []
+    for row, (a, b) in enumerate(zip(off[:-1], off[1:], strict=True)):
+        for at in range(0, int(b - a), PIECE_BYTES):
+            piece = buf[a + at : min(b, a + at + PIECE_BYTES + LENGTH - 1)]
+            found = find_windows(piece, np.array([0, len(piece)]))
+            parts.append(found | {"row": found["row"] + row, "start": found["start"] + at})
+    return {k: np.concatenate([x[k] for x in parts]) for k in parts[0]}
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """The suffixes in the order of their first ``depth`` (or more) bytes; each step triples the length that is compared."""
     n = len(text)
@@ -184,8 +202,16 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
+def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal stretches that the given ones cover."""
+    order = np.argsort(begin, kind="stable")
+    begin, reach = begin[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.concatenate([[True], begin[1:] > reach[:-1]])) if len(begin) else np.zeros(0, np.int64)
+    return begin[new], reach[np.append(new[1:], len(begin)) - 1] if len(new) else reach
+
+
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct segments sorted by bucket: bucket, doc_id, mark, begin, starts, copies, text. Gives the repeated stretches of single ones."""
+    """Distinct segments sorted by bucket, as _cut gives them. Gives the repeated stretches of single ones."""
     held: list[tuple] = []
     size, last, kind = 0, None, pa.int64()
 
@@ -236,7 +262,7 @@ def _window_table(docs: DataFrame, id_type: str) -> tuple[DataFrame, DataFrame]:
         for whole in batches:
             for batch in row_blocks(whole, "text", 1 << 18):
                 buf, off = text_bytes(batch.column(1))
-                found = find_windows(buf, off)
+                found = find_windows(buf, off) if len(buf) <= PIECE_BYTES else _windows_of_long(buf, off)
                 mark, place = _marks(buf, off)[found["row"]], found["start"] << 8 | found["run"]
                 key = pa.array(found["key"].view(np.int64))
                 if where:
@@ -251,16 +277,17 @@ def _window_table(docs: DataFrame, id_type: str) -> tuple[DataFrame, DataFrame]:
     return keys, base.mapInArrow(lambda batches: find(batches, True), f"doc_id {id_type}, mark bigint, place bigint, key bigint")
 
 
-def _cut(id_type: str):
-    """(doc_id, text, array of (place, mark, bucket, hot)) to segments: windows of one bucket that overlap become one."""
-    names = ["bucket", "hot", "a", "b", "doc_id", "mark", "begin", "starts", "text"]
+def _segments(id_type: str):
+    """(doc_id, text, array of (place, mark, bucket, hot)) to segments without their texts: windows of one bucket that overlap become one, up to the next cut."""
+    names = ["bucket", "hot", "a", "b", "doc_id", "mark", "begin", "starts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for doc_id, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = (text or "").encode()
-                own = int(_marks(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0])
+                buf = np.frombuffer(data, np.uint8)
+                own = int(_marks(buf, np.array([0, len(data)]))[0])
                 place, mark, bucket, hot = (wanted.values.field(k).to_numpy(zero_copy_only=False) for k in ("place", "mark", "bucket", "hot"))
                 mine = np.flatnonzero(mark == own)
                 if not len(mine):
@@ -269,21 +296,42 @@ def _cut(id_type: str):
                 start, run, bucket, hot = place[mine] >> 8, place[mine] & 255, bucket[mine], hot[mine]
                 once = np.concatenate([[True], (start[1:] != start[:-1]) | (bucket[1:] != bucket[:-1])])  # equal rows come twice
                 start, run, bucket, hot = start[once], run[once], bucket[once], hot[once]
-                # windows whose texts overlap are sent as one stretch; what lies between their starts is searched with them
-                new = np.concatenate([[True], (start[1:] >= start[:-1] + run[:-1] + LENGTH) | (bucket[1:] != bucket[:-1]) | hot[1:] | hot[:-1]])
+                cut = mix(buf[start[:, None] + np.arange(8)].view(U64).ravel()) % U64(CUTS) == 0
+                # windows whose texts overlap become one stretch; what lies between their starts is searched with them
+                new = np.concatenate([[True], (start[1:] >= start[:-1] + run[:-1] + LENGTH) | (bucket[1:] != bucket[:-1]) | hot[1:] | hot[:-1] | cut[1:]])
                 first = np.flatnonzero(new)
-                last = np.append(first[1:], len(start)) - 1
-                for i, j in zip(first, last, strict=True):
-                    begin, end = int(start[i]), int(start[j] + run[j])
-                    part = data[begin : end + LENGTH - 1]
-                    digest = hashlib.blake2b(part, digest_size=16).digest()
-                    a, b = int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
-                    for column, value in zip(out, (int(bucket[i]), bool(hot[i]), a, b, doc_id, own, begin, end - begin, part), strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), batch.schema.types[0], *[pa.int64()] * 3, pa.binary())
+                begins, ends = start[first], (start + run)[np.append(first[1:], len(start)) - 1]
+                digests = b"".join(hashlib.blake2b(data[i : j + LENGTH - 1], digest_size=16).digest() for i, j in zip(begins.tolist(), ends.tolist(), strict=True))
+                hashes = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                same = [doc_id] * len(first), [own] * len(first)
+                for column, values in zip(out, (bucket[first], hot[first], hashes[:, 0], hashes[:, 1], *same, begins, ends - begins), strict=True):
+                    column.extend(values if isinstance(values, list) else values.tolist())
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), batch.schema.types[0], *[pa.int64()] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+
+    return run, f"bucket bigint, hot boolean, a bigint, b bigint, doc_id {id_type}, mark bigint, begin bigint, starts bigint"
+
+
+def _cut(id_type: str):
+    """(doc_id, text, array of (bucket, mark, begin, starts, copies)) to the wanted stretches with their texts."""
+    names = ["bucket", "doc_id", "mark", "begin", "starts", "copies", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            for doc_id, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                data = (text or "").encode()
+                own = int(_marks(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0])
+                done = set()  # equal rows
+                for bucket, mark, begin, starts, copies in zip(*(wanted.values.field(k).to_pylist() for k in ("bucket", "mark", "begin", "starts", "copies")), strict=True):
+                    if mark == own and (bucket, begin) not in done:
+                        done.add((bucket, begin))
+                        for column, value in zip(out, (bucket, doc_id, own, begin, starts, copies, data[begin : begin + starts + LENGTH - 1]), strict=True):
+                            column.append(value)
+            kinds = (pa.int64(), batch.schema.types[0], *[pa.int64()] * 4, pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
-    return run, f"bucket bigint, hot boolean, a bigint, b bigint, doc_id {id_type}, mark bigint, begin bigint, starts bigint, text binary"
+    return run, f"bucket bigint, doc_id {id_type}, mark bigint, begin bigint, starts bigint, copies bigint, text binary"
 
 
 def _single_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,24 +358,37 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     # the next exchange is by document, so AQE can split a key of very many windows in this join
     bucket = F.when(F.col("n") <= MERGED, F.col("leader")).otherwise(F.col("key")).alias("bucket")
     wanted = found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("place", "mark", bucket, (F.col("n") > HOT).alias("hot"))).alias("wanted"))
-    del keys, windows, twice, found
-    wanted = written(wanted)
-    cut, ddl = _cut(id_type)
+    wanted = materialised(wanted)
     base = docs.select("doc_id", "text")
-    segments = base.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text", "wanted").mapInArrow(cut, ddl)
+
+    def with_texts(wanted: DataFrame) -> DataFrame:
+        return base.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text", "wanted")
+
+    segments = materialised(with_texts(wanted).mapInArrow(*_segments(id_type)))
+    dropped(wanted)
     group = ["bucket", "a", "b"]
-    counted = segments.groupBy(*group).agg(F.count(F.lit(1)).alias("copies"), F.first("hot").alias("hot"))
+    classes = materialised(segments.groupBy(*group).agg(F.count(F.lit(1)).alias("copies"), F.first("hot").alias("hot"), F.min(F.struct("doc_id", "mark", "begin", "starts")).alias("one")))
     # segments of two or more copies repeat as a whole
-    whole = segments.select(*group, "doc_id", "mark", "begin", "starts").join(counted.filter("copies > 1").select(*group).hint("merge"), group)
+    whole = segments.select(*group, "doc_id", "mark", "begin", "starts").join(classes.filter("copies > 1").select(*group).hint("merge"), group)
     whole = whole.select("doc_id", "mark", "begin", (F.col("begin") + F.col("starts") + F.lit(LENGTH - 1)).alias("end"))
-    # one text of each
-    texts = segments.groupBy(*group).agg(F.count(F.lit(1)).alias("copies"), F.first("hot").alias("hot"), F.first(F.struct("doc_id", "mark", "begin", "starts", "text")).alias("one"))
-    texts = texts.select("bucket", "one.doc_id", "one.mark", "one.begin", "one.starts", "copies", "one.text", "hot")
-    spans = texts.filter("not hot").drop("hot").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_solve, f"doc_id {id_type}, mark bigint, begin bigint, end bigint")
-    single = texts.filter("hot").select("doc_id", "mark", "begin", "starts", "copies", "text").mapInArrow(_single_strings, f"doc_id {id_type}, mark bigint, copies bigint, begin bigint, a bigint, b bigint")
+    # one text of each class, where a bucket holds a single segment too
+    open_ = classes.groupBy("bucket").agg(F.min("copies").alias("least")).filter("least = 1").select("bucket")
+    asked = classes.join(open_.hint("merge"), "bucket").select(F.col("one.doc_id").alias("id"), "hot", F.struct("bucket", "one.mark", "one.begin", "one.starts", "copies").alias("x"))
+
+    def texts(hot: bool) -> DataFrame:
+        return with_texts(asked.filter(F.col("hot") == hot).groupBy("id").agg(F.collect_list("x").alias("wanted"))).mapInArrow(*_cut(id_type))
+
+    spans = texts(False).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_solve, f"doc_id {id_type}, mark bigint, begin bigint, end bigint")
+    out = materialised(whole.unionAll(spans))
+    dropped(segments)
+    if classes.filter("hot").isEmpty():
+        dropped(classes)
+        return out
+    single = texts(True).select("doc_id", "mark", "begin", "starts", "copies", "text").mapInArrow(_single_strings, f"doc_id {id_type}, mark bigint, copies bigint, begin bigint, a bigint, b bigint")
+    single = materialised(single)
+    dropped(classes)
     often = single.groupBy("a", "b").agg(F.sum("copies").alias("n")).filter("n > 1").select("a", "b")
-    hot = single.filter("copies = 1").join(often.hint("merge"), ["a", "b"]).select("doc_id", "mark", "begin", (F.col("begin") + F.lit(LENGTH)).alias("end"))
-    return whole.unionAll(spans).unionAll(hot)
+    return out.unionAll(single.filter("copies = 1").join(often.hint("merge"), ["a", "b"]).select("doc_id", "mark", "begin", (F.col("begin") + F.lit(LENGTH)).alias("end")))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -351,12 +412,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     data = buf[a:b]
                     own = slice(edges[i], edges[i + 1])
                     mine = mark[own] == marks[i]
-                    count = np.zeros(len(data) + 1, np.int64)
-                    np.add.at(count, begin[own][mine], 1)
-                    np.add.at(count, end[own][mine], -1)
-                    gone = np.cumsum(count[:-1]) > 0
-                    left = data[~gone].tobytes()
-                    out.append((len(data), int(gone.sum()), len(_spans(gone)), hashlib.sha256(left).hexdigest(), left))
+                    first, last = merged(begin[own][mine], end[own][mine])
+                    edges_of = [0, *np.column_stack([first, last]).ravel().tolist(), len(data)]
+                    left = b"".join(data[x:y].tobytes() for x, y in zip(edges_of[::2], edges_of[1::2], strict=True))
+                    out.append((len(data), len(data) - len(left), len(first), hashlib.sha256(left).hexdigest(), left))
                 columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 

@@ -1,4 +1,4 @@
-"""Vectorised helpers over Arrow text columns, and the shared scratch folder.
+"""Vectorised helpers over Arrow text columns.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, found on the UTF-8 bytes of a whole
 batch at once. Nulls count as empty texts. A word is represented by a 64-bit hash: a sum of random
@@ -7,14 +7,9 @@ byte codes times powers of an odd number, finished by an avalanche step.
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 _SEP = np.zeros(256, bool)
@@ -26,30 +21,6 @@ _BASE = 0x9E3779B97F4A7C15
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, U64), np.ones(1, U64))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as Parquet into the shared folder and reads it back.
-
-    What was shuffled for it is not needed after that. Spark deletes the shuffle files of plans that nothing refers to when the
-    driver collects its garbage, so that is asked for here: the disks then hold one step's shuffles, not those of all steps.
-    """
-    spark, schema = df.sparkSession, df.schema
-    path = f"{scratch_dir(spark).rstrip('/')}/inkveil-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Avalanche step on uint64."""
     x = x ^ (x >> U64(30))
