@@ -39,7 +39,7 @@ from inkveil.llm.texts import BYTE_CODES, U64, mix, row_blocks, text_bytes
 from inkveil.sources.scratch import dropped, materialised
 
 LENGTH = 200
-GRAM = 64
+GRAM = 128
 RUN = 128
 #: Up to so many windows of a key are brought together by their texts' stretches of LEADER_BYTES, more by the key.
 MERGED = 64
