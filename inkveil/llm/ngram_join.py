@@ -41,6 +41,8 @@ from inkveil.sources.scratch import dropped, materialised
 GROUPS = 64
 BLOCK = 1000
 LEAF = 16
+#: Trees of so few points are bounded as a whole.
+FEW = 128
 #: Pairs of one least class that are compared in one task.
 STAR = 2000
 #: Classes that a task remembers having sent.
@@ -155,6 +157,20 @@ class Tree:
             self.levels.append((np.maximum.reduceat(most, edges), np.minimum.reduceat(low, edges), np.maximum.reduceat(high, edges)))
         self.points, self.sizes = points, sizes
 
+    def all_near(self, num: int, den: int) -> Iterator[np.ndarray]:
+        """near() of each point in turn. A tree of few leaves is bounded at once."""
+        few = max(1, (1 << 22) // self.whole.size)
+        if len(self.sizes) > FEW:
+            yield from (self.near(i, num, den) for i in range(len(self.sizes)))
+            return
+        for at in range(0, len(self.sizes), few):
+            size = self.sizes[at : at + few, None]
+            least = needed(size, self.sizes[None], num, den)
+            good = (np.minimum(size, self.sizes) * den >= np.maximum(size, self.sizes) * num) & (overlap_bound(self.points[at : at + few, None], self.points[None]) >= least)
+            i, k = np.nonzero(good)
+            good[i, k] = overlap_bound(self.whole[at + i], self.whole[k]) >= least[i, k]
+            yield from (np.flatnonzero(row) for row in good)
+
     def near(self, i: int, num: int, den: int) -> np.ndarray:
         """The points that may link with the ``i``-th."""
         point, size = self.points[i], int(self.sizes[i])
@@ -304,12 +320,10 @@ def _open_rows(buckets: DataFrame, classes: DataFrame, num: int, den: int) -> Da
             table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             component, size = table.column(4).to_numpy(), table.column(5).to_numpy()
             tree, good = Tree([np.frombuffer(p, np.uint8) for p in table.column(6).to_pylist()], size), np.zeros(len(size), bool)
-            for i in range(len(size)):
-                if not good[i]:
-                    near = tree.near(i, num, den)
-                    other = near[component[near] != component[i]]
-                    good[other] = True
-                    good[i] = bool(len(other))
+            for i, near in enumerate(tree.all_near(num, den)):
+                other = near[component[near] != component[i]]
+                good[other] = True
+                good[i] |= bool(len(other))
             return table.select([0, 3, 4]).filter(pa.array(good))
 
         for batch in batches:
@@ -348,8 +362,8 @@ def _searched(buckets: DataFrame, texts: DataFrame, n: int, num: int, den: int)
         lengths = np.array([len(x) for x in sets])
         counts, begin = points_of(np.concatenate(sets), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64))
         tree, out = Tree([counts[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)], lengths), []
-        for i, own in enumerate(sets):
-            for k in tree.near(i, num, den):
+        for i, (own, near) in enumerate(zip(sets, tree.all_near(num, den), strict=True)):
+            for k in near:
                 if k > i and (one_block or held[i][2] != held[k][2]) and root(comps[i]) != root(comps[k]) and linked(own, sets[k], num, den):
                     label[root(comps[i])] = root(comps[k])
                     out.append((held[i][0], held[k][0]))
@@ -386,6 +400,13 @@ def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     return materialised(found.select("class", "text"))
 
 
+def _several(buckets: DataFrame, least: int) -> DataFrame:
+    """The rows of buckets of ``least`` or more classes in several components; buckets of the same classes are kept once."""
+    found = buckets.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("who"))
+    found = found.filter((F.col("c0") != F.col("c1")) & (F.col("size") >= least)).groupBy("size", "who").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return buckets.join(found.hint("merge"), "bucket")
+
+
 def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links, the document's own included)."""
     for seed in range(100):
@@ -405,27 +426,26 @@ def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
         dropped(near, texts)
         return found
 
-    pairs = buckets.filter("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b"))
+    pairs = materialised(buckets.filter("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b")).distinct())
     links = compared(pairs.groupBy("a").agg(F.min("b").alias("b")))
     labels = materialised(components(links))
     for side in ("a", "b"):
         label = labels.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
         pairs = pairs.join(label.hint("merge"), side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
-    links = materialised(links.unionAll(compared(pairs.filter("of_a <> of_b").select("a", "b").distinct())))
+    links = materialised(links.unionAll(compared(pairs.filter("of_a <> of_b").select("a", "b"))))
     labels = materialised(components(links))
     left = buckets.join(labels.select(F.col("node").alias("class"), "component").hint("merge"), "class", "left").select("bucket", "class", F.coalesce("component", "class").alias("component"))
-    several = left.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("who"))
-    # a bucket of two was compared; buckets of the same classes are searched once
-    several = several.filter("c0 <> c1 and size > 2").groupBy("size", "who").agg(F.min("bucket").alias("bucket")).select("bucket")
-    rows = materialised(_open_rows(left.join(several.hint("merge"), "bucket"), classes, num, den))
+    # a bucket of two was compared
+    rows = materialised(_open_rows(_several(left, 3), classes, num, den))
     if not rows.isEmpty():
+        rows = _several(rows, 2)
         texts = _texts(docs, classes, rows.select("class").distinct())
         more = materialised(_searched(rows, texts, n, num, den))
         dropped(texts)
         labels = materialised(components(links.unionAll(more)))
     named = members.select("doc_id", "n_shingles", "class").join(labels.select(F.col("node").alias("class"), "component").hint("merge"), "class", "left")
     named = materialised(named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "class")).alias("component")))
-    dropped(buckets, classes, rows, members)
+    dropped(buckets, classes, members)
     least = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least.hint("merge"), "component", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
