@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by largest inner product: NN-descent and greedy graph search.
 
-Vectors that are equal make one node. Each gets one more coordinate, sqrt(M - |x|^2) with M the largest squared
-norm, so that all have the same norm and near in angle is near in distance; codes of one byte per
-coordinate are what the graph is built on. Scores are computed on the original vectors, in double precision.
+Vectors that are equal make one node. The graph is built by the inner product itself, on codes: one byte per
+coordinate and a scale for each vector, so that one vector of a very large norm leaves the others' codes alone.
+Scores are computed on the original vectors, in double precision.
 
 NN-descent: the graph starts from random projection trees (a bounded sample of ``SAMPLE`` vectors shapes
 each of ``TREES`` trees of at most ``LEAVES`` leaves; every vector goes into a leaf of each, leaves are
@@ -11,7 +11,7 @@ reverse neighbours (as many at most as it has places) meet at the node by Spark
 compared among each other, pairs of old ones aside; a pair counts only if it beats the worst neighbour of one
 side. Each node keeps its ``K`` best. It ends when under ``SETTLED`` of the places change, or after ``ROUNDS``.
 
-Search: a query starts at its own node (or, from outside, at the best of ``ENTRIES`` nodes) and in each step
+Search: a query, which is a row of the table, starts at its own node and in each step
 opens the best ``WIDTH`` nodes not opened yet, by a join with the graph; it keeps the ``BEAM`` best seen. It
 ends when no query opens a node, or after ``STEPS`` steps.
 
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkveil.llm.sampling import least_hashed
 from inkveil.sources.scratch import dropped, materialised
 
 K = 28
@@ -41,12 +42,12 @@ SETTLED = 0.01
 BEAM = 96
 WIDTH = 32
 STEPS = 6
-_EDGE = "u bigint, v bigint, s float, fresh boolean"
+_EDGE = "u bigint, v bigint, s double, fresh boolean"
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """vec_id and vec (array<float>) of the rows that take part."""
-    vec = F.transform(F.col("embedding"), lambda x: x.cast("float") + F.lit(0.0).cast("float"))
+    """vec_id and vec (array<double>) of the rows that take part."""
+    vec = F.transform(F.col("embedding"), lambda x: x.cast("double") + F.lit(0.0))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec")).filter(F.col("vec_id").isNotNull() & (F.size("vec") > 0))
     rows = rows.filter(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0))
     length = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -64,8 +65,15 @@ def _floats(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.float32)
 
 
-def _codes(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), -1)
+def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The codes and scales of vectors."""
+    data = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return data[:, 8:].view(np.int8).astype(np.float32), data[:, :8].copy().view(np.float64).ravel()
+
+
+def _products(x: np.ndarray, scale: np.ndarray, part: slice = slice(None)) -> np.ndarray:
+    """Inner products of some rows with all."""
+    return (x[part] @ x.T) * scale[part, None] * scale
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int, handle: Callable[[pa.RecordBatch], None]) -> Iterator[None]:
@@ -120,25 +128,21 @@ class _Pairs:
         nth = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
         keep = nth < self.k
         self.parts, self.size = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(s[keep].astype(np.float32)), pa.array(np.ones(keep.sum(), bool))], names=["u", "v", "s", "fresh"])
+        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(s[keep].astype(np.float64)), pa.array(np.ones(keep.sum(), bool))], names=["u", "v", "s", "fresh"])
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:
     """node (the least vec_id of a vector), vec and code."""
     rows = materialised(rows.groupBy("vec").agg(F.min("vec_id").alias("node")))
-    norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-    limits = rows.agg(F.max(norm).alias("norm"), F.max(F.array_max(F.transform("vec", F.abs))).alias("most"), F.min(norm).alias("low")).first()
-    most_norm = limits["norm"] or 1.0
-    scale = 127 / max(limits["most"] or 1.0, (most_norm - (limits["low"] or 0.0)) ** 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _floats(batch.column(1)).astype(np.float64)
-            more = np.sqrt(np.maximum(0, most_norm - (x * x).sum(1)))
-            codes = np.rint(np.column_stack([x, more]) * scale).clip(-127, 127).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary())], names=["node", "vec", "code"])
+            x = _floats(batch.column(1))
+            most = np.abs(x).max(1, keepdims=True, initial=1e-300)
+            codes = np.rint(x / most * 127).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m.tobytes() + c.tobytes() for m, c in zip(most / 127, codes, strict=True)], pa.binary())], names=["node", "vec", "code"])
 
-    return materialised(rows.select("node", "vec").mapInArrow(run, "node bigint, vec array<float>, code binary"))
+    return materialised(rows.select("node", "vec").mapInArrow(run, "node bigint, vec array<double>, code binary"))
 
 
 def _tree(codes: np.ndarray, rng: np.random.Generator, leaves: int) -> list[tuple]:
@@ -183,14 +187,14 @@ def _leaf_of(tree: list[tuple], codes: np.ndarray) -> np.ndarray:
 
 
 def _first_graph(nodes: DataFrame, k: int, seed: int) -> DataFrame:
-    sample = nodes.select("code", F.xxhash64("node", F.lit(seed)).alias("h")).orderBy("h").limit(SAMPLE).collect()
-    codes = np.frombuffer(b"".join(bytes(r["code"]) for r in sample), np.int8).reshape(len(sample), -1).astype(np.float32) if sample else np.zeros((0, 1), np.float32)
+    sample = least_hashed(nodes.select(F.lit(0).alias("all"), "code", F.xxhash64("node", F.lit(seed)).alias("h")), "all", SAMPLE, "code")
+    codes = _codes(pa.array([bytes(r["code"]) for r in sample], pa.binary()))[0] if sample else np.zeros((0, 1), np.float32)
     rng = np.random.default_rng(seed)
     trees = nodes.sparkSession.sparkContext.broadcast([_tree(codes, rng, LEAVES) for _ in range(TREES)])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _codes(batch.column(1)).astype(np.float32) if batch.num_rows else np.zeros((0, 1), np.float32)
+            x = _codes(batch.column(1))[0] if batch.num_rows else np.zeros((0, 1), np.float32)
             for t, tree in enumerate(trees.value):
                 yield pa.RecordBatch.from_arrays([pa.array(_leaf_of(tree, x) * TREES + t), *batch.columns], names=["leaf", "node", "code"])
 
@@ -203,9 +207,9 @@ def _first_graph(nodes: DataFrame, k: int, seed: int) -> DataFrame:
         pairs = _Pairs(k)
 
         def compare(group: pa.RecordBatch) -> None:
-            ids, x = group.column(2).to_numpy(), _codes(group.column(3)).astype(np.float32)
+            ids, (x, scale) = group.column(2).to_numpy(), _codes(group.column(3))
             for a in range(0, len(ids), BLOCK):
-                s = x[a : a + BLOCK] @ x.T
+                s = _products(x, scale, slice(a, a + BLOCK))
                 s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
                 few = min(k, len(ids) - 1)
                 if few > 0:
@@ -231,8 +235,8 @@ def neighbour_graph(nodes: DataFrame, k: int = K, rounds: int = ROUNDS, settled:
     edges = materialised(_kept(_first_graph(nodes, k, seed), k))
     places = None
     for i in range(rounds):
-        worst = edges.groupBy("u").agg(F.when(F.count(F.lit(1)) >= k, F.min("s")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
-        known = nodes.select("node", "code").join(worst.select(F.col("u").alias("node"), "worst").hint("merge"), "node", "left").select("node", "code", F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst"))
+        worst = edges.groupBy("u").agg(F.when(F.count(F.lit(1)) >= k, F.min("s")).otherwise(F.lit(float("-inf"))).alias("worst"))
+        known = nodes.select("node", "code").join(worst.select(F.col("u").alias("node"), "worst").hint("merge"), "node", "left").select("node", "code", F.coalesce("worst", F.lit(float("-inf"))).alias("worst"))
         back = best(edges.select(F.col("v").alias("at"), F.col("u").alias("node"), "fresh", F.xxhash64("u", "v", F.lit(i)).alias("h")), "at", [F.desc("fresh"), F.asc("h")], k).drop("h")
         meet = edges.select(F.col("u").alias("at"), F.col("v").alias("node"), "fresh").unionAll(back)
         meet = meet.groupBy("at", "node").agg(F.max("fresh").alias("fresh"))
@@ -245,8 +249,7 @@ def neighbour_graph(nodes: DataFrame, k: int = K, rounds: int = ROUNDS, settled:
                 ids, fresh, worst = (group.column(j).to_numpy(zero_copy_only=False) for j in (1, 2, 3))
                 if not fresh.any():
                     return
-                x = _codes(group.column(4)).astype(np.float32)
-                s = x @ x.T
+                s = _products(*_codes(group.column(4)))
                 good = (s > worst[:, None]) & (fresh[:, None] | fresh[None, :])
                 np.fill_diagonal(good, False)
                 a, b = np.nonzero(good)
@@ -301,7 +304,7 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, nodes = batch.column(0).to_numpy(), batch.column(1)
         own = nodes.is_null().to_numpy(zero_copy_only=False)
-        x = _floats(batch.column(2)).astype(np.float64)
+        x = _floats(batch.column(2))
         edges = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]]) if len(ids) else np.zeros(1, int)
         scores = np.zeros(len(ids))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
