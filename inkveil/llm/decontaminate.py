@@ -16,15 +16,15 @@ at most. Both are in step at the anchor wherever the item was edited before it (
 head, for example, leaves the forward walks of all later hits alone), and the anchors of a match lie
 all over the item, so the spans together cover it whatever its length. Steps are sampled over the whole span.
 Items are the query set: they are sent to the tasks in blocks of at most ``BLOCK_WORDS`` words each (a proven bound),
-one pass over the documents per block, so nothing is shuffled and a benchmark of any size works. Very frequent runs only
+one pass over the documents per block, whose result is written before the next one is sent, so nothing is shuffled and a benchmark of any size works. Very frequent runs only
 cost their own anchors.
 
 Recall: with r repeats an anchor whose walk agrees on each sampled step with probability p makes a candidate with
 1 - (1 - p ** BITS) ** r, on either side. Tests measure it against planted matches with edits at the head, at the tail and
 anywhere; at the defaults it is above 0.99 for matches with up to RATE edits.
 
-Defined results: null or empty texts and items without words match nothing; items of fewer than ``LEAST``
-words are ignored, as they are no evidence; repeated documents each get their rows; repeated items
+Defined results: null or empty texts and items without words match nothing; items too short for a single edit within
+``RATE`` match where their words stand exactly; repeated documents each get their rows; repeated items
 are reported once per item_id; equal distances go to the leftmost start; an empty table gives
 no rows; other columns are ignored or kept.
 """
@@ -40,12 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm.texts import U64, mix, row_blocks, text_bytes, word_hashes
+from inkveil.sources.scratch import materialised
 
 RATE = 0.2
 REPEATS = 24
 BITS = 2
 SPAN = 32
-LEAST = 5
 BLOCK_WORDS = 1_000_000
 
 
@@ -63,8 +63,7 @@ class Items:
         by_run: dict[int, list[tuple[int, int, int]]] = {}
         for i, w in enumerate(self.words):
             d = int(len(w) * self.rate)
-            n = max(2, -(-(len(w) - d) // (d + 1)))
-            n = min(n, 4)
+            n = min(-(-(len(w) - d) // (d + 1)), 4)
             hashes = _runs(w, n)
             by_run.setdefault(n, []).extend((int(h), i, j) for j, h in enumerate(hashes))
         for n, found in by_run.items():
@@ -201,7 +200,7 @@ def item_blocks(benchmark: DataFrame, rate: float = RATE, most: int = BLOCK_WORD
     rows = benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).dropDuplicates(["item_id", "text"]).orderBy("item_id", "text")
     for row in rows.toLocalIterator():
         hashes, _ = word_hashes(*text_bytes(pa.array([row["text"]])))
-        if len(hashes) < LEAST:
+        if not len(hashes):
             continue
         if ids and size + len(hashes) > most:
             yield Items(ids, words, rate)
@@ -219,11 +218,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, keep
     for name, kind in (("item_id", benchmark.schema["item_id"].dataType), ("distance", "integer"), ("begin", "long"), ("end", "long")):
         schema = schema.add(name, kind)
     names = schema.names
-    parts = []
-    for items in item_blocks(benchmark, rate):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+    out = None
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def passed(shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for whole in batches:
                 for batch in row_blocks(whole, "_text"):
@@ -231,24 +229,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, keep
                     if found:
                         rows, owners, distance, begin, end = zip(*found, strict=True)
                         kept = batch.select(list(range(batch.num_columns - 1))).take(pa.array(rows))
-                        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([items.ids[o] for o in owners]), pa.array(distance, pa.int32()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())], names=names)
-
-        parts.append(docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], schema)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out
+                        ids = pa.array([items.ids[o] for o in owners])
+                        yield pa.RecordBatch.from_arrays([*kept.columns, ids, pa.array(distance, pa.int32()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())], names=names)
+
+        return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+
+    for part in _one_by_one(docs, item_blocks(benchmark, rate), passed):
+        out = part if out is None else out.unionAll(part)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def _one_by_one(docs: DataFrame, blocks: Iterator[Items], passed) -> Iterator[DataFrame]:
+    """passed(broadcast) for each block. With several, each result is written, and its block released, before the next one is sent."""
+    block = next(blocks, None)
+    several = False
+    while block is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        block = next(blocks, None)
+        several |= block is not None
+        if several:
+            yield materialised(passed(shared))
+            shared.destroy()
+        else:
+            yield passed(shared)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents without any match, all columns kept."""
     out = docs
-    for items in item_blocks(benchmark, rate):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def passed(shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for whole in batches:
                 for batch in row_blocks(whole, "text"):
@@ -257,5 +268,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
                     good[[x[0] for x in found]] = False
                     yield batch.filter(pa.array(good))
 
-        out = out.mapInArrow(run, out.schema)
+        return out.mapInArrow(run, out.schema)
+
+    for left in _one_by_one(docs, item_blocks(benchmark, rate), passed):
+        out = left
     return out

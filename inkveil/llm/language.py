@@ -6,8 +6,8 @@ bytes is a table lookup per position, so a window costs width additions per filt
 trained here, in numpy, by Adam on labelled texts. A text is cut into windows of ``WINDOW`` bytes that
 cover all of it (the last one padded by spaces); the windows' probabilities are averaged by their bytes.
 
-Training uses a bounded sample: at most ``SAMPLE`` texts per language, those with the smallest hashes, and
-up to ``SAMPLE_WINDOWS`` windows of each. Prediction covers every row and every byte.
+Training uses a bounded sample: at most ``SAMPLE`` different texts of each language, those with the smallest hashes, and
+``SAMPLE_WINDOWS`` stretches of each, from places all over the text that hang on its hash. Prediction covers every row and every byte.
 
 Defined results: ``und`` with score 0 for null texts and for texts without any letter; ``und`` too if
 nothing was learned; repeated rows get equal results; an empty table gives no rows; other columns
@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkveil.llm.sampling import least_hashed
 from inkveil.llm.texts import row_blocks, text_bytes
 
 WINDOW = 256
@@ -35,8 +36,6 @@ SAMPLE_WINDOWS = 4
 EPOCHS = 14
 BATCH = 128
 RATE = 0.01
-#: Most languages that are learned, the most frequent ones; a bound for the driver.
-LANGUAGES = 500
 NONE = "und"
 
 
@@ -101,6 +100,7 @@ def windows_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def train(texts: list[str], languages: list[str], seed: int = 7) -> LanguageModel:
+    """texts: one window of text each."""
     names = sorted(set(languages))
     rng = np.random.default_rng(seed)
     tables = [rng.normal(0, 0.3, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS]
@@ -108,7 +108,8 @@ def train(texts: list[str], languages: list[str], seed: int = 7) -> LanguageMode
     model = LanguageModel(names, tables, np.zeros(size, np.float32), rng.normal(0, 0.1, (size, len(names))).astype(np.float32), np.zeros(len(names), np.float32))
     if len(names) < 2:
         return model
-    cut = [(t[:SAMPLE_WINDOWS * WINDOW], names.index(k)) for t, k in ((t.encode(), k) for t, k in zip(texts, languages, strict=True)) if t]
+    place = {k: i for i, k in enumerate(names)}
+    cut = [(t.encode()[:WINDOW], place[k]) for t, k in zip(texts, languages, strict=True) if t]
     x, rows, _ = windows_of(*_join([t for t, _ in cut]))
     y = np.array([k for _, k in cut])[rows]
     params = [*model.tables, model.bias, model.out, model.out_bias]
@@ -130,7 +131,8 @@ def train(texts: list[str], languages: list[str], seed: int = 7) -> LanguageMode
                 own = back[:, k * FILTERS : (k + 1) * FILTERS]
                 grad = np.zeros_like(table)
                 for j in range(len(table)):
-                    np.add.at(grad[j], (np.take_along_axis(windows, places[k] + j, 1), np.arange(FILTERS)[None, :]), own)
+                    cell = np.take_along_axis(windows, places[k] + j, 1) * np.int64(FILTERS) + np.arange(FILTERS)
+                    grad[j] = np.bincount(cell.ravel(), own.ravel(), grad[j].size).reshape(grad[j].shape)
                 grads.append(grad)
             grads += [back.sum(0), hidden.T @ error + 1e-4 * model.out, error.sum(0)]
             step += 1
@@ -147,14 +149,12 @@ def _join(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
-    """labelled: text, lang. At most ``sample`` rows of each of LANGUAGES languages come to the driver."""
-    rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    names = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    found = []
-    cut = rows.select("lang", F.substring("text", 1, SAMPLE_WINDOWS * WINDOW).alias("text"), F.xxhash64("text").alias("h"))
-    for name in names:
-        found += cut.filter(F.col("lang") == name).orderBy("h", "text").limit(sample).collect()
-    return train([r["text"] for r in found], [r["lang"] for r in found])
+    """labelled: text, lang. At most ``sample`` texts of each language send SAMPLE_WINDOWS stretches of WINDOW characters to the driver."""
+    rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
+    room = F.greatest(F.length("text") - F.lit(WINDOW), F.lit(0)) + 1
+    parts = F.array_distinct(F.array(*[F.substring(F.col("text"), F.pmod(F.xxhash64("h", F.lit(i)), room).cast("int") + 1, F.lit(WINDOW)) for i in range(SAMPLE_WINDOWS)]))
+    found = [(part, r["lang"]) for r in least_hashed(rows.withColumn("parts", parts), "lang", sample, "parts") for part in r["parts"]]
+    return train([t for t, _ in found], [k for _, k in found])
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:

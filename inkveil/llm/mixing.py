@@ -8,7 +8,7 @@ first k are at their stop and the rest get one level times their weight.
 A source with target t and size s is repeated floor(t / s) times as a whole. The fractional
 repetition takes its documents in the order of a seeded hash until the rest of the target is used; the
 document at the edge is taken in part, so that the source's words are its target, rounded. Prefix
-sums go over 256 hash buckets per source first; only documents of the bucket that holds the edge are
+sums go over 65,536 hash buckets per source first; only documents of the bucket that holds the edge are
 then ordered by a window, so a source with a third of all rows is never sorted in one task.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order; an empty
@@ -56,7 +56,7 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), share: f
         F.col("doc_id"), F.col("source").alias("_source"), word_count(F.col("text")).alias("_size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("_hash"),
         *[F.col(c).alias(f"_keep_{c}") for c in keep],
-    ).withColumn("_bucket", F.substring("_hash", 1, 2))
+    ).withColumn("_bucket", F.substring("_hash", 1, 4))
     buckets = rows.groupBy("_source", "_bucket").agg(F.sum("_size").alias("words"))
     in_order = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int"))

@@ -7,9 +7,9 @@ normalised difference, and is calibrated by a logistic fit on labelled texts tha
 dictionaries. Whole texts are compressed in blocks of ``BLOCK`` bytes, so that the dictionary counts
 throughout a long text and memory stays bounded; sizes are summed.
 
-Labels are learned from a bounded sample (``SAMPLE`` texts of each label, those with the smallest hashes,
-``SAMPLE_BYTES`` of each text): two dictionaries and two coefficients do not need more. Scoring covers
-every row and every byte of its text.
+Labels are learned from a bounded sample (``SAMPLE`` different texts of each label, those with the smallest hashes,
+and of each a stretch of ``SAMPLE_BYTES``, from a place that hangs on the hash): two dictionaries and two coefficients do not
+need more. Scoring covers every row and every byte of its text.
 
 Defined results: null and empty texts get the score of a difference of 0; repeated rows score alike; rows
 with a null label are not learned from; without labels of both kinds every score is 0.5; an empty
@@ -28,6 +28,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkveil.llm.sampling import least_hashed
+from inkveil.llm.texts import row_blocks
+
 BLOCK = 8192
 LEVEL = 3
 DICTIONARY_BYTES = 100_000
@@ -92,12 +95,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> QualityModel:
     """labelled: text, label (1 good, 0 bad). Takes at most ``sample`` rows of each label to the driver."""
-    rows = labelled.filter(F.col("text").isNotNull() & F.col("label").isin(0, 1)).select(
-        F.col("label").cast("int").alias("label"), F.encode("text", "UTF-8").substr(1, sample_bytes).alias("text"), F.xxhash64("text").alias("h")
-    )
-    texts: dict[int, list[bytes]] = {}
-    for label in (0, 1):
-        texts[label] = [bytes(r["text"]) for r in rows.filter(F.col("label") == label).orderBy("h", "text").limit(sample).collect()]
+    rows = labelled.filter(F.col("text").isNotNull() & F.col("label").isin(0, 1)).select(F.col("label").cast("int").alias("label"), F.encode("text", "UTF-8").alias("text"), F.xxhash64("text").alias("h"))
+    begin = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - F.lit(sample_bytes), F.lit(0)) + 1).cast("int") + 1
+    texts: dict[int, list[bytes]] = {0: [], 1: []}
+    for r in least_hashed(rows.withColumn("part", F.substring(F.col("text"), begin, F.lit(sample_bytes))), "label", sample, "part"):
+        texts[r["label"]].append(bytes(r["part"]))
     half = {k: (v[::2], v[1::2]) for k, v in texts.items()}
     model = QualityModel(_dictionary(half[1][0]), _dictionary(half[0][0]), 0.0, 0.0)
     if not model.good or not model.bad:
@@ -119,10 +121,11 @@ def score(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY_BYTES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pc.fill_null(batch.column(batch.num_columns - 1).cast(pa.large_binary()), b"").to_pylist()
-            p = shared.value.scores(texts)
-            columns = [*batch.columns[:-1], pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=fields)
+        for whole in batches:
+            for batch in row_blocks(whole, "_text"):
+                texts = pc.fill_null(batch.column(batch.num_columns - 1).cast(pa.large_binary()), b"").to_pylist()
+                p = shared.value.scores(texts)
+                columns = [*batch.columns[:-1], pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=fields)
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)

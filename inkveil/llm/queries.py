@@ -37,7 +37,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (_remainder("doc_id", 4) == 2).alias("held_out"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(_remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"))
     model = language.fit(docs.filter(~F.col("held_out")))
     return language.predict(docs, model, ("doc_id", "held_out"))
 
