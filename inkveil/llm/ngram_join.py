@@ -408,7 +408,11 @@ def _several(buckets: DataFrame, least: int) -> DataFrame:
 
 
 def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id reachable by links, the document's own included)."""
+    """doc_id, n_shingles and component_id (the least doc_id reachable by links, the document's own included).
+
+    Two columns follow for callers that must tell rows of one doc_id apart: component, a number of the component itself (null
+    without shingles), and text_hash, xxhash64 of the text.
+    """
     for seed in range(100):
         members = materialised(profiles(docs, n, seed))
         classes = members.filter("n_shingles > 0").groupBy("class").agg(F.min(F.struct("doc_id", "hash")).alias("one"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("n_shingles").alias("n0"), F.max("n_shingles").alias("n1"), F.max("point").alias("point"))
@@ -443,9 +447,9 @@ def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
         more = materialised(_searched(rows, texts, n, num, den))
         dropped(texts)
         labels = materialised(components(links.unionAll(more)))
-    named = members.select("doc_id", "n_shingles", "class").join(labels.select(F.col("node").alias("class"), "component").hint("merge"), "class", "left")
-    named = materialised(named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "class")).alias("component")))
+    named = members.select("doc_id", "n_shingles", "class", "hash").join(labels.select(F.col("node").alias("class"), "component").hint("merge"), "class", "left")
+    named = materialised(named.select("doc_id", "n_shingles", F.col("hash").alias("text_hash"), F.when(F.col("n_shingles") > 0, F.coalesce("component", "class")).alias("component")))
     dropped(buckets, classes, members)
     least = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least.hint("merge"), "component", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component", "text_hash")

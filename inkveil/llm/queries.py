@@ -26,7 +26,7 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join_components(_table(spark, sf_dir, "documents"), 3, 90, 100)
+    return ngram_join.join_components(_table(spark, sf_dir, "documents"), 3, 90, 100).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
