@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.llm import decontaminate, language, mixing, ngram_join, secrets
+from inkveil.sources.scratch import materialised
 
-#: The language model must be at least this sure; below it a document is of no language that it knows.
-LEAST_SCORE = 0.3
+#: The language model must be so far on the way from an even guess to certainty; below that a document is of no language that it knows.
+LEAST_SURE = 0.2
 #: Near duplicates: five words, a similarity of 0.8.
 SHINGLE, NUM, DEN = 5, 80, 100
 
@@ -17,15 +18,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without any letter or of no learned language. Learned from the rows that have a lang."""
     model = language.fit(docs)
     found = language.predict(docs, model, tuple(docs.columns), prefix="_of_")
-    return found.filter((F.col("_of_lang_pred") != language.NONE) & (F.col("_of_score") >= LEAST_SCORE)).select(*docs.columns)
+    even = 1 / max(1, len(model.languages))
+    return found.filter((F.col("_of_lang_pred") != language.NONE) & (F.col("_of_score") >= even + LEAST_SURE * (1 - even))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group of linked documents. Equal rows count as one; rows without a doc_id stay."""
-    group = ngram_join.join_components(docs, SHINGLE, NUM, DEN)
-    first = group.groupBy("doc_id").agg(F.min("component_id").alias("least")).filter("least >= doc_id").select(F.col("doc_id").alias("_first"))
-    kept = docs.join(first.hint("merge"), F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """Keeps the document with the least doc_id of each group of linked documents, of several texts with that doc_id the one with
+    the least hash. Equal rows count as one; rows without words and rows without a doc_id stay."""
+    group = ngram_join.join_components(docs, SHINGLE, NUM, DEN).filter("doc_id is not null")
+    first = group.filter("component is not null and doc_id = component_id").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("one.*")
+    first = first.unionAll(group.filter("component is null").select("doc_id", "text_hash"))
+    first = first.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_of"))
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    kept = rows.join(first.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_of")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_hash"]).unionByName(rows.filter("doc_id is null")).drop("_hash")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +56,13 @@ STAGES = [
     ("secret_scan", secret_scan),
     ("source_mix", source_mix),
 ]
-#: A neural network's predictions can't be told in SQL; tests hold run() against brute force.
+#: A neural network's predictions can't be told in SQL; tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what each keeps is written and read again, as each may read it several times."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialised(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
