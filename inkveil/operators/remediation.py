@@ -171,4 +171,4 @@ def items_to_chapters(items: DataFrame, chapters: DataFrame) -> DataFrame:
 
 def template_section(template: Column, label: str) -> Column:
     """What stands under a label of a template."""
-    return F.trim(F.regexp_extract(template, rf"(?s)【\Q{label}\E】\s*(.*?)(?=【|\z)", 1))
+    return F.regexp_extract(template, rf"(?s)【\Q{label}\E】\s*(.*?)\s*(?=【|\z)", 1)

@@ -259,7 +259,8 @@ def j4_phrases_in_documents(spark, sf_dir):
     return found.select(F.col("phrase_item_id").alias("item_id"), "doc_id", "start")
 
 
-@query()
+@query("""WITH n AS (SELECT n_nationkey, n_name AS canonical, upper(n_name[1]) || lower(n_name[2:]) AS name FROM nation), d AS (SELECT c_custkey AS review_id, c_name || ' of ' || name AS said FROM customer JOIN n ON c_nationkey = n_nationkey)
+SELECT CAST(review_id AS BIGINT) AS review_id, canonical AS text, 'SITE' AS label, strpos(said, name) - 1 AS start, strpos(said, name) - 1 + length(name) AS "end", CASE WHEN n_nationkey % 2 = 0 THEN 'seed_dict' ELSE 'watchlist' END AS source, n_nationkey % 2 = 0 AS confirmed FROM d JOIN n ON contains(said, name)""")
 def j2_j3_candidates(spark, sf_dir):
     """Dictionary names in masked texts, and terms of the parts list without technical ones."""
     seeds = T.table(spark, sf_dir, "nation").select(F.lit(None).cast("string").alias("customer_id"), F.initcap("n_name").alias("text"), F.lit("GPE").alias("label"), F.upper("n_name").alias("canonical"), (F.col("n_nationkey") % 2 == 0).alias("confirm"))
@@ -292,7 +293,11 @@ def a11_f18_token_budget(spark, sf_dir):
     return budget.token_budget(docs, overhead=100, interval=6.0)
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT CAST(floor(doc_id / 20) AS BIGINT) AS review_id, doc_id, row_number() OVER (PARTITION BY floor(doc_id / 20) ORDER BY doc_id) AS k, CASE WHEN coalesce(length(text), 0) = 0 THEN 0 ELSE greatest(1, CAST(ceil(length(text) / 4.0) AS BIGINT)) END AS t FROM documents),
+w AS (SELECT review_id, doc_id, k, t, 1 AS n, t AS total, 1 AS batch FROM d WHERE k = 1
+  UNION ALL SELECT d.review_id, d.doc_id, d.k, d.t, CASE WHEN w.n >= 6 OR w.total + d.t > 25000 THEN 1 ELSE w.n + 1 END, CASE WHEN w.n >= 6 OR w.total + d.t > 25000 THEN d.t ELSE w.total + d.t END, w.batch + CASE WHEN w.n >= 6 OR w.total + d.t > 25000 THEN 1 ELSE 0 END
+  FROM w JOIN d ON d.review_id = w.review_id AND d.k = w.k + 1)
+SELECT review_id, batch, list('doc' || doc_id ORDER BY doc_id) AS document_names, count(*) AS call_count, CAST(sum(t) AS BIGINT) AS total_input_tokens FROM w GROUP BY review_id, batch QUALIFY count(*) OVER (PARTITION BY review_id) > 1""")
 def w12_pack_batches(spark, sf_dir):
     docs = T.gated_docs(spark, sf_dir).select("review_id", (F.col("doc_id") % 20).cast("int").alias("doc_ord"), "name", F.col("estimated_input_tokens").alias("call_input_tokens"))
     return budget.pack_batches(docs)
@@ -322,7 +327,9 @@ def s3_flattened_rows(spark, sf_dir):
     return files.flatten_rows(rows)
 
 
-@query()
+@query("""WITH c AS (SELECT (l_suppkey % 50)::VARCHAR AS doc, l_linenumber::VARCHAR AS sheet, l_orderkey, l_returnflag, l_quantity > 40 AS f, l_partkey % 9 = 0 AS link, CASE WHEN l_partkey % 50 = 0 THEN l_partkey END AS merged FROM lineitem)
+SELECT doc, sheet, count(DISTINCT (sheet, l_orderkey)) AS rows, count(*) FILTER (l_returnflag <> '') AS non_empty, count(*) FILTER (f) AS formulas, count(*) FILTER (link) AS links,
+count(DISTINCT (sheet, merged)) FILTER (merged IS NOT NULL) AS merged_ranges, coalesce(list(DISTINCT sheet) FILTER (sheet = '7'), []) AS hidden_sheets FROM c GROUP BY GROUPING SETS ((doc, sheet), (doc))""")
 def s8_workbook_diagnostics(spark, sf_dir):
     l = T.table(spark, sf_dir, "lineitem")
     cells = l.select((F.col("l_suppkey") % 50).cast("string").alias("doc"), F.col("l_linenumber").cast("string").alias("sheet"), F.when(F.col("l_linenumber") == 7, "hidden").otherwise("visible").alias("state"), F.col("l_orderkey").alias("row"), F.lit(1).alias("col"), F.col("l_returnflag").alias("value"), F.when(F.col("l_quantity") > 40, "=A1").alias("formula"), (F.col("l_partkey") % 9 == 0).alias("hyperlink"), F.when(F.col("l_partkey") % 50 == 0, F.col("l_partkey").cast("string")).alias("merged_range"))
@@ -364,13 +371,21 @@ def p4_purpose(spark, sf_dir):
 _CONFIG_RULES = [("%5=0", "Telnetによる管理アクセスの可能性", "high"), ("%3=0 AND k%9<>0", "enable password の利用", "high"), ("%7=0", "SNMP community string の利用", "high"), ("%6=0", "広すぎるACL許可の可能性", "medium"), ("%4=0", "HTTP管理機能の有効化", "medium"), ("%2<>0", "AAA設定が明示されていない可能性", "medium"), ("%8<>0", "外部ログ転送設定が見当たらない可能性", "low"), ("%10<>0", "NTP設定が見当たらない可能性", "low")]
 
 
-@query("WITH o AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)), f AS (" + " UNION ALL ".join(f"SELECT k, '{t}' AS title, '{s}' AS severity FROM o WHERE k{c}" for c, t, s in _CONFIG_RULES) + ") SELECT title, severity, count(*) AS n FROM f GROUP BY ALL")
+@query("WITH o AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)), f AS (" + " UNION ALL ".join(f"SELECT k, '{t}' AS title, '{s}' AS severity FROM o WHERE k{c}" for c, t, s in _CONFIG_RULES) + f" UNION ALL SELECT l_orderkey, '{rules.NO_DESCRIPTION.title}', 'low' FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey HAVING count(*) FILTER (l_linenumber % 2 = 1) >= greatest(2, count(*) // 2)) SELECT title, severity, count(*) AS n FROM f GROUP BY ALL")
 def p5_ios_audit(spark, sf_dir):
-    found = rules.audit_ios(T.configs(spark, sf_dir)).filter(F.col("title") != rules.NO_DESCRIPTION.title)
+    """P5, all rules."""
+    found = rules.audit_ios(T.configs(spark, sf_dir))
     return found.groupBy("title", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+# When the derived policy lists break a rule.
+_FORTIOS_CASES = [
+    ("k % 4 = 0", "管理アクセスでHTTP/Telnet許可の可能性", "high"), ("k % 5 = 0", "SNMP設定の確認が必要", "medium"), ("k % 2 <> 0", "NTP設定が見当たらない可能性", "low"), ("k % 3 <> 0", "HA構成の記述が見当たらない可能性", "info"),
+    ("wide", "広すぎるFirewall Policyの可能性", "high"), ("true", "Firewall Policyのログ設定が不明", "medium"),
+]
+
+
+@query("WITH o AS (SELECT l_orderkey AS k, bool_or(l_linenumber % 3 = 0) AS wide FROM lineitem GROUP BY l_orderkey), f AS (" + " UNION ALL ".join(f"SELECT k, '{t}' AS title, '{v}' AS severity FROM o WHERE {c}" for c, t, v in _FORTIOS_CASES) + ") SELECT title, severity, count(*) AS n FROM f GROUP BY ALL")
 def p6_fortios_audit(spark, sf_dir):
     return rules.audit_fortios(T.policies(spark, sf_dir)).groupBy("title", "severity").agg(F.count(F.lit(1)).alias("n"))
 
@@ -467,10 +482,10 @@ def s16_parsed_issues(spark, sf_dir):
     return replies.parse_issues(T.replies(spark, sf_dir)).select("review_id", "doc", "severity", "title")
 
 
-@query(f"""WITH {_ISSUE_SQL} SELECT review_id, 'doc' || doc_id AS doc, severity, title, NULL AS issue_id FROM i WHERE doc_id % 7 = 0""")
+@query(f"""WITH {_ISSUE_SQL} SELECT review_id, 'doc' || doc_id AS doc, CASE WHEN doc_id % 7 = 0 THEN severity ELSE 'info' END AS severity, CASE WHEN doc_id % 7 = 0 THEN title ELSE '{replies.UNPARSED}' END AS title, CASE WHEN doc_id % 7 <> 0 THEN 'PARSE-001' END AS issue_id FROM i""")
 def s17_pipe_issues(spark, sf_dir):
-    rows = T.replies(spark, sf_dir).filter("doc_ord % 7 = 0")
-    return replies.parse_pipe_issues(rows).select("review_id", "doc", "severity", "title", "issue_id")
+    """Lines of issues, and the row that stands for a reply without any."""
+    return replies.parse_pipe_issues(T.replies(spark, sf_dir)).select("review_id", "doc", "severity", "title", "issue_id")
 
 
 @query(f"""WITH {_ISSUE_SQL} SELECT review_id, 'doc' || doc_id AS doc, CASE WHEN doc_id % 7 = 0 THEN '' ELSE title END AS purpose, doc_id % 7 = 0 AS is_empty FROM i""")
