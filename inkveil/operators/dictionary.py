@@ -10,7 +10,10 @@ from inkveil.operators.masking import continue_placeholders
 
 #: Up to so many phrases are compared with every document; more go by the phrases' first characters.
 FEW_PHRASES = 1000
-GRAM = 2
+#: Phrases are looked up by so many first characters, the most that they have.
+GRAMS = (1, 2, 8)
+#: Phrases are broadcast up to so many, and so many characters together.
+BROADCAST_PHRASES, BROADCAST_CHARS = 200_000, 16_000_000
 # Labels and what they mask as; patterns of technical terms, the rejected ones first.
 CATEGORIES = {"ORG": "company", "GPE": "site", "FAC": "site", "PERSON": "person"}
 REJECTED = (
@@ -64,21 +67,30 @@ def load_allow_terms(spark: SparkSession, groups: dict[str, list[str]], customer
 def find_phrases(docs: DataFrame, phrases: DataFrame, few: int = FEW_PHRASES) -> DataFrame:
     """J4. docs: keys and text; phrases: text and more. One row per document and phrase in it, with start (from 0).
 
-    The phrases are counted: a few are broadcast; more are joined by their first characters, once per distinct pair of
-    characters in a document, and then verified. Phrases of one character are always compared with every document.
+    The phrases and their characters are counted. A few are broadcast and compared with every document. More are found by their
+    first characters: hashes of the documents' stretches of as many characters meet those of the phrases without any text, and
+    only documents that hold a phrase's beginning bring their text, once. Phrases are broadcast there as long as they are small enough together.
     """
     kept = [c for c in docs.columns if c != "text"]
     names = {c: f"phrase_{c}" for c in phrases.columns}
     known = phrases.withColumnsRenamed(names).filter(F.length("phrase_text") > 0)
     at = F.position(F.col("phrase_text"), F.col("text"))
-    if known.count() <= few:
+    size = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("phrase_text")), F.lit(0)).alias("chars")).first()
+    small = size["chars"] <= BROADCAST_CHARS and size["n"] <= BROADCAST_PHRASES
+    if size["n"] <= few and small:
         both = docs.join(F.broadcast(known), F.contains("text", F.col("phrase_text")))
         return both.select(*kept, *names.values(), (at - 1).alias("start"))
-    short, long = known.filter(F.length("phrase_text") < GRAM), known.filter(F.length("phrase_text") >= GRAM)
-    grams = docs.withColumn("_g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - GRAM + 1, F.lit(1))), lambda i: F.substr("text", i, F.lit(GRAM))))))
-    both = grams.join(long.withColumn("_g", F.substring("phrase_text", 1, GRAM)).hint("merge"), "_g").filter(F.contains("text", F.col("phrase_text")))
-    out = both.select(*kept, *names.values(), (at - 1).alias("start"))
-    return out.unionByName(docs.join(short.limit(few).hint("broadcast"), F.contains("text", F.col("phrase_text"))).select(*kept, *names.values(), (at - 1).alias("start")))
+    way = "broadcast" if small else "merge"
+    length = F.length("phrase_text")
+    tier = F.greatest(*[F.when(length >= g, F.lit(g)) for g in GRAMS])
+    first = known.withColumn("_g", F.xxhash64(tier, F.substr("phrase_text", F.lit(1), tier)))
+    rows = docs.withColumn("_id", F.xxhash64(*docs.columns))
+    # matches of no width, at every character
+    stretches = lambda g: F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{g}}}))"), F.lit(1))), lambda x: F.xxhash64(F.lit(g), x))
+    hashes = rows.select("_id", F.explode(F.flatten(F.array(*[stretches(g) for g in GRAMS]))).alias("_g"))
+    hits = hashes.join(first.select("_g").distinct().hint(way), "_g", "left_semi").distinct()
+    both = rows.join(hits.hint("merge"), "_id").join(first.hint(way), "_g").filter(F.contains("text", F.col("phrase_text")))
+    return both.select(*kept, *names.values(), (at - 1).alias("start"))
 
 
 def seed_candidates(docs: DataFrame, seeds: DataFrame) -> DataFrame:

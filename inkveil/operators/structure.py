@@ -8,102 +8,104 @@ from pyspark.sql import functions as F
 from inkveil.functions.text import contains_any_squeezed, count_of, squeeze_word, squeezed
 from inkveil.sources.scratch import materialised
 
-# The standard chapters ("# id | name | purpose") and their items ("id | name | necessity | expected content").
-STANDARD = """
-# ch1 | はじめに | 目的・スコープ・関係者の明示
-1.1 | 本書の目的 | must | 構築目的、対象システム、想定読者、期待される成果
-1.2 | スコープ | must | 対象範囲・対象外範囲・関連システムとの境界
-1.3 | 関係者・体制 | must | 体制図、責任範囲、エスカレーションパス、ベンダー
-1.4 | 用語定義 | recommended | 略語・固有用語・本書独自用語の定義
-1.5 | 参照文書 | recommended | 関連設計書・規格・既存運用文書の一覧
-1.6 | 改訂履歴 | must | 版番号、改訂日、改訂内容、承認者
-# ch2 | システム要件 | 機能要件・非機能要件の整理
-2.1 | 業務要件 | must | 業務目的、現状業務、改善目標
-2.2 | 機能要件 | must | ユースケース、機能一覧、優先度、入出力
-2.3 | 非機能要件 (NFR) | must | WAF 5 柱 (OE/SEC/REL/PERF/COST) について各々定量目標
-2.4 | 制約条件 | recommended | 法令・社内ポリシー・ベンダ依存・予算・スケジュール
-2.5 | 前提条件 | recommended | 業務前提、技術前提、環境前提
-# ch3 | システム全体構成 | 物理・論理の構成、データフロー
-3.1 | 全体構成図 | must | 物理構成 + 論理構成 (両方)、凡例
-3.2 | 構成要素一覧 | must | 各コンポーネント、役割、提供元、版数
-3.3 | データフロー | recommended | システム間/コンポーネント間のデータの流れ
-3.4 | ステークホルダ視点 | recommended | 利用者/運用者/監査の各視点での見え方
-3.5 | 環境構成 | must | 本番/検証/開発環境の構成と差異
-# ch4 | ネットワーク設計 | 接続性・帯域・冗長性
-4.1 | ネットワーク構成 | must | VPC/サブネット/AZ 構成、IP アドレス体系
-4.2 | 接続要件 | must | 利用プロトコル、ポート、暗号化要件
-4.3 | 経路設計 | must | ルーティング、Direct Connect/VPN、NAT/PAT
-4.4 | 帯域・遅延設計 | recommended | 想定帯域、SLA、レイテンシ目標
-4.5 | 冗長化 | must | SPOF 排除、フェイルオーバ、BGP/HA
-4.6 | DNS 設計 | must | 名前解決方針、DNS サーバ、ゾーン設計
-# ch5 | アカウント・認可設計 | 認証・認可・権限分離
-5.1 | アカウント方針 | must | 人/サービスの分類、命名規則、ライフサイクル
-5.2 | 認証方式 | must | パスワードポリシー、MFA、SSO、フェデレーション
-5.3 | 認可・権限分離 | must | 最小権限原則、ロール設計、ABAC/RBAC
-5.4 | 職務分掌 (SoD) | recommended | 開発/運用/監査の権限分離
-5.5 | アカウント棚卸 | recommended | 定期見直しサイクル、退職者処理
-# ch6 | データ設計 | データモデル・ストレージ・保護
-6.1 | データモデル | recommended | エンティティ、関連、属性 (アプリ依存)
-6.2 | ストレージ設計 | must | 種別 (DB/オブジェクト/ブロック)、容量、IOPS
-6.3 | データ保護 | must | 暗号化 (in-transit, at-rest)、鍵管理
-6.4 | バックアップ・リカバリ | must | RPO/RTO、頻度、保管期間、リストア手順
-6.5 | データライフサイクル | recommended | 保存期間、廃棄ポリシー、アーカイブ
-6.6 | ログ保管 | must | 監査ログ・アプリログの保管期間と取扱
-# ch7 | アプリケーション・サービス設計 | アプリ構成・連携・メッセージング
-7.1 | アプリ構成 | must | コンポーネント構成、デプロイ方式
-7.2 | 外部 IF | must | API、メッセージング、ファイル連携
-7.3 | 内部連携 | recommended | サービス間通信、認証伝播
-7.4 | エラーハンドリング | recommended | 異常系設計、リトライ、サーキットブレーカー
-# ch8 | 可用性設計 | SLI/SLO/SLA, DR/BCP
-8.1 | SLI/SLO/SLA | must | サービス指標、目標、契約レベル
-8.2 | 単一障害点 | must | SPOF の特定と対策
-8.3 | DR (災害対策) | must | DR 方針、リージョン構成、RPO/RTO
-8.4 | BCP (事業継続) | recommended | 業務継続計画、復旧手順
-8.5 | 訓練・演習 | recommended | 切替訓練、リハーサル計画
-# ch9 | 性能設計 | 性能目標・スケーラビリティ
-9.1 | 性能目標 | must | スループット、レスポンスタイム、同時接続数
-9.2 | 容量見積 | must | データ容量、ピーク負荷、伸び率
-9.3 | スケーラビリティ | must | スケールアウト/アップ方針、自動化
-9.4 | ボトルネック分析 | recommended | 想定ボトルネック、対策
-9.5 | 性能試験計画 | recommended | 負荷試験のシナリオ、ツール、合格基準
-# ch10 | セキュリティ設計 | 脅威モデル・暗号化・監査
-10.1 | 脅威モデル | must | STRIDE 等での脅威分析
-10.2 | ネットワーク境界防御 | must | FW、WAF、IDS/IPS
-10.3 | エンドポイント防御 | recommended | アンチウィルス、EDR
-10.4 | データ暗号化 | must | in-transit, at-rest、鍵管理 (KMS)
-10.5 | 監査ログ | must | 取得対象、改ざん防止、保管
-10.6 | インシデント対応 | must | 検知/通報/復旧プロセス
-10.7 | 脆弱性管理 | recommended | スキャン、パッチ管理
-10.8 | 法令・規制対応 | recommended | 個人情報保護法、業界規制
-# ch11 | 運用設計 | 監視・アラート・デプロイ・バックアップ
-11.1 | 監視設計 | must | メトリクス、ログ、トレース、ダッシュボード
-11.2 | アラート | must | 閾値、通知先、エスカレーション
-11.3 | オンコール体制 | recommended | 当番制、シフト、エスカレーションパス
-11.4 | デプロイ・リリース | must | デプロイ方式、ロールバック手順
-11.5 | 構成管理 | recommended | IaC、変更履歴、承認プロセス
-11.6 | バックアップ運用 | must | 取得頻度、検証、保管
-11.7 | 定期作業 | recommended | パッチ、ローテーション、棚卸
-# ch12 | コスト設計 | コスト見積・最適化
-12.1 | コスト見積 | must | 月額/年額、内訳 (リソース別)
-12.2 | コスト最適化 | recommended | リザーブドインスタンス、Spot、Auto Scaling
-12.3 | 予算管理 | recommended | 予算アラート、承認フロー
-12.4 | コスト削減シナリオ | optional | スケールダウン手順、廃止計画
-# ch13 | 拡張性・保守性設計 | 機能追加・ベンダロックイン回避
-13.1 | 機能拡張への対応 | recommended | 機能追加時のインパクト、拡張ポイント
-13.2 | ベンダロックイン回避 | recommended | 標準準拠、移行可能性
-13.3 | 技術的負債管理 | optional | 既知の負債、解消計画
-13.4 | ドキュメント保守 | must | 改訂サイクル、責任者
-# ch14 | 移行設計 | 移行方針・手順・ロールバック
-14.1 | 移行方針 | must | 一括/段階、並行稼働の有無
-14.2 | 移行手順 | must | 切替手順、検証手順
-14.3 | ロールバック計画 | must | 失敗時の戻し方、判定基準
-14.4 | データ移行 | must | データ変換、検証、整合性確認
-14.5 | 利用者影響 | recommended | サービス停止時間、利用者通知
-# ch15 | 補足 | リスク・前提・改訂履歴・参照文書
-15.1 | リスクと前提 | must | リスク一覧、対応方針、未決事項
-15.2 | 課題管理 | recommended | 未決事項一覧、責任者、期限
-15.3 | 別紙・付録 | optional | 詳細データ、参考情報
-"""
+# The standard chapters (id, name, purpose) and their items (chapter, id, name, necessity, expected content).
+CHAPTERS = (
+    ("ch1", "はじめに", "目的・スコープ・関係者の明示"),
+    ("ch2", "システム要件", "機能要件・非機能要件の整理"),
+    ("ch3", "システム全体構成", "物理・論理の構成、データフロー"),
+    ("ch4", "ネットワーク設計", "接続性・帯域・冗長性"),
+    ("ch5", "アカウント・認可設計", "認証・認可・権限分離"),
+    ("ch6", "データ設計", "データモデル・ストレージ・保護"),
+    ("ch7", "アプリケーション・サービス設計", "アプリ構成・連携・メッセージング"),
+    ("ch8", "可用性設計", "SLI/SLO/SLA, DR/BCP"),
+    ("ch9", "性能設計", "性能目標・スケーラビリティ"),
+    ("ch10", "セキュリティ設計", "脅威モデル・暗号化・監査"),
+    ("ch11", "運用設計", "監視・アラート・デプロイ・バックアップ"),
+    ("ch12", "コスト設計", "コスト見積・最適化"),
+    ("ch13", "拡張性・保守性設計", "機能追加・ベンダロックイン回避"),
+    ("ch14", "移行設計", "移行方針・手順・ロールバック"),
+    ("ch15", "補足", "リスク・前提・改訂履歴・参照文書"),
+)
+ITEMS = (
+    ("ch1", "1.1", "本書の目的", "must", "構築目的、対象システム、想定読者、期待される成果"),
+    ("ch1", "1.2", "スコープ", "must", "対象範囲・対象外範囲・関連システムとの境界"),
+    ("ch1", "1.3", "関係者・体制", "must", "体制図、責任範囲、エスカレーションパス、ベンダー"),
+    ("ch1", "1.4", "用語定義", "recommended", "略語・固有用語・本書独自用語の定義"),
+    ("ch1", "1.5", "参照文書", "recommended", "関連設計書・規格・既存運用文書の一覧"),
+    ("ch1", "1.6", "改訂履歴", "must", "版番号、改訂日、改訂内容、承認者"),
+    ("ch2", "2.1", "業務要件", "must", "業務目的、現状業務、改善目標"),
+    ("ch2", "2.2", "機能要件", "must", "ユースケース、機能一覧、優先度、入出力"),
+    ("ch2", "2.3", "非機能要件 (NFR)", "must", "WAF 5 柱 (OE/SEC/REL/PERF/COST) について各々定量目標"),
+    ("ch2", "2.4", "制約条件", "recommended", "法令・社内ポリシー・ベンダ依存・予算・スケジュール"),
+    ("ch2", "2.5", "前提条件", "recommended", "業務前提、技術前提、環境前提"),
+    ("ch3", "3.1", "全体構成図", "must", "物理構成 + 論理構成 (両方)、凡例"),
+    ("ch3", "3.2", "構成要素一覧", "must", "各コンポーネント、役割、提供元、版数"),
+    ("ch3", "3.3", "データフロー", "recommended", "システム間/コンポーネント間のデータの流れ"),
+    ("ch3", "3.4", "ステークホルダ視点", "recommended", "利用者/運用者/監査の各視点での見え方"),
+    ("ch3", "3.5", "環境構成", "must", "本番/検証/開発環境の構成と差異"),
+    ("ch4", "4.1", "ネットワーク構成", "must", "VPC/サブネット/AZ 構成、IP アドレス体系"),
+    ("ch4", "4.2", "接続要件", "must", "利用プロトコル、ポート、暗号化要件"),
+    ("ch4", "4.3", "経路設計", "must", "ルーティング、Direct Connect/VPN、NAT/PAT"),
+    ("ch4", "4.4", "帯域・遅延設計", "recommended", "想定帯域、SLA、レイテンシ目標"),
+    ("ch4", "4.5", "冗長化", "must", "SPOF 排除、フェイルオーバ、BGP/HA"),
+    ("ch4", "4.6", "DNS 設計", "must", "名前解決方針、DNS サーバ、ゾーン設計"),
+    ("ch5", "5.1", "アカウント方針", "must", "人/サービスの分類、命名規則、ライフサイクル"),
+    ("ch5", "5.2", "認証方式", "must", "パスワードポリシー、MFA、SSO、フェデレーション"),
+    ("ch5", "5.3", "認可・権限分離", "must", "最小権限原則、ロール設計、ABAC/RBAC"),
+    ("ch5", "5.4", "職務分掌 (SoD)", "recommended", "開発/運用/監査の権限分離"),
+    ("ch5", "5.5", "アカウント棚卸", "recommended", "定期見直しサイクル、退職者処理"),
+    ("ch6", "6.1", "データモデル", "recommended", "エンティティ、関連、属性 (アプリ依存)"),
+    ("ch6", "6.2", "ストレージ設計", "must", "種別 (DB/オブジェクト/ブロック)、容量、IOPS"),
+    ("ch6", "6.3", "データ保護", "must", "暗号化 (in-transit, at-rest)、鍵管理"),
+    ("ch6", "6.4", "バックアップ・リカバリ", "must", "RPO/RTO、頻度、保管期間、リストア手順"),
+    ("ch6", "6.5", "データライフサイクル", "recommended", "保存期間、廃棄ポリシー、アーカイブ"),
+    ("ch6", "6.6", "ログ保管", "must", "監査ログ・アプリログの保管期間と取扱"),
+    ("ch7", "7.1", "アプリ構成", "must", "コンポーネント構成、デプロイ方式"),
+    ("ch7", "7.2", "外部 IF", "must", "API、メッセージング、ファイル連携"),
+    ("ch7", "7.3", "内部連携", "recommended", "サービス間通信、認証伝播"),
+    ("ch7", "7.4", "エラーハンドリング", "recommended", "異常系設計、リトライ、サーキットブレーカー"),
+    ("ch8", "8.1", "SLI/SLO/SLA", "must", "サービス指標、目標、契約レベル"),
+    ("ch8", "8.2", "単一障害点", "must", "SPOF の特定と対策"),
+    ("ch8", "8.3", "DR (災害対策)", "must", "DR 方針、リージョン構成、RPO/RTO"),
+    ("ch8", "8.4", "BCP (事業継続)", "recommended", "業務継続計画、復旧手順"),
+    ("ch8", "8.5", "訓練・演習", "recommended", "切替訓練、リハーサル計画"),
+    ("ch9", "9.1", "性能目標", "must", "スループット、レスポンスタイム、同時接続数"),
+    ("ch9", "9.2", "容量見積", "must", "データ容量、ピーク負荷、伸び率"),
+    ("ch9", "9.3", "スケーラビリティ", "must", "スケールアウト/アップ方針、自動化"),
+    ("ch9", "9.4", "ボトルネック分析", "recommended", "想定ボトルネック、対策"),
+    ("ch9", "9.5", "性能試験計画", "recommended", "負荷試験のシナリオ、ツール、合格基準"),
+    ("ch10", "10.1", "脅威モデル", "must", "STRIDE 等での脅威分析"),
+    ("ch10", "10.2", "ネットワーク境界防御", "must", "FW、WAF、IDS/IPS"),
+    ("ch10", "10.3", "エンドポイント防御", "recommended", "アンチウィルス、EDR"),
+    ("ch10", "10.4", "データ暗号化", "must", "in-transit, at-rest、鍵管理 (KMS)"),
+    ("ch10", "10.5", "監査ログ", "must", "取得対象、改ざん防止、保管"),
+    ("ch10", "10.6", "インシデント対応", "must", "検知/通報/復旧プロセス"),
+    ("ch10", "10.7", "脆弱性管理", "recommended", "スキャン、パッチ管理"),
+    ("ch10", "10.8", "法令・規制対応", "recommended", "個人情報保護法、業界規制"),
+    ("ch11", "11.1", "監視設計", "must", "メトリクス、ログ、トレース、ダッシュボード"),
+    ("ch11", "11.2", "アラート", "must", "閾値、通知先、エスカレーション"),
+    ("ch11", "11.3", "オンコール体制", "recommended", "当番制、シフト、エスカレーションパス"),
+    ("ch11", "11.4", "デプロイ・リリース", "must", "デプロイ方式、ロールバック手順"),
+    ("ch11", "11.5", "構成管理", "recommended", "IaC、変更履歴、承認プロセス"),
+    ("ch11", "11.6", "バックアップ運用", "must", "取得頻度、検証、保管"),
+    ("ch11", "11.7", "定期作業", "recommended", "パッチ、ローテーション、棚卸"),
+    ("ch12", "12.1", "コスト見積", "must", "月額/年額、内訳 (リソース別)"),
+    ("ch12", "12.2", "コスト最適化", "recommended", "リザーブドインスタンス、Spot、Auto Scaling"),
+    ("ch12", "12.3", "予算管理", "recommended", "予算アラート、承認フロー"),
+    ("ch12", "12.4", "コスト削減シナリオ", "optional", "スケールダウン手順、廃止計画"),
+    ("ch13", "13.1", "機能拡張への対応", "recommended", "機能追加時のインパクト、拡張ポイント"),
+    ("ch13", "13.2", "ベンダロックイン回避", "recommended", "標準準拠、移行可能性"),
+    ("ch13", "13.3", "技術的負債管理", "optional", "既知の負債、解消計画"),
+    ("ch13", "13.4", "ドキュメント保守", "must", "改訂サイクル、責任者"),
+    ("ch14", "14.1", "移行方針", "must", "一括/段階、並行稼働の有無"),
+    ("ch14", "14.2", "移行手順", "must", "切替手順、検証手順"),
+    ("ch14", "14.3", "ロールバック計画", "must", "失敗時の戻し方、判定基準"),
+    ("ch14", "14.4", "データ移行", "must", "データ変換、検証、整合性確認"),
+    ("ch14", "14.5", "利用者影響", "recommended", "サービス停止時間、利用者通知"),
+    ("ch15", "15.1", "リスクと前提", "must", "リスク一覧、対応方針、未決事項"),
+    ("ch15", "15.2", "課題管理", "recommended", "未決事項一覧、責任者、期限"),
+    ("ch15", "15.3", "別紙・付録", "optional", "詳細データ、参考情報"),
+)
 WEIGHTS = {"must": 3, "recommended": 2, "optional": 1}
 CRITICAL_CHAPTERS = ("ch1", "ch2", "ch3", "ch8", "ch10", "ch11", "ch15")
 SET_WIDE_ITEMS = ("1.3", "1.6")
@@ -151,20 +153,12 @@ GENERIC_HEAD, LAST_CHAPTER, LEAST_CHAPTERS = 2000, 15, 3
 
 def standard_chapters() -> list[tuple[int, str, str, str]]:
     """(place, chapter_id, name, purpose)."""
-    rows = [line[2:].split(" | ") for line in STANDARD.strip().splitlines() if line.startswith("# ")]
-    return [(i + 1, *row) for i, row in enumerate(rows)]
+    return [(i, *row) for i, row in enumerate(CHAPTERS, 1)]
 
 
 def standard_items() -> list[tuple[str, str, str, str, int, str]]:
     """(chapter_id, item_id, name, necessity, weight, expected content)."""
-    out, chapter = [], ""
-    for line in STANDARD.strip().splitlines():
-        parts = line.removeprefix("# ").split(" | ")
-        if line.startswith("# "):
-            chapter = parts[0]
-        else:
-            out.append((chapter, parts[0], parts[1], parts[2], WEIGHTS[parts[2]], parts[3]))
-    return out
+    return [(chapter, item, name, necessity, WEIGHTS[necessity], expected) for chapter, item, name, necessity, expected in ITEMS]
 
 
 def dim_chapter(spark: SparkSession) -> DataFrame:
