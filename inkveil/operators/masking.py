@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions.detectors import DETECTORS, IDENTIFYING, PLACEHOLDER, SECRET, Detector, has_legal_entity, has_marker, public_term
 from inkveil.functions.text import estimate_tokens
+from inkveil.sources.scratch import materialised
 
 OUTBOUND_CHARS, PREVIEW_CHARS, MANY = 16000, 1200, 25
 RISKS = ("low", "medium", "high")
@@ -78,11 +79,11 @@ def number_sets(masked: DataFrame, keys: Sequence[str] = ("review_id", "doc_ord"
     values = masked.select(review, order, F.posexplode(F.transform("seen", lambda s: F.struct(s["category"].alias("category"), s["token"].alias("token"), s["value"].alias("value"), s["rule_ord"].alias("rule_ord"), F.when(F.contains(s["value"], F.lit("[")), spell(s["value"])).otherwise(s["value"]).alias("name")))).alias("pos", "s")).select(review, order, "pos", "s.*")
     first = values.groupBy(review, "category", "name").agg(F.min(F.struct(order, "rule_ord", "pos", "value")).alias("first"))
     numbered = first.withColumn("n", F.row_number().over(Window.partitionBy(review, "category").orderBy("first"))).withColumn("placeholder", token(F.col("category"), F.col("n")))
-    local = values.join(numbered.select(review, "category", "name", "placeholder"), [review, "category", "name"]).groupBy(review, order).agg(F.map_from_entries(F.collect_list(F.struct("token", "placeholder"))).alias("_names"))
-    out = masked.join(local, [review, order], "left")
+    local = values.join(numbered.select(review, "category", "name", "placeholder").hint("merge"), [review, "category", "name"]).groupBy(review, order).agg(F.map_from_entries(F.collect_list(F.struct("token", "placeholder"))).alias("_names"))
+    out = masked.join(local.hint("merge"), [review, order], "left")
     out = out.withColumn("masked", renamed(F.col("masked"), F.col("_names"))).withColumn("seen", F.transform("seen", lambda s: F.struct(s["category"].alias("category"), renamed(s["value"], F.col("_names")).alias("value"), F.coalesce(F.element_at("_names", s["token"]), s["token"]).alias("token"), s["rule_ord"].alias("rule_ord"))))
     at_first = numbered.select(F.col(review), F.col(f"first.{order}").alias(order), "category", "placeholder", "n", F.col("first.value").alias("value"))
-    ledger = at_first.join(local, [review, order], "left").select(review, "placeholder", renamed(F.col("value"), F.col("_names")).alias("original"), "category", "n")
+    ledger = at_first.join(local.hint("merge"), [review, order], "left").select(review, "placeholder", renamed(F.col("value"), F.col("_names")).alias("original"), "category", "n")
     return out.drop("_names"), ledger
 
 
@@ -103,7 +104,9 @@ def mask_documents(docs: DataFrame, detectors: Sequence[Detector] = DETECTORS, o
     Documents get outbound_text, excerpts, replacements, findings, estimated_input_tokens and outbound_risk. The
     number of replacements counts all values, not the first hundred.
     """
-    masked, ledger = number_sets(masked_text(docs, detectors))
+    rows = masked_text(docs, detectors)
+    # the twelve stages run once, whatever reads their result
+    masked, ledger = number_sets(rows if docs.isStreaming else materialised(rows))
     text = F.coalesce(F.col("text"), F.lit(""))
     records = F.transform("seen", lambda s: F.struct(s["token"].alias("placeholder"), s["value"].alias("original"), s["category"].alias("category")))
     identifying = F.exists("seen", lambda s: s["category"].isin(*IDENTIFYING))
