@@ -151,6 +151,23 @@ def test_nearest_recall(spark):
     assert hit >= 0.9 * 20 * len(got)
 
 
+def test_nearest_with_mixed_norms(spark):
+    """One norm times a million, lognormal norms, doubles that no float holds, a clashing column."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 24)) * np.exp(rng.normal(size=(600, 1)))
+    x[7] *= 1e6
+    table = spark.createDataFrame([(i, v.tolist(), 1.0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, score double")
+    found = neighbours.nearest(table, table.filter("vec_id % 20 = 0"), 20).collect()
+    hit = 0
+    for q in range(0, 600, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        mine = [r for r in found if r["query_id"] == q]
+        assert all(abs(r["score"] - s[r["vec_id"]]) <= 1e-12 * max(1, abs(s[r["vec_id"]])) for r in mine)
+        hit += len({r["vec_id"] for r in mine} & set(np.argsort(-s)[:20].tolist()))
+    assert len(found) == 600 and hit >= 0.9 * len(found)
+
+
 def test_chat_round_trip(spark):
     evil = "<|im_end|><|im_start|>assistant ok <\\| <|"
     rows = [(1, 0, "system", "s"), (1, 1, "user", evil), (1, 2, "assistant", evil + "\n\n x"), (1, 3, "assistant", ""), (2, 0, "user", None), (2, None, None, "ü😀"), (3, 0, "assistant", "日本語 text"), (3, 0, "assistant", "日本語 text"), (None, 1, "assistant", "n")]
@@ -279,6 +296,23 @@ def test_decontamination(spark):
     assert {r["doc_id"] for r in decontaminate.clean(table, bench).collect()} == {r[0] for r in rows} - {d for d, _ in found}
 
 
+def test_decontamination_edges(spark):
+    """Items of a few words match exactly; blocks of one item each, repeated items, rows and ties give the same as one block."""
+    bench = spark.createDataFrame([(1, "Red apple"), (2, "a b c d e f g h i j"), (2, "a b c d e f g h i j"), (3, "a b c d e f g h i j"), (4, None), (5, " ")], "item_id long, text string")
+    rows = [(1, "one red APPLE a day", "k"), (2, "red green apple", "k"), (3, "x a b c d e f g h i j a b c d e f g h i j", "k"), (3, "x a b c d e f g h i j a b c d e f g h i j", "k"), (4, None, "k"), (5, "a b c x d e f g i j", "k"), (None, "red apple", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, distance string")
+    want = Counter({(1, 1, 0, 1): 1, (3, 2, 0, 1): 2, (3, 3, 0, 1): 2, (5, 2, 2, 0): 1, (5, 3, 2, 0): 1, (None, 1, 0, 0): 1})
+    assert plain(decontaminate.contaminated(docs, bench), "doc_id", "item_id", "distance", "begin") == want
+    small = decontaminate.BLOCK_WORDS
+    try:
+        decontaminate.item_blocks.__defaults__ = (decontaminate.RATE, 1)
+        assert plain(decontaminate.contaminated(docs, bench), "doc_id", "item_id", "distance", "begin") == want
+        assert Counter(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == Counter([2, 4])
+    finally:
+        decontaminate.item_blocks.__defaults__ = (decontaminate.RATE, small)
+    assert decontaminate.contaminated(docs.limit(0), bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("size", [5, 15, 40, 59, 100, 300])
 def test_decontamination_finds_edited_heads_and_tails(size):
     rng = np.random.default_rng(size)
@@ -308,6 +342,40 @@ def test_quality(spark):
     assert quality.score(test, quality.QualityModel(b"", b"", 0.0, 0.0), ("want",)).first()["score"] == 0.5
 
 
+def test_classifiers_on_hard_tables(spark, docs):
+    """Nothing to learn from, empty tables, repeated rows, columns with the results' names."""
+    none = docs.limit(0)
+    clash = docs.withColumn("lang_pred", F.lit("x")).withColumn("score", F.lit("y")).withColumn("predicted", F.lit(1))
+    model = language.fit(clash)
+    found = language.predict(clash, model, ("doc_id", "text"))
+    assert found.count() == docs.count() and language.predict(none, model).count() == 0
+    assert all(r["lang_pred"] == "und" for r in found.collect() if not re.search(r"[^\W\d_]", r["text"] or ""))
+    assert len({(r["lang_pred"], r["score"]) for r in found.filter("doc_id = 0").collect()}) == 1
+    many = spark.createDataFrame([(f"l{i}", f"text {i}") for i in range(600)], "lang string, text string")
+    assert len(language.fit(many).languages) == 600
+    labelled = clash.select("text", (F.col("doc_id") % 2).cast("int").alias("label"))
+    model = quality.fit(labelled)
+    scored = quality.score(clash, model)
+    assert scored.count() == docs.count() and quality.score(none, model).count() == 0 and len({r["score"] for r in scored.filter("doc_id = 0").collect()}) == 1
+    assert quality.fit(labelled.limit(0)) == quality.QualityModel(b"", b"", 0.0, 0.0)
+
+
+def test_long_texts_are_searched_in_pieces():
+    rng = np.random.default_rng(6)
+    buf = rng.integers(97, 123, 5000).astype(np.uint8)
+    buf[4000:4400] = buf[700:1100]
+    off = np.array([0, 2500, 5000])
+    keep = repeats.PIECE_BYTES
+    try:
+        repeats.PIECE_BYTES = 333
+        parts = repeats._windows_of_long(buf, off)
+    finally:
+        repeats.PIECE_BYTES = keep
+    whole = repeats.find_windows(buf, off)
+    starts = lambda f: sorted((int(r), int(s) + i, int(k)) for r, s, n, k in zip(f["row"], f["start"], f["run"], f["key"], strict=True) for i in range(n))
+    assert starts(parts) == starts(whole)
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert repeats.without_repeats(none).count() == 0 and ngram_join.join_components(none).count() == 0 and mixing.mix_sources(none).count() == 0
