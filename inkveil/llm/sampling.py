@@ -21,6 +21,7 @@ def least_hashed(rows: DataFrame, label: str, most: int, *values: str) -> list[R
     below = [(r[label], min(2**63 - 1, int(2**64 * MARGIN * (most + 20) / r["count"]) - 2**63)) for r in counts]
     # one short row for each label
     bounds = rows.sparkSession.createDataFrame(below, rows.select(label).schema.add("_below", "long")).withColumnRenamed(label, "_label").hint("broadcast")
-    few = rows.join(bounds, F.col(label) == F.col("_label")).filter(F.col("h") <= F.col("_below")).select(label, "h", *values).dropDuplicates([label, "h"])
+    under = rows.filter(F.col("h") <= below[0][1]) if len(below) == 1 else rows.join(bounds, F.col(label) == F.col("_label")).filter(F.col("h") <= F.col("_below"))
+    few = under.select(label, "h", *values).dropDuplicates([label, "h"])
     rank = F.row_number().over(Window.partitionBy(label).orderBy("h"))
     return few.withColumn("_n", rank).filter(F.col("_n") <= most).drop("_n").orderBy(label, "h").collect()
