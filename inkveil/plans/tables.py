@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from inkveil.functions.text import estimate_tokens
 
+# Words of the derived designs: those of the standard structure, and vague ones.
+DESIGN_WORDS = ("目的と背景", "業務要件と機能要件", "全体構成と構成図", "ネットワークとVPC", "認証と権限", "適宜確認する", "監視とアラート", "可用性とDR、RTO", "必要に応じて切替える", "暗号と監査ログ", "運用とバックアップ", "冗長化する", "関係者と体制", "移行と切戻し", "リスクと前提")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -79,11 +82,10 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def designs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Design-like texts: a document's whole text in 3 to 14 chapters of equal length, with words of the standard structure that depend on its id."""
-    words = ("目的と背景", "業務要件と機能要件", "全体構成と構成図", "ネットワークとVPC", "認証と権限", "適宜確認する", "監視とアラート", "可用性とDR、RTO", "必要に応じて切替える", "暗号と監査ログ", "運用とバックアップ", "冗長化する", "関係者と体制", "移行と切戻し", "リスクと前提")
     k = F.col("doc_id")
     chapters = F.pmod(k, F.lit(12)) + 3
     size = F.ceil(F.length("text") / chapters).cast("int")
-    chapter = lambda i: F.concat(F.lit("第 "), (i + 1).cast("string"), F.lit(" 章 "), F.element_at(F.array(*map(F.lit, words)), (i + 1).cast("int")), F.lit("\n"), F.substring(F.col("text"), (i * size + 1).cast("int"), size), F.lit("\n"), F.element_at(F.array(*map(F.lit, words)), (F.pmod(k + i, F.lit(15)) + 1).cast("int")))
+    chapter = lambda i: F.concat(F.lit("第 "), (i + 1).cast("string"), F.lit(" 章 "), F.element_at(F.array(*map(F.lit, DESIGN_WORDS)), (i + 1).cast("int")), F.lit("\n"), F.substring(F.col("text"), (i * size + 1).cast("int"), size), F.lit("\n"), F.element_at(F.array(*map(F.lit, DESIGN_WORDS)), (F.pmod(k + i, F.lit(15)) + 1).cast("int")))
     text = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), chapters - 1), chapter), "\n")
     return table(spark, sf_dir, "documents").select(F.floor(k / 20).alias("review_id"), (k % 20).cast("int").alias("doc_ord"), F.concat(F.lit("基本設計"), k.cast("string"), F.lit(".docx")).alias("name"), text.alias("text"))
 
