@@ -5,8 +5,8 @@ from __future__ import annotations
 import re
 
 from inkveil.functions.text import squeeze_word
-from inkveil.operators import risk, structure
-from inkveil.plans.queries import ORACLES
+from inkveil.operators import remediation, risk, structure
+from inkveil.plans.queries import _ISSUE_SQL, ORACLES
 from inkveil.plans.tables import DESIGN_WORDS
 
 
@@ -39,7 +39,7 @@ def _missing(column: str, needed) -> str:
 
 # c: the chapters of the derived designs; d: the designs
 _DESIGNS = f"""k AS (SELECT doc_id, text, doc_id % 12 + 3 AS n, CAST(ceil(length(text) / (doc_id % 12 + 3)) AS BIGINT) AS size, {_list(DESIGN_WORDS)} AS words FROM documents),
-c AS (SELECT CAST(floor(doc_id / 20) AS BIGINT) AS review_id, CAST(doc_id % 20 AS INTEGER) AS doc_ord, '基本設計' || doc_id || '.docx' AS name, i AS chapter_ord, 'ch' || (i + 1) AS chapter_id, '第 ' || (i + 1) || ' 章 ' || words[i + 1] AS label,
+c AS (SELECT CAST(floor(doc_id / 20) AS BIGINT) AS review_id, CAST(doc_id % 20 AS INTEGER) AS doc_ord, '基本設計' || doc_id || '.docx' AS name, CAST(i AS INTEGER) AS chapter_ord, 'ch' || (i + 1) AS chapter_id, '第 ' || (i + 1) || ' 章 ' || words[i + 1] AS label,
   '第 ' || (i + 1) || ' 章 ' || words[i + 1] || chr(10) || substring(text, i * size + 1, size) || chr(10) || words[(doc_id + i) % 15 + 1] AS body FROM (SELECT *, unnest(range(0, n)) AS i FROM k)),
 d AS (SELECT review_id, doc_ord, name, string_agg(body, chr(10) ORDER BY chapter_ord) AS text FROM c GROUP BY ALL)"""
 
@@ -159,3 +159,91 @@ d AS (SELECT CAST(c_custkey AS BIGINT) AS review_id, c_name || ' of ' || name AS
 t AS (SELECT review_id, name, row_number() OVER (PARTITION BY review_id ORDER BY strpos(said, name), canonical) AS k FROM d JOIN n ON contains(said, name) WHERE n_nationkey % 2 = 0 OR review_id % 2 = 1),
 b AS (SELECT review_id, arg_max(name, length(name)) AS name, arg_max(k, length(name)) AS k FROM t GROUP BY review_id)
 SELECT review_id, 0 AS doc_ord, CASE WHEN b.name IS NULL THEN said ELSE replace(said, b.name, '[SITE_' || lpad(b.k::VARCHAR, 3, '0') || ']') END AS outbound_text FROM d LEFT JOIN b USING (review_id)"""
+
+# summaries of the reviewer for the first chapter of every third document; all else are excerpts
+ORACLES["p18_chapter_overviews"] = rf"""WITH {_FINDINGS},
+own AS (SELECT review_id, chapter_id, source_document, count(*) AS n FROM f WHERE coalesce(source_document, '') <> '' GROUP BY ALL),
+any_doc AS (SELECT review_id, chapter_id, count(*) AS n FROM f WHERE coalesce(source_document, '') = '' GROUP BY ALL),
+o AS (SELECT c.review_id, doc_ord, name AS source_document, chapter_ord, c.chapter_id, label AS chapter_label,
+  CASE WHEN doc_ord % 3 = 0 AND c.chapter_id = 'ch1' THEN 'summary' ELSE substring(trim(regexp_replace(body, '[\s\x0B\x{{85}}\p{{Z}}]+', ' ', 'g')), 1, 220) END AS summary, '' AS review,
+  coalesce(own.n, 0) + coalesce(any_doc.n, 0) AS n_findings FROM c
+  LEFT JOIN own ON own.review_id = c.review_id AND own.chapter_id = c.chapter_id AND own.source_document = c.name LEFT JOIN any_doc ON any_doc.review_id = c.review_id AND any_doc.chapter_id = c.chapter_id)
+SELECT *, true AS needs_deep_dive, n_findings || ' findings' AS reason FROM o WHERE n_findings > 0"""
+
+ORACLES["s22_review_payload"] = f"""WITH {_FINDINGS},
+l AS (SELECT review_id, doc_ord, string_agg(label, chr(10) ORDER BY chapter_ord) AS labels FROM c GROUP BY ALL),
+p AS (SELECT review_id, row_number() OVER s AS k, '文書 ' || row_number() OVER s || '/' || count(*) OVER (PARTITION BY review_id) || ': ' || name || chr(10) || text || chr(10) || labels AS part
+  FROM d JOIN l USING (review_id, doc_ord) WINDOW s AS (PARTITION BY review_id ORDER BY doc_ord)),
+b AS (SELECT review_id, string_agg(part, chr(10) || chr(10) ORDER BY k) AS body FROM p GROUP BY review_id),
+r AS (SELECT review_id, concat_ws(' ', severity, kind, chapter_name, item_name) AS line, row_number() OVER (PARTITION BY review_id ORDER BY list_position(['high', 'medium', 'low', 'info'], severity), kind, chapter_id NULLS FIRST, item_id NULLS FIRST) AS k FROM f),
+g AS (SELECT review_id, string_agg(line, chr(10) ORDER BY k) FILTER (k <= 20) AS findings, count(*) - 20 AS more FROM r GROUP BY review_id)
+SELECT review_id, concat_ws(chr(10) || chr(10), body, findings, CASE WHEN more > 0 THEN 'n more: ' || more END) AS payload FROM b LEFT JOIN g USING (review_id)"""
+
+# (when the derived script has the line, title, the line)
+_LINES = [
+    ("k % 3 = 0", "ハードコードされた認証情報の疑い", None),
+    ("k % 7 = 0", "危険なコマンド実行の可能性", "os.system(cmd)"),
+    ("k % 4 = 0", "TLS/証明書検証を無効化している可能性", "requests.post(url, timeout=3, verify=False)"),
+    ("k % 5 = 0 AND k % 4 <> 0", "外部通信のタイムアウトが不明確", "requests.get(url)"),
+    ("k % 13 = 0", "破壊的または運用影響の大きい処理に安全ガードが不足", 'run("rm -rf /tmp/x")'),
+    ("k % 2 = 0", "入力イベントを丸ごとログ出力している", "print(event)"),
+    ("k % 11 = 0", "例外処理が広すぎる可能性", "except Exception:"),
+]
+_EVIDENCE = " UNION ALL ".join(
+    f"SELECT k, {_text(title)} AS title, list_position(lines, {_text(line or 'password = ' + chr(34) + 'abc123' + chr(34))}) AS line, {_text(line or '認証情報らしき代入を検出（値は表示しません）')} AS shown FROM e WHERE {when}"
+    for when, title, line in _LINES
+)
+ORACLES["p7_code_evidence"] = f"""WITH e AS (SELECT event_id AS k, list_filter(['def run_' || event_id, CASE WHEN event_id % 2 = 0 THEN 'print(event)' END, CASE WHEN event_id % 3 = 0 THEN 'password = "abc123"' END, CASE WHEN event_id % 5 = 0 THEN 'requests.get(url)' END,
+  CASE WHEN event_id % 7 = 0 THEN 'os.system(cmd)' END, CASE WHEN event_id % 11 = 0 THEN 'try:' END, CASE WHEN event_id % 11 = 0 THEN 'pass' END, CASE WHEN event_id % 11 = 0 THEN 'except Exception:' END, CASE WHEN event_id % 11 = 0 THEN 'pass ' END,
+  CASE WHEN event_id % 4 = 0 THEN 'requests.post(url, timeout=3, verify=False)' END, CASE WHEN event_id % 13 = 0 THEN 'run("rm -rf /tmp/x")' END], lambda x: x IS NOT NULL) AS lines FROM events),
+v AS ({_EVIDENCE})
+SELECT CAST(floor(k / 20) AS BIGINT) AS review_id, 'job' || k || '.py' AS name, title, 'run_' || k || ' 内 / ' || line || '行目付近: ' || shown AS evidence, 'run_' || k || ' 内 / ' || line || '行目付近' AS section, line::VARCHAR AS line, 'python' AS language, 1 AS functions FROM v"""
+
+
+def _or(value: str, default: str) -> str:
+    return f"coalesce(nullif(trim({value}, ' '), ''), {default})"
+
+
+_CONDITION = "CASE severity WHEN 'high' THEN '「' || target_section || '」の修正後に必ず再レビュー' WHEN 'medium' THEN '「' || target_section || '」の差分を再レビュー' ELSE '「' || target_section || '」を次回レビュー時に確認' END"
+_ITEMS = f"""{_FINDINGS}, {_ISSUE_SQL},
+t AS (SELECT i.*, substring(text, n + 1, n) AS details, substring(text, 1, n) AS issue, substring(text, 2 * n + 1, n) AS recommendation, 'doc' || doc_id AS doc, '第 ' || (doc_id % 15 + 1) || ' 章' AS section, review_id % 4 = 0 AS code
+  FROM i JOIN (SELECT doc_id, text, CAST(ceil(length(text) / 3) AS BIGINT) AS n FROM documents) USING (doc_id)),
+u AS (
+  SELECT review_id, 'ISSUE-' || upper(sha256(doc || '|' || section || '|' || title)[1:8]) AS item_id, 'review_issue' AS source_type, severity, {_or("title", "'レビュー指摘'")} AS title, doc AS target_document, section AS target_section,
+    {_or("issue", _or("details", "title"))} AS problem, {_or("recommendation", "'指摘箇所に、判断根拠・設計方針・完了条件を追記してください。'")} AS fix_policy, {_or("recommendation", "''")} AS said,
+    '未対応時の影響を記載してください。' AS impact, '読み手が設計判断、根拠、運用時の判断基準を追えること。' AS completion_condition,
+    CASE WHEN code THEN 'code_analysis' ELSE '' END AS review_mode, CASE WHEN code THEN 'model' ELSE '' END AS basis, CASE WHEN code THEN 'low' ELSE '' END AS confidence FROM t WHERE severity <> 'info'
+  UNION ALL SELECT review_id, {_or("item_id", _or("chapter_id", "kind"))}, 'structure_check', severity, heading, {_or("source_document", "'文書全体'")}, {_or("chapter_name", _or("item_name", "'文書全体'"))}, heading, expected_content, expected_content,
+    '章立てや必須要素が不足すると、読み手が設計判断・責任範囲・運用条件を追いにくくなります。', '不足観点が独立した見出しまたは明確な本文として確認できること。', '', '', ''
+  FROM (SELECT *, CASE kind WHEN 'missing_chapter' THEN '不足観点: ' || chapter_name WHEN 'required_item_gap' THEN '必須要素不足: ' || item_name ELSE '構成整理: ' || chapter_name END AS heading FROM f)
+  WHERE severity IN ('high', 'medium') AND NOT (review_id % 4 = 0 AND review_id IN (SELECT review_id FROM i))
+),
+ranked AS (SELECT *, list_position(['high', 'medium', 'low'], severity) AS s, source_type <> 'structure_check' AS second FROM u),
+once AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY review_id, source_type, target_document, target_section, title ORDER BY s, item_id) = 1),
+items AS (SELECT review_id, item_id, source_type, severity, title, target_document, target_section, problem, fix_policy, '【' || target_section || '】' || chr(10) || said AS template, target_document || ' / ' || target_section AS re_review_scope,
+  {_CONDITION} AS re_review_condition, CASE severity WHEN 'high' THEN '大' WHEN 'medium' THEN '中' ELSE '小' END AS effort, 'initial' AS origin, '' AS current_state, impact, completion_condition, review_mode, '' AS evidence_line, basis, confidence,
+  CAST(row_number() OVER (PARTITION BY review_id ORDER BY s, second, target_document, target_section, item_id, title) AS INTEGER) AS work_ord FROM once QUALIFY work_ord <= {remediation.MAX_ITEMS})"""
+ORACLES["p14_remediation_items"] = f"WITH {_ITEMS} SELECT * FROM items"
+
+
+def _said(texts) -> str:
+    return f"{_list(texts)}[code + 1]"
+
+
+ORACLES["p14_steps"] = f"""WITH {_ITEMS},
+n AS (SELECT review_id, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM items GROUP BY review_id),
+p AS (SELECT DISTINCT review_id, (review_id % 4 = 0)::INTEGER AS code FROM i),
+s AS (SELECT review_id, code, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low FROM p LEFT JOIN n USING (review_id)),
+h AS (SELECT *, CASE WHEN high > 0 THEN {_said(remediation.HEADLINES["high"])} WHEN medium > 0 THEN {_said(remediation.HEADLINES["medium"])} WHEN low > 0 THEN {_said(remediation.HEADLINES["low"])} ELSE {_said(remediation.HEADLINES[""])} END AS headline FROM s),
+steps AS (SELECT review_id, 1 AS step_ord, {_said(remediation.STEPS["high"])} AS step, high AS n_items FROM h WHERE high > 0 UNION ALL SELECT review_id, 2, {_said(remediation.STEPS["medium"])}, medium FROM h WHERE medium > 0
+  UNION ALL SELECT review_id, 3, {_said(remediation.STEPS[""])}, high + medium + low FROM h)
+SELECT review_id, step_ord, step, n_items, high, medium, low, headline FROM steps JOIN h USING (review_id)"""
+
+_SQUEEZED_TEXT = r"trim(regexp_replace(text, '[\s\x0B\x{85}\p{Z}]+', ' ', 'g'))"
+ORACLES["p19_local_summary"] = rf"""WITH {_DESIGNS}, {_ISSUE_SQL},
+l AS (SELECT review_id, doc_ord, string_agg(label, ' / ' ORDER BY chapter_ord) AS labels FROM c WHERE chapter_ord < 5 GROUP BY ALL),
+r AS (SELECT review_id, doc_ord, name || ': ' || labels AS line, coalesce(nullif(regexp_extract(text, '(本(?:書|資料|手順書)は[^。\n]*。?)', 1), ''), substring({_SQUEEZED_TEXT}, 1, 180)) AS purpose FROM d JOIN l USING (review_id, doc_ord)
+  QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY doc_ord) <= 5),
+o AS (SELECT review_id, arg_min(purpose, doc_ord) AS purpose, string_agg(line, chr(10) ORDER BY doc_ord) AS content_outline FROM r GROUP BY review_id),
+n AS (SELECT review_id, 'high ' || count(*) FILTER (severity = 'high') || ', medium ' || count(*) FILTER (severity = 'medium') || ', low ' || count(*) FILTER (severity = 'low') AS said FROM i GROUP BY review_id)
+SELECT review_id, purpose, content_outline, coalesce(said, 'high 0, medium 0, low 0') AS overall_evaluation FROM o LEFT JOIN n USING (review_id)"""
