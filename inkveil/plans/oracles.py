@@ -247,3 +247,21 @@ r AS (SELECT review_id, doc_ord, name || ': ' || labels AS line, coalesce(nullif
 o AS (SELECT review_id, arg_min(purpose, doc_ord) AS purpose, string_agg(line, chr(10) ORDER BY doc_ord) AS content_outline FROM r GROUP BY review_id),
 n AS (SELECT review_id, 'high ' || count(*) FILTER (severity = 'high') || ', medium ' || count(*) FILTER (severity = 'medium') || ', low ' || count(*) FILTER (severity = 'low') AS said FROM i GROUP BY review_id)
 SELECT review_id, purpose, content_outline, coalesce(said, 'high 0, medium 0, low 0') AS overall_evaluation FROM o LEFT JOIN n USING (review_id)"""
+
+_LOW = r"lower(regexp_replace(trim({}, ' '), '[\s\x0B\x{{85}}\p{{Z}}]+', '', 'g'))"
+_COMPARED = rf"""{_ITEMS},
+whole AS (SELECT review_id, string_agg(text, chr(10) ORDER BY doc_ord) AS text FROM d GROUP BY review_id),
+m AS (SELECT q.*, {_LOW.format("coalesce(nullif(d.text, ''), whole.text, '')")} AS t,
+  list_filter(list_transform(regexp_extract_all(regexp_replace(concat_ws(chr(10), title, target_section, problem, fix_policy, template, re_review_condition), '{remediation.CONNECTIVES}', ' ', 'g'), '[A-Za-z][A-Za-z0-9_-]{{1,}}|[一-龥ぁ-んァ-ヶー]{{2,}}'),
+    lambda x: trim(x, ' _-:：・、。,.()（）[]【】「」『』')), lambda x: length(x) BETWEEN 2 AND 32 AND lower(x) NOT IN ({", ".join(map(_text, remediation.STOPWORDS))})) AS useful
+  FROM items q LEFT JOIN d ON d.review_id = q.review_id AND d.name = q.target_document JOIN whole ON whole.review_id = q.review_id),
+z AS (SELECT *, list_transform(useful, lambda x: lower(x)) AS low FROM m),
+y AS (SELECT *, list_filter(useful, lambda x, i: list_position(low, lower(x)) = i)[1:{remediation.MAX_TERMS}] AS terms FROM z),
+x AS (SELECT *, list_filter(terms, lambda x: contains(t, {_LOW.format("x")})) AS matched, target_section NOT IN ('', {", ".join(map(_text, remediation.NOWHERE))}) AND contains(t, {_LOW.format("target_section")}) AS named FROM y),
+w AS (SELECT *, len(terms) AS n, len(matched) AS k, CASE WHEN len(terms) > 0 THEN len(matched)::DOUBLE / len(terms) ELSE 0 END AS share FROM x),
+compared AS (SELECT review_id, item_id, title, severity, target_document, target_section,
+  CASE WHEN n = 0 THEN 'needs_review' WHEN share >= 0.55::DOUBLE OR (named AND share >= 0.35::DOUBLE) OR k >= 5 THEN 'improved' WHEN share >= 0.25::DOUBLE OR k >= 2 THEN 'partial' ELSE 'not_confirmed' END AS status,
+  round(share, 3) AS score, matched[1:{remediation.SHOWN_TERMS}] AS matched_terms, list_filter(terms, lambda x: NOT list_contains(matched, x))[1:{remediation.SHOWN_TERMS}] AS missing_terms FROM w)"""
+ORACLES["p15_compared_remediation"] = f"WITH {_COMPARED} SELECT * FROM compared"
+ORACLES["a10_comparison_counts"] = f"""WITH {_COMPARED} SELECT review_id, count(*) FILTER (status = 'improved') AS improved, count(*) FILTER (status = 'partial') AS partial,
+count(*) FILTER (status = 'not_confirmed') AS not_confirmed, count(*) FILTER (status = 'needs_review') AS needs_review FROM compared GROUP BY review_id"""
