@@ -265,3 +265,10 @@ compared AS (SELECT review_id, item_id, title, severity, target_document, target
 ORACLES["p15_compared_remediation"] = f"WITH {_COMPARED} SELECT * FROM compared"
 ORACLES["a10_comparison_counts"] = f"""WITH {_COMPARED} SELECT review_id, count(*) FILTER (status = 'improved') AS improved, count(*) FILTER (status = 'partial') AS partial,
 count(*) FILTER (status = 'not_confirmed') AS not_confirmed, count(*) FILTER (status = 'needs_review') AS needs_review FROM compared GROUP BY review_id"""
+
+# there the issues name the designs
+_OF_DESIGNS = _ITEMS.replace("'doc' || doc_id AS doc", "'基本設計' || doc_id || '.docx' AS doc")
+ORACLES["j13_items_to_chapters"] = rf"""WITH {_OF_DESIGNS},
+near AS (SELECT q.review_id, q.item_id, c.chapter_id, label, doc_ord * 100 + chapter_ord AS place, {_LOW.format("label")} AS a, {_LOW.format("target_section")} AS b FROM items q JOIN c ON c.review_id = q.review_id
+  WHERE (contains(target_document, name) OR contains(name, target_document)) AND (contains(a, b) OR contains(b, a)))
+SELECT review_id, item_id, arg_min(chapter_id, place) AS chapter_id, arg_min(label, place) AS chapter_label FROM near GROUP BY ALL"""
