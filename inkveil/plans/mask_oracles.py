@@ -14,7 +14,7 @@ from inkveil.plans.oracles import _list, _text
 from inkveil.plans.queries import ORACLES
 
 _BLANK = r"\s\x0B\x{85}\p{Z}"
-_APART = r"(?:^|[^\p{L}\p{N}\p{M}_])"
+_APART, _END = r"(?:^|[^\p{L}\p{N}\p{M}_])", r"(?:$|[^\p{L}\p{N}\p{M}_])"
 
 
 def _unicode(pattern: str) -> str:
@@ -24,6 +24,12 @@ def _unicode(pattern: str) -> str:
     return re.sub(r"\[(?:\\.|[^\]\\])*\]|\\s", lambda m: f"[{_BLANK}]" if m[0] == r"\s" else m[0].replace(r"\s", _BLANK), pattern)
 
 
+def _bounded(pattern: str) -> str:
+    """Boundaries before the first group or capital, and at the end, by the neighbours."""
+    pattern = _unicode(pattern).replace(r"\b(", f"{_APART}(", 1).replace(r"\b[A-Z]", f"{_APART}[A-Z]")
+    return pattern.removesuffix(r"\b") + (_END if pattern.endswith(r"\b") else "")
+
+
 def _labelled(english: str, japanese: str) -> str:
     return rf"(?im)(^[ \t]*(?:{english})|{_APART}(?:{japanese}))[{_BLANK}]*[:=：]+[{_BLANK}]*([^\r\n,;、；。]{{2,80}})"
 
@@ -43,7 +49,7 @@ def _rule(d: D.Detector) -> tuple[str, int]:
     if d.rule == "D3":
         core = D.IPV6.removeprefix(r"(?U)(?<![\w:])").removesuffix(r"(?![\w:])")
         return rf"(^|[^\p{{L}}\p{{N}}\p{{M}}_:])({core})(?:$|[^\p{{L}}\p{{N}}\p{{M}}_:])", 2
-    return _unicode(d.pattern), d.value
+    return _bounded(d.pattern) if d.value else _unicode(d.pattern), d.value
 
 
 def _token(category: str, n: str) -> str:
@@ -82,12 +88,11 @@ def _renamed(text: str) -> str:
 
 _LAST = f"z{len(D.DETECTORS)}"
 _IDENTIFYING = f"len(list_filter(seen, lambda s: s.category IN ({', '.join(map(_text, D.IDENTIFYING))}))) > 0"
-_SECRET = _unicode(D.SECRET)
 _TESTS = {
-    "secret": (f"regexp_matches(body, {_text(_SECRET)})", 1),
-    "marker": (f"(regexp_matches(body, {_text(_unicode(D.MARKERS[0]))}) OR regexp_matches(body, {_text(D.MARKERS[1])}))", 3),
+    "secret": (f"regexp_matches(body, {_text(_bounded(D.SECRET))})", 1),
+    "marker": (f"(regexp_matches(body, {_text(_bounded(D.MARKERS[0]))}) OR regexp_matches(body, {_text(D.MARKERS[1])}))", 3),
     "identifier": (_IDENTIFYING, 2),
-    "legal": (f"regexp_matches(body, {_text(_unicode(D.LEGAL_ENTITY))})", 2),
+    "legal": (f"regexp_matches(body, {_text(_bounded(D.LEGAL_ENTITY))})", 2),
     "many": (f"len(seen) >= {masking.MANY}", 2),
 }
 _FOUND = ", ".join(f"CASE WHEN {test} THEN {_text(masking.FINDINGS[k])} END" for k, (test, _) in _TESTS.items())
@@ -169,3 +174,6 @@ merged AS (SELECT d.*, t, coalesce(trim(t, ' '), '') <> '' AS used, list_concat(
   FROM documents_ d LEFT JOIN again USING (review_id, doc_ord))
 SELECT review_id, doc_ord, CASE WHEN used THEN t ELSE outbound_text END AS outbound_text, CASE WHEN used THEN list_filter(notes, lambda x, k: list_position(notes, x) = k) ELSE findings END AS findings,
 CASE WHEN used AND outbound_risk = 'low' THEN 'medium' ELSE outbound_risk END AS outbound_risk FROM merged"""
+
+ORACLES["r2_mask_stream"] = f"""WITH source AS ({_TALKS}), {_stages("source", "z")}
+SELECT review_id, doc_ord, name, masked AS outbound_text, CAST(len(seen) AS INTEGER) AS n_replacements, {_tokens("masked")} AS estimated_input_tokens FROM {_LAST}"""
