@@ -80,3 +80,30 @@ good AS (SELECT review_id, issue_id FROM told WHERE NOT ({_claims(replies.SYNTAX
 scored AS (SELECT p.review_id, p.issue_id, chapter_id, label, chapter_ord, CASE WHEN section = label THEN 1000 WHEN named = number THEN 900
   ELSE len(list_intersect({_words("concat_ws(chr(10), title, details, issue)")}, {_words("body")})) END AS score FROM pairs p JOIN own USING (review_id, issue_id) JOIN good USING (review_id, issue_id))
 SELECT review_id, issue_id, arg_max(chapter_id, score * 100 - chapter_ord) AS chapter_id, arg_max(label, score * 100 - chapter_ord) AS chapter_label FROM scored WHERE score >= 2 GROUP BY ALL"""
+
+
+def _has(text: str, words) -> str:
+    return f"len(list_filter({_list(w.lower() for w in words)}, lambda w: contains({text}, w))) > 0"
+
+
+def _fires(r: rules.Rule) -> str:
+    low = f"substring(low, 1, {r.head})" if r.head else "low"
+    some = [f"regexp_matches(text, {_text(p)})" for p in r.some] + ([_has(low, r.some_words)] if r.some_words else [])
+    none = [f"NOT regexp_matches(text, {_text(p)})" for p in r.none] + ([f"NOT ({_has(low, r.none_words)})"] if r.none_words else [])
+    tests = [f"({' OR '.join(some)})" if some else "true", *none, *([f"profile IN ({', '.join(map(_text, r.profiles))})"] if r.profiles else [])]
+    return " AND ".join(tests)
+
+
+def _row(ord_: int, r: rules.Rule) -> str:
+    return f"{{'rule_ord': {ord_}, 'severity': {_text(r.severity)}, 'title': {_text(r.title)}}}"
+
+
+_FIRED = ", ".join(f"CASE WHEN {_fires(r)} THEN {_row(k, r)} END" for k, r in enumerate(rules.REVIEW_RULES))
+_UNAPPROVED = f"CASE WHEN profile = 'change_runbook' AND NOT ({_has('low', rules.RISK_LEVELS)} AND {_has('low', rules.APPROVALS)}) THEN {_row(99, rules.NO_APPROVAL)} END"
+ORACLES["p8_rule_review"] = f"""WITH {_DESIGNS},
+r AS (SELECT review_id, doc_ord, name, text, lower(text) AS low, ['design', 'change_runbook', 'operations_runbook'][review_id % 3 + 1] AS profile FROM d),
+f AS (SELECT review_id, doc_ord, name, profile, unnest([{_FIRED}, {_UNAPPROVED}]) AS x FROM r),
+i AS (SELECT review_id, doc_ord, name, profile, x.rule_ord AS rule_ord, x.severity AS severity, x.title AS title FROM f WHERE x IS NOT NULL),
+e AS (SELECT * FROM i UNION ALL SELECT DISTINCT review_id, 0, '-', profile, 0, {_text(rules.NOTHING.severity)}, {_text(rules.NOTHING.title)} FROM r WHERE NOT EXISTS (FROM i WHERE i.review_id = r.review_id))
+SELECT review_id, doc_ord, name, profile AS document_profile, rule_ord, severity, title, CASE profile {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.ID_PREFIX.items())} END || '-'
+|| CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS issue_id FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY doc_ord, rule_ord, title) AS n FROM e)"""
