@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import chat, decontaminate, language, lm, mixing, neighbours, ngram_join, quality, repeats, secrets
+from inkveil.llm import centroids, chat, decontaminate, language, lm, mixing, neighbours, ngram_join, phrases, quality, repeats, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,5 +74,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, ("doc_id", "held_out"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op2_nearest, op3_ngram_join, op4_chat_format, op5_language_id, op6_lm_score, op7_secret_scan, op8_source_mix, op9_decontaminate, op10_quality)}
-ORACLES = {"op8_source_mix": mixing.ORACLE}
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).filter(F.coalesce(_remainder("doc_id", 3) != 1, F.lit(True)))
+    return toxicity.score(docs, toxicity.fit(docs, labels), ("doc_id", "held_out"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_nearest, op3_ngram_join, op4_chat_format, op5_language_id, op6_lm_score, op7_secret_scan, op8_source_mix, op9_decontaminate, op10_quality, op11_toxicity, op12_phrases, op13_centroids)}
+ORACLES = {"op8_source_mix": mixing.ORACLE, "op12_phrases": phrases.ORACLE, "op13_centroids": centroids.ORACLE}
