@@ -43,7 +43,7 @@ TOP = 2000
 #: The share of a language's frequent words that is open at first, and how much it grows while fewer than TOP phrases survive.
 SHARE, RAISE = 0.125, 8
 NONE = "und"
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: A bitmap has about 16 bits for each entry, and 2**MOST_BITS (32 MB) at most.
 MOST_BITS, PART = 28, 15
 _ENDS, _LOWER = np.zeros(256, bool), np.arange(256, dtype=np.uint8)
@@ -97,7 +97,10 @@ class _Words:
 
 
 def word_counts(docs: DataFrame, seed: int, least: int) -> DataFrame:
-    """lang, code, f of the words that occur ``least`` times, and for each lang one row with code 0 whose f counts all words. shared: the code stands for several words."""
+    """code, own, f of the words that occur ``least`` times, and for each lang one row whose f counts all words.
+
+    own: a hash of the language. shared: the code stands for several words, or the hash for several languages.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -107,14 +110,16 @@ def word_counts(docs: DataFrame, seed: int, least: int) -> DataFrame:
                 langs, place = np.unique(np.array(words.langs, object), return_inverse=True)
                 each = np.bincount(place[words.row], minlength=len(langs))
                 none = np.zeros(len(langs), np.int64)
-                lang = pa.DictionaryArray.from_arrays(pa.array(np.concatenate([place[words.row[at]], np.arange(len(langs))]), pa.int32()), pa.array(langs, pa.string())).cast(pa.string())
-                columns = [np.concatenate([x, y]) for x, y in ((code.view(np.int64), none), (words.check(at).view(np.int64), none), (n, each))]
-                yield pa.RecordBatch.from_arrays([lang, *map(pa.array, columns)], names=["lang", "code", "check", "f"])
+                own = np.array([xxhash.xxh64_intdigest(x, seed) for x in langs], U64).view(np.int64)
+                lang = pa.array([*[None] * len(at), *langs], pa.string())
+                columns = [np.concatenate([x, y]) for x, y in ((code.view(np.int64), none), (own[place[words.row[at]]], own), (words.check(at).view(np.int64), none), (n, each))]
+                yield pa.RecordBatch.from_arrays([lang, *map(pa.array, columns)], names=["lang", "code", "own", "check", "f"])
 
-    rows = docs.select(_lang(), "text").mapInArrow(run, "lang string, code bigint, check bigint, f bigint")
-    total = rows.groupBy("code", F.when(F.col("code") == 0, F.col("lang")).alias("_of")).agg(F.sum("f").alias("f"), F.min("lang").alias("lang"), F.max("lang").alias("_lang"), F.min("check").alias("_least"), F.max("check").alias("_most"))
-    shared = (F.col("lang") != F.col("_lang")) | (F.col("_least") != F.col("_most"))
-    return materialised(total.filter((F.col("f") >= least) | (F.col("code") == 0)).select("lang", "code", "f", shared.alias("shared")))
+    rows = docs.select(_lang(), "text").mapInArrow(run, "lang string, code bigint, own bigint, check bigint, f bigint")
+    # words have no lang here, so that all but the few rows of languages are numbers
+    total = rows.groupBy("code", "lang").agg(F.sum("f").alias("f"), *[f(c).alias(f"_{f.__name__}_{c}") for c in ("own", "check") for f in (F.min, F.max)])
+    shared = (F.col("_min_own") != F.col("_max_own")) | (F.col("_min_check") != F.col("_max_check"))
+    return materialised(total.filter((F.col("f") >= least) | F.col("lang").isNotNull()).select("lang", "code", F.col("_min_own").alias("own"), "f", shared.alias("shared")))
 
 
 class _Bits:
@@ -299,11 +304,12 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, longest: i
     """docs: lang, text. lang, rank, phrase, a, l, r, n, score."""
     for seed in count():
         counts = word_counts(docs, seed, least)
-        if counts.filter("shared and code <> 0").isEmpty():
+        sums = counts.filter("lang is not null").select("lang", "own", F.col("f").alias("n"))
+        if counts.filter("shared and lang is null").isEmpty() and sums.groupBy("own").count().filter("count > 1").isEmpty():
             break
         dropped(counts)
-    words = counts.filter("code <> 0").select("lang", "code", "f", _as_phrase("code").alias("phrase"))
-    sums = counts.filter("code = 0").select("lang", F.col("f").alias("n"))
+    words = counts.filter("lang is null").select("own", "code", "f", _as_phrase("code").alias("phrase")).join(sums.select("own", "lang").hint("merge"), "own").drop("own")
+    sums = sums.drop("own")
     texts = coded(docs, bitmap(words.select("code")), seed)
     langs = materialised(sums.join(_upto(words, share).hint("merge"), "lang"))
     while True:
