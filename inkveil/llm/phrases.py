@@ -44,6 +44,8 @@ TOP = 2000
 SHARE, RAISE = 0.125, 8
 NONE = "und"
 BLOCK = 1 << 20
+#: Codes in a row of the written texts, and rows that are looked at together.
+ROW, ROWS = 8192, 32
 #: A bitmap has about 16 bits for each entry, and 2**MOST_BITS (32 MB) at most.
 MOST_BITS, PART = 28, 15
 _ENDS, _LOWER = np.zeros(256, bool), np.arange(256, dtype=np.uint8)
@@ -146,7 +148,7 @@ def bitmap(codes: DataFrame) -> Broadcast:
 
 
 def coded(docs: DataFrame, frequent: Broadcast, seed: int) -> DataFrame:
-    """codes: arrays of the codes of many texts; 0 where a piece ends or a word is not frequent."""
+    """codes: binary strings of the codes of many texts; 0 where a piece ends or a word is not frequent. Each begins with 0 and has about ROW codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -156,9 +158,17 @@ def coded(docs: DataFrame, frequent: Broadcast, seed: int) -> DataFrame:
                 out = np.insert(code, np.flatnonzero(words.cut), U64(0))
                 out = out[np.concatenate([[True], (out[1:] != 0) | (out[:-1] != 0)])] if len(out) else out
                 if len(out) > 2:
-                    yield pa.RecordBatch.from_arrays([pa.array([out.view(np.int64)], pa.list_(pa.int64()))], names=["codes"])
+                    ends = np.flatnonzero(out == 0)
+                    cuts = np.unique(ends[np.minimum(np.searchsorted(ends, np.arange(0, len(out), ROW)), len(ends) - 1)])
+                    yield pa.RecordBatch.from_arrays([pa.array([part.astype("<u8").tobytes() for part in np.split(out, cuts[1:])], pa.binary())], names=["codes"])
 
-    return materialised(docs.select(_lang(), "text").mapInArrow(run, "codes array<bigint>"))
+    return materialised(docs.select(_lang(), "text").mapInArrow(run, "codes binary"))
+
+
+def _flat(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The codes of some rows at a time, with a 0 behind them."""
+    for at in range(0, batch.num_rows, ROWS):
+        yield np.append(text_bytes(batch.column(0).slice(at, ROWS))[0].view("<u8").astype(U64), U64(0))
 
 
 def spelled(docs: DataFrame, wanted: Broadcast, seed: int) -> DataFrame:
@@ -200,8 +210,7 @@ def phrases_of(texts: DataFrame, size: int, open_words: Broadcast, shorter: Broa
     """phrase, f of the phrases of ``size`` words with an open first or last word; the part without the other end must be in ``shorter``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (row for batch in batches for row in batch.column(0)):
-            code = np.append(row.values.to_numpy().view(U64), U64(0))
+        for code in (code for batch in batches for code in _flat(batch)):
             n = len(code) - size + 1
             if n < 1:
                 continue
