@@ -132,20 +132,41 @@ def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return text_bytes(pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), "")))
 
 
+def _in_parts(texts: list[str], size: int = 100) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """The pieces of some texts at a time, with the number of the first text: the driver holds the terms of few at once."""
+    for k in range(0, len(texts), size):
+        yield k, pieces_of(*lowered(pa.array(texts[k : k + size], pa.string())))
+
+
+def _chosen(texts: list[str], y_of: np.ndarray) -> np.ndarray:
+    """The terms that tell the labels apart, sorted."""
+    names, counts = [], []
+    for k, (terms, begin, row) in _in_parts(texts):
+        of = row[np.repeat(np.arange(len(row)), np.diff(begin))] + k
+        own, place = np.unique(terms, return_inverse=True)
+        pairs = np.unique(place * len(texts) + of)
+        label = y_of[pairs % len(texts)]
+        names.append(own)
+        counts.append(np.column_stack([np.bincount(pairs[label == c] // len(texts), minlength=len(own)) for c in (0, 1)]))
+    names, place = np.unique(np.concatenate(names), return_inverse=True)
+    both = np.concatenate(counts)
+    with_term = np.column_stack([np.bincount(place, both[:, c], len(names)) for c in (0, 1)])
+    return names[(_told(with_term, np.array([len(texts) - y_of.sum(), y_of.sum()])) >= TOLD) & (names != 0)]
+
+
 def train(texts: list[str], labels: list[int], seed: int = 5) -> ToxicityModel:
     y_of = np.array(labels, float)
     none = ToxicityModel(np.zeros(0, U64), np.zeros(0), np.zeros((0, FACTORS)), 0.0, False)
     if len(set(labels)) < 2:
         return none
-    terms, begin, row = pieces_of(*lowered(pa.array(texts, pa.string())))
-    of = row[np.repeat(np.arange(len(row)), np.diff(begin))]
-    names, place = np.unique(terms, return_inverse=True)
-    pairs = np.unique(place * len(texts) + of)
-    with_term = np.column_stack([np.bincount(pairs[y_of[pairs % len(texts)] == k] // len(texts), minlength=len(names)) for k in (0, 1)])
-    names = names[(_told(with_term, np.array([len(texts) - y_of.sum(), y_of.sum()])) >= TOLD) & (names != 0)]
     rng = np.random.default_rng(seed)
+    names = _chosen(texts, y_of)
     model = ToxicityModel(names, np.zeros(len(names)), rng.normal(0, 0.02, (len(names), FACTORS)), 0.0, True)
-    at, begin = model.known(terms, begin)
+    parts = []
+    for k, (terms, begin, row) in _in_parts(texts):
+        parts.append((*model.known(terms, begin), row + k))
+    at, row = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
+    begin = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
     first = np.searchsorted(row, np.arange(len(texts) + 1))
     share = np.where(y_of > 0, 0.5 / y_of.sum(), 0.5 / (1 - y_of).sum()) * len(texts)
     square_w, square_v, square_b = np.full(len(names), 1e-6), np.full((len(names), FACTORS), 1e-6), 1e-6
