@@ -23,12 +23,11 @@ TICKET_EN = r"change-id|change\s*no|ticket|incident|request-id"
 TICKET_JA = "変更番号|申請番号|案件番号|回線番号|契約番号"
 PERSON_EN = "owner|contact|manager"
 PERSON_JA = "担当者|連絡先|申請者|責任者"
-H = "[0-9A-Fa-f]{1,4}"
 SECRET = r"(?imdU)\b(password|secret|community|token|apikey|api_key|key)\b\s*[:= ]+\s*([^\s,;]+)"
 IPV4 = r"(?U)\b(?:\d{1,3}\.){3}\d{1,3}\b"
 IPV6 = (
-    rf"(?U)(?<![\w:])(?:(?:{H}:){{7}}{H}|(?:{H}:){{1,7}}:|(?:{H}:){{1,6}}:{H}|(?:{H}:){{1,5}}(?::{H}){{1,2}}|(?:{H}:){{1,4}}(?::{H}){{1,3}}"
-    rf"|(?:{H}:){{1,3}}(?::{H}){{1,4}}|(?:{H}:){{1,2}}(?::{H}){{1,5}}|{H}:(?::{H}){{1,6}}|:(?:(?::{H}){{1,7}}|:))(?![\w:])"
+    r"(?U)(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,7}:|(?:[0-9A-Fa-f]{1,4}:){1,6}:[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,5}(?::[0-9A-Fa-f]{1,4}){1,2}|(?:[0-9A-Fa-f]{1,4}:){1,4}(?::[0-9A-Fa-f]{1,4}){1,3}"
+    r"|(?:[0-9A-Fa-f]{1,4}:){1,3}(?::[0-9A-Fa-f]{1,4}){1,4}|(?:[0-9A-Fa-f]{1,4}:){1,2}(?::[0-9A-Fa-f]{1,4}){1,5}|[0-9A-Fa-f]{1,4}:(?::[0-9A-Fa-f]{1,4}){1,6}|:(?:(?::[0-9A-Fa-f]{1,4}){1,7}|:))(?![\w:])"
 )
 EMAIL = r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 MAC = r"(?U)\b[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}\b"

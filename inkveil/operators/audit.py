@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 CONSISTENT, OFTEN, EXAMPLES = 0.90, 5, 3
 CUSTOMER_ID = r"^[A-Za-z0-9_\-]+$"
 DECISIONS = T.StructType([T.StructField(n, T.TimestampType() if n == "ts" else T.StringType()) for n in ("schema_version", "ts", "user_id", "session_id", "doc", "term", "label", "source", "decision", "context", "customer_id", "date", "_broken")])
+#: Times in the log, to the microsecond; logs with milliseconds or none are read too.
+WRITTEN = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+READ = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX]"
 #: Labels of decisions to the labels that seeds are known by.
 SEED_LABELS = {"COMPANY": "ORG", "SITE": "GPE", "PERSON": "PERSON"}
 
@@ -20,7 +23,7 @@ def valid_customer_id(column: Column) -> Column:
 
 def read_audit(spark: SparkSession, root: str, customer: str | None = None) -> DataFrame:
     """All decisions, or one customer's (only its folder is opened). Broken and blank lines are skipped."""
-    rows = spark.read.schema(DECISIONS).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(root)
+    rows = spark.read.schema(DECISIONS).option("mode", "PERMISSIVE").option("timestampFormat", READ).option("columnNameOfCorruptRecord", "_broken").json(root)
     rows = rows.filter(F.col("_broken").isNull()).drop("_broken")
     return rows if customer is None else rows.filter(F.col("customer_id") == customer)
 
@@ -29,7 +32,7 @@ def append_decisions(decisions: DataFrame, root: str) -> DataFrame:
     """Appends under customer_id and day; rows of an invalid customer_id are returned, not written."""
     rows = decisions.withColumn("context", F.substring("context", 1, 120)).withColumn("date", F.date_format("ts", "yyyy-MM-dd")).withColumn("schema_version", F.lit("1"))
     good = valid_customer_id(F.col("customer_id"))
-    rows.filter(good).write.mode("append").partitionBy("customer_id", "date").json(root)
+    rows.filter(good).write.mode("append").partitionBy("customer_id", "date").options(**WRITTEN).json(root)
     return decisions.filter(~good)
 
 

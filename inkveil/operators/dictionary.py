@@ -7,29 +7,23 @@ from pyspark.sql import functions as F
 
 from inkveil.functions.text import context, nfkc, nfkc_trim
 from inkveil.operators.masking import continue_placeholders
+from inkveil.operators.matching import contained_phrases, longest_matches, quoted
 
-#: Up to so many phrases are compared with every document; more go by the phrases' first characters.
-FEW_PHRASES = 1000
-#: Phrases are looked up by so many first characters, the most that they have.
-GRAMS = (1, 2, 8)
-#: Phrases are broadcast up to so many, and so many characters together.
-BROADCAST_PHRASES, BROADCAST_CHARS = 200_000, 16_000_000
 # Labels and what they mask as; patterns of technical terms, the rejected ones first.
 CATEGORIES = {"ORG": "company", "GPE": "site", "FAC": "site", "PERSON": "person"}
 REJECTED = (
     r"(?iU)^\s*Amazon\s+(?:Japan|Japan\s+G\.?K\.?|Japan\s+合同会社|\.com|Web\s+Services?(?:\s+Japan(?:\s+G\.?K\.?)?)?|Prime|Music|Echo|Kindle|Alexa|Fresh|Pay|Pharmacy|Robotics|Studios|Books|Game\s+Studios|Marketplace|Mechanical\s+Turk|Logistics)\s*$",
     r"(?iU)^\s*AWS\s+(?:Japan|Japan\s+G\.?K\.?|Summit|re:Invent|Reinvent|Loft|Innovate|Partner(?:s|\s+Network)?|Tokyo|Osaka|Singapore|Sydney|User\s+Group|UG)\s*$",
 )
-JA = "぀-ヿ一-鿿"
 TECHNICAL = (
     r"(?iU)^\s*(?:Amazon|AWS)\s+[A-Za-z0-9][A-Za-z0-9 ./\-]{0,60}(?:\s+(?:メール|エンドポイント|レコード|サービス|フロー(?:ログ)?|バケット|ゲートウェイ|プロトコル|SMTP(?:\s+VPC\s+エンドポイント)?|VPC(?:\s+エンドポイント)?))?\s*$",
     r"(?iU)^\s*(?:SES|S3|EC2|VPC|VIF|VPN|SNS|SQS|IAM|RDS|EBS|ELB|ALB|NLB|KMS|ACM|WAF|CloudWatch|CloudFront|CloudTrail|CloudShell|Route\s*53|Lambda|EventBridge|GuardDuty|Config|Athena|Firehose|Backlog|AMS|Direct\s*Connect(?:\s+Gateway)?|(?:Private|Public)\s+VIF|(?:Private|Public)\s+Virtual\s+Interface|SMTP(?:S)?|IMAP|POP3|HTTP|HTTPS|TLS|SSL|SSH|FTP|SFTP|NTP|DNS|DKIM|DMARC|SPF|MX|AUTH|DomainKeys\s+Identified\s+Mail|BGP|OSPF|VRRP|HSRP|VLAN|NAT|ACL|CIDR)(?:\s+(?:AUTH|レコード|エンドポイント|プロトコル|サービス|VPC(?:\s+エンドポイント)?|SMTP(?:\s+VPC\s+エンドポイント)?))?\s*$",
     r"(?iU)^\s*(?:DMARC\d*\s*[;:]?\s*)?[a-z]{1,3}=[A-Za-z][A-Za-z0-9_\-]*\s*$",
     r"(?iU)^\s*DMARC\d*\s*[;:]?\s*[a-z]\s*$",
-    rf"(?U)^\s*\d+(?:\.\d+){{0,3}}\s+[{JA}A-Za-z][{JA}A-Za-z0-9 ]{{0,30}}\s*$",
-    rf"(?iU)^\s*(?:SLA|SLO|SLI|SOC|RPO|RTO|MFA|VPC|DNS|DC|AZ|API|CLI|UI|UX|VPN|NAT|ACL|MX|TLS|SSL|DKIM|DMARC|SPF|TCP|UDP|SES|S3)\s+[{JA}A-Za-z][{JA}A-Za-z0-9 ]{{0,30}}\s*$",
+    r"(?U)^\s*\d+(?:\.\d+){0,3}\s+[぀-ヿ一-鿿A-Za-z][぀-ヿ一-鿿A-Za-z0-9 ]{0,30}\s*$",
+    r"(?iU)^\s*(?:SLA|SLO|SLI|SOC|RPO|RTO|MFA|VPC|DNS|DC|AZ|API|CLI|UI|UX|VPN|NAT|ACL|MX|TLS|SSL|DKIM|DMARC|SPF|TCP|UDP|SES|S3)\s+[぀-ヿ一-鿿A-Za-z][぀-ヿ一-鿿A-Za-z0-9 ]{0,30}\s*$",
     r"(?U)^\s*([A-Za-z][A-Za-z0-9]{1,5})\s+\1\s*$",
-    rf"(?iU)^\s*[{JA}A-Za-z][{JA}A-Za-z0-9 ]{{2,80}}\s+(?:VPC|DNS|VPN|VIF|SES|S3|SMTP|DKIM|DMARC|SPF|MX|TLS|TCP|UDP)\s+[{JA}A-Za-z][{JA}A-Za-z0-9 ]{{0,40}}\s*$",
+    r"(?iU)^\s*[぀-ヿ一-鿿A-Za-z][぀-ヿ一-鿿A-Za-z0-9 ]{2,80}\s+(?:VPC|DNS|VPN|VIF|SES|S3|SMTP|DKIM|DMARC|SPF|MX|TLS|TCP|UDP)\s+[぀-ヿ一-鿿A-Za-z][぀-ヿ一-鿿A-Za-z0-9 ]{0,40}\s*$",
     r"(?U)^\s*[|｜][|｜　\s'`\"]*[A-Za-z0-9 ]{0,4}\s*$",
     r"(?iU)^\s*(?:AWS|GCP|OCI|Azure|Amazon|Google|Microsoft|Oracle|VPC|DC|AZ|MFA|RBAC|ABAC|SLA|SLO|SLI|SOC|RPO|RTO|API|CLI|GUI|SDK|UI|UX|CSV|TSV|TIFF|JPEG|PNG|GIF|PDF|DKIM|DMARC|SPF|MX|SMTP|IMAP|POP3|TLS|SSL|HTTPS?|TCP|UDP|ICMP|IPSec|RADIUS|LDAP|JSON|XML|YAML|JWT|OAuth2?|SAML|OIDC|JOSE|JWE|JWS|JWK|Backlog|Slack|GitHub|GitLab|Jira|PagerDuty|Datadog|Splunk|Kubernetes|Docker|Terraform|Ansible|Chef|Puppet|Linux|Windows|macOS|Ubuntu|CentOS|RHEL|Debian|Python|Java|Ruby|Go|Rust|TypeScript|JavaScript|React|Vue|Angular|Next\.?js|Nuxt|Svelte)\s*$",
     # words that may be spaced out
@@ -64,46 +58,25 @@ def load_allow_terms(spark: SparkSession, groups: dict[str, list[str]], customer
     return rows.select("customer_id", "category", F.lower(nfkc_trim(F.col("term"))).alias("term_norm")).filter("term_norm <> ''").dropDuplicates(["term_norm"])
 
 
-def find_phrases(docs: DataFrame, phrases: DataFrame, few: int = FEW_PHRASES) -> DataFrame:
-    """J4. docs: keys and text; phrases: text and more. One row per document and phrase in it, with start (from 0).
-
-    The phrases and their characters are counted. A few are broadcast and compared with every document. More are found by their
-    first characters: hashes of the documents' stretches of as many characters meet those of the phrases without any text, and
-    only documents that hold a phrase's beginning bring their text, once. Phrases are broadcast there as long as they are small enough together.
-    """
-    kept = [c for c in docs.columns if c != "text"]
-    names = {c: f"phrase_{c}" for c in phrases.columns}
-    known = phrases.withColumnsRenamed(names).filter(F.length("phrase_text") > 0)
-    at = F.position(F.col("phrase_text"), F.col("text"))
-    size = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("phrase_text")), F.lit(0)).alias("chars")).first()
-    small = size["chars"] <= BROADCAST_CHARS and size["n"] <= BROADCAST_PHRASES
-    if size["n"] <= few and small:
-        both = docs.join(F.broadcast(known), F.contains("text", F.col("phrase_text")))
-        return both.select(*kept, *names.values(), (at - 1).alias("start"))
-    way = "broadcast" if small else "merge"
-    length = F.length("phrase_text")
-    tier = F.greatest(*[F.when(length >= g, F.lit(g)) for g in GRAMS])
-    first = known.withColumn("_g", F.xxhash64(tier, F.substr("phrase_text", F.lit(1), tier)))
-    rows = docs.withColumn("_id", F.xxhash64(*docs.columns))
-    # matches of no width, at every character
-    stretches = lambda g: F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{g}}}))"), F.lit(1))), lambda x: F.xxhash64(F.lit(g), x))
-    hashes = rows.select("_id", F.explode(F.flatten(F.array(*[stretches(g) for g in GRAMS]))).alias("_g"))
-    hits = hashes.join(first.select("_g").distinct().hint(way), "_g", "left_semi").distinct()
-    both = rows.join(hits.hint("merge"), "_id").join(first.hint(way), "_g").filter(F.contains("text", F.col("phrase_text")))
-    return both.select(*kept, *names.values(), (at - 1).alias("start"))
+def find_phrases(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """J4. docs: keys and text; phrases: text and more. One row per document and phrase in it, with start (from 0)."""
+    return contained_phrases(docs, phrases).drop("end")
 
 
 def seed_candidates(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Names of the dictionary in NFKC texts: text (canonical, J3), surface, label, start, end, source, confirmed; one per name and label."""
-    found = find_phrases(docs.withColumn("text", nfkc(F.coalesce("text", F.lit("")))), seeds)
+    """Names of the dictionary in NFKC texts: text (canonical, J3), label, start, end, source, confirmed, surfaces; one per name and label.
+
+    A name within a longer one is not a candidate, unless it also stands alone (leftmost, then longest).
+    """
+    found = longest_matches(docs.withColumn("text", nfkc(F.coalesce("text", F.lit("")))), seeds)
     categories = F.create_map(*[F.lit(x) for kv in CATEGORIES.items() for x in kv])
     found = found.withColumn("label", F.upper(F.element_at(categories, F.col("phrase_label")))).filter(F.col("label").isNotNull())
     kept = [c for c in docs.columns if c != "text"]
     name = F.coalesce(F.nullif("phrase_canonical", F.lit("")), F.col("phrase_text"))
-    rows = found.select(*kept, name.alias("text"), F.col("phrase_text").alias("surface"), "label", "start", (F.col("start") + F.length("phrase_text")).alias("end"), F.when(F.col("phrase_confirm"), "seed_dict").otherwise("watchlist").alias("source"), F.col("phrase_confirm").alias("confirmed"))
+    rows = found.select(*kept, name.alias("text"), F.col("phrase_text").alias("surface"), "label", "start", "end", F.when(F.col("phrase_confirm"), "seed_dict").otherwise("watchlist").alias("source"), F.col("phrase_confirm").alias("confirmed"))
     first = F.row_number().over(Window.partitionBy(*kept, "text", "label").orderBy("start", F.desc("end")))
     surfaces = rows.groupBy(*kept, "text", "label").agg(F.collect_set("surface").alias("surfaces"))
-    return rows.withColumn("_k", first).filter("_k = 1").drop("_k", "surface").join(surfaces, [*kept, "text", "label"])
+    return rows.withColumn("_k", first).filter("_k = 1").drop("_k", "surface").join(surfaces.hint("merge"), [*kept, "text", "label"])
 
 
 def without_tech_terms(candidates: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -158,10 +131,10 @@ def dictionary_mask(masked: DataFrame, ledger: DataFrame, candidates: DataFrame,
     pairs = pairs.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct((-F.length("surface")).alias("n"), "surface", "placeholder"))).alias("_p"))
     docs = masked.join(pairs, list(keys), "left")
     # one pass: an alternation of the quoted surfaces, longest first
-    quoted = F.array_join(F.transform("_p", lambda x: F.concat(F.lit("\\Q"), x["surface"], F.lit("\\E"))), "|")
+    either = F.array_join(F.transform("_p", lambda x: quoted(x["surface"])), "|")
     names = F.map_from_entries(F.transform(F.array_distinct(F.transform("_p", lambda x: F.struct(x["surface"].alias("k"), F.lit("").alias("v")))), lambda x: F.struct(x["k"], F.get(F.filter("_p", lambda y: y["surface"] == x["k"]), F.lit(0))["placeholder"])))
-    found = F.regexp_extract_all("outbound_text", quoted, F.lit(0))
-    text = F.array_join(F.zip_with(F.split("outbound_text", quoted, -1), found, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(F.element_at(names, b), F.lit("")))), "")
+    found = F.regexp_extract_all("outbound_text", either, F.lit(0))
+    text = F.array_join(F.zip_with(F.split("outbound_text", either, -1), found, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(F.element_at(names, b), F.lit("")))), "")
     docs = docs.withColumn("outbound_text", F.when(F.col("_p").isNotNull(), text).otherwise(F.col("outbound_text"))).drop("_p")
     logged = told.join(masked.select(*keys, F.col("outbound_text").alias("_x")), list(keys)).select(*keys, F.col("text").alias("term"), "label", "source", F.when(F.col("mask"), "mask").otherwise("skip").alias("decision"), F.substring(context(F.col("_x"), F.col("text")), 1, 120).alias("context"))
     return docs, out, logged

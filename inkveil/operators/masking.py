@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions.detectors import DETECTORS, IDENTIFYING, PLACEHOLDER, SECRET, Detector, has_legal_entity, has_marker, public_term
 from inkveil.functions.text import estimate_tokens
+from inkveil.operators.ranking import ranked
 from inkveil.sources.scratch import materialised
 
 OUTBOUND_CHARS, PREVIEW_CHARS, MANY = 16000, 1200, 25
@@ -70,20 +71,46 @@ def masked_text(docs: DataFrame, detectors: Sequence[Detector] = DETECTORS, text
 def number_sets(masked: DataFrame, keys: Sequence[str] = ("review_id", "doc_ord")) -> tuple[DataFrame, DataFrame]:
     """(documents with set-wide tokens, ledger of review_id, placeholder, original, category, n).
 
-    A value's number is its place by first appearance: documents in order, then rules, then positions. Windows run over
-    distinct values per review set and category, not over mentions. A value that holds an earlier token is told apart
+    A value's number is its place by first appearance: documents in order, then rules, then positions. Numbers go by ranges
+    of distinct values, so a set of any size is numbered in many tasks. A value that holds an earlier token is told apart
     by what the token stands for.
     """
+    out, ledger = continue_sets(masked, None, keys)
+    return out, ledger.drop("name")
+
+
+def continue_sets(masked: DataFrame, known: DataFrame | None, keys: Sequence[str] = ("review_id", "doc_ord")) -> tuple[DataFrame, DataFrame]:
+    """W1 going on from an earlier ledger of the same sets: (documents, rows that the ledger gains, with name, by which values are told apart).
+
+    known: what this function returned before; its values keep their placeholders, new ones are numbered behind them.
+    """
     review, order = keys
     spell = lambda v: F.aggregate("seen", v, lambda acc, s: F.replace(acc, s["token"], F.concat(F.lit("\u0001"), s["category"], F.lit("\u0002"), s["value"], F.lit("\u0003"))))
-    values = masked.select(review, order, F.posexplode(F.transform("seen", lambda s: F.struct(s["category"].alias("category"), s["token"].alias("token"), s["value"].alias("value"), s["rule_ord"].alias("rule_ord"), F.when(F.contains(s["value"], F.lit("[")), spell(s["value"])).otherwise(s["value"]).alias("name")))).alias("pos", "s")).select(review, order, "pos", "s.*")
+    named = F.transform(
+        "seen",
+        lambda s: F.struct(
+            s["category"].alias("category"), s["token"].alias("token"), s["value"].alias("value"), s["rule_ord"].alias("rule_ord"),
+            F.when(F.contains(s["value"], F.lit("[")), spell(s["value"])).otherwise(s["value"]).alias("name"),
+        ),
+    )
+    values = masked.select(review, order, F.posexplode(named).alias("pos", "s")).select(review, order, "pos", "s.*")
     first = values.groupBy(review, "category", "name").agg(F.min(F.struct(order, "rule_ord", "pos", "value")).alias("first"))
-    numbered = first.withColumn("n", F.row_number().over(Window.partitionBy(review, "category").orderBy("first"))).withColumn("placeholder", token(F.col("category"), F.col("n")))
-    local = values.join(numbered.select(review, "category", "name", "placeholder").hint("merge"), [review, "category", "name"]).groupBy(review, order).agg(F.map_from_entries(F.collect_list(F.struct("token", "placeholder"))).alias("_names"))
+    if known is not None:
+        first = first.join(known.select(review, "category", "name").hint("merge"), [review, "category", "name"], "left_anti")
+    numbered = ranked(first, [review, "category"], ["first"])
+    if known is not None:
+        last = known.groupBy(review, "category").agg(F.max("n").alias("_last"))
+        numbered = numbered.join(last.hint("merge"), [review, "category"], "left").withColumn("n", F.col("n") + F.coalesce("_last", F.lit(0))).drop("_last")
+    numbered = numbered.withColumn("placeholder", token(F.col("category"), F.col("n")))
+    names = numbered.select(review, "category", "name", "placeholder")
+    if known is not None:
+        names = names.unionByName(known.select(review, "category", "name", "placeholder"))
+    local = values.join(names.hint("merge"), [review, "category", "name"]).groupBy(review, order).agg(F.map_from_entries(F.collect_list(F.struct("token", "placeholder"))).alias("_names"))
     out = masked.join(local.hint("merge"), [review, order], "left")
-    out = out.withColumn("masked", renamed(F.col("masked"), F.col("_names"))).withColumn("seen", F.transform("seen", lambda s: F.struct(s["category"].alias("category"), renamed(s["value"], F.col("_names")).alias("value"), F.coalesce(F.element_at("_names", s["token"]), s["token"]).alias("token"), s["rule_ord"].alias("rule_ord"))))
-    at_first = numbered.select(F.col(review), F.col(f"first.{order}").alias(order), "category", "placeholder", "n", F.col("first.value").alias("value"))
-    ledger = at_first.join(local.hint("merge"), [review, order], "left").select(review, "placeholder", renamed(F.col("value"), F.col("_names")).alias("original"), "category", "n")
+    global_ = F.transform("seen", lambda s: F.struct(s["category"].alias("category"), renamed(s["value"], F.col("_names")).alias("value"), F.coalesce(F.element_at("_names", s["token"]), s["token"]).alias("token"), s["rule_ord"].alias("rule_ord")))
+    out = out.withColumn("masked", renamed(F.col("masked"), F.col("_names"))).withColumn("seen", global_)
+    at_first = numbered.select(F.col(review), F.col(f"first.{order}").alias(order), "category", "name", "placeholder", "n", F.col("first.value").alias("value"))
+    ledger = at_first.join(local.hint("merge"), [review, order], "left").select(review, "placeholder", renamed(F.col("value"), F.col("_names")).alias("original"), "category", "n", "name")
     return out.drop("_names"), ledger
 
 

@@ -141,19 +141,43 @@ def remediation_terms(*columns: Column) -> Column:
     return F.slice(once, 1, MAX_TERMS)
 
 
+#: Bit of the section among the bits of an item's terms.
+SECTION_BIT = 62
+
+
+def _probes(items: DataFrame, keys: list[str]) -> DataFrame:
+    """What is looked for in the texts of ``keys``: all terms of all items there in one list, each with its item and bit."""
+    wanted = F.transform("_terms", lambda x, k: F.struct(squeezed_lower(x).alias("word"), k.alias("bit")))
+    wanted = F.when(F.col("_section") != "", F.concat(wanted, F.array(F.struct(F.col("_section").alias("word"), F.lit(SECTION_BIT).alias("bit"))))).otherwise(wanted)
+    rows = items.select(*keys, "_item", F.explode(wanted).alias("w"))
+    return rows.groupBy(*keys).agg(F.collect_list(F.struct("_item", "w.word", "w.bit")).alias("_probes"))
+
+
 def compare_remediation(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """Whether the words of each item are now in its document, or in the whole set where that isn't there."""
-    named = docs.groupBy("review_id", F.col("name").alias("target_document")).agg(F.max_by("text", "doc_ord").alias("_own"))
-    whole = docs.groupBy("review_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_ord", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "\n").alias("_all"))
-    need_all = items.join(named.select("review_id", "target_document"), ["review_id", "target_document"], "left_anti").select("review_id").distinct()
-    rows = items.join(named, ["review_id", "target_document"], "left").join(whole.join(need_all, "review_id"), "review_id", "left")
+    """Whether the words of each item are now in its document, or, where that isn't there or is empty, in any document of the set.
+
+    Documents are asked where they stand for all terms of their set's items, and answer with an item's terms as bits, which are put together by item;
+    no text leaves its row, and a set's texts are never in one.
+    """
     terms = remediation_terms(*[F.col(c) for c in ("title", "target_section", "problem", "fix_policy", "template", "re_review_condition")])
-    rows = rows.withColumn("_t", squeezed_lower(F.coalesce(F.nullif("_own", F.lit("")), "_all", F.lit("")))).withColumn("_terms", terms).drop("_own", "_all")
-    rows = rows.withColumn("_matched", F.filter("_terms", lambda x: F.contains("_t", squeezed_lower(x))))
-    rows = rows.withColumn("_section", (F.col("target_section") != "") & ~F.col("target_section").isin(*NOWHERE) & F.contains("_t", squeezed_lower(F.col("target_section"))))
+    section = F.when((F.col("target_section") != "") & ~F.col("target_section").isin(*NOWHERE), squeezed_lower(F.col("target_section"))).otherwise("")
+    rows = items.withColumn("_terms", terms).withColumn("_section", F.coalesce(section, F.lit(""))).withColumn("_item", F.xxhash64("review_id", "item_id", "title", "target_document", "target_section"))
+    # the last document of a name is meant
+    last = docs.groupBy("review_id", F.col("name").alias("target_document")).agg(F.max_by(F.struct("doc_ord", (F.length(F.coalesce("text", F.lit(""))) > 0).alias("full")), "doc_ord").alias("_l"))
+    last = last.filter("_l.full").select("review_id", "target_document", F.col("_l.doc_ord").alias("doc_ord"))
+    rows = rows.join(last.withColumnRenamed("doc_ord", "_own").hint("merge"), ["review_id", "target_document"], "left")
+    texts = docs.select("review_id", "doc_ord", squeezed_lower(F.col("text")).alias("_t"))
+    own = texts.join(_probes(rows.filter("_own is not null").withColumnRenamed("_own", "doc_ord"), ["review_id", "doc_ord"]).hint("merge"), ["review_id", "doc_ord"])
+    wide = texts.join(_probes(rows.filter("_own is null"), ["review_id"]).hint("merge"), "review_id")
+    found = own.select("_t", "_probes").unionAll(wide.select("_t", "_probes"))
+    found = found.select(F.explode(F.filter("_probes", lambda p: F.contains("_t", p["word"]))).alias("p")).groupBy("p._item").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p.bit"))).alias("_bits"))
+    rows = rows.join(found.hint("merge"), "_item", "left").withColumn("_bits", F.coalesce("_bits", F.lit(0).cast("long")))
+    has = lambda bit: F.shiftrightunsigned(F.col("_bits"), bit).bitwiseAND(F.lit(1)) == 1
+    hits = F.array(*[F.when(has(k), F.get("_terms", F.lit(k))) for k in range(MAX_TERMS)])
+    rows = rows.withColumn("_matched", F.filter(hits, lambda x: x.isNotNull()))
     n, m = F.size("_terms"), F.size("_matched")
     score = F.when(n > 0, m / n).otherwise(0.0)
-    status = F.when(n == 0, "needs_review").when((score >= 0.55) | (F.col("_section") & (score >= 0.35)) | (m >= 5), "improved").when((score >= 0.25) | (m >= 2), "partial").otherwise("not_confirmed")
+    status = F.when(n == 0, "needs_review").when((score >= 0.55) | (has(SECTION_BIT) & (score >= 0.35)) | (m >= 5), "improved").when((score >= 0.25) | (m >= 2), "partial").otherwise("not_confirmed")
     return rows.select("review_id", "item_id", "title", "severity", "target_document", "target_section", status.alias("status"), F.round(score, 3).alias("score"), F.slice("_matched", 1, SHOWN_TERMS).alias("matched_terms"), F.slice(F.array_except("_terms", "_matched"), 1, SHOWN_TERMS).alias("missing_terms"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from inkveil.functions.text import estimate_tokens, excerpt, normalise_placeholders, unapproved_placeholders
 from inkveil.operators.gate import max_risk, unique_findings
 from inkveil.operators.masking import PREVIEW_CHARS, masked_text
+from inkveil.operators.ranking import ranked
 from inkveil.operators.rules import assign_issue_ids, code_language, defined_functions
 from inkveil.operators.structure import extract_chapters
 
@@ -276,15 +277,23 @@ def local_summary(docs: DataFrame, issues: DataFrame) -> DataFrame:
     return sets.join(counts, "review_id", "left").select("review_id", "purpose", "content_outline", comment.alias("overall_evaluation"))
 
 
-def review_payload(documents: DataFrame, findings: DataFrame, caps: int = 20) -> DataFrame:
-    """One ordered text per set: headers with k of N (W8), masked text, chapters, and at most ``caps`` findings with how many more."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("review_id"))
-    k = F.row_number().over(Window.partitionBy("review_id").orderBy("doc_ord"))
-    rows = documents.select("review_id", "doc_ord", "name", "outbound_text", k.alias("k"), n.alias("n"))
+def payload_parts(documents: DataFrame, findings: DataFrame, caps: int = 20) -> DataFrame:
+    """What a set's payload is made of, in order: review_id, part, text. Every document is a part, with a header of k of N (W8), its masked text and its chapters;
+    the last part lists at most ``caps`` findings and how many more. No row holds more than one document."""
+    rows = ranked(documents.select("review_id", "doc_ord", "name", "outbound_text"), ["review_id"], ["doc_ord", "name"], "part")
+    total = documents.groupBy("review_id").agg(F.count(F.lit(1)).alias("n"))
     chapters = extract_chapters(documents.select("review_id", "doc_ord", F.col("outbound_text").alias("text"))).groupBy("review_id", "doc_ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chapter_ord", "chapter_label"))), lambda x: x["chapter_label"]), "\n").alias("chapters"))
-    rows = rows.join(chapters, ["review_id", "doc_ord"], "left")
-    part = F.concat_ws("\n", F.format_string("文書 %d/%d: %s", "k", "n", "name"), "outbound_text", "chapters")
-    bodies = rows.groupBy("review_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", part.alias("t")))), lambda x: x["t"]), "\n\n").alias("body"))
+    rows = rows.join(total.hint("merge"), "review_id").join(chapters.hint("merge"), ["review_id", "doc_ord"], "left")
+    bodies = rows.select("review_id", "part", F.concat_ws("\n", F.format_string("文書 %d/%d: %s", "part", "n", "name"), "outbound_text", "chapters").alias("text"))
+    # Spark cuts each task's rows of a set to the first ``caps`` before they meet
     rank = F.row_number().over(Window.partitionBy("review_id").orderBy(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")), "kind", "chapter_id", "item_id"))
-    listed = findings.withColumn("k", rank).groupBy("review_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= caps, F.struct("k", F.concat_ws(" ", "severity", "kind", "chapter_name", "item_name").alias("t"))))), lambda x: x["t"]), "\n").alias("findings"), F.greatest(F.count(F.lit(1)) - caps, F.lit(0)).alias("more"))
-    return bodies.join(listed, "review_id", "left").select("review_id", F.concat_ws("\n\n", "body", "findings", F.when(F.col("more") > 0, F.concat(F.lit("n more: "), F.col("more").cast("string")))).alias("payload"))
+    listed = findings.withColumn("k", rank).filter(F.col("k") <= caps).groupBy("review_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.concat_ws(" ", "severity", "kind", "chapter_name", "item_name").alias("t")))), lambda x: x["t"]), "\n").alias("findings"))
+    more = findings.groupBy("review_id").agg(F.greatest(F.count(F.lit(1)) - caps, F.lit(0)).alias("more"))
+    last = total.join(listed.hint("merge"), "review_id").join(more.hint("merge"), "review_id")
+    return bodies.unionAll(last.select("review_id", F.col("n") + 1, F.concat_ws("\n\n", "findings", F.when(F.col("more") > 0, F.concat(F.lit("n more: "), F.col("more").cast("string"))))))
+
+
+def review_payload(documents: DataFrame, findings: DataFrame, caps: int = 20) -> DataFrame:
+    """The parts of each set as one text, for a set that one call of a reviewer can take; ``payload_parts`` has no such bound."""
+    parts = payload_parts(documents, findings, caps)
+    return parts.groupBy("review_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "\n\n").alias("payload"))

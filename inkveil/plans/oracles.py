@@ -156,7 +156,7 @@ SELECT 'cisco-' || k || '-config.cfg' AS name, x.category AS category, x.n AS n,
 
 ORACLES["p13_dictionary_mask"] = """WITH n AS (SELECT n_nationkey, upper(n_name) AS canonical, upper(n_name[1]) || lower(n_name[2:]) AS name FROM nation),
 d AS (SELECT CAST(c_custkey AS BIGINT) AS review_id, c_name || ' of ' || name AS said FROM customer JOIN n ON c_nationkey = n_nationkey),
-t AS (SELECT review_id, name, row_number() OVER (PARTITION BY review_id ORDER BY strpos(said, name), canonical) AS k FROM d JOIN n ON contains(said, name) WHERE n_nationkey % 2 = 0 OR review_id % 2 = 1),
+t AS (SELECT review_id, name, row_number() OVER (PARTITION BY review_id ORDER BY strpos(said, name), canonical) AS k FROM (FROM d JOIN n ON contains(said, name) QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY length(name) DESC) = 1) WHERE n_nationkey % 2 = 0 OR review_id % 2 = 1),
 b AS (SELECT review_id, arg_max(name, length(name)) AS name, arg_max(k, length(name)) AS k FROM t GROUP BY review_id)
 SELECT review_id, 0 AS doc_ord, CASE WHEN b.name IS NULL THEN said ELSE replace(said, b.name, '[SITE_' || lpad(b.k::VARCHAR, 3, '0') || ']') END AS outbound_text FROM d LEFT JOIN b USING (review_id)"""
 

@@ -260,7 +260,8 @@ def j4_phrases_in_documents(spark, sf_dir):
 
 
 @query("""WITH n AS (SELECT n_nationkey, n_name AS canonical, upper(n_name[1]) || lower(n_name[2:]) AS name FROM nation), d AS (SELECT c_custkey AS review_id, c_name || ' of ' || name AS said FROM customer JOIN n ON c_nationkey = n_nationkey)
-SELECT CAST(review_id AS BIGINT) AS review_id, canonical AS text, 'SITE' AS label, strpos(said, name) - 1 AS start, strpos(said, name) - 1 + length(name) AS "end", CASE WHEN n_nationkey % 2 = 0 THEN 'seed_dict' ELSE 'watchlist' END AS source, n_nationkey % 2 = 0 AS confirmed FROM d JOIN n ON contains(said, name)""")
+SELECT CAST(review_id AS BIGINT) AS review_id, canonical AS text, 'SITE' AS label, strpos(said, name) - 1 AS start, strpos(said, name) - 1 + length(name) AS "end", CASE WHEN n_nationkey % 2 = 0 THEN 'seed_dict' ELSE 'watchlist' END AS source, n_nationkey % 2 = 0 AS confirmed FROM d JOIN n ON contains(said, name)
+QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY length(name) DESC) = 1""")
 def j2_j3_candidates(spark, sf_dir):
     """Dictionary names in masked texts, and terms of the parts list without technical ones."""
     seeds = T.table(spark, sf_dir, "nation").select(F.lit(None).cast("string").alias("customer_id"), F.initcap("n_name").alias("text"), F.lit("GPE").alias("label"), F.upper("n_name").alias("canonical"), (F.col("n_nationkey") % 2 == 0).alias("confirm"))

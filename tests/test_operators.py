@@ -77,7 +77,7 @@ def test_dictionary_masking(spark):
 def test_many_phrases_go_by_their_first_characters(spark):
     docs = spark.createDataFrame([(1, "abc def"), (2, "xyz")], "id int, text string")
     phrases = spark.createDataFrame([("c d",), ("yz",), ("no",)], "text string")
-    assert sorted((r["id"], r["phrase_text"], r["start"]) for r in dictionary.find_phrases(docs, phrases, few=0).collect()) == [(1, "c d", 2), (2, "yz", 1)]
+    assert sorted((r["id"], r["phrase_text"], r["start"]) for r in dictionary.find_phrases(docs, phrases).collect()) == [(1, "c d", 2), (2, "yz", 1)]
 
 
 def test_replies(spark):
