@@ -55,7 +55,7 @@ def aggregate_decisions(rows: DataFrame, customer: str | None = None, session: s
     first = example.withColumn("k", F.row_number().over(Window.partitionBy("term").orderBy("o", "doc", "context", "decision"))).filter(F.col("k") <= EXAMPLES)
     examples = first.groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "doc", "context", "decision"))), lambda x: F.struct(x["doc"].alias("doc"), x["context"].alias("context"), x["decision"].alias("decision"))).alias("examples"))
     totals = totals.withColumn("total", F.col("mask_count") + F.col("skip_count")).withColumn("mask_ratio", F.col("mask_count") / F.col("total"))
-    return totals.join(examples, "term", "left")
+    return totals.join(examples.hint("merge"), "term", "left")
 
 
 def recommend(total: Column, ratio: Column) -> Column:
@@ -83,14 +83,14 @@ def upsert_seeds(seeds: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame
     """(all seeds, those added). new: customer_id, text, label; labels of decisions become labels of seeds, so that they are found again."""
     names = F.create_map(*[F.lit(x) for kv in SEED_LABELS.items() for x in kv])
     rows = new.select("customer_id", F.trim("text").alias("text"), F.coalesce(F.element_at(names, F.upper("label")), F.upper("label")).alias("label"), F.lit(None).cast("string").alias("canonical"), F.lit(True).alias("confirm"))
-    added = rows.filter("text <> ''").dropDuplicates(["customer_id", "text"]).join(seeds.select("customer_id", "text"), ["customer_id", "text"], "left_anti")
+    added = rows.filter("text <> ''").dropDuplicates(["customer_id", "text"]).join(seeds.select("customer_id", "text").hint("merge"), ["customer_id", "text"], "left_anti")
     return seeds.unionByName(added), added
 
 
 def upsert_allow(allowed: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(all allowed terms, those added). Rows: customer_id, category, term."""
     rows = new.select("customer_id", F.coalesce("category", F.lit("user")).alias("category"), F.trim("term").alias("term")).filter("term <> ''")
-    added = rows.dropDuplicates(["customer_id", "term"]).join(allowed.select("customer_id", "term"), ["customer_id", "term"], "left_anti")
+    added = rows.dropDuplicates(["customer_id", "term"]).join(allowed.select("customer_id", "term").hint("merge"), ["customer_id", "term"], "left_anti")
     return allowed.unionByName(added), added
 
 
@@ -109,7 +109,7 @@ def feedback_key(*parts: Column) -> Column:
 def with_feedback(issues: DataFrame, feedback: DataFrame, parts: tuple[str, ...] = ("source_document", "title", "details")) -> DataFrame:
     """Issues with a rating, 未評価 where there is none."""
     keyed = issues.withColumn("feedback_key", feedback_key(*[F.coalesce(F.col(p), F.lit("")) for p in parts]))
-    return keyed.join(feedback.select("feedback_key", "rating").dropDuplicates(["feedback_key"]), "feedback_key", "left").withColumn("rating", F.coalesce("rating", F.lit("未評価")))
+    return keyed.join(feedback.select("feedback_key", "rating").dropDuplicates(["feedback_key"]).hint("merge"), "feedback_key", "left").withColumn("rating", F.coalesce("rating", F.lit("未評価")))
 
 
 def feedback_counts(rated: DataFrame) -> DataFrame:

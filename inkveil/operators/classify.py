@@ -116,7 +116,7 @@ def artifact_mode(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     """review_id, mode (code, config, runbook or document) and, for runbooks, depth."""
     low = F.lower(F.coalesce("text", F.lit("")))
     sizes = docs.groupBy("review_id").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"), F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(STEP))).alias("steps"), F.bool_or(has_any(low, RISK_TERMS)).alias("risky"))
-    rows = profiles.join(sizes, "review_id")
+    rows = profiles.join(sizes.hint("merge"), "review_id")
     profile = F.col("document_profile")
     mode = F.when(profile == "source_code", "code").when(profile == "network_config", "config").when(profile.isin("change_runbook", "operations_runbook"), "runbook").otherwise("document")
     depth = F.when((F.col("chars") <= LIGHT_CHARS) & (F.col("steps") >= 2), F.when(F.col("risky"), "light_high_risk").otherwise("light")).when(F.col("risky") & (F.col("chars") <= FORMAL_CHARS), "light_high_risk").otherwise("formal")

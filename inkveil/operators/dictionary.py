@@ -44,10 +44,14 @@ def tech_term_pattern(term: Column) -> Column:
     return F.coalesce(~no & out & (t != ""), F.lit(False))
 
 
-def load_seeds(spark: SparkSession, rows: list[dict], customer: str | None = None) -> DataFrame:
-    """Seed entries (dicts as read from the dictionary files), common ones and the customer's; confirm defaults to true."""
-    data = [(r.get("customer_id"), r["text"], r["label"], r.get("canonical"), bool(r.get("confirm", True))) for r in rows if r.get("text")]
-    seeds = spark.createDataFrame(data, "customer_id string, text string, label string, canonical string, confirm boolean")
+SEED = "customer_id string, text string, label string, canonical string, confirm boolean"
+
+
+def load_seeds(spark: SparkSession, rows: DataFrame | list[dict], customer: str | None = None) -> DataFrame:
+    """Seed entries, a table or a few dicts, common ones and the customer's; confirm defaults to true, entries without a text are left out."""
+    if isinstance(rows, list):
+        rows = spark.createDataFrame([tuple(r.get(k) for k in ("customer_id", "text", "label", "canonical", "confirm")) for r in rows], SEED)
+    seeds = rows.select("customer_id", "text", "label", "canonical", F.coalesce("confirm", F.lit(True)).alias("confirm")).filter(F.coalesce("text", F.lit("")) != "")
     return seeds.filter(F.col("customer_id").isNull() | (F.col("customer_id") == customer)) if customer else seeds
 
 
@@ -83,7 +87,7 @@ def without_tech_terms(candidates: DataFrame, allowed: DataFrame) -> DataFrame:
     """Candidates from outside the dictionaries lose technical terms, by list and by pattern."""
     exempt = candidates.filter(F.col("source").isin("seed_dict", "watchlist"))
     others = candidates.filter(~F.col("source").isin("seed_dict", "watchlist"))
-    others = others.withColumn("_n", F.lower(nfkc_trim(F.col("text")))).join(allowed.select(F.col("term_norm").alias("_n")).distinct(), "_n", "left_anti").drop("_n").filter(~tech_term_pattern(F.col("text")))
+    others = others.withColumn("_n", F.lower(nfkc_trim(F.col("text")))).join(allowed.select(F.col("term_norm").alias("_n")).distinct().hint("merge"), "_n", "left_anti").drop("_n").filter(~tech_term_pattern(F.col("text")))
     return exempt.unionByName(others)
 
 
@@ -93,25 +97,25 @@ def registry_lookup(candidates: DataFrame, registry: DataFrame, top: int = 5) ->
     found = find_phrases(registry.select("name", F.col("name").alias("text")), names.filter("text <> ''"))
     ranked = found.withColumn("k", F.row_number().over(Window.partitionBy("phrase_text").orderBy("name")))
     hits = ranked.groupBy(F.col("phrase_text").alias("text")).agg(F.count(F.lit(1)).alias("hits"), F.array_sort(F.collect_list(F.when(F.col("k") <= top, F.col("name")))).alias("top_names"))
-    out = names.join(hits, "text", "left")
+    out = names.join(hits.hint("merge"), "text", "left")
     return out.select("text", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("top_names", F.array().cast("array<string>")).alias("top_names"), F.when(F.col("text") == "", "empty query").otherwise("").alias("error"))
 
 
 def split_candidates(candidates: DataFrame, lookups: DataFrame, promote_errors: bool = False) -> tuple[DataFrame, DataFrame]:
     """(confirmed, uncertain); lookups that failed confirm a name if asked for."""
-    rows = candidates.join(lookups.select(F.col("text").alias("_t"), "error"), F.trim("text") == F.col("_t"), "left").drop("_t")
+    rows = candidates.join(lookups.select(F.col("text").alias("_t"), "error").hint("merge"), F.trim("text") == F.col("_t"), "left").drop("_t")
     sure = F.col("confirmed") | (F.lit(promote_errors) & (F.coalesce("error", F.lit("")) != ""))
     return rows.filter(sure).drop("error"), rows.filter(~sure).drop("error")
 
 
 def decide(uncertain: DataFrame, decisions: DataFrame, keys: tuple[str, ...] = ("review_id", "doc_ord"), default: bool = True) -> DataFrame:
     """Mask or not; without a decision the default, which is to mask."""
-    return uncertain.join(decisions.select(*keys, "text", "mask"), [*keys, "text"], "left").withColumn("mask", F.coalesce("mask", F.lit(default)))
+    return uncertain.join(decisions.select(*keys, "text", "mask").hint("merge"), [*keys, "text"], "left").withColumn("mask", F.coalesce("mask", F.lit(default)))
 
 
 def decision_progress(uncertain: DataFrame, decisions: DataFrame, keys: tuple[str, ...] = ("review_id", "doc_ord")) -> DataFrame:
     """Candidates and decided ones per set."""
-    rows = uncertain.join(decisions.select(*keys, "text", F.lit(True).alias("decided")), [*keys, "text"], "left")
+    rows = uncertain.join(decisions.select(*keys, "text", F.lit(True).alias("decided")).hint("merge"), [*keys, "text"], "left")
     return rows.groupBy("review_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce("decided", F.lit(False))).alias("decided"))
 
 
@@ -126,15 +130,15 @@ def dictionary_mask(masked: DataFrame, ledger: DataFrame, candidates: DataFrame,
     taken = told.filter("mask").withColumn("category", F.lower("label"))
     values = taken.select("review_id", "category", F.col("text").alias("value"), F.struct("doc_ord", "start").alias("first"))
     out = continue_placeholders(ledger, values)
-    named = taken.join(out.select("review_id", "category", F.col("original").alias("text"), "placeholder"), ["review_id", "category", "text"])
+    named = taken.join(out.select("review_id", "category", F.col("original").alias("text"), "placeholder").hint("merge"), ["review_id", "category", "text"])
     pairs = named.select(*keys, F.explode(F.array_distinct(F.concat("surfaces", F.array("text")))).alias("surface"), "placeholder")
     pairs = pairs.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct((-F.length("surface")).alias("n"), "surface", "placeholder"))).alias("_p"))
-    docs = masked.join(pairs, list(keys), "left")
+    docs = masked.join(pairs.hint("merge"), list(keys), "left")
     # one pass: an alternation of the quoted surfaces, longest first
     either = F.array_join(F.transform("_p", lambda x: quoted(x["surface"])), "|")
     names = F.map_from_entries(F.transform(F.array_distinct(F.transform("_p", lambda x: F.struct(x["surface"].alias("k"), F.lit("").alias("v")))), lambda x: F.struct(x["k"], F.get(F.filter("_p", lambda y: y["surface"] == x["k"]), F.lit(0))["placeholder"])))
     found = F.regexp_extract_all("outbound_text", either, F.lit(0))
     text = F.array_join(F.zip_with(F.split("outbound_text", either, -1), found, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(F.element_at(names, b), F.lit("")))), "")
     docs = docs.withColumn("outbound_text", F.when(F.col("_p").isNotNull(), text).otherwise(F.col("outbound_text"))).drop("_p")
-    logged = told.join(masked.select(*keys, F.col("outbound_text").alias("_x")), list(keys)).select(*keys, F.col("text").alias("term"), "label", "source", F.when(F.col("mask"), "mask").otherwise("skip").alias("decision"), F.substring(context(F.col("_x"), F.col("text")), 1, 120).alias("context"))
+    logged = told.join(masked.select(*keys, F.col("outbound_text").alias("_x")).hint("merge"), list(keys)).select(*keys, F.col("text").alias("term"), "label", "source", F.when(F.col("mask"), "mask").otherwise("skip").alias("decision"), F.substring(context(F.col("_x"), F.col("text")), 1, 120).alias("context"))
     return docs, out, logged

@@ -110,8 +110,8 @@ def unique_findings(*lists: Column) -> Column:
 def unconfirmed(documents: DataFrame, confirmations: DataFrame) -> DataFrame:
     """J18. confirmations: review_id, name; a null name confirms the whole set."""
     whole = confirmations.filter("name is null").select("review_id").distinct()
-    asked = documents.filter(confirmation(F.col("decision"))).join(whole, "review_id", "left_anti")
-    return asked.join(confirmations.select("review_id", "name"), ["review_id", "name"], "left_anti")
+    asked = documents.filter(confirmation(F.col("decision"))).join(whole.hint("merge"), "review_id", "left_anti")
+    return asked.join(confirmations.select("review_id", "name").hint("merge"), ["review_id", "name"], "left_anti")
 
 
 def attention_reasons(documents: DataFrame) -> Column:
@@ -136,4 +136,4 @@ def release_gate(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     judged = assess_sensitivity(documents)
     label = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv]), F.col("decision")), F.col("decision"))
     judged = judged.withColumn("findings", unique_findings(F.col("findings"), F.transform("reasons", lambda r: F.concat(F.lit("ローカル機密度ゲート: "), label, F.lit(". "), r))))
-    return judged, ledger, security_summary(judged).join(set_status(judged), "review_id")
+    return judged, ledger, security_summary(judged).join(set_status(judged).hint("merge"), "review_id")

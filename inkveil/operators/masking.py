@@ -152,8 +152,8 @@ def mask_documents(docs: DataFrame, detectors: Sequence[Detector] = DETECTORS, o
 def continue_placeholders(ledger: DataFrame, values: DataFrame) -> DataFrame:
     """W2. values: review_id, category, value, first. New values are numbered after the ledger's; known ones keep theirs."""
     last = ledger.groupBy("review_id", "category").agg(F.max("n").alias("last"))
-    new = values.groupBy("review_id", "category", "value").agg(F.min("first").alias("first")).join(ledger.select("review_id", "category", F.col("original").alias("value")), ["review_id", "category", "value"], "left_anti")
-    new = new.join(last, ["review_id", "category"], "left")
+    new = values.groupBy("review_id", "category", "value").agg(F.min("first").alias("first")).join(ledger.select("review_id", "category", F.col("original").alias("value")).hint("merge"), ["review_id", "category", "value"], "left_anti")
+    new = new.join(last.hint("merge"), ["review_id", "category"], "left")
     n = F.row_number().over(Window.partitionBy("review_id", "category").orderBy("first", "value")) + F.coalesce("last", F.lit(0))
     new = new.withColumn("n", n).select("review_id", token(F.col("category"), F.col("n")).alias("placeholder"), F.col("value").alias("original"), "category", "n")
     return ledger.unionByName(new)

@@ -105,15 +105,15 @@ def in_display_order(items: DataFrame, k: int = MAX_ITEMS) -> DataFrame:
 
 def build_remediation(issues: DataFrame, findings: DataFrame, profiles: DataFrame, most: int = MAX_ITEMS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """P14. profiles: review_id, document_profile. (items, steps, one row per set with headline and counts)."""
-    coded = issues.join(profiles.select("review_id", (F.col("document_profile") == "source_code").alias("_code")), "review_id", "left")
+    coded = issues.join(profiles.select("review_id", (F.col("document_profile") == "source_code").alias("_code")).hint("merge"), "review_id", "left")
     items = items_from_issues(coded, F.coalesce("_code", F.lit(False)))
-    prose = findings.join(profiles.filter("document_profile = 'source_code'").select("review_id"), "review_id", "left_anti")
+    prose = findings.join(profiles.filter("document_profile = 'source_code'").select("review_id").hint("merge"), "review_id", "left_anti")
     items = items.unionByName(items_from_findings(prose))
     once = F.row_number().over(Window.partitionBy("review_id", "source_type", "target_document", "target_section", "title").orderBy(*in_work_order()))
     place = F.row_number().over(Window.partitionBy("review_id").orderBy(*in_work_order()))
     items = items.withColumn("_k", once).filter("_k = 1").drop("_k").withColumn("work_ord", place).filter(F.col("work_ord") <= most)
     counts = severity_counts(items)
-    sets = profiles.select("review_id", (F.col("document_profile") == "source_code").cast("int").alias("_code")).join(counts, "review_id", "left").fillna(0)
+    sets = profiles.select("review_id", (F.col("document_profile") == "source_code").cast("int").alias("_code")).join(counts.hint("merge"), "review_id", "left").fillna(0)
     said = lambda key: F.element_at(F.array(*map(F.lit, HEADLINES[key])), F.col("_code") + 1)
     headline = F.when(F.col("high") > 0, said("high")).when(F.col("medium") > 0, said("medium")).when(F.col("low") > 0, said("low")).otherwise(said(""))
     sets = sets.withColumn("headline", headline)
@@ -189,7 +189,7 @@ def comparison_counts(compared: DataFrame) -> DataFrame:
 def items_to_chapters(items: DataFrame, chapters: DataFrame) -> DataFrame:
     """The first chapter, in order of documents and chapters, whose document and label an item names."""
     own = chapters.select("review_id", "doc_ord", F.col("name").alias("_d"), "chapter_ord", "chapter_id", "chapter_label")
-    both = items.join(own, "review_id").filter((F.contains("target_document", F.col("_d")) | F.contains("_d", F.col("target_document"))) & (F.contains(squeezed_lower(F.col("target_section")), squeezed_lower(F.col("chapter_label"))) | F.contains(squeezed_lower(F.col("chapter_label")), squeezed_lower(F.col("target_section")))))
+    both = items.join(own.hint("merge"), "review_id").filter((F.contains("target_document", F.col("_d")) | F.contains("_d", F.col("target_document"))) & (F.contains(squeezed_lower(F.col("target_section")), squeezed_lower(F.col("chapter_label"))) | F.contains(squeezed_lower(F.col("chapter_label")), squeezed_lower(F.col("target_section")))))
     return both.groupBy("review_id", "item_id").agg(F.min_by(F.struct("chapter_id", "chapter_label"), F.struct("doc_ord", "chapter_ord")).alias("c")).select("review_id", "item_id", "c.*")
 
 

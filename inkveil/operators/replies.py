@@ -99,7 +99,7 @@ def parse_pipe_issues(replies: DataFrame) -> DataFrame:
     rows = rows.filter(valid_severity(F.col("p")[1]) & ~placeholder_echo(F.col("p")[2], F.col("p")[3], F.col("p")[4]))
     or_else = lambda i, v: F.coalesce(F.nullif(F.col("p")[i], F.lit("")), v)
     rows = rows.select(*kept, "item_ord", F.lower(F.col("p")[1]).alias("severity"), or_else(2, F.lit("Review issue")).alias("title"), or_else(3, F.substring("reply", 1, 200)).alias("details"), or_else(4, F.lit("Please confirm the intended configuration.")).alias("recommendation"), or_else(5, F.coalesce("doc", F.lit("-"))).alias("source_document"), F.lit(None).cast("string").alias("issue_id"))
-    bare = replies.join(rows.select("review_id", "doc").distinct(), ["review_id", "doc"], "left_anti")
+    bare = replies.join(rows.select("review_id", "doc").distinct().hint("merge"), ["review_id", "doc"], "left_anti")
     told = bare.select(*kept, F.lit(0).alias("item_ord"), F.lit("info").alias("severity"), F.lit(UNPARSED).alias("title"), F.coalesce(F.nullif(F.substring("reply", 1, 500), F.lit("")), F.lit("No review text was returned.")).alias("details"), F.lit("").alias("recommendation"), F.coalesce("doc", F.lit("-")).alias("source_document"), F.lit("PARSE-001").alias("issue_id"))
     return rows.unionByName(told)
 
@@ -159,7 +159,7 @@ def merge_masker_output(documents: DataFrame, replies: DataFrame) -> DataFrame:
     """
     again = masked_text(replies.select("review_id", "doc_ord", normalise_placeholders(F.col("sanitized_text")).alias("text"), F.col("findings").alias("_f"), F.col("outbound_risk").alias("_r")))
     again = again.select("review_id", "doc_ord", F.col("masked").alias("_t"), "_f", "_r", unapproved_placeholders(F.col("masked")).alias("_odd"))
-    rows = documents.join(again, ["review_id", "doc_ord"], "left")
+    rows = documents.join(again.hint("merge"), ["review_id", "doc_ord"], "left")
     used = F.coalesce(F.trim("_t"), F.lit("")) != ""
     odd = F.when(F.size("_odd") > 0, F.array(F.concat(F.lit("Unapproved placeholders: "), F.array_join("_odd", ", ")))).otherwise(F.array().cast("array<string>"))
     text = F.when(used, F.col("_t")).otherwise(F.col("outbound_text"))
@@ -177,7 +177,7 @@ def against_facts(issues: DataFrame, docs: DataFrame) -> DataFrame:
     """Drops claims that the texts refute: syntax errors, missing source, marks of masking, "undefined" functions that are defined."""
     facts = docs.select("review_id", F.col("name").alias("source_document"), defined_functions(F.coalesce("text", F.lit(""))).alias("_functions"), (F.length(F.trim("text")) > 0).alias("_has_text"), code_language(F.col("name"), F.col("text")).alias("_language"))
     facts = facts.dropDuplicates(["review_id", "source_document"])
-    rows = issues.join(facts, ["review_id", "source_document"], "left")
+    rows = issues.join(facts.hint("merge"), ["review_id", "source_document"], "left")
     said = F.lower(F.concat_ws("\n", "title", "details", "recommendation"))
     says = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(said, w))
     known = F.exists(F.coalesce("_functions", F.array().cast("array<string>")), lambda f: F.contains(said, F.lower(f)))
@@ -188,8 +188,8 @@ def against_facts(issues: DataFrame, docs: DataFrame) -> DataFrame:
 def merge_static(static: DataFrame, model: DataFrame) -> DataFrame:
     """U4: rule findings first; a set whose model found nothing to act on has only these. Equal issues count once."""
     useful = actionable(model).select("review_id").distinct()
-    alone = static.select("review_id").distinct().join(useful, "review_id", "left_anti")
-    kept = model.join(alone, "review_id", "left_anti")
+    alone = static.select("review_id").distinct().join(useful.hint("merge"), "review_id", "left_anti")
+    kept = model.join(alone.hint("merge"), "review_id", "left_anti")
     both = static.withColumn("_s", F.lit(0)).unionByName(kept.withColumn("_s", F.lit(1)), allowMissingColumns=True)
     rank = F.row_number().over(Window.partitionBy("review_id", "source_document", "title", F.coalesce(F.nullif("current_state", F.lit("")), F.col("details"))).orderBy("_s", "item_ord"))
     return both.withColumn("_k", rank).filter("_k = 1").drop("_k", "_s")
@@ -206,7 +206,7 @@ def with_origins(**parts: DataFrame) -> DataFrame:
 
 def combine_reviews(parsed: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """P21. replies: review_id, doc, doc_ord, failed. (issues with ids assigned after merging, one row per set with its failures and status)."""
-    issues = parsed.join(replies.filter(~F.col("failed")).select("review_id", "doc", "doc_ord"), ["review_id", "doc"])
+    issues = parsed.join(replies.filter(~F.col("failed")).select("review_id", "doc", "doc_ord").hint("merge"), ["review_id", "doc"])
     if "document_profile" not in issues.columns:
         issues = issues.withColumn("document_profile", F.lit(None).cast("string"))
     issues = assign_issue_ids(issues, ("doc_ord", "item_ord"))
@@ -218,11 +218,11 @@ def chapter_overviews(docs: DataFrame, parsed: DataFrame, findings: DataFrame) -
     """An overview of each chapter, the reviewer's or an excerpt, with the structure findings on it; findings ask for a deep dive."""
     rows = extract_chapters(docs.select("review_id", "doc_ord", "name", "text"), whole=True).select("review_id", "doc_ord", F.col("name").alias("source_document"), "chapter_ord", "chapter_id", "chapter_label", excerpt(F.col("body")).alias("_x"))
     given = parsed.groupBy("review_id", "source_document", "chapter_id").agg(F.first("summary").alias("summary"), F.first("review").alias("review"), F.bool_or("needs_deep_dive").alias("needs_deep_dive"))
-    rows = rows.join(given, ["review_id", "source_document", "chapter_id"], "left")
+    rows = rows.join(given.hint("merge"), ["review_id", "source_document", "chapter_id"], "left")
     # chapter and (no source or the same source): two equi joins
     own = findings.filter(F.coalesce("source_document", F.lit("")) != "").groupBy("review_id", "chapter_id", "source_document").agg(F.count(F.lit(1)).alias("n_own"))
     wide = findings.filter(F.coalesce("source_document", F.lit("")) == "").groupBy("review_id", "chapter_id").agg(F.count(F.lit(1)).alias("n_wide"))
-    rows = rows.join(own, ["review_id", "chapter_id", "source_document"], "left").join(wide, ["review_id", "chapter_id"], "left")
+    rows = rows.join(own.hint("merge"), ["review_id", "chapter_id", "source_document"], "left").join(wide.hint("merge"), ["review_id", "chapter_id"], "left")
     n = F.coalesce("n_own", F.lit(0)) + F.coalesce("n_wide", F.lit(0))
     return rows.select("review_id", "doc_ord", "source_document", "chapter_ord", "chapter_id", "chapter_label", F.coalesce(F.nullif("summary", F.lit("")), "_x").alias("summary"), F.coalesce("review", F.lit("")).alias("review"), n.alias("n_findings"), (F.coalesce("needs_deep_dive", F.lit(False)) | (n > 0)).alias("needs_deep_dive"))
 
@@ -238,7 +238,7 @@ def issues_of_chapter(issues: DataFrame, chapters: DataFrame) -> DataFrame:
     said = F.concat_ws("\n", "section", "title", "details")
     names = chapters.select(F.col("review_id").alias("_r"), F.col("name").alias("_d"), "chapter_id", "chapter_label", "number")
     test = (F.col("review_id") == F.col("_r")) & (F.col("source_document") == F.col("_d")) & (F.contains(said, F.col("chapter_label")) | F.contains(said, F.concat(F.lit("第 "), F.col("number").cast("string"), F.lit(" 章"))) | F.contains(said, F.concat(F.lit("第"), F.col("number").cast("string"), F.lit("章"))))
-    return issues.join(names, test, "left_semi")
+    return issues.join(names.hint("merge"), test, "left_semi")
 
 
 def best_chapter(issues: DataFrame, chapters: DataFrame, least: int = 2) -> DataFrame:
@@ -246,7 +246,7 @@ def best_chapter(issues: DataFrame, chapters: DataFrame, least: int = 2) -> Data
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9_-]{2,}|[一-龥ァ-ヶー]{2,}"), F.lit(0)))
     keyed = issues.withColumn("_n", F.nullif(F.regexp_extract(F.coalesce("section", F.lit("")), r"第\s*(\d{1,2})\s*章", 1), F.lit("")).cast("int"))
     own = chapters.select("review_id", F.col("name").alias("source_document"), "chapter_ord", "chapter_id", "chapter_label", "number", words(F.col("body")).alias("_w"))
-    both = keyed.select("review_id", "source_document", "issue_id", "section", "_n", words(F.concat_ws("\n", "title", "details", "issue")).alias("_i")).join(own, ["review_id", "source_document"])
+    both = keyed.select("review_id", "source_document", "issue_id", "section", "_n", words(F.concat_ws("\n", "title", "details", "issue")).alias("_i")).join(own.hint("merge"), ["review_id", "source_document"])
     rank = F.when(F.coalesce("section", F.lit("")) == F.col("chapter_label"), 1000).when(F.col("_n") == F.col("number"), 900).otherwise(F.size(F.array_intersect("_i", "_w")))
     return both.withColumn("_s", rank).filter(F.col("_s") >= least).groupBy("review_id", "issue_id").agg(F.max_by(F.struct("chapter_id", "chapter_label"), F.struct("_s", -F.col("chapter_ord"))).alias("c")).select("review_id", "issue_id", "c.*")
 
@@ -269,12 +269,12 @@ def local_summary(docs: DataFrame, issues: DataFrame) -> DataFrame:
     stated = F.regexp_extract(text, r"(本(?:書|資料|手順書)は[^。\n]*。?)", 1)
     purpose = F.coalesce(F.nullif(F.trim(inline), F.lit("")), F.nullif(excerpt(block, 180), F.lit("")), F.nullif(stated, F.lit("")), excerpt(text, 180))
     labels = extract_chapters(docs.select("review_id", "doc_ord", "text")).filter("chapter_ord < 5").groupBy("review_id", "doc_ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chapter_ord", "chapter_label"))), lambda x: x["chapter_label"]), " / ").alias("labels"))
-    rows = docs.select("review_id", "doc_ord", "name", purpose.alias("purpose"), excerpt(text, 120).alias("_x")).join(labels, ["review_id", "doc_ord"], "left")
+    rows = docs.select("review_id", "doc_ord", "name", purpose.alias("purpose"), excerpt(text, 120).alias("_x")).join(labels.hint("merge"), ["review_id", "doc_ord"], "left")
     rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("review_id").orderBy("doc_ord"))).filter("_k <= 5")
     sets = rows.groupBy("review_id").agg(F.min_by("purpose", "_k").alias("purpose"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", F.concat("name", F.lit(": "), F.coalesce("labels", "_x")).alias("line")))), lambda x: x["line"]), "\n").alias("content_outline"))
     counts = issues.groupBy("review_id").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
     comment = F.substring(F.concat(F.lit("high "), F.coalesce("high", F.lit(0)).cast("string"), F.lit(", medium "), F.coalesce("medium", F.lit(0)).cast("string"), F.lit(", low "), F.coalesce("low", F.lit(0)).cast("string")), 1, 260)
-    return sets.join(counts, "review_id", "left").select("review_id", "purpose", "content_outline", comment.alias("overall_evaluation"))
+    return sets.join(counts.hint("merge"), "review_id", "left").select("review_id", "purpose", "content_outline", comment.alias("overall_evaluation"))
 
 
 def payload_parts(documents: DataFrame, findings: DataFrame, caps: int = 20) -> DataFrame:

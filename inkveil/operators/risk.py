@@ -69,7 +69,7 @@ def _set_flags(docs: DataFrame) -> DataFrame:
     rows = materialised(rows)
     short = rows.select("review_id", F.explode("abbr").alias("a")).distinct().groupBy("review_id").agg(F.array_sort(F.collect_list("a")).alias("abbr"))
     sets = rows.groupBy("review_id").agg(F.when(F.count(F.lit(1)) == 1, F.min("name")).otherwise(WHOLE_SET).alias("source"), F.array_distinct(F.flatten(F.collect_list("have"))).alias("have"))
-    return sets.join(short, "review_id", "left").withColumn("abbr", F.coalesce("abbr", F.array().cast("array<string>")))
+    return sets.join(short.hint("merge"), "review_id", "left").withColumn("abbr", F.coalesce("abbr", F.array().cast("array<string>")))
 
 
 def _missing(prefix: str, labels: Sequence[str]) -> Column:
@@ -116,7 +116,7 @@ def premortem(docs: DataFrame, issues: DataFrame, cap: int = SCENARIO_CAP) -> Da
         level = F.when((F.size(F.array_intersect(gone, F.array(*map(F.lit, high)))) > 0) if high else F.lit(False), "high").when(F.size(gone) >= 2, "high").otherwise("medium")
         rows.append(F.struct(F.lit(i).alias("o"), F.lit(s).alias("scenario_id"), F.lit(title).alias("title"), F.array_contains("have", f"t|{s}").alias("by_document"), gone.alias("missing_elements"), F.array_except(F.array(*map(F.lit, needed)), gone).alias("confirmed_elements"), level.alias("risk_level")))
     out = sets.select("review_id", F.explode(F.array(*rows)).alias("r")).select("review_id", "r.*").filter(F.size("missing_elements") > 0)
-    out = out.join(hints, ["review_id", "scenario_id"], "left").join(best, ["review_id", "scenario_id"], "left")
+    out = out.join(hints.hint("merge"), ["review_id", "scenario_id"], "left").join(best.hint("merge"), ["review_id", "scenario_id"], "left")
     by_issue = F.col("review_hint").isNotNull()
     out = out.filter(F.col("by_document") | by_issue)
     source = F.when(F.col("by_document") & F.col("best").isNotNull(), F.col("best.name")).otherwise(F.coalesce(F.nullif("hint_document", F.lit("")), F.lit(WHOLE_SET)))

@@ -92,6 +92,20 @@ CODE_RULES = (
     (Rule("medium", "例外処理が広すぎる可能性", (BROAD_EXCEPT,)), BROAD_EXCEPT),
 )
 DEFINED = r"^\s*(?:async\s+def|def)\s+([A-Za-z_][A-Za-z0-9_]*)\s*\("
+#: Language, what is looked at, and what it must hold; in this order.
+LANGUAGES = (
+    ("shell", "name", r"\.(sh|bash|bsh|ksh|zsh|sh\.txt|bash\.txt)$"),
+    ("powershell", "name", r"\.(ps1|psm1|psd1|ps1\.txt)$"),
+    ("sql", "name", r"\.(sql|psql|sql\.txt)$"),
+    ("python", "name", r"\.(py|py\.txt)$"),
+    ("shell", "first", r"^#!.*(sh|bash|ksh|zsh)"),
+    ("python", "first", r"^#!.*python"),
+    ("powershell", "begin", "param("),
+    ("powershell", "words", ("$erroractionpreference", "invoke-")),
+    ("python", "line", "(?m)" + DEFINED),
+    ("sql", "lower", r"(?m)^\s*(?:select|insert|update|delete|create|alter)\b"),
+    ("shell", "words", ("set -e", "set -u", "pipefail", "awk ", "sed ", "grep ")),
+)
 RUNBOOKS = ("change_runbook", "operations_runbook")
 ROLLBACK = ("切戻し", "切り戻し", "rollback", "roll back", "backout", "補償処置", "リカバリ", "fallback", "代替手段")
 IRREVERSIBLE = ("drop table", "truncate", "rm -rf", "delete from", "format ", "破棄", "削除", "データ削除", "物理削除", "上書き", "overwrite")
@@ -191,16 +205,17 @@ def defined_functions(text: Column) -> Column:
 
 
 def code_language(name: Column, text: Column) -> Column:
-    """By extension, first line, then content."""
+    """The language of the first row of LANGUAGES that fits: by the name, the first line, the beginning, a line, or words."""
     n, t = F.lower(F.coalesce(name, F.lit(""))), F.ltrim(F.coalesce(text, F.lit("")))
     low, first = F.lower(t), F.lower(F.regexp_extract(t, r"^([^\r\n]*)", 1))
-    return (
-        F.when(n.rlike(r"\.(sh|bash|bsh|ksh|zsh|sh\.txt|bash\.txt)$"), "shell").when(n.rlike(r"\.(ps1|psm1|psd1|ps1\.txt)$"), "powershell").when(n.rlike(r"\.(sql|psql|sql\.txt)$"), "sql").when(n.rlike(r"\.(py|py\.txt)$"), "python")
-        .when(first.startswith("#!") & first.rlike("sh|bash|ksh|zsh"), "shell").when(first.startswith("#!") & F.contains(first, F.lit("python")), "python")
-        .when(low.startswith("param(") | F.contains(low, F.lit("$erroractionpreference")) | F.contains(low, F.lit("invoke-")), "powershell")
-        .when(t.rlike("(?m)" + DEFINED), "python").when(low.rlike(r"(?m)^\s*(?:select|insert|update|delete|create|alter)\b"), "sql")
-        .when(has_any(low, ("set -e", "set -u", "pipefail", "awk ", "sed ", "grep ")), "shell").otherwise("generic")
-    )
+    tests = {
+        "name": n.rlike, "first": first.rlike, "begin": low.startswith, "line": t.rlike, "lower": low.rlike,
+        "words": lambda words: has_any(low, words),
+    }
+    out = None
+    for language, kind, what in LANGUAGES:
+        out = F.when(tests[kind](what), language) if out is None else out.when(tests[kind](what), language)
+    return out.otherwise("generic")
 
 
 def evidence(text: Column, pattern: str, hide: bool) -> Column:
@@ -240,7 +255,7 @@ def rule_review(docs: DataFrame) -> DataFrame:
     configs = rows.filter(F.col("document_profile") == "network_config")
     scripts = rows.filter(F.col("document_profile") == "source_code")
     issues = issues.unionByName(audit_ios(configs)).unionByName(audit_fortios(configs)).unionByName(scan_code_risks(scripts).select(*kept, "rule_ord", "severity", "title"))
-    quiet = rows.select("review_id", "document_profile").distinct().join(issues.select("review_id").distinct(), "review_id", "left_anti")
+    quiet = rows.select("review_id", "document_profile").distinct().join(issues.select("review_id").distinct().hint("merge"), "review_id", "left_anti")
     issues = issues.unionByName(quiet.select("review_id", F.lit(0).alias("doc_ord"), F.lit("-").alias("name"), "document_profile", F.lit(0).alias("rule_ord"), F.lit(NOTHING.severity).alias("severity"), F.lit(NOTHING.title).alias("title")))
     return assign_issue_ids(issues)
 

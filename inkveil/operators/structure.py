@@ -250,12 +250,12 @@ def check_structure(docs: DataFrame) -> DataFrame:
         return rows.select("review_id", F.lit(kind).alias("kind"), severity.alias("severity"), *[v.cast("string").alias(c) for c, v in columns.items()])
 
     # Content of a chapter that is nowhere, within another one; the first place counts
-    stray = found.join(standard, F.col("chapter_id") == F.col("source_id")).select("review_id", "doc_ord", "name", "chapter_ord", F.explode("topics").alias("topic"))
-    stray = stray.join(detected.select("review_id", F.col("chapter_id").alias("topic")), ["review_id", "topic"], "left_anti")
+    stray = found.join(standard.hint("merge"), F.col("chapter_id") == F.col("source_id")).select("review_id", "doc_ord", "name", "chapter_ord", F.explode("topics").alias("topic"))
+    stray = stray.join(detected.select("review_id", F.col("chapter_id").alias("topic")).hint("merge"), ["review_id", "topic"], "left_anti")
     stray = stray.groupBy("review_id", "topic").agg(F.min_by("name", F.struct("doc_ord", "chapter_ord")).alias("name"))
     # Missing chapters; those whose words the set has elsewhere are suggestions
-    missing = with_any.join(chapter).join(detected, ["review_id", "chapter_id"], "left_anti")
-    missing = missing.join(stray.withColumnRenamed("topic", "chapter_id"), ["review_id", "chapter_id"], "left").join(per_set.select("review_id", "words"), "review_id")
+    missing = with_any.join(chapter).join(detected.hint("merge"), ["review_id", "chapter_id"], "left_anti")
+    missing = missing.join(stray.withColumnRenamed("topic", "chapter_id").hint("merge"), ["review_id", "chapter_id"], "left").join(per_set.select("review_id", "words").hint("merge"), "review_id")
     words = F.create_map(*[x for k, v in CHAPTER_WORDS.items() for x in (F.lit(k), F.array(*[F.lit(squeeze_word(w)) for w in v]))])
     elsewhere = F.coalesce(F.size(F.array_intersect("words", F.element_at(words, F.col("chapter_id")))) >= 2, F.lit(False))
     suggested = missing.filter(F.col("name").isNotNull() | elsewhere)
@@ -269,7 +269,7 @@ def check_structure(docs: DataFrame) -> DataFrame:
     weight = F.when(F.col("weight") >= 3, "high").otherwise("medium")
     of_item = {"item_id": F.col("item_id"), "item_name": F.col("item_name"), "expected_content": F.col("expected_content")}
     # sets without any heading
-    plain = per_set.join(with_any, "review_id", "left_anti")
+    plain = per_set.join(with_any.hint("merge"), "review_id", "left_anti")
     unsaid = plain.filter(~F.array_contains("items", "1.1")).crossJoin(F.broadcast(dim_item(spark).filter("item_id = '1.1'").join(dim_chapter(spark).select("chapter_id", "chapter_name"), "chapter_id")))
     return (
         shaped(suggested, "structure_organization_suggestion", F.lit("medium"), source_document=F.coalesce("name", F.lit("")), **of_chapter)

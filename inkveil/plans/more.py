@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkveil.operators import dictionary, gate, remediation, replies, structure
@@ -124,7 +125,9 @@ def t8_chapter_order(spark, sf_dir):
     k = F.col("p_partkey")
     item = F.concat_ws(".", (k % 13).cast("string"), (F.floor(k / 13) % 17).cast("string"), k.cast("string"))
     first = structure.in_chapter_order(T.table(spark, sf_dir, "part").select(item.alias("item_id"))).limit(100)
-    return first.agg(F.collect_list("item_id").alias("ids")).select(F.posexplode("ids").alias("p", "item_id")).select("item_id", (F.col("p") + 1).cast("long").alias("place"))
+    part = lambda i: F.split("item_id", "[.]").getItem(i).cast("int")
+    place = F.row_number().over(Window.orderBy(part(0), part(1), part(2)))  # over a hundred rows
+    return first.withColumn("place", place.cast("long"))
 
 
 @query(f"""WITH {_ISSUE_SQL}, model AS (SELECT * FROM i WHERE doc_id % 3 <> 0), static AS (SELECT * FROM i WHERE doc_id % 3 = 0),
@@ -152,10 +155,9 @@ def n14_n16_sections(spark, sf_dir):
 @query("""SELECT n_nationkey AS key, 'NATION ' || n_nationkey AS canonical, n_regionkey = 0 AS confirm FROM nation WHERE n_regionkey < 3""")
 def s11_u7_seeds(spark, sf_dir):
     """The dictionary common to all and that of one customer; another customer's entries are left out."""
-    owner = {0: None, 1: "c1", 2: None}
-    rows = [
-        {"customer_id": owner.get(r["n_regionkey"], "c2"), "text": r["n_name"], "label": "GPE", "canonical": f"NATION {r['n_nationkey']}", "confirm": r["n_regionkey"] == 0}
-        for r in T.table(spark, sf_dir, "nation").collect()  # a fixed dimension
-    ]
+    k = F.col("n_regionkey")
+    owner = F.when(k == 1, "c1").when(~k.isin(0, 2), "c2")
+    canonical = F.concat(F.lit("NATION "), F.col("n_nationkey").cast("string"))
+    rows = T.table(spark, sf_dir, "nation").select(owner.alias("customer_id"), F.col("n_name").alias("text"), F.lit("GPE").alias("label"), canonical.alias("canonical"), (k == 0).alias("confirm"))
     seeds = dictionary.load_seeds(spark, rows, "c1")
     return seeds.select(F.regexp_extract("text", "([0-9]+)$", 1).cast("int").alias("key"), "canonical", "confirm")
