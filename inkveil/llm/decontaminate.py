@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.texts import U64, mix, row_blocks, text_bytes, word_hashes
+from inkveil.llm.texts import U64, mix, row_blocks, text_bytes, unused, word_hashes
 from inkveil.sources.scratch import materialised
 
 RATE = 0.2
@@ -224,7 +224,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, keep
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for whole in batches:
-                for batch in row_blocks(whole, "_text"):
+                for batch in row_blocks(whole, whole.num_columns - 1):
                     found = search(*word_hashes(*text_bytes(batch.column(batch.num_columns - 1))), items)
                     if found:
                         rows, owners, distance, begin, end = zip(*found, strict=True)
@@ -232,7 +232,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, keep
                         ids = pa.array([items.ids[o] for o in owners])
                         yield pa.RecordBatch.from_arrays([*kept.columns, ids, pa.array(distance, pa.int32()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())], names=names)
 
-        return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+        return docs.select(*keep, F.col("text").alias(unused("_text", keep))).mapInArrow(run, schema)
 
     for part in _one_by_one(docs, item_blocks(benchmark, rate), passed):
         out = part if out is None else out.unionAll(part)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm.sampling import least_hashed
-from inkveil.llm.texts import row_blocks, text_bytes
+from inkveil.llm.texts import row_blocks, text_bytes, unused
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -180,4 +180,4 @@ def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc
                 score = np.where(known, np.clip(sums.max(1), 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[best], pa.string()), pa.array(score, pa.float64())], names=fields)
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias(unused("_text", keep))).mapInArrow(run, schema)

@@ -28,8 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.sampling import least_hashed
-from inkveil.llm.texts import row_blocks
+from inkveil.llm.sampling import labelled_texts
+from inkveil.llm.texts import row_blocks, unused
 
 BLOCK = 8192
 LEVEL = 3
@@ -80,13 +80,15 @@ def _dictionary(texts: list[bytes]) -> bytes:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope, with both labels of the same weight, so that 0.5 is the point of even likelihood whatever their shares."""
+    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y)
     scale = max(float(x.std()), 1e-9)
     a = np.column_stack([np.ones(len(x)), x / scale])
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        hessian = (a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hessian, a.T @ (p - y) + 1e-3 * w)
+        hessian = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2)
+        step = np.linalg.solve(hessian, a.T @ (weight * (p - y)) + 1e-3 * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -95,11 +97,17 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> QualityModel:
     """labelled: text, label (1 good, 0 bad). Takes at most ``sample`` rows of each label to the driver."""
-    rows = labelled.filter(F.col("text").isNotNull() & F.col("label").isin(0, 1)).select(F.col("label").cast("int").alias("label"), F.encode("text", "UTF-8").alias("text"), F.xxhash64("text").alias("h"))
-    begin = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - F.lit(sample_bytes), F.lit(0)) + 1).cast("int") + 1
-    texts: dict[int, list[bytes]] = {0: [], 1: []}
-    for r in least_hashed(rows.withColumn("part", F.substring(F.col("text"), begin, F.lit(sample_bytes))), "label", sample, "part"):
-        texts[r["label"]].append(bytes(r["part"]))
+    rows = labelled.select("text", "label").withColumn("doc_id", F.xxhash64("text"))
+    return fit_by_id(rows.select("doc_id", "text"), rows.select("doc_id", "label"), sample, sample_bytes)
+
+
+def fit_by_id(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> QualityModel:
+    """As fit, of docs (doc_id, text) and labels (doc_id, label); only ids and hashes are joined."""
+    return train(labelled_texts(docs, labels, sample, sample_bytes))
+
+
+def train(texts: dict[int, list[bytes]]) -> QualityModel:
+    """texts: for each label its texts, in any order that hangs on nothing but them."""
     half = {k: (v[::2], v[1::2]) for k, v in texts.items()}
     model = QualityModel(_dictionary(half[1][0]), _dictionary(half[0][0]), 0.0, 0.0)
     if not model.good or not model.bad:
@@ -109,7 +117,6 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BY
     y = np.array([k for _, k in left], float)
     if len(set(y)) < 2:
         return model
-    # the sample has other shares of the labels than the table: even weights make 0.5 the point of even likelihood
     intercept, slope = _logistic(x, y)
     return QualityModel(model.good, model.bad, slope, intercept)
 
@@ -122,10 +129,10 @@ def score(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in row_blocks(whole, "_text"):
+            for batch in row_blocks(whole, whole.num_columns - 1):
                 texts = pc.fill_null(batch.column(batch.num_columns - 1).cast(pa.large_binary()), b"").to_pylist()
                 p = shared.value.scores(texts)
                 columns = [*batch.columns[:-1], pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=fields)
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias(unused("_text", keep))).mapInArrow(run, schema)

@@ -70,8 +70,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"))
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).filter(F.coalesce(_remainder("doc_id", 3) != 1, F.lit(True)))
-    model = quality.fit(docs.select("doc_id", "text").join(labels.hint("merge"), "doc_id"))
-    return quality.score(docs, model, ("doc_id", "held_out"))
+    return quality.score(docs, quality.fit_by_id(docs, labels), ("doc_id", "held_out"))
 
 
 def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,23 @@ byte codes times powers of an odd number, finished by an avalanche step.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+
+
+def unused(name: str, columns: Iterable[str]) -> str:
+    """``name``, with low lines behind it until no column is called so (Spark's names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

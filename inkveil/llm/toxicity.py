@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm.sampling import labelled_texts
-from inkveil.llm.texts import BYTE_CODES, U64, mix, powers, row_blocks, text_bytes
+from inkveil.llm.texts import BYTE_CODES, U64, mix, powers, row_blocks, text_bytes, unused
 
 PIECE = 24
 STEMS = (4, 5)
@@ -218,4 +218,4 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_i
                 p = shared.value.scores(*lowered(batch.column(batch.num_columns - 1)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p, pa.float64()), pa.array((p >= least).astype(np.int32))], names=fields)
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").cast("string").alias(unused("_text", keep))).mapInArrow(run, schema)

@@ -179,33 +179,39 @@ def test_progressive_search_equals_all_distances():
 # --- toxicity
 
 
+def _words(seed, n):
+    rng = random.Random(seed)
+    return ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(n)]
+
+
+FILL, INSULTS, GROUPS = _words(11, 60), _words(12, 3), _words(13, 3)
+
+
 def _talk(seed, n):
-    """Insults meet things or people, groups meet praise or insults; only an insult of a group is toxic."""
+    """Only an insult next to a group is toxic; several insults, or several groups, are not."""
     rng = random.Random(seed)
-    fill, insults, groups, things, praise = ([f"{p}{i}" for i in range(k)] for p, k in (("fill", 60), ("nasty", 4), ("folk", 4), ("chair", 4), ("kind", 4)))
-    fill, insults, groups, things, praise = ([re.sub(r"\d+", lambda m: "abcdefghij"[int(m[0]) % 10] * (1 + int(m[0]) // 10), w) for w in ws] for ws in (fill, insults, groups, things, praise))
     out = []
     for i in range(n):
-        pair = [(insults, groups), (insults, things), (praise, groups), (praise, things)][i % 4]
-        words = [rng.choice(fill) for _ in range(rng.randint(4, 12))] + [rng.choice(pair[0]), rng.choice(pair[1])]
+        told = [[rng.choice(INSULTS), rng.choice(GROUPS)], rng.sample(INSULTS, 2), rng.sample(GROUPS, 2), []][i % 4]
+        words = [rng.choice(FILL) for _ in range(rng.randint(4, 12))] + told
         rng.shuffle(words)
         out.append((" ".join(words), int(i % 4 == 0)))
     return out
 
 
 def test_pairs_of_terms_are_learned_that_additive_weights_miss():
-    told, asked = _talk(1, 2400), _talk(2, 800)
+    told, asked = _talk(1, 6000), _talk(2, 800)
     model = toxicity.train([t for t, _ in told], [y for _, y in told])
     import pyarrow as pa
 
     p = model.scores(*toxicity.lowered(pa.array([t for t, _ in asked])))
     y = np.array([y for _, y in asked])
     assert (p[y == 1] >= 0.7).mean() > 0.95 and (p[y == 0] >= 0.7).mean() < 0.02
-    # what any additive weights give: insult + group and praise + thing add up to what insult + thing and praise + group do
+    # additive weights: two insults, and two groups, must stay below what one of each reaches, which no weights do
     alone = toxicity.ToxicityModel(model.terms, model.weights, np.zeros_like(model.factors), model.bias, True)
     q = alone.scores(*toxicity.lowered(pa.array([t for t, _ in asked])))
     best = max(((q >= c) == y).mean() for c in np.unique(q))
-    assert ((p >= 0.5) == y).mean() > best
+    assert ((p >= 0.5) == y).mean() > 0.97 and best < 0.9
 
 
 def test_model_scores_as_the_definition_says():
@@ -228,7 +234,7 @@ def test_model_scores_as_the_definition_says():
 
 
 def test_toxicity_on_hard_tables(spark):
-    told = _talk(5, 600)
+    told = _talk(5, 6000)
     docs = spark.createDataFrame([*((i, t) for i, (t, _) in enumerate(told)), (9001, None), (9002, ""), (9003, "1 2 3"), (None, told[0][0])], "doc_id long, text string")
     labels = spark.createDataFrame([*((i, y) for i, (_, y) in enumerate(told)), (9001, 1), (None, 1), (5, None), (77777, 1)], "doc_id long, label int")
     model = toxicity.fit(docs, labels)
@@ -251,3 +257,36 @@ def test_samples_keep_texts_beside_many_copies(spark):
     rows = copies.unionAll(others).withColumn("h", F.xxhash64("text"))
     assert len(sampling.least_hashed(rows, "lang", 1500, "text")) == 61
     assert len(sampling.least_hashed(rows, "lang", 40, "text")) == 40
+
+
+def test_columns_may_be_called_as_internal_ones(spark):
+    from inkveil.llm import decontaminate, language, lm, quality
+
+    rows = [(i, f"{w} {w} text number {i} of this kind", w, "x", i) for i in range(40) for w in ("aa", "zz")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string, _text string, _hash int")
+    kept = ("doc_id", "_text", "_hash")
+    assert language.predict(docs, language.fit(docs), kept, prefix="_of_").columns == [*kept, "_of_lang_pred", "_of_score"]
+    assert language.predict(docs, language.fit(docs), kept).select("_text").distinct().collect()[0][0] == "x"
+    labels = docs.selectExpr("doc_id", "cast(lang = 'aa' as int) as label")
+    assert quality.score(docs, quality.fit_by_id(docs, labels), kept).filter("_text = 'x'").count() == 80
+    assert toxicity.score(docs, toxicity.fit(docs, labels), kept).filter("_text = 'x'").count() == 80
+    model, counts = lm.fit(docs)
+    assert lm.score(docs, model, counts, kept).filter("_text = 'x'").count() == 80
+    items = docs.limit(1).selectExpr("1 as item_id", "'text number 3 of this kind zz' as text")
+    assert "_text" in decontaminate.contaminated(docs, items, keep=kept).columns
+
+
+def test_quality_gives_both_labels_the_same_weight(spark):
+    from inkveil.llm import quality
+
+    rng = random.Random(1)
+    good, bad = (["".join(rng.choice(a) for _ in range(6)) for _ in range(40)] for a in ("abcdefgh", "rstuvwxy"))
+    texts = lambda words, n: [" ".join(rng.choice(words) for _ in range(60)).encode() for _ in range(n)]
+    few, many = texts(bad, 40), texts(good, 600)
+    model = quality.train({1: many, 0: few})
+    p = model.scores([*texts(bad, 50), *texts(good, 50)])
+    assert (p[:50] < 0.5).mean() > 0.9 and (p[50:] >= 0.5).mean() > 0.9
+    # half way between the labels is even, however many there are of each
+    x = np.concatenate([np.random.default_rng(0).normal(-1, 1, 4000), np.random.default_rng(1).normal(1, 1, 200)])
+    intercept, slope = quality._logistic(x, np.array([1.0] * 4000 + [0.0] * 200))
+    assert slope < 0 and abs(intercept) < 0.3
