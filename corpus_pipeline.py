@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.llm import decontaminate, language, mixing, ngram_join, secrets
+from inkveil.llm.texts import unused
 from inkveil.sources.scratch import materialised
 
 #: The language model must be so far on the way from an even guess to certainty; below that a document is of no language that it knows.
@@ -29,9 +30,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = group.filter("component is not null and doc_id = component_id").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("one.*")
     first = first.unionAll(group.filter("component is null").select("doc_id", "text_hash"))
     first = first.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_of"))
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    kept = rows.join(first.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_of")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_hash"]).unionByName(rows.filter("doc_id is null")).drop("_hash")
+    mark = unused("_hash", docs.columns)
+    rows = docs.withColumn(mark, F.xxhash64("text"))
+    kept = rows.join(first.hint("merge"), (rows["doc_id"] == first["_id"]) & (rows[mark] == first["_of"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", mark]).unionByName(rows.filter("doc_id is null")).drop(mark)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
