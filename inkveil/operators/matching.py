@@ -8,7 +8,7 @@ what the shards find is put together by document.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import groupby
 
 import ahocorasick
@@ -146,6 +146,42 @@ def contained_phrases(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     return _matches(docs, phrases, first_of_each)
 
 
+#: Lengths of the beginnings by which short texts are looked up in each other.
+GRAMS = (0, 1, 2, 4, 8, 16)
+
+
+def containing_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, left, right: pairs of the texts of two tables (keys, text), equal in the keys, of which one contains the other. Each pair once.
+
+    For short texts, as names and headings are: all stretches of one side meet the beginnings of the other, by hash and as long as these are,
+    so texts that have nothing in common never meet; what meets is compared. Empty texts are in all, nulls in none.
+    """
+
+    def told(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(*keys, F.col("text").cast("string").alias(name)).filter(F.col(name).isNotNull()).distinct()
+
+    def begun(rows: DataFrame, name: str) -> DataFrame:
+        n = F.length(name)
+        size = F.greatest(*[F.when(n >= g, F.lit(g)) for g in GRAMS])
+        return rows.withColumn("_g", F.xxhash64(size, F.substring(F.col(name), F.lit(1), size)))
+
+    def stretches(rows: DataFrame, name: str) -> DataFrame:
+        n = F.length(name)
+        none = F.array().cast("array<bigint>")
+
+        def of(g: int) -> Column:
+            return F.array_distinct(F.transform(F.sequence(F.lit(1), n - g + 1), lambda i: F.xxhash64(F.lit(g), F.substring(F.col(name), i, F.lit(g)))))
+
+        every = [F.when(n >= g, of(g)).otherwise(none) for g in GRAMS]
+        return rows.withColumn("_g", F.explode(F.concat(*every)))
+
+    a, b = told(left, "left"), told(right, "right")
+    by = [*keys, "_g"]
+    inner = stretches(a, "left").join(begun(b, "right").hint("merge"), by).filter(F.contains("left", F.col("right")))
+    outer = begun(a, "left").join(stretches(b, "right").hint("merge"), by).filter(F.contains("right", F.col("left")))
+    return inner.select(*keys, "left", "right").unionByName(outer.select(*keys, "left", "right")).distinct()
+
+
 def quoted(text: Column) -> Column:
     """A text as a regular expression that matches it and nothing else."""
     return F.regexp_replace(text, r"([\\.\[\]{}()*+?^$|])", r"\\$1")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkveil.operators.matching import containing_pairs
+
 # Words and wordings of items.
 CONNECTIVES = "(および|及び|ならびに|または|について|として|すること|してください|あります|できます)"
 STOPWORDS = ("この", "その", "ため", "もの", "こと", "以下", "以上", "対象", "対象文書", "該当", "該当箇所", "文書", "修正", "追記", "確認", "再レビュー", "レビュー", "計画", "方針", "内容", "現状", "問題点", "完了条件", "判断基準", "記載", "必要", "不足")
@@ -187,10 +189,18 @@ def comparison_counts(compared: DataFrame) -> DataFrame:
 
 
 def items_to_chapters(items: DataFrame, chapters: DataFrame) -> DataFrame:
-    """The first chapter, in order of documents and chapters, whose document and label an item names."""
+    """The first chapter, in order of documents and chapters, whose document and label an item names.
+
+    Names of documents are found in each other by their beginnings, so an item meets the chapters of the documents that it names, not all of its set.
+    """
+    named = containing_pairs(items.select("review_id", F.col("target_document").alias("text")), chapters.select("review_id", F.col("name").alias("text")), ["review_id"])
+    named = named.select("review_id", F.col("left").alias("target_document"), F.col("right").alias("_d"))
     own = chapters.select("review_id", "doc_ord", F.col("name").alias("_d"), "chapter_ord", "chapter_id", "chapter_label")
-    both = items.join(own.hint("merge"), "review_id").filter((F.contains("target_document", F.col("_d")) | F.contains("_d", F.col("target_document"))) & (F.contains(squeezed_lower(F.col("target_section")), squeezed_lower(F.col("chapter_label"))) | F.contains(squeezed_lower(F.col("chapter_label")), squeezed_lower(F.col("target_section")))))
-    return both.groupBy("review_id", "item_id").agg(F.min_by(F.struct("chapter_id", "chapter_label"), F.struct("doc_ord", "chapter_ord")).alias("c")).select("review_id", "item_id", "c.*")
+    both = items.join(named.hint("merge"), ["review_id", "target_document"]).join(own.hint("merge"), ["review_id", "_d"])
+    section, label = squeezed_lower(F.col("target_section")), squeezed_lower(F.col("chapter_label"))
+    both = both.filter(F.contains(section, label) | F.contains(label, section))
+    first = F.min_by(F.struct("chapter_id", "chapter_label"), F.struct("doc_ord", "chapter_ord"))
+    return both.groupBy("review_id", "item_id").agg(first.alias("c")).select("review_id", "item_id", "c.*")
 
 
 def template_section(template: Column, label: str) -> Column:

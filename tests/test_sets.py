@@ -276,3 +276,12 @@ def test_a_callers_judgement(spark):
     for bad in ({"decision": F.col("nowhere")}, {"decision": F.lit(1)}, {"reasons": F.lit("x")}, {"decision": own, "reasons": F.lit("x")}):
         with pytest.raises(ValueError):
             plugins.judged(assessed, bad)
+
+
+def test_short_texts_within_each_other(spark):
+    rng = random.Random(5)
+    texts = ["", "a", "第 1 章 要件", "第 1 章", "章", "基本設計1.docx", "基本設計12.docx", "計1"] + ["".join(rng.choice("abc") for _ in range(rng.randint(1, 20))) for _ in range(60)]
+    left, right = ([(rng.choice("xy"), t) for t in rng.sample(texts, 50)] for _ in range(2))
+    table = lambda rows: spark.createDataFrame([*rows, rows[0], ("x", None)], "k string, text string")
+    got = Counter((r["k"], r["left"], r["right"]) for r in matching.containing_pairs(table(left), table(right), ["k"]).collect())
+    assert got == {(k, a, b): 1 for k, a in left for j, b in right if j == k and (a in b or b in a)}
