@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkveil.functions import detectors
 from inkveil.operators import dictionary, remediation, replies, rules
 from inkveil.plans import tables as T
 from inkveil.plans.kinds import _CONFIGS
@@ -228,3 +229,17 @@ def s14_all_four_tables(spark, sf_dir):
     chars = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     out = part("sanitized_text", "outbound_text string", F.coalesce(F.length("outbound_text"), F.lit(0)).cast("long"))
     return out.unionAll(part("mask_candidates", "text string", chars)).unionAll(part("send_log", "reasons array<string>", F.size("reasons").cast("long"))).unionAll(part("review_result", "text string", chars))
+
+
+# text, confidentiality marker, legal entity, identifiers of networks
+_MARKS = (
+    ("Strictly Confidential memo", True, False, []), ("この資料は社外秘です", True, False, []), ("confidentiality of all", False, False, []), ("株式会社テスト の件", False, True, []), ("テスト有限会社", False, True, []), ("Acme Foo Inc. and more", False, True, []),
+    ("acme inc", False, False, []), ("at 10.0.0.0/24 on VLAN 12, vrf blue; VLAN 12", False, False, ["10.0.0.0/24", "VLAN 12", "vrf blue"]), ("plain", False, False, []),
+)
+
+
+@query("SELECT doc_id, " + ", ".join(f"coalesce({' OR '.join(f'doc_id % {len(_MARKS)} = {k}' for k, x in enumerate(_MARKS) if x[i])}, false) AS {name}" for i, name in ((1, "marker"), (2, "legal_entity"))) + f", CASE WHEN doc_id % {len(_MARKS)} = 7 THEN ['10.0.0.0/24', 'VLAN 12', 'vrf blue'] ELSE []::VARCHAR[] END AS identifiers FROM documents")
+def d13_d15_marks(spark, sf_dir):
+    """Markers of confidentiality, legal entities, and identifiers of networks, each once."""
+    text = _pick([x[0] for x in _MARKS], F.col("doc_id"))
+    return T.table(spark, sf_dir, "documents").select("doc_id", detectors.has_marker(text).alias("marker"), detectors.has_legal_entity(text).alias("legal_entity"), detectors.network_identifiers(text).alias("identifiers"))
