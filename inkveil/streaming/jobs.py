@@ -10,7 +10,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from inkveil.functions.text import estimate_tokens
 from inkveil.operators.audit import DECISIONS, READ, recommend
 from inkveil.operators.masking import continue_sets, masked_text
-from inkveil.sources.scratch import materialised
+from inkveil.sources.scratch import materialised, released
 
 
 def read_decision_stream(spark: SparkSession, root: str, files: int = 1000) -> DataFrame:
@@ -64,15 +64,16 @@ def mask_batch(docs: DataFrame, batch: int, root: str) -> None:
     rewrites its own folders, so a batch that is repeated after a restart comes to the same result.
     """
     spark = docs.sparkSession
-    masked = materialised(masked_text(docs))
-    key = docs.schema["review_id"].dataType.simpleString()
-    known = None
-    if batch > 0:
-        known = _written(spark, f"{root}/ledger", LEDGER.format(key=key)).filter(F.col("batch") < batch).drop("batch")
-        known = materialised(known.join(masked.select("review_id").distinct().hint("merge"), "review_id", "left_semi"))
-    documents, ledger = continue_sets(masked, known)
-    _write(documents.select("review_id", "doc_ord", "name", F.col("masked").alias("outbound_text")), f"{root}/documents", batch)
-    _write(ledger, f"{root}/ledger", batch)
+    with released():  # a stream runs on and on, its scratch tables must not
+        masked = materialised(masked_text(docs))
+        key = docs.schema["review_id"].dataType.simpleString()
+        known = None
+        if batch > 0:
+            known = _written(spark, f"{root}/ledger", LEDGER.format(key=key)).filter(F.col("batch") < batch).drop("batch")
+            known = materialised(known.join(masked.select("review_id").distinct().hint("merge"), "review_id", "left_semi"))
+        documents, ledger = continue_sets(masked, known)
+        _write(documents.select("review_id", "doc_ord", "name", F.col("masked").alias("outbound_text")), f"{root}/documents", batch)
+        _write(ledger, f"{root}/ledger", batch)
 
 
 def mask_open_sets(docs: DataFrame, root: str) -> DataStreamWriter:
@@ -102,8 +103,8 @@ def compact_totals(spark: SparkSession, root: str, schema: str | StructType, key
     """Writes the newest rows as one batch in place of those before it. Not to be called while the stream runs."""
     last = _written(spark, f"{root}/changes", schema).agg(F.max("batch")).first()[0]
     if last is not None:
-        rows = materialised(current_totals(spark, root, schema, keys))
-        rows.write.mode("overwrite").parquet(f"{root}/changes/batch={last}")
+        with released():
+            materialised(current_totals(spark, root, schema, keys)).write.mode("overwrite").parquet(f"{root}/changes/batch={last}")
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         folder = path(f"{root}/changes")
         files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -1,6 +1,7 @@
 """Matching, ranking, packing, streams, dictionaries and what callers bring, against plain Python."""
 
 import json
+import os
 import random
 from collections import Counter
 
@@ -8,6 +9,7 @@ import pytest
 
 from inkveil.operators import audit, budget, dictionary, gate, masking, matching, plugins, ranking, remediation
 from inkveil.sources import dictionaries
+from inkveil.sources.scratch import scratch_dir
 from inkveil.streaming import jobs
 from pyspark.sql import functions as F
 
@@ -204,8 +206,10 @@ def test_sets_stay_open_over_batches_and_restarts(spark, tmp_path):
     columns = ["review_id", "placeholder", "original", "category", "n"]
     assert sorted(map(tuple, ledger.select(*columns).collect())) == sorted(map(tuple, once.select(*columns).collect()))
     assert {(r["review_id"], r["doc_ord"]): r["outbound_text"] for r in documents.collect()} == {(r["review_id"], r["doc_ord"]): r["outbound_text"] for r in whole.collect()}
-    # a batch that is run again after a failure comes to the same
+    # a batch that is run again after a failure comes to the same, and leaves no scratch tables
+    before = len(os.listdir(scratch_dir(spark)))
     jobs.mask_batch(spark.createDataFrame(batches[2], schema), 2, root)
+    assert len(os.listdir(scratch_dir(spark))) == before
     again = jobs.masked_sets(spark, root, "string")[1]
     assert sorted(map(tuple, again.select(*columns).collect())) == sorted(map(tuple, once.select(*columns).collect()))
 
