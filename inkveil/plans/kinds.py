@@ -11,6 +11,7 @@ from inkveil.plans import tables as T
 from inkveil.plans.mask_oracles import _DOCS, _unicode
 from inkveil.plans.oracles import _DESIGNS, _list, _text
 from inkveil.plans.queries import ORACLES, query
+from inkveil.sources.scratch import materialised
 
 # --- profiles and modes
 
@@ -124,10 +125,12 @@ def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents cut into sections of equal length under headings `n. title`, their numbers by the document's id."""
     runs = F.array(*[F.array(*map(F.lit, r)) for r in _RUNS])
     run = F.element_at(runs, (F.pmod("doc_id", F.lit(len(_RUNS))) + 1).cast("int"))
-    rows = T.table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+|第", " ").alias("t"), run.alias("run"))
+    # written, as each part would run the replacement again
+    rows = materialised(T.table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+|第", " ").alias("t"), run.alias("run")))
     size = F.ceil(F.length("t") / F.size("run")).cast("int")
     parts = F.transform("run", lambda n, i: F.concat(n.cast("string"), F.lit(". title "), n.cast("string"), F.lit("\nbody: "), F.substring(F.col("t"), i * size + 1, size)))
-    return rows.select(F.floor(F.col("doc_id") / 20).alias("review_id"), (F.col("doc_id") % 20).cast("int").alias("doc_ord"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), F.array_join(parts, "\n").alias("text"), "doc_id")
+    review, order = F.floor(F.col("doc_id") / 20).alias("review_id"), (F.col("doc_id") % 20).cast("int").alias("doc_ord")
+    return materialised(rows.select(review, order, F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), F.array_join(parts, "\n").alias("text"), "doc_id"))
 
 
 _RUNS_SQL = "[" + ", ".join("[" + ", ".join(map(str, r)) + "]" for r in _RUNS) + "]"

@@ -28,7 +28,9 @@ def _folder(spark: SparkSession, name: str) -> str:
 _NAMES_SQL = """a AS (SELECT conv_id, turn, text, array_slice(string_split(text, ' '), 1, 3) AS w FROM conversations WHERE text IS NOT NULL),
 names AS (SELECT DISTINCT array_to_string(w[1:k], ' ') AS name FROM a, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k AND length(array_to_string(w[1:k], ' ')) > 0),
 sizes AS (SELECT DISTINCT length(name) AS size FROM names),
-here AS (SELECT conv_id, turn, text, CAST(unnest(range(1, length(text) + 1)) AS INTEGER) AS i FROM a),
+heads AS (SELECT DISTINCT name[1:3] AS h FROM names),
+every AS (SELECT conv_id, turn, text, CAST(unnest(range(1, length(text) + 1)) AS INTEGER) AS i FROM a),
+here AS MATERIALIZED (SELECT * FROM every WHERE substring(text, i, 3) IN (FROM heads) OR substring(text, i, 2) IN (FROM heads) OR substring(text, i, 1) IN (FROM heads)),
 best AS MATERIALIZED (SELECT conv_id, turn, i, max(size) AS size FROM here, sizes WHERE EXISTS (FROM names WHERE name = substring(text, i, size)) GROUP BY ALL)"""
 
 
