@@ -53,3 +53,10 @@ PLANTED = (
 def test_masking_of_planted_values_agrees_with_sql(spark, tmp_path, name):
     pq.write_table(pa.table({"doc_id": pa.array([7 * i for i in range(len(PLANTED))], pa.int64()), "text": pa.array(PLANTED, pa.string())}), f"{tmp_path}/documents.parquet")
     agrees(spark, name, str(tmp_path), ["documents"])
+
+
+def test_names_that_end_a_text_agree_with_sql(spark, tmp_path):
+    """A longer name's length must not count where the text is over: the end of the match is that of the name."""
+    texts = ("Ab.", "Long name here and Ab.", "x Ab.", "Ab.Ab.", "")
+    pq.write_table(pa.table({"conv_id": pa.array(range(len(texts)), pa.int64()), "turn": pa.array([0] * len(texts), pa.int64()), "text": pa.array(texts, pa.string())}), f"{tmp_path}/conversations.parquet")
+    agrees(spark, "j4_longest_names", str(tmp_path), ["conversations"])
