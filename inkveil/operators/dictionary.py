@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from inkveil.functions.text import context, nfkc, nfkc_trim
 from inkveil.operators.masking import continue_placeholders
-from inkveil.operators.matching import contained_phrases, longest_matches, quoted
+from inkveil.operators.matching import BROADCAST_NAMES, contained_phrases, longest_matches, quoted
+from inkveil.sources.scratch import materialised
 
 # Labels and what they mask as; patterns of technical terms, the rejected ones first.
 CATEGORIES = {"ORG": "company", "GPE": "site", "FAC": "site", "PERSON": "person"}
@@ -84,11 +85,15 @@ def seed_candidates(docs: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def without_tech_terms(candidates: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Candidates from outside the dictionaries lose technical terms, by list and by pattern."""
+    """Candidates from outside the dictionaries lose technical terms, by list and by pattern. Each distinct text is judged once."""
     exempt = candidates.filter(F.col("source").isin("seed_dict", "watchlist"))
     others = candidates.filter(~F.col("source").isin("seed_dict", "watchlist"))
-    others = others.withColumn("_n", F.lower(nfkc_trim(F.col("text")))).join(allowed.select(F.col("term_norm").alias("_n")).distinct().hint("merge"), "_n", "left_anti").drop("_n").filter(~tech_term_pattern(F.col("text")))
-    return exempt.unionByName(others)
+    told = materialised(others.select("text").distinct())
+    listed = allowed.select(F.col("term_norm").alias("_n")).distinct().withColumn("_listed", F.lit(True))
+    judged = told.withColumn("_n", F.lower(nfkc_trim(F.col("text")))).join(listed.hint("merge"), "_n", "left")
+    technical = materialised(judged.filter(F.coalesce("_listed", F.lit(False)) | tech_term_pattern(F.col("text"))).select("text"))
+    way = "broadcast" if technical.count() <= BROADCAST_NAMES else "merge"
+    return exempt.unionByName(others.join(technical.hint(way), "text", "left_anti").select(*candidates.columns))
 
 
 def registry_lookup(candidates: DataFrame, registry: DataFrame, top: int = 5) -> DataFrame:

@@ -289,3 +289,18 @@ def test_short_texts_within_each_other(spark):
     table = lambda rows: spark.createDataFrame([*rows, rows[0], ("x", None)], "k string, text string")
     got = Counter((r["k"], r["left"], r["right"]) for r in matching.containing_pairs(table(left), table(right), ["k"]).collect())
     assert got == {(k, a, b): 1 for k, a in left for j, b in right if j == k and (a in b or b in a)}
+
+
+def test_each_candidate_text_is_judged_once(spark, tmp_path):
+    """Rows of one text share one judgement, so the work on texts does not grow with their rows; null texts and other columns stay."""
+    asked = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda t: asked.add(1) or t).asNondeterministic()
+    rows = spark.createDataFrame([(i, t, "ner") for i in range(50) for t in ("Kubernetes", "red widget", "山田太郎", None)] + [(0, "Kubernetes", "watchlist")], "k int, text string, source string").coalesce(1)
+    listed = spark.createDataFrame([("red widget",)], "term_norm string")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(dictionary, "nfkc_trim", lambda c: seen(c))
+        out = dictionary.without_tech_terms(rows, listed)
+        kept = Counter((r["text"], r["source"]) for r in out.collect())
+    assert out.columns == rows.columns
+    assert kept == {("山田太郎", "ner"): 50, (None, "ner"): 50, ("Kubernetes", "watchlist"): 1}
+    assert asked.value < 200  # the rows; each text is normalised for several patterns
