@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkveil.functions.text import abbreviations, contains_any_bounded, context, count_of, bounded_pattern
+from inkveil.functions.text import abbreviations, bounded_pattern, contains_any_bounded, context, count_of, folded, has_bounded
 from inkveil.operators.structure import extract_chapters
 from inkveil.sources.scratch import materialised
 
@@ -38,19 +38,29 @@ WHOLE_SET, WHOLE_DOC, RELATED = "レビュー対象全体", "文書全体", "関
 AMBIGUOUS_CAP, SCENARIO_CAP, HINTS, MANY_ABBREVIATIONS, SOME_ABBREVIATIONS = 12, 4, 2, 16, 8
 
 
-def missing_labels(text: Column, needed: dict[str, Sequence[str]]) -> Column:
-    """The labels none of whose words the text has."""
-    return F.filter(F.array(*[F.when(~contains_any_bounded(text, words), label) for label, words in needed.items()]), lambda x: x.isNotNull())
+def missing_labels(folded_text: Column, needed: dict[str, Sequence[str]]) -> Column:
+    """The labels none of whose words a text has; the text as ``folded`` makes it."""
+    return F.filter(F.array(*[F.when(~contains_any_bounded(folded_text, words), label) for label, words in needed.items()]), lambda x: x.isNotNull())
+
+
+def _having(found: Column, tests: dict[str, Sequence[str]]) -> Column:
+    """Names of the tests of which a word is among those found."""
+    return F.filter(F.array(*[F.when(F.arrays_overlap(F.array(*map(F.lit, words)), found), k) for k, words in tests.items()]), lambda x: x.isNotNull())
+
+
+def _found(folded_text: Column, words: Sequence[str]) -> Column:
+    """The words that a text has, each looked for once."""
+    return F.filter(F.array(*[F.when(has_bounded(folded_text, w), w) for w in dict.fromkeys(words)]), lambda x: x.isNotNull())
 
 
 def ambiguous_expressions(docs: DataFrame, cap: int = AMBIGUOUS_CAP) -> DataFrame:
     """P10. docs: review_id, doc_ord, name, text. Of each document and expression the first chapter that lacks evidence (W13), numbered."""
-    rows = extract_chapters(docs.select("review_id", "doc_ord", "name", "text"), whole=True)
+    rows = extract_chapters(docs.select("review_id", "doc_ord", "name", "text"), whole=True).withColumn("_x", folded(F.col("body")))
     body = F.col("body")
     found = []
     for i, (expression, needed) in enumerate(AMBIGUOUS.items()):
-        found.append(F.when(F.contains(body, F.lit(expression)), F.struct(F.lit(i).alias("rule_ord"), F.lit(expression).alias("expression"), missing_labels(body, needed).alias("missing_elements"), context(body, F.lit(expression), 58, "...").alias("context"))))
-    rows = rows.select("review_id", "doc_ord", "name", "chapter_ord", "chapter_label", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("r")).filter(F.size("r.missing_elements") > 0)
+        found.append(F.when(F.contains(body, F.lit(expression)), F.struct(F.lit(i).alias("rule_ord"), F.lit(expression).alias("expression"), missing_labels(F.col("_x"), needed).alias("missing_elements"), context(body, F.lit(expression), 58, "...").alias("context"))))
+    rows = rows.select("review_id", "doc_ord", "name", "chapter_ord", "chapter_label", F.explode_outer(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("r")).filter(F.size("r.missing_elements") > 0)
     first = F.row_number().over(Window.partitionBy("review_id", "doc_ord", "r.rule_ord").orderBy("chapter_ord"))
     rows = rows.withColumn("k", first).filter("k = 1").select("review_id", "doc_ord", "name", F.col("chapter_label").alias("section"), "r.*")
     n = F.row_number().over(Window.partitionBy("review_id").orderBy("doc_ord", "rule_ord"))
@@ -64,8 +74,8 @@ def _set_flags(docs: DataFrame) -> DataFrame:
     tests: dict[str, Sequence[str]] = {f"p|{p}|{label}": words for p, needed in PERSONAS.items() for label, words in needed.items()}
     tests |= {f"s|{s}|{label}": words for s, (_, _, needed, _) in SCENARIOS.items() for label, words in needed.items()}
     tests |= {f"t|{s}": words for s, (_, words, _, _) in SCENARIOS.items()} | {"operations": OPERATIONS}
-    have = F.filter(F.array(*[F.when(contains_any_bounded(text, words), k) for k, words in tests.items()]), lambda x: x.isNotNull())
-    rows = docs.select("review_id", "name", have.alias("have"), abbreviations(text).alias("abbr"))
+    rows = docs.select("review_id", "name", folded(text).alias("_x"), abbreviations(text).alias("abbr"))
+    rows = rows.select("review_id", "name", "abbr", _found(F.col("_x"), [w for words in tests.values() for w in words]).alias("_w")).select("review_id", "name", _having(F.col("_w"), tests).alias("have"), "abbr")
     rows = materialised(rows)
     short = rows.select("review_id", F.explode("abbr").alias("a")).distinct().groupBy("review_id").agg(F.array_sort(F.collect_list("a")).alias("abbr"))
     sets = rows.groupBy("review_id").agg(F.when(F.count(F.lit(1)) == 1, F.min("name")).otherwise(WHOLE_SET).alias("source"), F.array_distinct(F.flatten(F.collect_list("have"))).alias("have"))
@@ -100,7 +110,7 @@ def issue_text(issues: DataFrame) -> Column:
 def premortem(docs: DataFrame, issues: DataFrame, cap: int = SCENARIO_CAP) -> DataFrame:
     """P12. issues: review_id, issue_ord, severity, title, details, ... (may be empty). Scenarios that texts or issues trigger and whose evidence is incomplete."""
     sets = _set_flags(docs)
-    told = issues.select("review_id", "issue_ord", "severity", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("source_document", F.lit("")).alias("source_document"), F.coalesce("section", F.lit("")).alias("section"), issue_text(issues).alias("_x"))
+    told = issues.select("review_id", "issue_ord", "severity", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("source_document", F.lit("")).alias("source_document"), F.coalesce("section", F.lit("")).alias("section"), folded(issue_text(issues)).alias("_x"))
     hits = told.select("review_id", "issue_ord", "severity", "title", "source_document", "section", F.filter(F.array(*[F.when(contains_any_bounded(F.col("_x"), words), s) for s, (_, words, _, _) in SCENARIOS.items()]), lambda x: x.isNotNull()).alias("s"))
     by_scenario = hits.select("*", F.explode("s").alias("scenario_id"))
     ranked = by_scenario.withColumn("k", F.row_number().over(Window.partitionBy("review_id", "scenario_id").orderBy("issue_ord"))).filter(F.col("k") <= HINTS)

@@ -179,9 +179,9 @@ def sequential(numbers: Column) -> Column:
 
 def _headed(text: Column, pattern: str) -> Column:
     """(number, title, body) of each heading; a body reaches to the next one, its own line included."""
-    lines = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    numbers = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: x.cast("int"))
-    titles = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
+    lines = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))  # what the groups hold is read from each line
+    numbers = F.transform(lines, lambda x: F.regexp_extract(x, pattern, 1).cast("int"))
+    titles = F.transform(lines, lambda x: F.regexp_extract(x, pattern, 2))
     rest = F.slice(F.split(text, pattern, -1), 2, 1_000_000)
     heads = F.zip_with(numbers, titles, lambda n, t: F.struct(n.alias("number"), F.btrim(F.regexp_replace(t, r"(?U)^\s+|\s+$", "")).alias("title")))
     bodies = F.zip_with(lines, rest, lambda a, b: F.regexp_replace(F.concat(a, F.coalesce(b, F.lit(""))), r"(?U)^\s+|\s+$", ""))
@@ -205,13 +205,15 @@ def extract_chapters(docs: DataFrame, least: int = LEAST_CHAPTERS, whole: bool =
     rows = rows.withColumn("_c", found)
     label = F.when(F.col("_full"), F.concat(F.lit("第 "), F.col("c.number").cast("string"), F.lit(" 章 "), F.col("c.title"))).otherwise(F.concat(F.col("c.number").cast("string"), F.lit(". "), F.col("c.title")))
     known = F.col("c.number").between(1, LAST_CHAPTER)
-    out = rows.select(*kept, "_full", F.posexplode("_c").alias("chapter_ord", "c")).select(
-        *kept, "chapter_ord", F.when(known, F.concat(F.lit("ch"), F.col("c.number").cast("string"))).otherwise("ch_unknown").alias("chapter_id"), label.alias("chapter_label"), F.col("c.number").alias("number"), F.col("c.body").alias("body")
-    )
+    # an outer explode: for an inner one Spark filters by the chapters before, and finds them several times for that
+    out = rows.select(*kept, "_t", "_full", F.posexplode_outer("_c").alias("chapter_ord", "c"))
+    none = F.col("c").isNull()
     if not whole:
-        return out
-    rest = rows.filter(F.coalesce(F.size("_c"), F.lit(0)) == 0).select(*kept, F.lit(0).alias("chapter_ord"), F.lit("whole").alias("chapter_id"), F.lit("文書全体").alias("chapter_label"), F.lit(0).alias("number"), F.col("_t").alias("body"))
-    return out.unionByName(rest)
+        out = out.filter(~none)
+    return out.select(
+        *kept, F.coalesce("chapter_ord", F.lit(0)).alias("chapter_ord"), F.when(none, "whole").when(known, F.concat(F.lit("ch"), F.col("c.number").cast("string"))).otherwise("ch_unknown").alias("chapter_id"),
+        F.when(none, "文書全体").otherwise(label).alias("chapter_label"), F.when(none, 0).otherwise(F.col("c.number")).alias("number"), F.when(none, F.col("_t")).otherwise(F.col("c.body")).alias("body"),
+    )
 
 
 def _flags(squeezed_text: Column, rules: dict[str, tuple[str, ...]], least: int) -> Column:

@@ -141,3 +141,18 @@ def test_derived_tables_hold_whole_texts(spark, tmp_path):
     for r in tables.issues(spark, str(tmp_path)).collect():
         assert r["issue"] + r["details"] + r["recommendation"] == texts[r["issue_ord"]]
     assert texts[25] in str(queries.QUERIES["s18_s21_other_replies"](spark, str(tmp_path)).collect())
+
+
+def test_bounded_words_match_as_their_pattern_does(spark):
+    texts = ["DR", "xDR", "dr.", "ıP ip", "SſLA", "ſLA", "KPI 1", "İP", "İPS", "24時間稼働", "124時間", "DRテストx", "可用性", "é dr é", "", None]
+    words = ["DR", "IP", "SLA", "KPI", "24時間", "DRテスト", "可用性", "%"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("x", X.folded(F.col("t")))
+    for r in rows.select("t", *[X.has_bounded(F.col("x"), w).alias(f"a{i}") for i, w in enumerate(words)], *[F.col("t").rlike(X.bounded_pattern(w)).alias(f"b{i}") for i, w in enumerate(words)]).collect():
+        assert [r[f"a{i}"] for i in range(len(words))] == [r[f"b{i}"] for i in range(len(words))], r["t"]
+
+
+def test_chapters_are_found_once(spark):
+    """Each text is split once for each kind of heading, not again for filters that Spark infers nor for texts without chapters."""
+    docs = spark.createDataFrame([("r", "第 1 章 a\nb")], "review_id string, text string")
+    plan = structure.extract_chapters(docs, whole=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2
