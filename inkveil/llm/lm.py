@@ -10,10 +10,10 @@ N tokens, V words and U groups of unknown words, so every word has a positive pr
 
 Counts are taken over all training texts, whatever their number: the counts of every word by a shuffle, with
 the words of a block of text added up before it; the classes beside every word likewise; bigrams of items likewise, of which there
-are at most (WORDS + ENDINGS + 1) ** 2, the bound of what the driver gets for clustering. For scoring, counts and classes of the most
-frequent words (at most ``SHARED``) are broadcast, 24 bytes each; those of all other words come by a join
-with the words of each text. When the bigrams of classes are
-counted, these other words, as neighbours, count with their group's class; when a text is scored, every word has its own class, as a neighbour too.
+are at most (WORDS + ENDINGS + 1) ** 2, the bound of what the driver gets for clustering. Counts and classes of the most
+frequent words (at most ``SHARED``, and the core) are broadcast, 24 bytes each; those of all other words come by a join
+with the words of each text. This is so both when the bigrams of classes are counted and when a text is scored: every word has its own
+class, as a neighbour too, whether it is broadcast or joined, so ``SHARED`` changes no result.
 
 Defined results: null and empty texts have one token, the end; scores of equal texts are equal; repeated rows
 count as often as they stand; without training texts every word is unknown and scores still exist; an empty table
@@ -26,20 +26,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm.texts import U64, lowered_word_ends, mix, row_blocks, text_bytes, unused, word_hashes
-from inkveil.sources.scratch import materialised
+from inkveil.sources.scratch import dropped, materialised
 
 WORDS = 1000
 ENDINGS = 512
 CLASSES = 48
 SWEEPS = 6
 SHARED = 1 << 18
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 20
 END = np.int64(-1)
 
 
@@ -159,12 +160,14 @@ def fit(train: DataFrame) -> tuple[ClassModel, DataFrame]:
         if r["n"] > room:
             break
         room, least = room - r["n"], r["bin"]
-    shared = counts.filter(F.floor(F.log2("c") * 8) >= (least if least is not None else 1 << 30)).orderBy("w").toPandas()
+    # the core is always shared, also where more words than there is room for are as frequent as its own
+    often = F.floor(F.log2("c") * 8) >= (least if least is not None else 1 << 30)
+    ranked = counts.filter(F.col("w") != int(END)).orderBy(F.desc("c"), "w").limit(WORDS).toPandas()
+    shared = pd.concat([counts.filter(often).toPandas(), ranked, counts.filter(F.col("w") == int(END)).toPandas()]).drop_duplicates("w").sort_values("w")
     words, number, ending = (shared[c].to_numpy() for c in ("w", "c", "e"))
     words, number = words.astype(np.int64), number.astype(np.int64)
-    ranked = [i for i in np.lexsort((words, -number)) if words[i] != END][:WORDS]
     items = np.full(len(words), -1, np.int64)
-    items[ranked] = np.arange(len(ranked))
+    items[np.searchsorted(words, ranked["w"].to_numpy(np.int64))] = np.arange(len(ranked))
     items[words == END] = WORDS + ENDINGS
     n = WORDS + ENDINGS + 1
     model = ClassModel(words, number, items, np.zeros(n, np.int64), np.zeros((1, 1)), np.zeros(1), np.zeros(len(words), np.int64), total, distinct)
@@ -223,23 +226,22 @@ def fit(train: DataFrame) -> tuple[ClassModel, DataFrame]:
     slots = text.mapInArrow(beside, "w bigint, slot int, c bigint").groupBy("w", "slot").agg(F.sum("c").alias("c"))
     chosen = materialised(slots.groupBy("w").agg(F.collect_list(F.struct("slot", "c")).alias("l")).mapInArrow(choose, "w bigint, k int"))
     core = spark.createDataFrame([(int(w), int(x)) for w, x in zip(words[known], model.chosen[known], strict=True)], "w bigint, k int")
-    counts = materialised(counts.join(chosen.unionByName(core).hint("merge"), "w"))
-    shared = counts.filter(F.floor(F.log2("c") * 8) >= (least if least is not None else 1 << 30)).orderBy("w").select("k").toPandas()
-    model.chosen = shared["k"].to_numpy(np.int64)
-    # the bigrams of classes again, by the classes of all shared words
-    final = spark.sparkContext.broadcast(model)
+    first, counts = counts, materialised(counts.join(chosen.unionByName(core).hint("merge"), "w"))
+    dropped(first, chosen)
+    shared = counts.filter(often).select("w", "k").toPandas()
+    model.chosen[np.searchsorted(words, shared["w"].to_numpy(np.int64))] = shared["k"].to_numpy(np.int64)
 
+    # the bigrams of classes again, by the classes of all words
     def class_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in row_blocks(whole, "text", BLOCK_BYTES):
-                found, ends, at = tokens(batch.column(0))
-                one = final.value.class_of(found, ends)
-                before = np.concatenate([[k], one[:-1]])
-                before[at[:-1]] = k
-                pair, count = np.unique(before * context + one, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(count)], names=["pair", "c"])
-
-    found = text.mapInArrow(class_pairs, "pair bigint, c bigint").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()
+        for one, at, _, _, _ in _classed(batches):
+            before = np.concatenate([[k], one[:-1]])
+            before[at[:-1]] = k
+            pair, count = np.unique(before * context + one, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(count)], names=["pair", "c"])
+
+    rows, every = _sequences(train.select(F.lit(0).alias("row"), "text"), model, counts, ("row",))
+    found = every.mapInArrow(class_pairs, "pair bigint, c bigint").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()
+    dropped(rows)
     table = np.zeros(context * context)
     table[found["pair"].to_numpy(np.int64)] = found["c"].to_numpy(float)
     model.moves = _moves(table.reshape(context, context))
@@ -254,10 +256,14 @@ def _moves(table: np.ndarray) -> np.ndarray:
     return np.log10((table + len(table) * prior) / (table.sum(1, keepdims=True) + len(table)))
 
 
-def score(docs: DataFrame, model: ClassModel, counts: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``keep``, n_tokens, n_known, train_tokens, base_score, score and perplexity."""
+def _kinds(docs: DataFrame, keep: tuple[str, ...]) -> str:
+    return ", ".join(f"{c}: {t}" for c, t in docs.select(*keep).dtypes)
+
+
+def _sequences(docs: DataFrame, model: ClassModel, counts: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """A written table of texts as classes of tokens, and its rows with place, class and count of each word that is not shared (n_known, own, seq, row, more)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"{c}: {t}" for c, t in docs.select(*keep).dtypes)
+    kinds = _kinds(docs, keep)
     ddl = f"uid bigint, w bigint, at int, n_known bigint, own double, seq binary, row struct<{kinds}>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,24 +294,37 @@ def score(docs: DataFrame, model: ClassModel, counts: DataFrame, keep: tuple[str
     rows = materialised(docs.select(*keep, F.col("text").alias(unused("_text", keep))).mapInArrow(run, ddl))
     heads, tails = rows.filter("w is null"), rows.filter("w is not null").select("uid", "w", "at")
     more = tails.join(counts.select("w", "c", "k").hint("merge"), "w").groupBy("uid").agg(F.collect_list(F.struct("at", "k", "c")).alias("more"))
-    every = heads.drop("w", "at").join(more.hint("merge"), "uid", "left").select("n_known", "own", "seq", "row", F.coalesce("more", F.array().cast("array<struct<at:int,k:int,c:bigint>>")).alias("more"))
+    return rows, heads.drop("w", "at").join(more.hint("merge"), "uid", "left").select("n_known", "own", "seq", "row", F.coalesce("more", F.array().cast("array<struct<at:int,k:int,c:bigint>>")).alias("more"))
+
+
+def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Of rows of ``_sequences``: the class of every token, the offsets of the rows, the block, and row and count of each joined word."""
+    for whole in batches:
+        for batch in row_blocks(whole, "seq", BLOCK_BYTES >> 3):
+            seq, at = text_bytes(batch.column(2))
+            classes, more = seq.astype(np.int64), batch.column(4)
+            flat, row = more.flatten(), np.repeat(np.arange(batch.num_rows), more.value_lengths().to_numpy(zero_copy_only=False))
+            place, k, c = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            classes[at[row] + place] = k
+            yield classes, at, batch, row, c
+
+
+def score(docs: DataFrame, model: ClassModel, counts: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of ``keep``, n_tokens, n_known, train_tokens, base_score, score and perplexity."""
+    kinds = _kinds(docs, keep)
+    _, every = _sequences(docs, model, counts, keep)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         norm, end = np.log10(model.total + 0.5 * (model.distinct + 1)), model.classes[-1]
-        for whole in batches:
-            for batch in row_blocks(whole, "seq", BLOCK_BYTES >> 3):
-                seq, at = text_bytes(batch.column(2))
-                classes, more = seq.astype(np.int64), batch.column(4)
-                flat, row = more.flatten(), np.repeat(np.arange(batch.num_rows), more.value_lengths().to_numpy(zero_copy_only=False))
-                place, k, c = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                classes[at[row] + place] = k
-                own = batch.column(1).to_numpy() + np.bincount(row, np.log10(c + 0.5) - np.log10(0.5), batch.num_rows)
-                before = np.concatenate([[end], classes[:-1]])
-                before[at[:-1]] = end
-                n = np.diff(at)
-                value = own + np.add.reduceat(model.moves[before, classes] - model.norm[classes], at[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(batch.column(0).to_numpy() + np.bincount(row, minlength=batch.num_rows)), pa.array(own - n * norm), pa.array(value), batch.column(3)], names=["n", "n_known", "base", "value", "row"])
+        for classes, at, batch, row, c in _classed(batches):
+            own = batch.column(1).to_numpy() + np.bincount(row, np.log10(c + 0.5) - np.log10(0.5), batch.num_rows)
+            before = np.concatenate([[end], classes[:-1]])
+            before[at[:-1]] = end
+            n = np.diff(at)
+            value = own + np.add.reduceat(model.moves[before, classes] - model.norm[classes], at[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(batch.column(0).to_numpy() + np.bincount(row, minlength=batch.num_rows)), pa.array(own - n * norm), pa.array(value), batch.column(3)], names=["n", "n_known", "base", "value", "row"])
 
     out = every.mapInArrow(finish, f"n bigint, n_known bigint, base double, value double, row struct<{kinds}>")
     return out.select(

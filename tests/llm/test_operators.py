@@ -383,3 +383,22 @@ def test_empty_tables(spark, docs):
     assert chat.digests(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
     model, counts = lm.fit(none)
     assert lm.score(docs, model, counts).count() == docs.count()
+
+
+@pytest.mark.parametrize("room", [0, 40, 1100])
+def test_the_room_for_shared_words_changes_no_score(spark, monkeypatch, room):
+    """1,500 words of equal frequency, more than the core takes; each of two classes has its own followers."""
+    rows = [f"the {'n' if i % 2 else 'v'}{i * 37 % 1499}{'xy'[i % 2]} {'is' if i % 2 else 'will'} {i * 91 % 1499}zz" for i in range(4000)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate([*rows, None, "", "unseen words"])], "doc_id long, text string")
+    train = table.filter("doc_id % 5 < 3 and doc_id < 4000")
+
+    def scores():
+        model, counts = lm.fit(train)
+        return {r["doc_id"]: (r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in lm.score(table, model, counts).collect()}
+
+    want = scores()
+    monkeypatch.setattr(lm, "SHARED", room)
+    found = scores()
+    assert found.keys() == want.keys()
+    for d, row in want.items():
+        assert found[d] == pytest.approx(row, abs=1e-9)
