@@ -7,6 +7,7 @@ line feeds as line ends. Rules of one list run in order on text that earlier rul
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,28 +65,40 @@ def label_pattern(english: str, japanese: str) -> str:
 
 @dataclass(frozen=True)
 class Detector:
-    """value: the group that is the value (0: the whole match). guarded: public terms are left alone."""
+    """value: the group that is the value (0: the whole match). guarded: public terms are left alone.
+
+    marks and shape are what every match has: one of these strings, and what this cheaper pattern finds. Texts without them are not searched.
+    """
 
     rule: str
     category: str
     pattern: str
     value: int = 0
     guarded: bool = False
+    marks: tuple[str, ...] = ()
+    shape: str = ""
+
+    def found_in(self, text: Column) -> Column:
+        there = text.rlike(self.pattern)
+        if self.shape:
+            there = text.rlike(self.shape) & there
+        return reduce(lambda a, b: a | b, [F.contains(text, F.lit(m)) for m in self.marks]) & there if self.marks else there
 
 
+LABEL_MARKS = (":", "=", "：")
 DETECTORS = (
     Detector("D1", "secret", SECRET, 2),
     Detector("D2", "ipv4", IPV4),
-    Detector("D3", "ipv6", IPV6),
-    Detector("D4", "email", EMAIL),
-    Detector("D5", "mac", MAC),
+    Detector("D3", "ipv6", IPV6, marks=(":",), shape=r"::|:[0-9A-Fa-f]{1,4}:"),
+    Detector("D4", "email", EMAIL, marks=("@",)),
+    Detector("D5", "mac", MAC, marks=(":", "-"), shape=r"(?:[0-9A-Fa-f]{2}[:-]){5}"),
     Detector("D6", "hostname", HOSTNAME_LABEL, 2),
-    Detector("D7", "hostname", HOSTNAME_BARE),
-    Detector("D8", "company", label_pattern(COMPANY_EN, COMPANY_JA), 2, True),
-    Detector("D9", "project", label_pattern(PROJECT_EN, PROJECT_JA), 2, True),
-    Detector("D10", "ticket", label_pattern(TICKET_EN, TICKET_JA), 2, True),
-    Detector("D11", "person", label_pattern(PERSON_EN, PERSON_JA), 2, True),
-    Detector("D12", "url", URL),
+    Detector("D7", "hostname", HOSTNAME_BARE, marks=("-", "_", "."), shape=r"(?U)[A-Za-zİıſK][-_.]\d"),
+    Detector("D8", "company", label_pattern(COMPANY_EN, COMPANY_JA), 2, True, LABEL_MARKS),
+    Detector("D9", "project", label_pattern(PROJECT_EN, PROJECT_JA), 2, True, LABEL_MARKS),
+    Detector("D10", "ticket", label_pattern(TICKET_EN, TICKET_JA), 2, True, LABEL_MARKS),
+    Detector("D11", "person", label_pattern(PERSON_EN, PERSON_JA), 2, True, LABEL_MARKS),
+    Detector("D12", "url", URL, marks=("://",)),
 )
 
 
@@ -100,7 +113,7 @@ def detector_table(spark: SparkSession, detectors: tuple[Detector, ...] = DETECT
 
 def found_values(text: Column, detector: Detector) -> Column:
     """All values of one detector in a text, as they stand."""
-    return F.when(text.rlike(detector.pattern), F.regexp_extract_all(text, F.lit(detector.pattern), F.lit(detector.value))).otherwise(F.array().cast("array<string>"))
+    return F.when(detector.found_in(text), F.regexp_extract_all(text, F.lit(detector.pattern), F.lit(detector.value))).otherwise(F.array().cast("array<string>"))
 
 
 def mentions(docs: DataFrame, detectors: tuple[Detector, ...] = DETECTORS, text: str = "text") -> DataFrame:
@@ -114,14 +127,20 @@ def mentions(docs: DataFrame, detectors: tuple[Detector, ...] = DETECTORS, text:
     return docs.select(*kept, F.explode(F.concat(*found)).alias("m")).select(*kept, "m.*")
 
 
-def has_marker(text: Column) -> Column:
-    """A confidentiality marker in the text."""
-    return text.rlike(MARKERS[0]) | text.rlike(MARKERS[1])
+def has_marker(text: Column, low: Column | None = None) -> Column:
+    """A confidentiality marker in the text. low: a column with the text as ``folded`` makes it; with it, the pattern is only for texts that have its words."""
+    from inkveil.functions.text import has_any  # it reads this module
+
+    english = text.rlike(MARKERS[0])
+    if low is not None:
+        english = has_any(low, ("confidential", "internal use only", "proprietary")) & english
+    return english | has_any(text, MARKERS[1].split("|"))
 
 
 def has_legal_entity(text: Column) -> Column:
-    """D14."""
-    return text.rlike(LEGAL_ENTITY)
+    """D14. The pattern looks forty characters ahead everywhere; it is for texts that have one of its names."""
+    named = F.contains(text, F.lit("株式会社")) | F.contains(text, F.lit("有限会社")) | text.rlike(r"(?U)\s(?:Inc|Corp|LLC|Ltd|Co)\b")
+    return named & text.rlike(LEGAL_ENTITY)
 
 
 def network_identifiers(text: Column) -> Column:

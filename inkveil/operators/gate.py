@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.detectors import IDENTIFYING
+from inkveil.functions.text import folded, has_any
 from inkveil.operators.masking import RISKS, mask_documents
 
 DOC_TOKENS, SET_TOKENS, JUDGED_CHARS = 3000, 8000, 8000
@@ -26,20 +27,30 @@ LABELS = {"safe": "送信可", "mask_and_continue": "要確認", "block": "送
 # End of the fixed values.
 
 
+def _words(pattern: str) -> list[str]:
+    """The words of a pattern that is a list of them; (?iu) finds them where ``folded`` texts have them."""
+    return pattern.removeprefix("(?iu)(").removesuffix(")").split("|")
+
+
 def assess_sensitivity(documents: DataFrame) -> DataFrame:
     """P2. documents: as mask_documents makes them. Adds decision, reasons and actions.
 
     Identifiers count in all replacements, not in the first hundred.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    low = F.lower(text)
+    low = F.col("_low")
     identifiers = F.exists("replacements", lambda r: r["category"].isin(*IDENTIFYING))
-    marker, high = text.rlike(MARKER), F.col("outbound_risk") == "high"
+    high = F.col("outbound_risk") == "high"
+    # each runs once whatever asks for it
+    plain = F.col("_plain")
+    words = F.contains(plain, F.lit("password")) | F.contains(plain, F.lit("token")) | F.contains(plain, F.lit("secret"))
+    flags = {"_marker": has_any(low, _words(MARKER)), "_label": has_any(low, _words(CUSTOMER)) & ~identifiers, "_topology": (F.col("outbound_risk") != "low") & has_any(low, _words(TOPOLOGY)), "_credential": words}
+    documents, kept, marker = documents.withColumns({"_low": folded(text), "_plain": F.lower(text)}).withColumns(flags), documents.columns, F.col("_marker")
     tests = {
         "identifier": identifiers,
-        "label": text.rlike(CUSTOMER) & ~identifiers,
-        "topology": text.rlike(TOPOLOGY) & (F.col("outbound_risk") != "low"),
-        "credential": F.contains(low, F.lit("password")) | F.contains(low, F.lit("token")) | F.contains(low, F.lit("secret")),
+        "label": F.col("_label"),
+        "topology": F.col("_topology"),
+        "credential": F.col("_credential"),
         "risk": high,
     }
 
@@ -51,7 +62,8 @@ def assess_sensitivity(documents: DataFrame) -> DataFrame:
     for test in tests.values():
         any_reason = any_reason | test
     decision = F.when(marker | high, "block").when(any_reason, "mask_and_continue").otherwise("safe")
-    return documents.withColumns({"decision": decision, "reasons": told(0), "actions": told(1)})
+    told_by = {"decision": decision, "reasons": told(0), "actions": told(1)}
+    return documents.select(*[c for c in kept if c not in told_by], *[v.alias(k) for k, v in told_by.items()])
 
 
 def truncation_downgrade(documents: DataFrame, limit: int = JUDGED_CHARS) -> DataFrame:
@@ -89,17 +101,25 @@ def max_risk(*levels: Column) -> Column:
 
 def set_status(documents: DataFrame) -> DataFrame:
     """Blocked, confirmation_required or safe."""
-    flags = documents.groupBy("review_id").agg(F.bool_or((F.col("decision") == "block") | (F.col("outbound_risk") == "high")).alias("b"), F.bool_or(confirmation(F.col("decision"))).alias("c"))
-    return flags.select("review_id", F.when(F.col("b"), "blocked").when(F.col("c"), "confirmation_required").otherwise("safe").alias("status"))
+    return documents.groupBy("review_id").agg(_status().alias("status"))
+
+
+def _status() -> Column:
+    block, ask = F.bool_or((F.col("decision") == "block") | (F.col("outbound_risk") == "high")), F.bool_or(confirmation(F.col("decision")))
+    return F.when(block, "blocked").when(ask, "confirmation_required").otherwise("safe")
 
 
 def security_summary(documents: DataFrame) -> DataFrame:
     """Totals of a set, counts of decisions and its highest risk."""
+    return documents.groupBy("review_id").agg(*_totals())
+
+
+def _totals() -> list[Column]:
     worst = F.element_at(F.array(*map(F.lit, RISKS)), F.max(risk_rank(F.col("outbound_risk"), 0)) + 1)
-    return documents.groupBy("review_id").agg(
+    return [
         F.sum(F.size("replacements")).alias("replacements"), worst.alias("max_outbound_risk"), F.sum("estimated_input_tokens").alias("estimated_input_tokens"),
         *[F.count_if(F.col("decision") == d).alias(f"n_{d}") for d in ("safe", "mask_and_continue", "block")], F.count_if(F.col("decision").isNull()).alias("n_unknown"),
-    )
+    ]
 
 
 def unique_findings(*lists: Column) -> Column:
@@ -136,4 +156,5 @@ def release_gate(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     judged = assess_sensitivity(documents)
     label = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv]), F.col("decision")), F.col("decision"))
     judged = judged.withColumn("findings", unique_findings(F.col("findings"), F.transform("reasons", lambda r: F.concat(F.lit("ローカル機密度ゲート: "), label, F.lit(". "), r))))
-    return judged, ledger, security_summary(judged).join(set_status(judged).hint("merge"), "review_id")
+    # totals and status in one aggregate: the texts are judged once
+    return judged, ledger, judged.groupBy("review_id").agg(*_totals(), _status().alias("status"))

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkveil.functions import detectors as D
 from inkveil.operators import masking
@@ -80,3 +81,27 @@ def test_continued_ledger(spark):
 @pytest.mark.parametrize(("sample", "found"), [("tokyo-rtr-01", True), ("fw-1", True), ("PRD.DB_12", True), ("combat-01", False), ("gemma-4-31b", False)])
 def test_bare_hostnames(sample, found):
     assert bool(python_pattern(D.HOSTNAME_BARE).search(sample)) is found
+
+
+def test_texts_that_are_not_searched_have_no_match(spark):
+    """Marks and shapes of the detectors, and the words that stand for patterns, leave out no text with a match, letters that fold to ASCII ones included."""
+    from inkveil.functions.text import folded
+    from inkveil.operators import gate
+
+    parts = ("fw-01", "bK-7", "ipſ_3", "apı.2", "sw-٣", "::1", "1:2:3:4:5:6:7:8", "fe80::", "a:b", "aa:bb:cc:dd:ee:ff", "aa-bb-cc-dd-ee-ff", "x@y.zz", "https://a", "Owner： Jo Li", "Client = Ab Cd", "顧客名:山田", "Acme Foo Inc.", "Acme Ltd", "株式会社山田", "Co", "CONFİDENTIAL", "confıdential", "ſite name", "RACK", "機密", "Kacheless", "key: abc", "ſecret=x1", "3.5", "Project: Zeta", "Ticket= INC-7", "1.2.3.4", "hostname: h1")
+    rows = [(i, t) for i, t in enumerate([*parts, *(f"x {a} y {b}" for a in parts for b in parts[::3]), *(f"{a}{b}" for a in parts[::2] for b in parts)])]
+    t = F.col("text")
+    tests = {d.rule: (d.found_in(t), t.rlike(d.pattern)) for d in D.DETECTORS}
+    tests |= {"legal": (D.has_legal_entity(t), t.rlike(D.LEGAL_ENTITY)), "marker": (D.has_marker(t, folded(t)), t.rlike(D.MARKERS[0]) | t.rlike(D.MARKERS[1]))}
+    tests |= {k: (gate.has_any(folded(t), gate._words(p)), t.rlike(p)) for k, p in (("m", gate.MARKER), ("c", gate.CUSTOMER), ("t", gate.TOPOLOGY))}
+    found = spark.createDataFrame(rows, "id int, text string").select(*[F.count_if(a != b).alias(f"differs_{k}") for k, (a, b) in tests.items()], *[F.count_if(b).alias(f"found_{k}") for k, (_, b) in tests.items()]).first()
+    assert all(v == 0 for k, v in found.asDict().items() if k.startswith("differs")), found
+    assert all(v > 0 for k, v in found.asDict().items() if k.startswith("found")), found
+
+
+def test_a_set_is_summed_up_over_texts_that_are_judged_once(spark):
+    from inkveil.operators import gate
+
+    docs = spark.createDataFrame([(1, 0, "a.txt", "confidential"), (1, 1, "b.txt", "plain"), (2, 0, "c.txt", None)], "review_id long, doc_ord int, name string, text string")
+    plan = gate.release_gate(docs)[2]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" AS _legal#") == plan.count(" AS _plain#") == 1
