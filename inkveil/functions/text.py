@@ -39,7 +39,24 @@ def contains_any_lower(text: Column, words: Sequence[str]) -> Column:
 
 def squeezed(text: Column) -> Column:
     """Lower case, full-width digits as ASCII, no white space."""
-    return F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), "０１２３４５６７８９", "0123456789"), r"(?U)\s+", "")
+    low = F.lower(F.coalesce(text, F.lit("")))
+    # translate looks at every character in a map; few texts need it
+    digits = F.when(low.rlike("[０-９]"), F.translate(low, "０１２３４５６７８９", "0123456789")).otherwise(low)
+    return F.regexp_replace(digits, r"(?U)\s+", "")
+
+
+# Ideographs and kana, without the blank U+3000; and where one of these or white space ends a run of others.
+_CJK = r"\u3001-\u30ff\u3400-\u9fff"
+_NO_CJK = rf"(?U)\s*[^{_CJK}\s][^{_CJK}]*"
+
+
+def cjk_only(text: Column) -> Column:
+    """``squeezed`` cut down for words that ``is_cjk``: what stands between such characters is one mark, mere white space nothing. The same of these words are in it."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _NO_CJK, "|"), r"(?U)\s+", "")
+
+
+def is_cjk(word: str) -> bool:
+    return bool(word) and all("\u3001" <= c <= "\u30ff" or "\u3400" <= c <= "\u9fff" for c in word)
 
 
 def squeeze_word(word: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkveil.functions.text import contains_any_squeezed, count_of, squeeze_word, squeezed
+from inkveil.functions.text import cjk_only, contains_any_squeezed, count_of, is_cjk, squeeze_word, squeezed
 from inkveil.sources.scratch import materialised
 
 # The standard chapters (id, name, purpose) and their items (chapter, id, name, necessity, expected content).
@@ -216,10 +216,18 @@ def extract_chapters(docs: DataFrame, least: int = LEAST_CHAPTERS, whole: bool =
     )
 
 
-def _flags(squeezed_text: Column, rules: dict[str, tuple[str, ...]], least: int) -> Column:
-    """Names of the rules of which at least ``least`` words are in the text."""
-    table = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*[F.lit(squeeze_word(w)) for w in words]).alias("words")) for name, words in rules.items()])
-    found = F.filter(table, lambda r: F.size(F.filter(r["words"], lambda w: F.contains(squeezed_text, w))) >= least)
+def _words_by_script(words) -> tuple[Column, Column]:
+    """Squeezed words to look for in a text's ideographs and kana alone, and those for all of it."""
+    own = [squeeze_word(w) for w in words]
+    listed = lambda found: F.array(*map(F.lit, found)).cast("array<string>")
+    return listed([w for w in own if is_cjk(w)]), listed([w for w in own if not is_cjk(w)])
+
+
+def _flags(squeezed_text: Column, cjk: Column, rules: dict[str, tuple[str, ...]], least: int) -> Column:
+    """Names of the rules of which at least ``least`` words are in the text; the text as ``squeezed`` and as ``cjk_only`` make it."""
+    rows = [(name, *_words_by_script(words)) for name, words in rules.items()]
+    table = F.array(*[F.struct(F.lit(name).alias("name"), short.alias("cjk"), rest.alias("rest")) for name, short, rest in rows])
+    found = F.filter(table, lambda r: F.size(F.filter(r["cjk"], lambda w: F.contains(cjk, w))) + F.size(F.filter(r["rest"], lambda w: F.contains(squeezed_text, w))) >= least)
     return F.transform(found, lambda r: r["name"])
 
 
@@ -236,12 +244,17 @@ def check_structure(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     chapter, item = F.broadcast(dim_chapter(spark)), F.broadcast(dim_item(spark))  # 15 and 78 rows
-    per_doc = docs.select("review_id", squeezed(F.col("text")).alias("_s")).select("review_id", _flags(F.col("_s"), ITEM_WORDS, 1).alias("items"), F.filter(F.array(*[F.lit(squeeze_word(w)) for words in CHAPTER_WORDS.values() for w in words]), lambda w: F.contains(F.col("_s"), w)).alias("words"))
-    per_set = per_doc.groupBy("review_id").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
-    per_set = materialised(per_set)
-    found = extract_chapters(docs.select("review_id", "doc_ord", "name", "text"))
-    found = found.withColumn("_s", squeezed(F.col("body"))).select("review_id", "doc_ord", "name", "chapter_ord", "chapter_id", _flags(F.col("_s"), CHAPTER_WORDS, 2).alias("topics"), _flags(F.col("_s"), ITEM_WORDS, 1).alias("items"))
+    short, rest = _words_by_script(w for words in CHAPTER_WORDS.values() for w in words)
+    found_words = F.concat(F.filter(short, lambda w: F.contains(F.col("_j"), w)), F.filter(rest, lambda w: F.contains(F.col("_s"), w)))
+    # one pass: what a document has is told beside each of its chapters, and read from the first one's row
+    per_doc = docs.select("review_id", "doc_ord", "name", "text", squeezed(F.col("text")).alias("_s"), cjk_only(F.col("text")).alias("_j"))
+    per_doc = per_doc.select("review_id", "doc_ord", "name", "text", _flags(F.col("_s"), F.col("_j"), ITEM_WORDS, 1).alias("doc_items"), found_words.alias("doc_words"))
+    found = extract_chapters(per_doc, whole=True).withColumns({"_s": squeezed(F.col("body")), "_j": cjk_only(F.col("body"))})
+    found = found.select("review_id", "doc_ord", "name", "chapter_ord", "chapter_id", "doc_items", "doc_words", *[_flags(F.col("_s"), F.col("_j"), rules, least).alias(c) for c, rules, least in (("topics", CHAPTER_WORDS, 2), ("items", ITEM_WORDS, 1))])
     found = materialised(found)
+    per_set = found.filter("chapter_ord = 0").groupBy("review_id").agg(*[F.array_distinct(F.flatten(F.collect_list(f"doc_{c}"))).alias(c) for c in ("items", "words")])
+    per_set = materialised(per_set)
+    found = found.filter("chapter_id != 'whole'").drop("doc_items", "doc_words")
     detected = found.select("review_id", "chapter_id").distinct()
     with_any = detected.select("review_id").distinct()
     standard = F.broadcast(dim_chapter(spark).select(F.col("chapter_id").alias("source_id"), F.col("chapter_name").alias("source_chapter")))

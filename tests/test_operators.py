@@ -156,3 +156,16 @@ def test_chapters_are_found_once(spark):
     docs = spark.createDataFrame([("r", "第 1 章 a\nb")], "review_id string, text string")
     plan = structure.extract_chapters(docs, whole=True)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 2
+
+
+def test_words_in_ideographs_are_found_in_the_shortened_text(spark):
+    """The same words as in the squeezed text, blanks of all kinds within words and marks between them included."""
+    from inkveil.functions.text import cjk_only, is_cjk, squeeze_word, squeezed
+
+    words = sorted({w for rules in (structure.ITEM_WORDS, structure.CHAPTER_WORDS) for found in rules.values() for w in map(squeeze_word, found) if is_cjk(w)})
+    bits = [x for w in words[::4] for x in (w, w[:1] + " \n" + w[1:], w[:1] + "　" + w[1:], w[:1] + "x" + w[1:], w[:1] + "１" + w[1:], w[:1] + " . " + w[1:])]
+    texts = [*bits, *(f"abc {x}１２{y} z" for x, y in zip(bits, bits[1:])), None, "", " 　 ", "only latin", "😀目😀的", "目 的", "目\u0085的"]
+    listed = F.array(*map(F.lit, words))
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(squeezed(F.col("text")).alias("s"), cjk_only(F.col("text")).alias("j"))
+    one = rows.select(F.filter(listed, lambda w: F.contains("s", w)).alias("a"), F.filter(listed, lambda w: F.contains("j", w)).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in one) and sum(len(r["a"]) > 0 for r in one) > 50
