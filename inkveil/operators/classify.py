@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.text import count_of, has_any
-from inkveil.operators.rules import FORTIOS_SIGNALS, IOS_SIGNALS
+from inkveil.operators.rules import FORTIOS_SIGNALS, IOS_BEGINNING, IOS_SIGNALS
 from inkveil.sources.scratch import materialised
 
 # Names, words and extensions; order is priority.
@@ -43,7 +45,10 @@ def suffix_of(name: Column) -> Column:
 
 def name_profile(name: Column) -> Column:
     """The first profile whose words a file name has; a change runbook's words come before operations'."""
-    n = F.lower(F.coalesce(name, F.lit("")))
+    return _name_profile(F.lower(F.coalesce(name, F.lit(""))))
+
+
+def _name_profile(n: Column) -> Column:
     has = lambda words: has_any(n, words)
     config = has(CONFIG_NAMES) | (has(PLATFORMS) & has(CONFIG_WORDS)) | (suffix_of(n).isin(*CONFIG_SUFFIXES) & has(PLATFORMS))
     out = None
@@ -53,20 +58,51 @@ def name_profile(name: Column) -> Column:
     return out
 
 
+def _number_of(low: Column, words: tuple[str, ...]) -> Column:
+    return F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)))
+
+
 def looks_like_code(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
-    words, marks = (F.size(F.filter(F.array(*map(F.lit, found)), lambda w: F.contains(low, w))) for found in (CODE_SIGNALS, CODE_MARKS))
+    words, marks = (_number_of(low, found) for found in (CODE_SIGNALS, CODE_MARKS))
     return (words >= 2) | ((words >= 1) & (marks >= 2))
 
 
-def body_signals(docs: DataFrame) -> DataFrame:
-    """A13 per document: flags of single signals in the first 1500 characters and the name; sets gather them with or."""
+def _with_head(docs: DataFrame) -> DataFrame:
+    """docs with _h, the name and the first characters in lower case, and _b, whether IOS signals may be in it: columns, as a list of words would make them again for each word."""
     head = F.lower(F.concat(F.coalesce("name", F.lit("")), F.lit("\n"), F.substring(F.coalesce("text", F.lit("")), 1, HEAD)))
-    rows = docs.select("review_id", "name", "text", head.alias("_h"))
-    flags = {f"i{k}": F.col("_h").rlike(p) for k, p in enumerate(IOS_SIGNALS)} | {f"f{k}": F.contains("_h", F.lit(s)) for k, s in enumerate(FORTIOS_SIGNALS)}
+    return docs.withColumn("_h", head).withColumn("_b", F.col("_h").rlike(IOS_BEGINNING))
+
+
+def _signals() -> dict[str, Column]:
+    """Tests on what ``_with_head`` adds."""
+    flags = {f"i{k}": F.col("_b") & F.col("_h").rlike(p) for k, p in enumerate(IOS_SIGNALS)} | {f"f{k}": F.contains("_h", F.lit(s)) for k, s in enumerate(FORTIOS_SIGNALS)}
     flags |= {p: has_any(F.col("_h"), words) for p, words in BODY_WORDS.items()}
-    flags["code"] = has_any(F.col("_h"), CODE_WORDS)
-    return rows.select("review_id", "name", "text", *[v.alias(k) for k, v in flags.items()])
+    return flags | {"code": has_any(F.col("_h"), CODE_WORDS)}
+
+
+def body_signals(docs: DataFrame) -> DataFrame:
+    """A13 per document: flags of single signals in the first 1500 characters and the name; sets gather them with or."""
+    rows = _with_head(docs.select("review_id", "name", "text"))
+    return rows.select("review_id", "name", "text", *[v.alias(k) for k, v in _signals().items()])
+
+
+def _gathered(docs: DataFrame) -> DataFrame:
+    """What profiles and modes need of each set. Each text is made and lowered once; a set's tests are bits of one number, so that a document is one short row in the shuffle."""
+    rows = docs.select("review_id", "name", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("name", F.lit("")).alias("_f"))
+    rows = _with_head(rows).withColumns({"_n": F.lower("_f"), "_l": F.lower("text")}).withColumns({"_w": _number_of(F.col("_l"), CODE_SIGNALS), "_e": suffix_of(F.col("_n"))})
+    named = F.col("_f") != ""
+    tests = _signals() | {"has_name": named, "no_code_file": named & ~F.col("_e").isin(*CODE_SUFFIXES), "no_design_file": named & ~F.col("_e").isin(*DESIGN_SUFFIXES), "risky": has_any(F.col("_l"), RISK_TERMS)}
+    bits = {name: F.lit(1 << k).cast("long") for k, name in enumerate(tests)}
+    mask = reduce(lambda a, b: a.bitwiseOR(b), [F.when(test, bits[name]).otherwise(F.lit(0).cast("long")) for name, test in tests.items()])
+    like_code = (F.col("_w") >= 2) | ((F.col("_w") >= 1) & (_number_of(F.col("_l"), CODE_MARKS) >= 2))
+    rows = rows.select("review_id", mask.alias("mask"), like_code.alias("like_code"), _name_profile(F.col("_n")).alias("named"), F.length("text").alias("chars"), F.regexp_count("text", F.lit(STEP)).alias("steps"))
+    sets = rows.groupBy("review_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("like_code").alias("n_code"), F.bit_or("mask").alias("mask"), F.sum("chars").alias("chars"), F.sum("steps").alias("steps"),
+        *[F.count_if(F.col("named") == p).alias(f"n_{p}") for p in NAME_WORDS],
+    )
+    sets = sets.select("*", *[(F.col("mask").bitwiseAND(bit) != 0).alias(name) for name, bit in bits.items()])
+    return sets.withColumns({"code_files": ~F.col("no_code_file"), "design_files": ~F.col("no_design_file")}).drop("mask", "no_code_file", "no_design_file")
 
 
 def classify_review_set(docs: DataFrame, forced: str | None = None, strict_code: bool = False) -> DataFrame:
@@ -76,20 +112,17 @@ def classify_review_set(docs: DataFrame, forced: str | None = None, strict_code:
     """
     if forced and forced.strip().lower() in PROFILES:
         return docs.select("review_id").distinct().select("review_id", F.lit(forced.strip().lower()).alias("document_profile"), F.lit("forced").alias("confidence"), F.lit("forced").alias("reason"))
-    rows = body_signals(docs).withColumn("named", name_profile(F.col("name"))).withColumn("like_code", looks_like_code(F.col("text"))).withColumn("suffix", suffix_of(F.col("name")))
-    named_file = F.coalesce(F.col("name"), F.lit("")) != ""
-    sets = rows.groupBy("review_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("like_code").alias("n_code"), F.bool_or(named_file).alias("has_name"),
-        F.bool_and(~named_file | F.col("suffix").isin(*CODE_SUFFIXES)).alias("code_files"), F.bool_and(~named_file | F.col("suffix").isin(*DESIGN_SUFFIXES)).alias("design_files"),
-        *[F.count_if(F.col("named") == p).alias(f"n_{p}") for p in NAME_WORDS],
-        *[F.bool_or(c).alias(c) for c in [*(f"i{k}" for k in range(len(IOS_SIGNALS))), *(f"f{k}" for k in range(len(FORTIOS_SIGNALS))), *BODY_WORDS, "code"]],
-    )
+    return _profiles(materialised(_gathered(docs)), strict_code).select("review_id", "document_profile", "confidence", "reason")
+
+
+def _profiles(sets: DataFrame, strict_code: bool = False) -> DataFrame:
+    """sets, as ``_gathered`` makes them, with document_profile, confidence and reason."""
     config = (count_of([F.col(f"i{k}") for k in range(len(IOS_SIGNALS))]) >= 2) | (count_of([F.col(f"f{k}") for k in range(len(FORTIOS_SIGNALS))]) >= 2)
     by_name = F.filter(F.array(*[F.when(F.col(f"n_{p}") > 0, p) for p in NAME_WORDS]), lambda x: x.isNotNull())
     by_body = F.filter(F.array(F.when(config, "network_config"), *[F.when(F.col(p), p) for p in BODY_WORDS]), lambda x: x.isNotNull())
     # most files first, then priority
     most = F.array_max(F.array(*[F.struct(F.col(f"n_{p}").alias("n"), F.lit(-k).alias("k"), F.lit(p).alias("p")) for k, p in enumerate(NAME_WORDS)]))["p"]
-    sets = materialised(sets).withColumn("names", by_name).withColumn("bodies", by_body).withColumn("most", most)
+    sets = sets.withColumn("names", by_name).withColumn("bodies", by_body).withColumn("most", most)
     code = (F.col("n_code") > 0) if strict_code else F.col("code")
     first_name, first_body = F.get("names", F.lit(0)), F.get("bodies", F.lit(0))
     cases = [
@@ -109,15 +142,24 @@ def classify_review_set(docs: DataFrame, forced: str | None = None, strict_code:
             out = F.when(case[0], value) if out is None else out.when(case[0], value)
         return out.otherwise(otherwise)
 
-    return sets.select("review_id", told(1, "design").alias("document_profile"), told(2, "low").alias("confidence"), told(3, "default").alias("reason"))
+    return sets.withColumns({"document_profile": told(1, "design"), "confidence": told(2, "low"), "reason": told(3, "default")})
 
 
-def artifact_mode(docs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """review_id, mode (code, config, runbook or document) and, for runbooks, depth."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-    sizes = docs.groupBy("review_id").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"), F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(STEP))).alias("steps"), F.bool_or(has_any(low, RISK_TERMS)).alias("risky"))
-    rows = profiles.join(sizes.hint("merge"), "review_id")
+def _moded(sets: DataFrame) -> DataFrame:
     profile = F.col("document_profile")
     mode = F.when(profile == "source_code", "code").when(profile == "network_config", "config").when(profile.isin("change_runbook", "operations_runbook"), "runbook").otherwise("document")
     depth = F.when((F.col("chars") <= LIGHT_CHARS) & (F.col("steps") >= 2), F.when(F.col("risky"), "light_high_risk").otherwise("light")).when(F.col("risky") & (F.col("chars") <= FORMAL_CHARS), "light_high_risk").otherwise("formal")
-    return rows.select("review_id", "document_profile", mode.alias("mode"), F.when(mode == "runbook", depth).alias("depth"))
+    return sets.withColumn("mode", mode).withColumn("depth", F.when(F.col("mode") == "runbook", depth))
+
+
+def artifact_mode(docs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """review_id, mode (code, config, runbook or document) and, for runbooks, depth."""
+    rows = docs.select("review_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_l", F.lower("text"))
+    sizes = rows.groupBy("review_id").agg(F.sum(F.length("text")).alias("chars"), F.sum(F.regexp_count("text", F.lit(STEP))).alias("steps"), F.bool_or(has_any(F.col("_l"), RISK_TERMS)).alias("risky"))
+    return _moded(profiles.join(sizes.hint("merge"), "review_id")).select("review_id", "document_profile", "mode", "depth")
+
+
+def classified_modes(docs: DataFrame, strict_code: bool = False) -> DataFrame:
+    """P1 and P16 in one pass over the texts, without a join: review_id, document_profile, mode, depth, confidence, reason. Rows without a review_id belong to no set."""
+    sets = _gathered(docs.filter(F.col("review_id").isNotNull()))
+    return _moded(_profiles(sets, strict_code)).select("review_id", "document_profile", "mode", "depth", "confidence", "reason")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions.detectors import network_identifiers
 from inkveil.functions.text import any_of, contains_any_lower, count_of, has_any
+from inkveil.sources.scratch import materialised
 
 
 @dataclass(frozen=True)
@@ -26,27 +27,49 @@ class Rule:
     head: int = 0  # only so many characters for the words
 
     def fires(self, text: Column, lowered: Column) -> Column:
-        low = F.substring(lowered, 1, self.head) if self.head else lowered
-        words = lambda found: has_any(low, found)
+        words = lambda found: has_any(lowered, found)
         there = any_of([text.rlike(p) for p in self.some]) | words(self.some_words) if self.some or self.some_words else F.lit(True)
         return there & ~any_of([text.rlike(p) for p in self.none]) & ~words(self.none_words)
 
 
-def evaluate(docs: DataFrame, rules: Sequence[Rule], text: str = "text", profile: Column | None = None) -> DataFrame:
-    """One row per rule that fires: the columns of docs but the text, rule_ord, severity, title. One pass over each text."""
+def _with_lower(docs: DataFrame, rules: Sequence[Rule] = (), text: str = "text") -> DataFrame:
+    """docs with _t, the text or an empty one, _l, the same in lower case, and _l with a number for so many first characters of it.
+    They are columns: within a list of words they would be made again for each word."""
     kept = [c for c in docs.columns if c != text]
     rows = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("_l", F.lower("_t"))
+    return rows.withColumns({f"_l{r.head}": F.substring("_l", 1, r.head) for r in rules if r.head})
+
+
+def _row(order: int, rule: Rule, when: Column) -> Column:
+    return F.when(when, F.struct(F.lit(order).alias("rule_ord"), F.lit(rule.severity).alias("severity"), F.lit(rule.title).alias("title")))
+
+
+def _fired(rules: Sequence[Rule], profile: Column | None = None, where: Column | None = None) -> list[Column]:
+    """For each rule a row, or null, of a text with what ``_with_lower`` adds."""
     found = []
     for i, r in enumerate(rules):
-        when = r.fires(F.col("_t"), F.col("_l"))
+        when = r.fires(F.col("_t"), F.col(f"_l{r.head or ''}"))
         if r.profiles and profile is not None:
-            when = when & profile.isin(*r.profiles)
-        found.append(F.when(when, F.struct(F.lit(i).alias("rule_ord"), F.lit(r.severity).alias("severity"), F.lit(r.title).alias("title"))))
-    return rows.select(*kept, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("r")).select(*kept, "r.*")
+            when = profile.isin(*r.profiles) & when
+        found.append(_row(i, r, when if where is None else where & when))
+    return found
+
+
+def _listed(rows: DataFrame, kept: Sequence[str], found: Sequence[Column]) -> DataFrame:
+    """The rows that fired, and one with nulls for a text without any. An outer explode: for an inner one Spark filters by the rows before, and finds them twice for that."""
+    return rows.select(*kept, F.explode_outer(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("r")).select(*kept, "r.*")
+
+
+def evaluate(docs: DataFrame, rules: Sequence[Rule], text: str = "text", profile: Column | None = None) -> DataFrame:
+    """One row per rule that fires: the columns of docs but the text, rule_ord, severity, title. One pass over each text."""
+    kept = [c for c in docs.columns if c != text]
+    return _listed(_with_lower(docs, rules, text), kept, _fired(rules, profile)).filter("rule_ord is not null")
 
 
 # Signals, patterns, severities and titles.
 IOS_SIGNALS = (r"(?m)^interface\s+\S+", r"(?m)^line\s+vty\s+\d+", r"(?m)^router\s+(ospf|bgp|eigrp|rip)\b", r"(?m)^ip\s+access-list\b", r"(?m)^access-list\s+\d+\s+", r"(?m)^aaa\s+new-model\b", r"(?m)^snmp-server\s+community\b")
+#: What each of these signals begins with.
+IOS_BEGINNING = r"(?m)^(?:interface|line|router|ip|access-list|aaa|snmp-server)\s"
 FORTIOS_SIGNALS = ("config system interface", "config firewall policy", "config firewall address", "config router static", "config router bgp", "config vpn ipsec phase1-interface", "set srcintf", "set dstintf", "set srcaddr", "set dstaddr")
 IOS_RULES = (
     Rule("high", "Telnetによる管理アクセスの可能性", (r"(?im)^\s*transport\s+input\s+.*\btelnet\b", r"(?im)^\s*transport\s+input\s+all\b")),
@@ -135,6 +158,7 @@ DIAGRAM_WORDS = {
 PAIRED = r"(?i)\b[A-Za-z][A-Za-z0-9_-]{2,}[-_](?:0?1|0?2|a|b)\b"
 DIAGRAM_CAPS = {"device": 12, "identifier": 12}
 # End of the fixed values.
+LINE_ENDS = r"\r\n|\r|\n"
 
 
 def looks_like_ios(lowered: Column) -> Column:
@@ -175,28 +199,34 @@ def config_profile(docs: DataFrame) -> DataFrame:
     return rows.select(*kept, vendor.alias("vendor"), F.array_distinct(F.concat(ios_names, forti_names)).alias("interface_names"), F.array_distinct(F.concat(ios_routing, forti_routing)).alias("routing_signals"), F.when(F.col("_f"), F.size(policy_blocks(F.col("_t")))).otherwise(0).alias("policy_count"))
 
 
+def _ios(rows: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """rows with columns of their own, and what P5 finds in them."""
+    rows = rows.withColumn("_i", looks_like_ios(F.col("_l")))
+    rows = rows.withColumn("_b", F.when(F.col("_i"), interface_blocks(F.col("_t"))))
+    rows = rows.withColumn("_bare", F.size(F.filter("_b", lambda b: ~b["block"].rlike(r"(?im)^\s*description\s+\S+") & ~F.lower(b["name"]).rlike("^(loopback|null)"))))
+    few = (F.size("_b") > 0) & (F.col("_bare") >= F.greatest(F.lit(2), F.floor(F.size("_b") / 2).cast("int")))
+    return rows, [*_fired(IOS_RULES, where=F.col("_i")), _row(99, NO_DESCRIPTION, F.col("_i") & few)]
+
+
+def _fortios(rows: DataFrame) -> tuple[DataFrame, list[Column]]:
+    rows = rows.withColumn("_f", looks_like_fortios(F.col("_l")))
+    rows = rows.withColumn("_p", F.when(F.col("_f"), policy_blocks(F.col("_t"))))
+    all_of = lambda name: rf'(?im)^\s*set\s+{name}\s+"?all"?\s*$'
+    wide = F.exists("_p", lambda b: F.contains(F.lower(b), F.lit("set action accept")) & b.rlike(all_of("srcaddr")) & b.rlike(all_of("dstaddr")) & b.rlike(all_of("service")))
+    unlogged = (F.size("_p") > 0) & ~F.contains("_l", F.lit("set logtraffic"))
+    return rows, [*_fired(FORTIOS_RULES, where=F.col("_f")), _row(99, WIDE_POLICY, F.col("_f") & wide), _row(99, UNLOGGED_POLICY, F.col("_f") & unlogged)]
+
+
 def audit_ios(docs: DataFrame) -> DataFrame:
     """P5: findings on texts that look like IOS configurations."""
-    rows = docs.filter(looks_like_ios(F.lower("text")))
-    blocks = interface_blocks(F.col("text"))
-    bare = F.filter(blocks, lambda b: ~b["block"].rlike(r"(?im)^\s*description\s+\S+") & ~F.lower(b["name"]).rlike("^(loopback|null)"))
-    few = (F.size(blocks) > 0) & (F.size(bare) >= F.greatest(F.lit(2), F.floor(F.size(blocks) / 2).cast("int")))
-    return _with_extra(rows, evaluate(rows, IOS_RULES), few, NO_DESCRIPTION)
+    rows, found = _ios(_with_lower(docs))
+    return _listed(rows, [c for c in docs.columns if c != "text"], found).filter("rule_ord is not null")
 
 
 def audit_fortios(docs: DataFrame) -> DataFrame:
     """P6."""
-    rows = docs.filter(looks_like_fortios(F.lower("text")))
-    blocks = policy_blocks(F.col("text"))
-    all_of = lambda name: rf'(?im)^\s*set\s+{name}\s+"?all"?\s*$'
-    wide = F.exists(blocks, lambda b: F.contains(F.lower(b), F.lit("set action accept")) & b.rlike(all_of("srcaddr")) & b.rlike(all_of("dstaddr")) & b.rlike(all_of("service")))
-    found = _with_extra(rows, evaluate(rows, FORTIOS_RULES), wide, WIDE_POLICY)
-    return _with_extra(rows, found, (F.size(blocks) > 0) & ~F.contains(F.lower("text"), F.lit("set logtraffic")), UNLOGGED_POLICY)
-
-
-def _with_extra(docs: DataFrame, found: DataFrame, test: Column, rule: Rule) -> DataFrame:
-    kept = [c for c in docs.columns if c != "text"]
-    return found.unionByName(docs.filter(test).select(*kept, F.lit(99).alias("rule_ord"), F.lit(rule.severity).alias("severity"), F.lit(rule.title).alias("title")))
+    rows, found = _fortios(_with_lower(docs))
+    return _listed(rows, [c for c in docs.columns if c != "text"], found).filter("rule_ord is not null")
 
 
 def defined_functions(text: Column) -> Column:
@@ -220,7 +250,10 @@ def code_language(name: Column, text: Column) -> Column:
 
 def evidence(text: Column, pattern: str, hide: bool) -> Column:
     """J20 and W9 within a row: the first line with the pattern, its number and the last function defined at or before it."""
-    lines = F.split(text, r"\r\n|\r|\n", -1)
+    return _evidence(F.split(text, LINE_ENDS, -1), pattern, hide)
+
+
+def _evidence(lines: Column, pattern: str, hide: bool) -> Column:
     at = F.array_position(F.transform(lines, lambda x: x.rlike(pattern)), F.lit(True)).cast("int")
     before = F.filter(F.transform(F.slice(lines, 1, at), lambda x: F.regexp_extract(x, DEFINED, 1)), lambda x: x != "")
     where = F.concat(F.when(F.size(before) > 0, F.concat(F.element_at(before, -1), F.lit(" 内 / "))).otherwise(F.lit("")), at.cast("string"), F.lit("行目付近"))
@@ -232,30 +265,34 @@ def evidence(text: Column, pattern: str, hide: bool) -> Column:
 def scan_code_risks(docs: DataFrame) -> DataFrame:
     """Severity, title, evidence and section of each risk in a script."""
     kept = [c for c in docs.columns if c != "text"]
-    text = F.coalesce(F.col("text"), F.lit(""))
-    low = F.lower(text)
-    sql = has_any(low, SQL_WORDS) & ~has_any(low, PYTHON_WORDS)
+    return _code(docs, kept).filter("rule_ord is not null").withColumn("section", F.trim(F.split("evidence", ":").getItem(0))).withColumn("re_review_required", F.col("severity") == "high").withColumn("origin", F.lit("static_code_analysis"))
+
+
+def _code(docs: DataFrame, kept: Sequence[str]) -> DataFrame:
+    rows = _with_lower(docs).withColumn("_lines", F.split("_t", LINE_ENDS, -1))
+    sql = has_any(F.col("_l"), SQL_WORDS) & ~has_any(F.col("_l"), PYTHON_WORDS)
     found = []
     for i, (r, pattern) in enumerate(CODE_RULES):
-        fires = text.rlike(COMMANDS) | (text.rlike(r"\bexec\s*\(") & ~sql) if i == 1 else r.fires(text, low)
-        found.append(F.when(fires, F.struct(F.lit(i).alias("rule_ord"), F.lit(r.severity).alias("severity"), F.lit(r.title).alias("title"), evidence(text, pattern, i == 0).alias("evidence"))))
-    rows = docs.select(*kept, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("r")).select(*kept, "r.*")
-    return rows.withColumn("section", F.trim(F.split("evidence", ":").getItem(0))).withColumn("re_review_required", F.col("severity") == "high").withColumn("origin", F.lit("static_code_analysis"))
+        fires = F.col("_t").rlike(COMMANDS) | (F.col("_t").rlike(r"\bexec\s*\(") & ~sql) if i == 1 else r.fires(F.col("_t"), F.col("_l"))
+        found.append(F.when(fires, F.struct(F.lit(i).alias("rule_ord"), F.lit(r.severity).alias("severity"), F.lit(r.title).alias("title"), _evidence(F.col("_lines"), pattern, i == 0).alias("evidence"))))
+    return _listed(rows, kept, found)
 
 
 def rule_review(docs: DataFrame) -> DataFrame:
     """P8. docs: review_id, doc_ord, name, text, document_profile. Issues with ids (W3); one info row for sets without any."""
     kept = ["review_id", "doc_ord", "name", "document_profile"]
-    rows = docs.select(*kept, "text")
-    prose = rows.filter(~F.col("document_profile").isin("network_config", "source_code"))
-    issues = evaluate(prose, REVIEW_RULES, profile=F.col("document_profile"))
-    low = F.lower(F.coalesce("text", F.lit("")))
-    unapproved = (F.col("document_profile") == "change_runbook") & ~(has_any(low, RISK_LEVELS) & has_any(low, APPROVALS))
-    issues = _with_extra(prose, issues, unapproved, NO_APPROVAL)
-    configs = rows.filter(F.col("document_profile") == "network_config")
-    scripts = rows.filter(F.col("document_profile") == "source_code")
-    issues = issues.unionByName(audit_ios(configs)).unionByName(audit_fortios(configs)).unionByName(scan_code_risks(scripts).select(*kept, "rule_ord", "severity", "title"))
-    quiet = rows.select("review_id", "document_profile").distinct().join(issues.select("review_id").distinct().hint("merge"), "review_id", "left_anti")
+    rows, profile = docs.select(*kept, "text"), F.col("document_profile")
+    columns = [*kept, "rule_ord", "severity", "title"]
+    # each text is read in one pass, by the rules of its kind; one without findings is a row with nulls
+    prose = _with_lower(rows.filter(~profile.isin("network_config", "source_code")), REVIEW_RULES)
+    unapproved = (profile == "change_runbook") & ~(has_any(F.col("_l"), RISK_LEVELS) & has_any(F.col("_l"), APPROVALS))
+    found = _listed(prose, kept, [*_fired(REVIEW_RULES, profile), _row(99, NO_APPROVAL, unapproved)])
+    configs, ios = _ios(_with_lower(rows.filter(profile == "network_config")))
+    configs, fortios = _fortios(configs)
+    found = found.unionByName(_listed(configs, kept, [*ios, *fortios])).unionByName(_code(rows.filter(profile == "source_code"), kept).select(*columns))
+    found = materialised(found.unionByName(rows.filter(profile.isNull()).select(*kept), allowMissingColumns=True))
+    issues = found.filter("rule_ord is not null")
+    quiet = found.groupBy("review_id").agg(F.count("rule_ord").alias("n"), F.collect_set(F.struct("document_profile")).alias("of")).filter("n = 0").select("review_id", F.inline("of"))
     issues = issues.unionByName(quiet.select("review_id", F.lit(0).alias("doc_ord"), F.lit("-").alias("name"), "document_profile", F.lit(0).alias("rule_ord"), F.lit(NOTHING.severity).alias("severity"), F.lit(NOTHING.title).alias("title")))
     return assign_issue_ids(issues)
 

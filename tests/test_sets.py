@@ -304,3 +304,41 @@ def test_each_candidate_text_is_judged_once(spark, tmp_path):
     assert out.columns == rows.columns
     assert kept == {("山田太郎", "ner"): 50, (None, "ner"): 50, ("Kubernetes", "watchlist"): 1}
     assert asked.value < 200  # the rows; each text is normalised for several patterns
+
+
+def test_texts_are_read_once_by_the_rules_and_profiles_of_sets(spark):
+    """A counter in the text's own expression: it must be made once for each text, whatever number of rules, profiles and modes look at it."""
+    from inkveil.operators import classify, rules
+
+    made = spark.sparkContext.accumulator(0)
+
+    def text(name):
+        made.add(1)
+        return {"a.cfg": "interface Gi0/1\nline vty 0 4\nenable password x", "b.py": "password = 'x'\nos.system(y)", "c.md": "目的 rollback"}[name]
+
+    one = F.udf(text)
+    docs = spark.createDataFrame([("r", 0, "a.cfg", "network_config"), ("r", 1, "b.py", "source_code"), ("s", 0, "c.md", "change_runbook")], "review_id string, doc_ord int, name string, document_profile string")
+    docs = docs.withColumn("text", one("name"))
+    rules.rule_review(docs).collect()
+    assert made.value == 3
+    made.value = 0
+    assert {(r["review_id"], r["document_profile"], r["mode"], r["depth"]) for r in classify.classified_modes(docs).collect()} == {("r", "network_config", "config", None), ("s", "change_runbook", "runbook", "formal")}
+    assert made.value == 3
+
+
+def test_rules_give_one_row_for_quiet_sets_of_each_profile(spark):
+    from inkveil.operators import rules
+
+    schema = "review_id string, doc_ord int, name string, text string, document_profile string"
+    docs = spark.createDataFrame([("q", 0, "a", "", "source_code"), ("q", 1, "b", None, "source_code"), ("n", 0, "c", "telnet", None), ("x", 0, "d", "os.system(a)", "source_code"), ("x", 1, "e", "", "source_code")], schema)
+    found = sorted((r["review_id"], r["name"], r["title"], r["issue_id"]) for r in rules.rule_review(docs).collect())
+    assert found == [("n", "-", rules.NOTHING.title, "I-001"), ("q", "-", rules.NOTHING.title, "SC-001"), ("x", "d", "危険なコマンド実行の可能性", "SC-001")]
+
+
+def test_documents_of_one_group_of_rows_are_read_by_more_than_one_task(spark, tmp_path):
+    from inkveil.plans import tables
+
+    text = F.expr("array_join(transform(sequence(1, 150), i -> sha2(concat(id, '-', i), 256)), '')")
+    spark.range(600).select(F.col("id").alias("doc_id"), text.alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for made in (tables.designs, tables.review_docs):
+        assert made(spark, str(tmp_path)).select(F.length("text"), F.spark_partition_id().alias("p")).agg(F.max("length(text)"), F.countDistinct("p")).first()[1] > 1
