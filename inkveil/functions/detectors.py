@@ -88,7 +88,7 @@ class Detector:
 LABEL_MARKS = (":", "=", "：")
 DETECTORS = (
     Detector("D1", "secret", SECRET, 2),
-    Detector("D2", "ipv4", IPV4),
+    Detector("D2", "ipv4", IPV4, marks=(".",)),
     Detector("D3", "ipv6", IPV6, marks=(":",), shape=r"::|:[0-9A-Fa-f]{1,4}:"),
     Detector("D4", "email", EMAIL, marks=("@",)),
     Detector("D5", "mac", MAC, marks=(":", "-"), shape=r"(?:[0-9A-Fa-f]{2}[:-]){5}"),
@@ -127,6 +127,17 @@ def mentions(docs: DataFrame, detectors: tuple[Detector, ...] = DETECTORS, text:
     return docs.select(*kept, F.explode(F.concat(*found)).alias("m")).select(*kept, "m.*")
 
 
+def mention_counts(docs: DataFrame, detectors: tuple[Detector, ...] = DETECTORS, text: str = "text") -> DataFrame:
+    """One row per text and category found in it: all columns but the text, category, n. They are counted beside the text, so nothing is shuffled."""
+    kept = [c for c in docs.columns if c != text]
+    sizes: dict[str, list[Column]] = {}
+    for d in detectors:
+        sizes.setdefault(d.category, []).append(F.coalesce(F.size(found_values(F.col(text), d)), F.lit(0)))
+    listed = F.array(*[F.struct(F.lit(c).alias("category"), reduce(lambda a, b: a + b, n).cast("long").alias("n")) for c, n in sizes.items()])
+    # an outer explode: for an inner one Spark filters by the counts before, and finds them twice for that
+    return docs.select(*kept, F.explode_outer(F.filter(listed, lambda x: x["n"] > 0)).alias("m")).select(*kept, "m.*").filter("n is not null")
+
+
 def has_marker(text: Column, low: Column | None = None) -> Column:
     """A confidentiality marker in the text. low: a column with the text as ``folded`` makes it; with it, the pattern is only for texts that have its words."""
     from inkveil.functions.text import has_any  # it reads this module
@@ -145,7 +156,8 @@ def has_legal_entity(text: Column) -> Column:
 
 def network_identifiers(text: Column) -> Column:
     """Addresses, VLANs and VRFs, each once, in order."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(NETWORK_ID), F.lit(0)))
+    none = ~(F.contains(text, F.lit(".")) | text.rlike("(?i)v(?:lan|rf)"))
+    return F.when(none, F.array().cast("array<string>")).otherwise(F.array_distinct(F.regexp_extract_all(text, F.lit(NETWORK_ID), F.lit(0))))
 
 
 def public_term(value: Column) -> Column:

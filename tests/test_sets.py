@@ -342,3 +342,32 @@ def test_documents_of_one_group_of_rows_are_read_by_more_than_one_task(spark, tm
     spark.range(600).select(F.col("id").alias("doc_id"), text.alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     for made in (tables.designs, tables.review_docs):
         assert made(spark, str(tmp_path)).select(F.length("text"), F.spark_partition_id().alias("p")).agg(F.max("length(text)"), F.countDistinct("p")).first()[1] > 1
+
+
+def test_texts_are_read_once_by_counts_diagrams_and_summaries(spark):
+    """As above; of a set's documents only the first five are read for a summary."""
+    from inkveil.functions import detectors
+    from inkveil.operators import replies, rules
+
+    made = spark.sparkContext.accumulator(0)
+
+    def text(k):
+        made.add(1)
+        return f"第 1 章 目的\nhost fw-0{k} 10.0.0.{k}\n第 2 章 範囲\nVLAN {k} dmz\n第 3 章 終わり\nvrf a"
+
+    docs = spark.range(8).select(F.lit("r").alias("review_id"), F.col("id").cast("int").alias("doc_ord"), F.concat(F.lit("d"), "id").alias("name"), F.udf(text)("id").alias("text"))
+    counts = {(r["name"], r["category"], r["n"]) for r in detectors.mention_counts(docs.select("name", "text")).collect()}
+    assert counts == {(f"d{k}", c, 1) for k in range(8) for c in ("ipv4", "hostname")} and made.value == 8
+    made.value = 0
+    found = sorted(rules.diagram_signals(docs).collect(), key=lambda r: r["doc_ord"])
+    assert found[3]["identifier"] == ["10.0.0.3", "VLAN 3", "vrf a"] and found[3]["zone"] == ["VLAN 3 dmz"] and made.value == 8
+    one = replies.local_summary(docs, spark.createDataFrame([("r", "high")], "review_id string, severity string")).first()
+    assert one["content_outline"].split("\n") == [f"d{k}: 第 1 章 目的 / 第 2 章 範囲 / 第 3 章 終わり" for k in range(5)]
+
+
+def test_absent_texts_have_no_identifiers_and_no_counts(spark):
+    from inkveil.functions import detectors
+
+    rows = spark.createDataFrame([("a", None), ("b", "vLaN 7, VRF x"), ("c", "none")], "name string, text string")
+    assert [r[0] for r in rows.select(detectors.network_identifiers(F.col("text"))).collect()] == [None, ["vLaN 7", "VRF x"], []]
+    assert detectors.mention_counts(rows).count() == 0
