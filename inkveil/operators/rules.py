@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.functions.detectors import network_identifiers
-from inkveil.functions.text import any_of, contains_any_lower, count_of, has_any
+from inkveil.functions.text import any_of, count_of, has_any
 from inkveil.sources.scratch import materialised
 
 
@@ -322,17 +322,20 @@ def _once_lower(values: Column, k: int) -> Column:
 def diagram_signals(docs: DataFrame) -> DataFrame:
     """Docs with text of recognised lines: external, zone, device, redundancy, identifier (arrays) and inferences."""
     kept = [c for c in docs.columns if c != "text"]
-    rows = docs.select(*kept, clean_lines(F.coalesce("text", F.lit(""))).alias("_lines"))
+    # a line beside its lower case, as each word of a list would make it again
+    both = F.transform(clean_lines(F.coalesce("text", F.lit(""))), lambda x: F.struct(x.alias("t"), F.lower(x).alias("l")))
+    rows = docs.select(*kept, both.alias("_lines"))
 
     def having(kind: str) -> Column:
-        paired = (lambda x: x.rlike(PAIRED)) if kind == "device" else (lambda x: F.lit(False))
-        return _once_lower(F.filter("_lines", lambda x: contains_any_lower(x, DIAGRAM_WORDS[kind]) | paired(x)), DIAGRAM_CAPS.get(kind, 8))
+        paired = (lambda x: (F.contains(x, F.lit("-")) | F.contains(x, F.lit("_"))) & x.rlike(PAIRED)) if kind == "device" else (lambda x: F.lit(False))
+        found = F.filter("_lines", lambda x: has_any(x["l"], DIAGRAM_WORDS[kind]) | paired(x["t"]))
+        return _once_lower(F.transform(found, lambda x: x["t"]), DIAGRAM_CAPS.get(kind, 8))
 
-    rows = rows.withColumns({k: having(k) for k in DIAGRAM_WORDS}).withColumn("identifier", _once_lower(F.flatten(F.transform("_lines", network_identifiers)), DIAGRAM_CAPS["identifier"]))
-    blob = F.lower(F.array_join(F.concat("external", "zone", "device", "redundancy", "identifier"), "\n"))
-    says = lambda *words: any_of([F.contains(blob, F.lit(w)) for w in words])
+    rows = rows.withColumns({k: having(k) for k in DIAGRAM_WORDS}).withColumn("identifier", _once_lower(F.flatten(F.transform("_lines", lambda x: network_identifiers(x["t"]))), DIAGRAM_CAPS["identifier"]))
     stems = F.filter(F.transform("device", lambda x: F.lower(F.regexp_replace(F.regexp_extract(x, r"(?i)(.+?)[-_]?(?:0?1|0?2|a|b)\b", 1), "[^A-Za-z0-9一-龯ぁ-んァ-ヶ]+", ""))), lambda x: x != "")
-    pairs = F.size(F.array_distinct(stems)) < F.size(stems)
+    rows = rows.withColumns({"_blob": F.lower(F.array_join(F.concat("external", "zone", "device", "redundancy", "identifier"), "\n")), "_stems": stems})
+    says = lambda *words: any_of([F.contains("_blob", F.lit(w)) for w in words])
+    pairs = F.size(F.array_distinct("_stems")) < F.size("_stems")
     tests = {
         "boundary": (F.size("external") > 0) & says("fw", "firewall", "fortigate", "waf"),
         "dmz": F.exists("zone", lambda x: F.contains(F.lower(x), F.lit("dmz"))),
@@ -341,4 +344,4 @@ def diagram_signals(docs: DataFrame) -> DataFrame:
         "cloud_or_wan": says("aws", "azure", "gcp", "direct connect", "vpn", "閉域", "専用線"),
         "identifiers": F.size("identifier") > 0,
     }
-    return rows.withColumn("inferences", F.filter(F.array(*[F.when(t, k) for k, t in tests.items()]), lambda x: x.isNotNull())).drop("_lines")
+    return rows.withColumn("inferences", F.filter(F.array(*[F.when(t, k) for k, t in tests.items()]), lambda x: x.isNotNull())).drop("_lines", "_blob", "_stems")
