@@ -264,13 +264,16 @@ def issues_per_document(issues: DataFrame) -> DataFrame:
 def local_summary(docs: DataFrame, issues: DataFrame) -> DataFrame:
     """Purpose, outline of at most five documents, and an overall comment from severity counts."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    # ranked first: the texts of all but five documents are not looked at
+    first = docs.select("review_id", "doc_ord", "name", "text").withColumn("_k", F.row_number().over(Window.partitionBy("review_id").orderBy("doc_ord"))).filter("_k <= 5")
     inline = F.regexp_extract(text, r"(?mU)^\s*(?:#+\s*)?(?:[\d.]+\s*)?(?:本書の)?目的\s*[:：]\s*(\S[^\n]*)$", 1)
     block = F.regexp_extract(text, r"(?mU)^\s*(?:#+\s*)?(?:[\d.]+\s*)?(?:本書の)?目的\s*$\n+((?:[^\n]+\n?){1,3})", 1)
     stated = F.regexp_extract(text, r"(本(?:書|資料|手順書)は[^。\n]*。?)", 1)
     purpose = F.coalesce(F.nullif(F.trim(inline), F.lit("")), F.nullif(excerpt(block, 180), F.lit("")), F.nullif(stated, F.lit("")), excerpt(text, 180))
-    labels = extract_chapters(docs.select("review_id", "doc_ord", "text")).filter("chapter_ord < 5").groupBy("review_id", "doc_ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chapter_ord", "chapter_label"))), lambda x: x["chapter_label"]), " / ").alias("labels"))
-    rows = docs.select("review_id", "doc_ord", "name", purpose.alias("purpose"), excerpt(text, 120).alias("_x")).join(labels.hint("merge"), ["review_id", "doc_ord"], "left")
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("review_id").orderBy("doc_ord"))).filter("_k <= 5")
+    rows = extract_chapters(first.select("review_id", "_k", "name", purpose.alias("purpose"), excerpt(text, 120).alias("_x"), "text"), whole=True).filter("chapter_ord < 5")
+    label = F.when(F.col("chapter_id") != "whole", F.struct("chapter_ord", "chapter_label"))
+    rows = rows.groupBy("review_id", "_k").agg(*[F.first(c).alias(c) for c in ("name", "purpose", "_x")], F.collect_list(label).alias("labels"))
+    rows = rows.withColumn("labels", F.when(F.size("labels") > 0, F.array_join(F.transform(F.array_sort("labels"), lambda x: x["chapter_label"]), " / ")))
     sets = rows.groupBy("review_id").agg(F.min_by("purpose", "_k").alias("purpose"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", F.concat("name", F.lit(": "), F.coalesce("labels", "_x")).alias("line")))), lambda x: x["line"]), "\n").alias("content_outline"))
     counts = issues.groupBy("review_id").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
     comment = F.substring(F.concat(F.lit("high "), F.coalesce("high", F.lit(0)).cast("string"), F.lit(", medium "), F.coalesce("medium", F.lit(0)).cast("string"), F.lit(", low "), F.coalesce("low", F.lit(0)).cast("string")), 1, 260)
