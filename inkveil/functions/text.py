@@ -55,6 +55,11 @@ def cjk_only(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _NO_CJK, "|"), r"(?U)\s+", "")
 
 
+def cjk_runs(text: Column) -> Column:
+    """A text cut down for words that ``is_cjk``: each run of other characters, white space too, is one mark. Such a word is in it where it is in the text."""
+    return F.regexp_replace(text, f"[^{_CJK}]+", "|")
+
+
 def is_cjk(word: str) -> bool:
     return bool(word) and all("\u3001" <= c <= "\u30ff" or "\u3400" <= c <= "\u9fff" for c in word)
 
@@ -81,7 +86,7 @@ _FOLDED = ("ſKİı", "skii")
 
 def folded(text: Column) -> Column:
     """Lower case as (?iu) compares it with words of ASCII and caseless characters."""
-    return F.lower(F.when(text.rlike(f"[{_FOLDED[0]}]"), F.translate(text, *_FOLDED)).otherwise(text))
+    return F.lower(F.when(any_of([F.contains(text, F.lit(c)) for c in _FOLDED[0]]), F.translate(text, *_FOLDED)).otherwise(text))
 
 
 def has_bounded(folded_text: Column, word: str) -> Column:

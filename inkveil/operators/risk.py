@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkveil.functions.text import abbreviations, bounded_pattern, contains_any_bounded, context, count_of, folded, has_bounded
+from inkveil.functions.text import abbreviations, cjk_runs, contains_any_bounded, context, folded, has_bounded, is_cjk
 from inkveil.operators.structure import extract_chapters
 from inkveil.sources.scratch import materialised
 
@@ -48,9 +48,21 @@ def _having(found: Column, tests: dict[str, Sequence[str]]) -> Column:
     return F.filter(F.array(*[F.when(F.arrays_overlap(F.array(*map(F.lit, words)), found), k) for k, words in tests.items()]), lambda x: x.isNotNull())
 
 
-def _found(folded_text: Column, words: Sequence[str]) -> Column:
-    """The words that a text has, each looked for once."""
-    return F.filter(F.array(*[F.when(has_bounded(folded_text, w), w) for w in dict.fromkeys(words)]), lambda x: x.isNotNull())
+def _by_script(words: Iterable[str]) -> tuple[list[str], list[str]]:
+    """Different words of ideographs and kana alone, which are searched as they are, and others."""
+    each = list(dict.fromkeys(words))
+    return [w for w in each if is_cjk(w)], [w for w in each if not is_cjk(w)]
+
+
+def _plain(text: Column, words: Column) -> Column:
+    """The words of ideographs and kana that a text has; the text as it is or as ``cjk_runs`` makes it."""
+    return F.filter(words, lambda w: F.contains(text, w))
+
+
+def _edged(folded_text: Column, words: Sequence[str], among: Column | None = None) -> Column:
+    """The other words that a text has, the text as ``folded`` makes it; if given, only those ``among`` the words of a longer text are looked for."""
+    has = lambda w: has_bounded(folded_text, w) if among is None else F.array_contains(among, w) & has_bounded(folded_text, w)
+    return F.filter(F.array(*[F.when(has(w), w) for w in words]), lambda x: x.isNotNull())
 
 
 def ambiguous_expressions(docs: DataFrame, cap: int = AMBIGUOUS_CAP) -> DataFrame:
@@ -68,18 +80,33 @@ def ambiguous_expressions(docs: DataFrame, cap: int = AMBIGUOUS_CAP) -> DataFram
     return rows.select("review_id", F.format_string("AF-%03d", "n").alias("finding_id"), "expression", F.col("name").alias("source_document"), "section", "context", "missing_elements", F.when(F.size("missing_elements") >= 2, "medium").otherwise("low").alias("severity"))
 
 
+def _tests() -> dict[str, Sequence[str]]:
+    """What sets are asked for: labels of personas and scenarios, triggers of scenarios, and operations; with their words."""
+    tests: dict[str, Sequence[str]] = {f"p|{p}|{label}": words for p, needed in PERSONAS.items() for label, words in needed.items()}
+    tests |= _scenario_tests()
+    return tests | {"operations": OPERATIONS}
+
+
+def _scenario_tests() -> dict[str, Sequence[str]]:
+    tests: dict[str, Sequence[str]] = {f"s|{s}|{label}": words for s, (_, _, needed, _) in SCENARIOS.items() for label, words in needed.items()}
+    return tests | {f"t|{s}": words for s, (_, words, _, _) in SCENARIOS.items()}
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    """One row per set of rows per document: source, and the names of the tests that its documents pass."""
+    return rows.groupBy("review_id").agg(F.when(F.count(F.lit(1)) == 1, F.min("name")).otherwise(WHOLE_SET).alias("source"), F.array_distinct(F.flatten(F.collect_list("have"))).alias("have"))
+
+
 def _set_flags(docs: DataFrame) -> DataFrame:
     """One row per set: source, all labels and words that its documents have, and its abbreviations."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    tests: dict[str, Sequence[str]] = {f"p|{p}|{label}": words for p, needed in PERSONAS.items() for label, words in needed.items()}
-    tests |= {f"s|{s}|{label}": words for s, (_, _, needed, _) in SCENARIOS.items() for label, words in needed.items()}
-    tests |= {f"t|{s}": words for s, (_, words, _, _) in SCENARIOS.items()} | {"operations": OPERATIONS}
-    rows = docs.select("review_id", "name", folded(text).alias("_x"), abbreviations(text).alias("abbr"))
-    rows = rows.select("review_id", "name", "abbr", _found(F.col("_x"), [w for words in tests.values() for w in words]).alias("_w")).select("review_id", "name", _having(F.col("_w"), tests).alias("have"), "abbr")
+    tests = _tests()
+    plain, edged = _by_script(w for words in tests.values() for w in words)
+    rows = docs.select("review_id", "name", folded(text).alias("_x"), cjk_runs(text).alias("_j"), abbreviations(text).alias("abbr"))
+    rows = rows.select("review_id", "name", "abbr", F.concat(_plain(F.col("_j"), F.array(*map(F.lit, plain))), _edged(F.col("_x"), edged)).alias("_w")).select("review_id", "name", _having(F.col("_w"), tests).alias("have"), "abbr")
     rows = materialised(rows)
     short = rows.select("review_id", F.explode("abbr").alias("a")).distinct().groupBy("review_id").agg(F.array_sort(F.collect_list("a")).alias("abbr"))
-    sets = rows.groupBy("review_id").agg(F.when(F.count(F.lit(1)) == 1, F.min("name")).otherwise(WHOLE_SET).alias("source"), F.array_distinct(F.flatten(F.collect_list("have"))).alias("have"))
-    return sets.join(short.hint("merge"), "review_id", "left").withColumn("abbr", F.coalesce("abbr", F.array().cast("array<string>")))
+    return _gathered(rows).join(short.hint("merge"), "review_id", "left").withColumn("abbr", F.coalesce("abbr", F.array().cast("array<string>")))
 
 
 def _missing(prefix: str, labels: Sequence[str]) -> Column:
@@ -108,17 +135,29 @@ def issue_text(issues: DataFrame) -> Column:
 
 
 def premortem(docs: DataFrame, issues: DataFrame, cap: int = SCENARIO_CAP) -> DataFrame:
-    """P12. issues: review_id, issue_ord, severity, title, details, ... (may be empty). Scenarios that texts or issues trigger and whose evidence is incomplete."""
-    sets = _set_flags(docs)
-    told = issues.select("review_id", "issue_ord", "severity", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("source_document", F.lit("")).alias("source_document"), F.coalesce("section", F.lit("")).alias("section"), folded(issue_text(issues)).alias("_x"))
-    hits = told.select("review_id", "issue_ord", "severity", "title", "source_document", "section", F.filter(F.array(*[F.when(contains_any_bounded(F.col("_x"), words), s) for s, (_, words, _, _) in SCENARIOS.items()]), lambda x: x.isNotNull()).alias("s"))
-    by_scenario = hits.select("*", F.explode("s").alias("scenario_id"))
+    """P12. issues: review_id, issue_ord, severity, title, details, ... (may be empty). Scenarios that texts or issues trigger and whose evidence is incomplete.
+
+    One pass over the documents: a text is searched once, and its chapters only for the words that it has.
+    """
+    tests = _scenario_tests()
+    plain, edged = _by_script(w for words in tests.values() for w in words)
+    per_doc = docs.select("review_id", "doc_ord", "name", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumns({"_x": folded(F.col("text")), "_j": cjk_runs(F.col("text"))})
+    per_doc = per_doc.select("review_id", "doc_ord", "name", "text", _plain(F.col("_j"), F.array(*map(F.lit, plain))).alias("_p"), _edged(F.col("_x"), edged).alias("_e"))
+    found = extract_chapters(per_doc, whole=True).withColumn("_x", F.when(F.size("_e") > 0, folded(F.col("body"))))
+    found = found.select("review_id", "doc_ord", "name", "chapter_ord", "chapter_label", F.concat("_p", "_e").alias("_w"), F.concat(_plain(F.col("body"), F.col("_p")), _edged(F.col("_x"), edged, F.col("_e"))).alias("_c"))
+    score = lambda listed: F.size(F.filter(F.array(*map(F.lit, listed)), lambda w: F.array_contains("_c", w)))  # noqa: E731  a word that is listed twice counts twice
+    scores = F.array(*[F.struct(F.lit(s).alias("scenario_id"), score([*words, *(x for group in needed.values() for x in group)]).alias("score")) for s, (_, words, needed, _) in SCENARIOS.items()])
+    # what a document has is told beside its first chapter
+    found = materialised(found.select("review_id", "doc_ord", "name", "chapter_ord", "chapter_label", F.when(F.col("chapter_ord") == 0, _having(F.col("_w"), tests)).alias("have"), scores.alias("scores")))
+    sets = _gathered(found.filter("chapter_ord = 0"))
+    told = issues.select("review_id", "issue_ord", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("source_document", F.lit("")).alias("source_document"), F.coalesce("section", F.lit("")).alias("section"), issue_text(issues).alias("_t")).withColumn("_x", folded(F.col("_t")))
+    hits = told.select("review_id", "issue_ord", "title", "source_document", "section", F.filter(F.array(*[F.when(contains_any_bounded(F.col("_x"), words), s) for s, (_, words, _, _) in SCENARIOS.items()]), lambda x: x.isNotNull()).alias("s"))
+    # an outer explode: for an inner one Spark filters by the words before, and makes the text for each of them
+    by_scenario = hits.select("review_id", "issue_ord", "title", "source_document", "section", F.explode_outer("s").alias("scenario_id")).filter(F.col("scenario_id").isNotNull())
     ranked = by_scenario.withColumn("k", F.row_number().over(Window.partitionBy("review_id", "scenario_id").orderBy("issue_ord"))).filter(F.col("k") <= HINTS)
     hints = ranked.groupBy("review_id", "scenario_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "title"))), lambda x: x["title"]).alias("review_hint"), F.min_by("source_document", "k").alias("hint_document"), F.min_by("section", "k").alias("hint_section"))
     # The chapter with most words of a scenario, the first one in a tie
-    chapters = extract_chapters(docs.select("review_id", "doc_ord", "name", "text"), whole=True)
-    scores = F.array(*[F.struct(F.lit(s).alias("scenario_id"), count_of([F.col("body").rlike(bounded_pattern(w)) for w in (*words, *(x for group in needed.values() for x in group))]).alias("score")) for s, (_, words, needed, _) in SCENARIOS.items()])
-    scored = chapters.select("review_id", "doc_ord", "chapter_ord", "name", "chapter_label", F.explode(scores).alias("r")).filter("r.score > 0")
+    scored = found.select("review_id", "doc_ord", "chapter_ord", "name", "chapter_label", F.explode("scores").alias("r")).filter("r.score > 0")
     best = scored.groupBy("review_id", F.col("r.scenario_id").alias("scenario_id")).agg(F.max_by(F.struct("name", "chapter_label"), F.struct(F.col("r.score"), -F.col("doc_ord"), -F.col("chapter_ord"))).alias("best"))
     rows = []
     for i, (s, (title, _, needed, high)) in enumerate(SCENARIOS.items()):

@@ -147,6 +147,8 @@ CHAPTER_WORDS = {
 }
 FULL_HEADING = r"(?mdU)^[\s　]*第\s*(\d{1,2})\s*章[\s　]+([^\n]+)$"
 SHORT_HEADING = r"(?mdU)^[\s　]*(\d{1,2})\.\s*([^\n]+)$"
+# All characters that (?U)\s takes.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # End of the fixed values.
 GENERIC_HEAD, LAST_CHAPTER, LEAST_CHAPTERS = 2000, 15, 3
 
@@ -179,13 +181,11 @@ def sequential(numbers: Column) -> Column:
 
 def _headed(text: Column, pattern: str) -> Column:
     """(number, title, body) of each heading; a body reaches to the next one, its own line included."""
-    lines = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))  # what the groups hold is read from each line
-    numbers = F.transform(lines, lambda x: F.regexp_extract(x, pattern, 1).cast("int"))
-    titles = F.transform(lines, lambda x: F.regexp_extract(x, pattern, 2))
+    lines = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))  # named once, as Spark finds them again for each use; what the groups hold is read from each line
     rest = F.slice(F.split(text, pattern, -1), 2, 1_000_000)
-    heads = F.zip_with(numbers, titles, lambda n, t: F.struct(n.alias("number"), F.btrim(F.regexp_replace(t, r"(?U)^\s+|\s+$", "")).alias("title")))
-    bodies = F.zip_with(lines, rest, lambda a, b: F.regexp_replace(F.concat(a, F.coalesce(b, F.lit(""))), r"(?U)^\s+|\s+$", ""))
-    return F.zip_with(heads, bodies, lambda h, b: F.struct(h["number"].alias("number"), h["title"].alias("title"), b.alias("body")))
+    title = lambda a: F.btrim(F.regexp_replace(F.regexp_extract(a, pattern, 2), r"(?U)^\s+|\s+$", ""))
+    body = lambda a, b: F.btrim(F.concat(a, F.coalesce(b, F.lit(""))), F.lit(WHITE_SPACE))
+    return F.zip_with(lines, rest, lambda a, b: F.struct(F.regexp_extract(a, pattern, 1).cast("int").alias("number"), title(a).alias("title"), body(a, b).alias("body")))
 
 
 def extract_chapters(docs: DataFrame, least: int = LEAST_CHAPTERS, whole: bool = False, text: str = "text") -> DataFrame:

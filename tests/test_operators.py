@@ -169,3 +169,29 @@ def test_words_in_ideographs_are_found_in_the_shortened_text(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "text string").select(squeezed(F.col("text")).alias("s"), cjk_only(F.col("text")).alias("j"))
     one = rows.select(F.filter(listed, lambda w: F.contains("s", w)).alias("a"), F.filter(listed, lambda w: F.contains("j", w)).alias("b")).collect()
     assert all(r["a"] == r["b"] for r in one) and sum(len(r["a"]) > 0 for r in one) > 50
+
+
+def test_heading_lines_are_found_once(spark):
+    docs = spark.createDataFrame([("r", "第 1 章 a\nb")], "review_id string, text string")
+    plan = structure.extract_chapters(docs, whole=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2
+
+
+def test_bodies_of_chapters_lose_the_white_space_of_the_pattern(spark):
+    chars = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000]
+    rows = spark.createDataFrame([(c,) for c in chars], "t string")
+    assert sorted(r["t"] for r in rows.filter(F.col("t").rlike(r"^(?U)\s$") | F.col("t").rlike(r"(?U)^\s+|\s+$")).collect()) == sorted(structure.WHITE_SPACE)
+    text = "第 1 章 a　\n\x85b\xa0c  \n\n 　第 2 章 b \r\n第 3 章 c\n😀 ퟿\n​\n"
+    found = structure.extract_chapters(spark.createDataFrame([("r", text)], "review_id string, text string")).orderBy("chapter_ord").collect()
+    assert [r["body"] for r in found] == ["第 1 章 a　\n\x85b\xa0c", "第 2 章 b", "第 3 章 c\n😀 ퟿\n​"]
+
+
+def test_words_in_ideographs_are_found_in_their_runs(spark):
+    """Plain searches of the words of scenarios and personas: nothing may stand within a word, and marks join no two runs."""
+    words = sorted({w for rules in (*risk.PERSONAS.values(), *(s[2] for s in risk.SCENARIOS.values())) for found in rules.values() for w in found if X.is_cjk(w)})
+    bits = [x for w in words[::3] for x in (w, "a" + w + "b", w + w[:1], w[:1] + " " + w[1:], w[:1] + "\n" + w[1:], w[:1] + "　" + w[1:], w[:1] + "|" + w[1:], w[:1] + "x" + w[1:])]
+    texts = [*bits, *(x + y for x, y in zip(bits, bits[1:])), None, "", "only latin", "😀監視😀"]
+    listed = F.array(*map(F.lit, words))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.cjk_runs(F.col("t")).alias("j"))
+    one = rows.select(F.filter(listed, lambda w: F.contains("t", w)).alias("a"), F.filter(listed, lambda w: F.contains("j", w)).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in one) and sum(len(r["a"] or ()) > 0 for r in one) > 50

@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
+from inkveil.operators import risk
 
 TABLES = ("orders", "lineitem", "events", "documents", "labels", "nation", "customer", "conversations", "pages", "part", "supplier")
 NAMES = ("p4_purpose", "p7_code_evidence", "p10_ambiguous_expressions", "p11_reader_risks", "p13_dictionary_mask", "d_all_detectors", "p2_p20_release_gate", "p17_merged_masker_output", "p9_diagram_signals", "j12_j15_j17_issue_joins", "j4_longest_names", "x3_x5_answers", "s12_allow_files", "p1_p16_all_profiles", "w14_device_pairs", "j17_refuted_claims", "s1_encodings", "s2_uploads", "d13_d15_marks")
@@ -60,3 +61,16 @@ def test_names_that_end_a_text_agree_with_sql(spark, tmp_path):
     texts = ("Ab.", "Long name here and Ab.", "x Ab.", "Ab.Ab.", "")
     pq.write_table(pa.table({"conv_id": pa.array(range(len(texts)), pa.int64()), "turn": pa.array([0] * len(texts), pa.int64()), "text": pa.array(texts, pa.string())}), f"{tmp_path}/conversations.parquet")
     agrees(spark, "j4_longest_names", str(tmp_path), ["conversations"])
+
+
+def test_premortems_of_planted_words_agree_with_sql(spark, tmp_path):
+    """Words in all cases and at all kinds of edges, evidence in other documents or issues than the trigger, ties between chapters, sets that say nothing."""
+    words = sorted({w for _, triggers, needed, _ in risk.SCENARIOS.values() for group in (triggers, *needed.values()) for w in group})
+    edges = (" {} ", "x{}", "{}9", "({})", "{0}{0}", "{}テスト", "é{}é", "_{}_", "1 {}\n", "{}")
+    texts = [edges[i % 10].format((w, w.lower(), w.upper(), w.title())[i // 10 % 4]) + " lorem ipsum dolor " * (i % 5) for i, w in enumerate(words * 4)]
+    texts += ["Active\nDirectory Active  Directory", "ACTIVE DIRECTORY's", "ſAML KpI TLſ", "DRテストDR", "", None, "　  \n"]
+    ids = [3 * i for i in range(len(texts))]
+    pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "lang": ["en"] * len(ids), "source": [f"s{i % 4}" for i in ids]}), f"{tmp_path}/documents.parquet")
+    some = [i for i in ids if i % 2 == 0]
+    pq.write_table(pa.table({"doc_id": pa.array(some, pa.int64()), "quality": pa.array([i % 2 for i in some], pa.int64()), "toxic": pa.array([i % 3 for i in some], pa.int64())}), f"{tmp_path}/labels.parquet")
+    agrees(spark, "p12_premortem", str(tmp_path), ["documents", "labels"])

@@ -371,3 +371,38 @@ def test_absent_texts_have_no_identifiers_and_no_counts(spark):
     rows = spark.createDataFrame([("a", None), ("b", "vLaN 7, VRF x"), ("c", "none")], "name string, text string")
     assert [r[0] for r in rows.select(detectors.network_identifiers(F.col("text"))).collect()] == [None, ["vLaN 7", "VRF x"], []]
     assert detectors.mention_counts(rows).count() == 0
+
+
+def test_texts_are_read_once_by_premortems(spark):
+    """As above; the text of an issue is made once too, not for each word of a filter that Spark infers."""
+    from inkveil.operators import risk
+
+    made = spark.sparkContext.accumulator(0)
+
+    def text(k):
+        made.add(1)
+        return f"前書き VPN\n第 1 章 監視\nadr{k} xDR\n第 2 章 DR\nRTO rpo 復旧\n第 3 章 終わり\nDR" if k else "MFA"
+
+    docs = spark.range(3).select(F.lit("r").alias("review_id"), F.col("id").cast("int").alias("doc_ord"), F.concat(F.lit("d"), "id").alias("name"), F.udf(text)("id").alias("text"))
+    issues = spark.createDataFrame([("r", 0, "low", "a", "plain", "d9", "s"), ("r", 1, "low", "b", "Saml", "d1", "第 2 章"), ("q", 0, "low", "c", "VPN", "", "")], "review_id string, issue_ord int, severity string, title string, details string, source_document string, section string")
+    out = risk.premortem(docs, issues)
+    found = {r["scenario_id"]: (r["source_document"], r["section"], r["trigger_source"], r["confirmed_elements"], r["review_hint"]) for r in out.collect()}
+    assert found == {
+        "PM-001": ("d1", "第 2 章 DR", "document", ["RTO/RPO"], []),
+        "PM-002": ("d1", "第 1 章 監視", "document", [], []),
+        "PM-003": ("d0", "文書全体", "both", ["監視"], ["b"]),
+        # VPN stands ahead of all chapters, so none of them is the best one
+        "PM-004": ("レビュー対象全体", "文書全体", "document", [], []),
+    }
+    assert made.value == 3
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("concat_ws(") == 1
+
+
+def test_issues_of_one_group_of_rows_are_read_by_more_than_one_task(spark, tmp_path):
+    from inkveil.plans import tables
+
+    text = F.expr("array_join(transform(sequence(1, 150), i -> sha2(concat(id, '-', i), 256)), '')")
+    rows = spark.range(600).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source")).coalesce(1)
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    rows.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    assert tables.issues(spark, str(tmp_path)).select(F.length("issue"), F.spark_partition_id().alias("p")).agg(F.max("length(issue)"), F.countDistinct("p")).first()[1] > 1
